@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tallybrook.llm import huffman, packing
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
 
@@ -15,8 +19,21 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), width=100, keep_bytes=False)
 
 
+def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(batches):
+        for frame in batches:
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "start": frame["start"], "n_tokens": frame["n_tokens"], "ids_crc32": [zlib.crc32(x) for x in frame["ids"]]})
+
+    files = huffman.encode_corpus(table(spark, sf_dir, "documents"))
+    return huffman.decode_corpus(files).mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_huffman_tokens, op5_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
