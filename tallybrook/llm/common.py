@@ -53,6 +53,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sized(df: DataFrame, mb: int = 8) -> int:
+    """Buckets of about `mb` megabytes by the plan's estimate of its input, two for each core at least, the shuffle partitions at most."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, min(partitions(spark), max(2 * spark.sparkContext.defaultParallelism, -(-size // (mb << 20)))))
+
+
 def ids(column: pd.Series) -> np.ndarray:
     """Ids as int64; null is NULL_ID."""
     if column.dtype == np.int64:

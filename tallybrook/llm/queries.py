@@ -7,7 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybrook.llm import huffman, packing
+from tallybrook.llm import huffman, packing, secrets, simhash
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
 
@@ -32,8 +32,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_huffman_tokens, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_huffman_tokens, op5_best_fit_packing, op7_simhash_near_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
