@@ -5,14 +5,14 @@ window are triggers. They cut a text into phrases: the window starts that share
 that those windows reach. Every window has exactly one trigger, fixed by its own bytes, so equal windows
 lie at equal places of phrases with equal triggers.
 
-* Dictionary: the distinct phrases, by a 128-bit fingerprint. The parse is each document's sequence of them.
+* Dictionary: the distinct phrases, by a fingerprint. The parse is each document's sequence of them.
   A phrase that stands earlier in the parse has all its windows there: such windows are repeats at once.
-* A phrase whose trigger no other distinct phrase has holds no repeat. Only phrases that share a trigger
-  (near copies, edges of shared passages) go on. Their suffixes of window length are sorted (the suffix
-  array of the dictionary, to the depth that matters), ties by place in the parse: this merges both
-  arrays into corpus order, where windows that are equal stand side by side, the earliest first.
-* Each task orders what it holds; classes of different tasks meet by fingerprint, and the earliest place
-  wins. A task sends one place per class, so a passage in a third of all documents is no hot key.
+* A phrase whose trigger no other distinct phrase has holds no repeat. Phrases that share a trigger (near
+  copies, edges of shared passages) meet in the trigger's bucket with their bytes. Their suffixes are sorted
+  there (the suffix array of the dictionary, to the depth of a window), ties by place in the parse: this
+  combines both into corpus order, where equal windows stand side by side, the earliest first.
+* A trigger that more than `frequent` distinct phrases have (the edges of a passage that a third of all
+  documents hold) would make a hot bucket: its windows go, one by one, to buckets of their own fingerprints.
 
 Texts are exchanged once, by document; all later exchanges carry packed places.
 """
@@ -36,7 +36,10 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _CHUNK = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+#: Bits of a trigger's hash that are told apart; a false match costs work, never a wrong result.
+_TRIGGER = np.uint64((1 << 40) - 1)
 _PLACE = {"d": "<i8", "r": "<u2", "lo": "<u4", "n": "<u2"}
+_COLUMNS = {"a": "V5", "u": "<u8"} | _PLACE
 _SENT = "b int, kind string, a binary, u binary, d binary, r binary, lo binary, n binary"
 
 
@@ -149,22 +152,53 @@ def _extract(width: int, to: C.Buckets):
             lo, hi, a = phrases(np.frombuffer(data, np.uint8), ends, starts, width)
             u = np.fromiter((xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), (hi + width).tolist(), strict=True)), np.uint64, len(lo))
             doc = np.searchsorted(ends, lo, side="right")
-            parts.append((a, u, d[i:j][doc], r[i:j][doc], (lo - starts[doc]).astype(np.uint32), (hi - lo).astype(np.uint16)))
+            parts.append((a & _TRIGGER, u, d[i:j][doc], r[i:j][doc], (lo - starts[doc]).astype(np.uint32), (hi - lo).astype(np.uint16)))
         a, u, d, r, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, late = _earliest([u, a], d, lo)
         cols = {"a": a, "u": u, "d": d, "r": r, "lo": lo, "n": n}
         pick = np.sort(order[~late])
         yield from _send({k: v[pick] for k, v in cols.items()}, to.of_hashes(u[pick]), "phrase")
-        pick = np.sort(order[late])
-        yield from _send({k: v[pick] for k, v in cols.items() if k in _PLACE}, to.of_ids(d[pick]), "repeat")
+        yield from _repeats(d, r, lo, n, order[late], to)
 
     return run
 
 
 def _send(cols: dict[str, np.ndarray], to: np.ndarray, kind: str) -> Iterator[pd.DataFrame]:
-    none = {k: None for k in ("a", "u", "d", "r", "lo", "n") if k not in cols}
+    if "a" in cols:
+        cols = cols | {"a": cols["a"] if kind == "window" else _narrow(cols["a"])}
+    none = {k: None for k in _COLUMNS if k not in cols}
     if (out := C.split_packed(cols, to, kind=kind, **none)) is not None:
-        yield out[["b", "kind", "a", "u", "d", "r", "lo", "n"]]
+        yield out[["b", "kind", *_COLUMNS]]
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The five bytes of a trigger hash that travel."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).view("V5").ravel()
+
+
+def _wide(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    if len(raw):
+        out[:, :5] = np.ascontiguousarray(raw).view(np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _repeats(d, r, lo, n, pick: np.ndarray, to: C.Buckets) -> Iterator[pd.DataFrame]:
+    """Repeated window ranges to their documents; ranges that follow one another are joined."""
+    if not len(pick):
+        return
+    pick = pick[np.lexsort((lo[pick], r[pick], d[pick]))]
+    d, r, lo, stop = d[pick], r[pick], lo[pick].astype(np.int64), lo[pick].astype(np.int64) + n[pick]
+    new = np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (lo[1:] > stop[:-1] + 1)]
+    # A joined range is cut where its length would not fit.
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    far = (lo - lo[first[group]]) // 60_000
+    new |= np.r_[False, far[1:] != far[:-1]]
+    first = np.flatnonzero(new)
+    last = np.maximum.reduceat(stop, first)
+    cols = {"d": d[first], "r": r[first], "lo": lo[first].astype(np.uint32), "n": (last - lo[first]).astype(np.uint16)}
+    yield from _send(cols, to.of_ids(cols["d"]), "repeat")
 
 
 def _kinds(batches) -> dict[str, list[pd.DataFrame]]:
@@ -175,45 +209,72 @@ def _kinds(batches) -> dict[str, list[pd.DataFrame]]:
     return held
 
 
+def _read(held: dict, kind: str, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    types = _COLUMNS | ({"a": "<u8"} if kind == "window" else {})
+    out = C.unpack(held.get(kind, []), {k: types[k] for k in columns})
+    if "a" in out and kind != "window":
+        out["a"] = _wide(out["a"])
+    return out
+
+
 def _phrase_table(to: C.Buckets):
-    """Keeps the first place of each distinct phrase; sends one row per trigger on, and the triggers that are shared already."""
+    """Keeps the first place of each distinct phrase. One row per trigger goes to the trigger's bucket;
+    the phrases of a trigger that several here share stay, until that bucket says whether it is frequent."""
 
     def run(batches):
         held = _kinds(batches)
-        for frame in held.get("repeat", []):
-            yield frame
-        x = C.unpack(held.get("phrase", []), {"a": "<u8", "u": "<u8"} | _PLACE)
+        yield from held.get("repeat", [])
+        x = _read(held, "phrase", ("a", "u", *_PLACE))
         order, late = _earliest([x["u"], x["a"]], x["d"], x["lo"])
-        pick = order[late]
-        yield from _send({k: x[k][pick] for k in _PLACE}, to.of_ids(x["d"][pick]), "repeat")
+        yield from _repeats(x["d"], x["r"], x["lo"], x["n"], order[late], to)
         x = {k: v[order[~late]] for k, v in x.items()}
-        by = np.lexsort((x["lo"], x["d"], x["a"]))
-        s, e = C.runs(x["a"][by])
-        size = np.repeat(e - s, e - s)
-        shared = by[size > 1]
-        yield from _send({k: x[k][shared] for k in _PLACE}, to.of_ids(x["d"][shared]), "suspect")
-        lead = by[s]
-        goal = to.of_hashes(x["a"][lead])
-        for many, kind in ((e - s > 1, "shared"), (e - s == 1, "single")):
-            pick = lead[many]
-            cols = {k: x[k][pick] for k in ("a", *_PLACE)} if kind == "single" else {"a": x["a"][pick]}
-            yield from _send(cols, goal[many], kind)
+        home = to.of_hashes(x["u"])
+        by = np.lexsort((x["lo"], x["d"], home, x["a"]))
+        key = np.r_[True, (x["a"][by][1:] != x["a"][by][:-1]) | (home[by][1:] != home[by][:-1])] if len(by) else np.zeros(0, bool)
+        s = np.flatnonzero(key)
+        size = np.diff(np.r_[s, len(by)])
+        stay = by[np.repeat(size > 1, size)]
+        yield from _send({k: x[k][stay] for k in ("a", *_PLACE)}, home[stay], "member")
+        for many, kind in ((size > 1, "shared"), (size == 1, "single")):
+            pick = by[s[many]]
+            n = size[many]
+            by_place = np.lexsort((x["lo"][pick], x["d"][pick]))
+            pick, n = pick[by_place], n[by_place]
+            cols = {k: x[k][pick] for k in ("a", *_PLACE)} if kind == "single" else {"a": x["a"][pick], "lo": n.astype(np.uint32), "u": home[pick].astype(np.uint64)}
+            yield from _send(cols, to.of_hashes(x["a"][pick]), kind)
 
     return run
 
 
-def _trigger_table(to: C.Buckets):
-    """Singles whose trigger stands in another row too are suspects; the others hold no repeat."""
+def _trigger_table(frequent: int, to: C.Buckets):
+    """Triggers that more than one distinct phrase has: tells their buckets, with whether more than `frequent` have it."""
 
     def run(batches):
         held = _kinds(batches)
-        for kind in ("repeat", "suspect"):
+        for kind in ("repeat", "member"):
             yield from held.get(kind, [])
-        x = C.unpack(held.get("single", []), {"a": "<u8"} | _PLACE)
-        more = C.unpack(held.get("shared", []), {"a": "<u8"})["a"]
-        _, back, times = np.unique(x["a"], return_inverse=True, return_counts=True)
-        many = (times[back] > 1) | np.isin(x["a"], more) if len(x["a"]) else np.zeros(0, bool)
-        yield from _send({k: x[k][many] for k in _PLACE}, to.of_ids(x["d"][many]), "suspect")
+        x, y = _read(held, "single", ("a", *_PLACE)), _read(held, "shared", ("a", "lo", "u"))
+        keys, back = np.unique(np.r_[x["a"], y["a"]], return_inverse=True)
+        total = np.bincount(back, np.r_[np.ones(len(x["a"])), y["lo"]], len(keys)).astype(np.int64)
+        of_single, of_shared = total[back[: len(x["a"])]], total[back[len(x["a"]) :]]
+        for often, kind in ((False, "suspect"), (True, "frequent")):
+            pick = np.flatnonzero((of_single > 1) & ((of_single > frequent) == often))
+            yield from _send({k: x[k][pick] for k in ("a", *_PLACE)}, to.of_ids(x["d"][pick]), kind)
+        pick = np.flatnonzero(of_shared > frequent)
+        yield from _send({"a": y["a"][pick]}, y["u"][pick].astype(np.int64), "flag")
+
+    return run
+
+
+def _members(to: C.Buckets):
+    def run(batches):
+        held = _kinds(batches)
+        for kind in ("repeat", "suspect", "frequent"):
+            yield from held.get(kind, [])
+        x = _read(held, "member", ("a", *_PLACE))
+        often = np.isin(x["a"], _read(held, "flag", ("a",))["a"])
+        for pick, kind in ((~often, "suspect"), (often, "frequent")):
+            yield from _send({k: x[k][pick] for k in ("a", *_PLACE)}, to.of_ids(x["d"][pick]), kind)
 
     return run
 
@@ -222,68 +283,103 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, width: int, d: np.ndarray
     """Corpus order of the suffixes at `starts` to a depth of `width` bytes, ties by place; see _earliest()."""
     columns = []
     for k in range(0, width, 8):
-        take = starts[:, None] + np.minimum(np.arange(k, k + 8), width - 1)
-        columns.append(np.ascontiguousarray(data[take]).view(">u8").ravel().astype(np.uint64))
+        at = starts + min(k, width - 8) if width >= 8 else starts
+        x = np.zeros(len(starts), np.uint64)
+        for j in range(min(8, width)):
+            x = (x << np.uint64(8)) | data[at + j]
+        columns.append(x)
     return _earliest(columns, d, lo)
 
 
-def _windows(width: int, to: C.Buckets):
-    """Orders the windows of this bucket's suspect phrases; sends the first place of each class."""
+def _expand(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of phrases: the phrase's number and the window's distance from its first."""
+    count = n.astype(np.int64) + 1
+    return np.repeat(np.arange(len(lo)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _texts_of_suspects(width: int, to: C.Buckets):
+    """Sends a suspect's bytes to its trigger's bucket; of a frequent trigger, the fingerprint of each window to the window's own."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [right[right["kind"] == "repeat"]]
-        x = C.unpack([right[right["kind"] == "suspect"]], _PLACE)
-        if len(x["d"]):
-            d, r, raw = _documents(left)
-            where = {(i, j): k for k, (i, j) in enumerate(zip(d.tolist(), r.tolist(), strict=True))}
-            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-            base = np.cumsum(lengths) - lengths
-            data = b"".join(raw)
-            doc = np.fromiter((where[k] for k in zip(x["d"].tolist(), x["r"].tolist(), strict=True)), np.int64, len(x["d"]))
-            count = x["n"].astype(np.int64) + 1
-            from_ = np.repeat(np.cumsum(count) - count, count)
-            lo_all = np.repeat(x["lo"].astype(np.int64), count) + np.arange(count.sum()) - from_
-            doc_all = np.repeat(doc, count)
-            buf = np.frombuffer(data, np.uint8)
-            at_all = base[doc_all] + lo_all
-            # Windows of one first gram belong together, so a slice of the gram hashes can be ordered by itself.
-            slices = max(1, -(-len(at_all) // 400_000))
-            part = gram_hashes_at(buf, at_all) % np.uint64(slices) if slices > 1 else np.zeros(len(at_all), np.uint64)
-            for k in range(slices):
-                own = np.flatnonzero(part == k)
-                lo, at, dd, rr = lo_all[own], at_all[own], d[doc_all[own]], r[doc_all[own]]
-                order, late = suffix_order(buf, at, width, dd, lo)
-                pick = order[~late]
-                key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[s : s + width]) for s in at[pick].tolist()), "<u8").reshape(-1, 2)
-                cols = {"a": key[:, 0], "u": key[:, 1], "d": dd[pick], "r": rr[pick], "lo": lo[pick].astype(np.uint32)}
-                out += _send(cols, to.of_hashes(key[:, 0]), "window")
-                pick = order[late]
-                out += _send({"d": dd[pick], "r": rr[pick], "lo": lo[pick].astype(np.uint32), "n": np.zeros(len(pick), np.uint16)}, to.of_ids(dd[pick]), "repeat")
-        return pd.concat(out)
+        held = _kinds([right])
+        out = held.get("repeat", [])
+        at, raw = None, []
+        for kind in ("suspect", "frequent"):
+            x = _read(held, kind, ("a", *_PLACE))
+            if not len(x["d"]):
+                continue
+            if at is None:
+                d, r, raw = _documents(left)
+                at = {(i, j): k for k, (i, j) in enumerate(zip(d.tolist(), r.tolist(), strict=True))}
+            doc = [at[k] for k in zip(x["d"].tolist(), x["r"].tolist(), strict=True)]
+            stop = x["lo"].astype(np.int64) + x["n"] + width
+            parts = [raw[k][s:e] for k, s, e in zip(doc, x["lo"].tolist(), stop.tolist(), strict=True)]
+            if kind == "suspect":
+                goal = to.of_hashes(x["a"])
+                order = np.argsort(goal, kind="stable")
+                frame = next(_send({k: x[k][order] for k in _PLACE}, goal[order], "text"))
+                bounds = C.runs(goal[order])
+                frame["u"] = [b"".join(parts[k] for k in order[s:e].tolist()) for s, e in zip(*bounds, strict=True)]
+                out.append(frame)
+                continue
+            for i in range(0, len(parts), 10_000):
+                own = slice(i, i + 10_000)
+                of, step = _expand(x["lo"][own], x["n"][own])
+                d_, r_, lo = (x["d"][own][of], x["r"][own][of], x["lo"][own][of] + step)
+                few = parts[own]
+                hashed = b"".join(xxhash.xxh3_128_digest(few[k][s : s + width]) for k, s in zip(of.tolist(), step.tolist(), strict=True))
+                key = np.frombuffer(hashed, "<u8").reshape(-1, 2)
+                order, late = _earliest([key[:, 0], key[:, 1]], d_, lo)
+                pick = np.sort(order[~late])
+                cols = {"a": key[pick, 0].copy(), "u": key[pick, 1], "d": d_[pick], "r": r_[pick], "lo": lo[pick].astype(np.uint32)}
+                out += _send(cols, to.of_hashes(key[pick, 0]), "window")
+                out += _repeats(d_, r_, lo, np.zeros(len(lo), np.uint16), order[late], to)
+        return pd.concat(out) if out else pd.DataFrame(columns=["b", "kind", *_COLUMNS])
 
     return run
 
 
-def gram_hashes_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number from the first eight bytes at each place."""
-    with np.errstate(over="ignore"):
-        x = np.ascontiguousarray(buf[at[:, None] + np.arange(8)]).view("<u8").ravel() * _MIX
-    return x >> np.uint64(40)
-
+def _window_table(width: int, to: C.Buckets):
+    """Orders the windows of the dictionary's suspects, and finds the first of each class."""
 
-def _window_table(to: C.Buckets):
     def run(batches):
         held = _kinds(batches)
         yield from held.get("repeat", [])
-        x = C.unpack(held.get("window", []), {"a": "<u8", "u": "<u8", "d": "<i8", "r": "<u2", "lo": "<u4"})
+        x = _read(held, "window", ("a", "u", "d", "r", "lo"))
         order, late = _earliest([x["a"], x["u"]], x["d"], x["lo"])
-        pick = order[late]
-        cols = {k: x[k][pick] for k in ("d", "r", "lo")} | {"n": np.zeros(len(pick), np.uint16)}
-        yield from _send(cols, to.of_ids(x["d"][pick]), "repeat")
+        yield from _repeats(x["d"], x["r"], x["lo"], np.zeros(len(late), np.uint16), order[late], to)
+        x = _read(held, "text", tuple(_PLACE))
+        data = np.frombuffer(b"".join(t for f in held.get("text", []) for t in f["u"]), np.uint8)
+        if not len(data):
+            return
+        size = x["n"].astype(np.int64) + width
+        base = np.cumsum(size) - size
+        of, step = _expand(x["lo"], x["n"])
+        at = base[of] + step
+        # Equal windows begin with equal bytes, so slices by their first eight can be ordered one by one.
+        slices = max(1, -(-len(at) // 300_000))
+        part = _first_bytes(data, at, width) % np.uint64(slices) if slices > 1 else np.zeros(len(at), np.uint64)
+        found = []
+        for own in np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part.astype(np.int64), minlength=slices))[:-1]):
+            k = of[own]
+            order, late = suffix_order(data, at[own], width, x["d"][k], x["lo"][k] + step[own])
+            found.append(own[order[late]])
+        found = np.concatenate(found)
+        k = of[found]
+        yield from _repeats(x["d"][k], x["r"][k], x["lo"][k] + step[found], np.zeros(len(k), np.uint16), np.arange(len(k)), to)
 
     return run
 
 
+def _first_bytes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    x = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(min(16, width)):
+            x = (x ^ data[at + j]) * _MIX
+            x ^= x >> np.uint64(31)
+    return x
+
+
 def _removed(width: int):
     """Per row of a bucket: its document, the removed mask's counts and the bytes that stay."""
 
@@ -315,22 +411,23 @@ def _removed(width: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = 100, keep_bytes: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 100, keep_bytes: bool = True, frequent: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (keep_bytes) kept, the bytes that stay, for every row of docs.
 
     docs needs doc_id (long) and text (string); other columns are ignored. A byte goes if a string of `width`
     bytes that also starts at a smaller (doc_id, start) covers it. Null text is empty. A null doc_id is
     ordered first. Rows that repeat a doc_id hold one place: a string repeats only if it starts at a
     strictly smaller (doc_id, start), so equal rows get equal results. Texts under `width` bytes stay whole.
+    `frequent` only chooses a way of comparing; either finds every repeat.
     """
-    to = C.Buckets(C.partitions(docs.sparkSession))
+    to = C.Buckets(C.sized(docs))
     nb = to.n
     texts = docs.select(C.id_column(), F.col("text").cast("string").alias("text")).withColumn("b", to.column()).repartition(nb, "b")
     places = texts.mapInPandas(_extract(width, to), _SENT)
-    places = places.repartition(nb, "b").mapInPandas(_phrase_table(to), _SENT)
-    places = places.repartition(nb, "b").mapInPandas(_trigger_table(to), _SENT)
-    places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_windows(width, to), _SENT)
-    places = places.repartition(nb, "b").mapInPandas(_window_table(to), _SENT)
+    for step in (_phrase_table(to), _trigger_table(frequent, to), _members(to)):
+        places = places.repartition(nb, "b").mapInPandas(step, _SENT)
+    places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_texts_of_suspects(width, to), _SENT)
+    places = places.repartition(nb, "b").mapInPandas(_window_table(width, to), _SENT)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_removed(width), schema)
     return out if keep_bytes else out.drop("kept")

@@ -25,15 +25,15 @@ def brute(rows, width):
     return sorted(out)
 
 
-def run(spark, rows, width):
+def run(spark, rows, width, frequent=2000):
     df = spark.createDataFrame(rows, "doc_id long, text string, b int").repartition(5)
-    got = dedup_substrings(df, width, keep_bytes=False).collect()
+    got = dedup_substrings(df, width, keep_bytes=False, frequent=frequent).collect()
     return sorted((C.NULL_ID if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
 
 
-def check(spark, texts, width=100):
+def check(spark, texts, width=100, frequent=2000):
     rows = list(texts.items()) if isinstance(texts, dict) else texts
-    got = run(spark, [(d, t, 7) for d, t in rows], width)
+    got = run(spark, [(d, t, 7) for d, t in rows], width, frequent)
     assert got == brute([(C.NULL_ID if d is None else d, (t or "").encode()) for d, t in rows], width)
 
 
@@ -51,6 +51,7 @@ def test_against_brute_force(spark):
             base[rng.randrange(len(base))] = "X"
         texts[d] = "".join(base)
     check(spark, texts)
+    check(spark, texts, frequent=2)
 
 
 def test_edges(spark):
