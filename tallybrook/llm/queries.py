@@ -7,7 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybrook.llm import huffman, packing, secrets, simhash
+from tallybrook.llm import fingerprints, huffman, packing, secrets, simhash
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
 
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), width=100, keep_bytes=False)
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for frame in batches:
@@ -41,7 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_huffman_tokens, op5_best_fit_packing, op7_simhash_near_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op4_huffman_tokens, op5_best_fit_packing, op7_simhash_near_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,18 +84,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
     """(start, kind, end) of high-entropy strings outside the base spans and the allow-list."""
-    found = []
+    found: list[tuple[int, str, int]] = []
     for kind, pattern, window, bits in CLASSES:
+        taken = _merged([(s, e) for s, _, e in base] + [(s, e) for s, _, e in found])
+        starts = [s for s, _ in taken]
         for m in pattern.finditer(text):
             if any(a.search(m.group()) for a in ALLOWED):
                 continue
             for s, e in entropy_spans(m.group(), window, bits):
                 s, e = s + m.start(), e + m.start()
-                if not any(b < e and s < c for b, _, c in base) and not any(b < e and s < c for b, _, c in found):
+                before = bisect_left(starts, e) - 1  # the last taken range that starts before e
+                if before < 0 or taken[before][1] <= s:
                     found.append((s, kind, e))
     return sorted(found)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def scan(text: str) -> tuple[int, int, int, str, str]:
     """Counts of the three kinds, the digest of the base spans, and all spans."""
     base = base_spans(text)

@@ -23,7 +23,7 @@ from tallybrook.llm import common as C
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Bounds of the kept pieces, and of a piece that is kept.
-KEPT_PIECES, KEPT_CHARS = 1_000_000, 48
+KEPT_PIECES, KEPT_CHARS = 800_000, 48
 _U32 = next(c for c in "IL" if array(c).itemsize == 4)
 _INSIDE_A_RUN = re.compile(r"\s (?=\s|\Z)")
 _READY: dict[str, PieceEncoder] = {}
