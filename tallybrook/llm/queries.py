@@ -7,7 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybrook.llm import fingerprints, huffman, packing, secrets, simhash
+from tallybrook.llm import fingerprints, html_text, huffman, langid, packing, secrets, simhash
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
 
@@ -36,16 +36,25 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op4_huffman_tokens, op5_best_fit_packing, op7_simhash_near_dedup, op10_secret_scan)}
+    own = (op1_suffix_array_dedup, op2_document_fingerprints, op4_huffman_tokens, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op9_html_main_text, op10_secret_scan)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
