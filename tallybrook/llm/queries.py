@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybrook.llm import fingerprints, html_text, huffman, langid, packing, secrets, simhash
+from tallybrook.llm import ann, fingerprints, html_text, huffman, langid, packing, pieces, secrets, simhash
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
 
@@ -23,6 +24,16 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(batches):
+        for frame in batches:
+            out = frame[["doc_id", "n_pieces", "ids_crc32"]].assign(doc_id=frame["doc_id"].astype("Int64"))
+            yield out.assign(decoded_sha256=[hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in frame["decoded"]])
+
+    found = pieces.round_trip(table(spark, sf_dir, "documents"))
+    return found.mapInPandas(digest, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+
+
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for frame in batches:
@@ -44,6 +55,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -53,7 +69,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_suffix_array_dedup, op2_document_fingerprints, op4_huffman_tokens, op5_best_fit_packing, op6_language_id, op7_simhash_near_dedup, op9_html_main_text, op10_secret_scan)
+    own = (
+        op1_suffix_array_dedup,
+        op2_document_fingerprints,
+        op3_sentencepiece,
+        op4_huffman_tokens,
+        op5_best_fit_packing,
+        op6_language_id,
+        op7_simhash_near_dedup,
+        op8_nearest_neighbours,
+        op9_html_main_text,
+        op10_secret_scan,
+    )
     return {f.__name__: f for f in own}
 
 
