@@ -1,5 +1,8 @@
 """SimHash fingerprints, and groups of texts whose fingerprints lie within a radius.
 
+near_duplicates() takes 64 bits and a small radius, and finds every link. similar_groups() takes wide
+fingerprints, which tell apart similarities near 0.8, and random keys for candidates.
+
 Candidates: a fingerprint's bits are cut into blocks; two fingerprints within radius r agree on at least
 blocks - r of them, so they meet under the key of some such choice of blocks. Equal fingerprints are one
 row. Within a task the rows are sorted by key and their fingerprints held as bit planes (plane k: bit k of
@@ -13,11 +16,12 @@ large-star and small-star steps over a table in the shared folder.
 
 from __future__ import annotations
 
+import math
+import re
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import re
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,55 +86,75 @@ def blocks_for(rows: int, radius: int) -> int:
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit i of word j in plane k is bit k of value 64 j + i."""
+    """A row of words for each bit of the values (n, or n x words): bit i of word j in plane k is bit k of value 64 j + i."""
+    values = values.reshape(len(values), -1)
     n = -(-len(values) // 64) * 64
-    padded = np.zeros(n, np.uint64)
+    padded = np.zeros((n, values.shape[1]), np.uint64)
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")  # word, row, bit
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, -1)
+    out = np.empty((64 * values.shape[1], n // 64), np.uint64)
+    for k in range(values.shape[1]):  # a word at a time, for memory
+        bits = np.unpackbits(np.ascontiguousarray(padded[:, k]).view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")  # word, row, bit
+        out[64 * k : 64 * k + 64] = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, -1)
+    return out
 
 
-def _moved(planes: np.ndarray, by: int) -> np.ndarray:
-    """Word j, bit i: bit of row 64 j + i + by."""
-    words, bit = divmod(by, 64)
-    out = np.zeros_like(planes)
-    if words < planes.shape[1]:
-        out[:, : planes.shape[1] - words] = planes[:, words:] >> np.uint64(bit)
-        if bit and words + 1 < planes.shape[1]:
-            out[:, : planes.shape[1] - words - 1] |= planes[:, words + 1 :] << np.uint64(64 - bit)
-    return out
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: sum and carry of three bits, for every bit of the words."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Flags where the number whose bit planes are `counter`, lowest first, is over the radius."""
+    greater, equal = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            equal &= counter[k]
+        else:
+            greater |= equal & counter[k]
+            equal &= ~counter[k]
+    return greater
 
 
 def close_pairs(planes: np.ndarray, wanted: np.ndarray, by: int, radius: int) -> np.ndarray:
-    """Words of flags: rows i that are `wanted` and within `radius` (at most 7) of row i + by."""
-    moved = _moved(planes, by)
+    """Words of flags: rows i that are `wanted` and within `radius` of row i + by.
+
+    Eight planes at a time go through carry-save adders into the planes of a counter.
+    """
     alive = np.flatnonzero(wanted)
     result = np.zeros(len(wanted), np.uint64)
-    ones, twos, fours, over = (np.zeros(len(alive), np.uint64) for _ in range(4))
-    bits = [(radius >> k) & 1 for k in range(3)]
-    for k in range(BITS):
-        x = planes[k, alive] ^ moved[k, alive]
-        carry = ones & x
-        ones ^= x
-        x = twos & carry
-        twos ^= carry
-        carry = fours & x
-        fours ^= x
-        over |= carry
-        if k % 8 == 7:
-            # Over the radius: the counter (fours, twos, ones) is greater, or has overflowed.
-            greater, equal = over.copy(), ~over
-            for plane, bit in ((fours, bits[2]), (twos, bits[1]), (ones, bits[0])):
-                if not bit:
-                    greater |= equal & plane
-                equal &= plane if bit else ~plane
-            over |= greater
-            left = (wanted[alive] & ~over) != 0
-            if not left.all():
-                alive, ones, twos, fours, over = alive[left], ones[left], twos[left], fours[left], over[left]
+    width = max(4, len(planes).bit_length())
+    counter = [np.zeros(len(alive), np.uint64) for _ in range(width)]
+    # Words that are alive, and those that hold the rows they are compared with.
+    words, bit = divmod(by, 64)
+    right, left = np.uint64(bit), np.uint64(64 - bit)
+    last = planes.shape[1] - 1
+    one, two = np.minimum(alive + words, last), np.minimum(alive + words + 1, last)
+    for k in range(0, len(planes), 8):
+        x = []
+        for plane in planes[k : k + 8]:
+            moved = plane[one] >> right
+            if bit:
+                moved |= plane[two] << left
+            x.append(plane[alive] ^ moved)
+        ones, twos_a = _add(counter[0], x[0], x[1])
+        ones, twos_b = _add(ones, x[2], x[3])
+        twos, fours_a = _add(counter[1], twos_a, twos_b)
+        ones, twos_a = _add(ones, x[4], x[5])
+        ones, twos_b = _add(ones, x[6], x[7])
+        twos, fours_b = _add(twos, twos_a, twos_b)
+        fours, carry = _add(counter[2], fours_a, fours_b)
+        counter[:3] = [ones, twos, fours]
+        for j in range(3, width):
+            counter[j], carry = counter[j] ^ carry, counter[j] & carry
+        if radius < 8 or k % 32 == 24:
+            left_over = (wanted[alive] & ~_above(counter, radius)) != 0
+            if not left_over.all():
+                alive, one, two = alive[left_over], one[left_over], two[left_over]
+                counter = [c[left_over] for c in counter]
                 if not len(alive):
                     return result
-    result[alive] = wanted[alive] & ~over
+    result[alive] = wanted[alive] & ~_above(counter, radius)
     return result
 
 
@@ -156,8 +180,8 @@ def links_of_buckets(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple
     rows, by = np.flatnonzero(size > 1), 1
     touched = []
     while len(rows):
-        k, v = keys[rows], values[rows].view(np.uint64)
-        planes = bit_planes(v)
+        k = keys[rows]
+        planes = bit_planes(values[rows].view(np.uint64))
         # The rows stay as they are until buckets of half the size are done with.
         until = by * 2
         while by < until:
@@ -236,6 +260,104 @@ def _alike(x: DataFrame, y: DataFrame) -> bool:
     return sums(x) == sums(y)
 
 
+def wide_fingerprint(text: str, words: int, size: int) -> np.ndarray:
+    """A fingerprint of size x 64 bits over the distinct shingles, each of whose words has hashes of its own."""
+    data, starts, ends = shingles(text, words)
+    if not len(starts):
+        return np.zeros(size, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.array([digest(data[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+    totals = np.zeros(64 * size, np.int64)
+    steps = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 8192):
+        with np.errstate(over="ignore"):
+            x = h[at : at + 8192, None] + steps
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        totals += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * totals > len(h), bitorder="little").view(np.uint64)
+
+
+def agreement(similarity: float) -> float:
+    """Expected share of equal bits of two texts whose shingle sets have this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bands(rows: int, similarity: float, missed: float = 0.004) -> tuple[int, int]:
+    """Bits of a key and number of keys, so that a pair of that similarity shares no key with probability `missed` at most."""
+    bits = max(10, math.ceil(math.log2(max(2, rows))) - 12)
+    return bits, math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** bits))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 8) -> DataFrame:
+    """doc_id, component_id for every row of docs (doc_id, text): groups of texts whose shingle sets are alike.
+
+    Fingerprints are `size` words wide. Texts link if the share of equal bits is what this Jaccard similarity
+    gives, or up to one standard deviation less. Candidates share a key: so many of the fingerprint's bits, drawn
+    without regard to words, that a pair that similar meets under one of the keys with probability 0.996.
+    Equal texts, by their words, have equal fingerprints. Nulls and repeats as in near_duplicates().
+    """
+    spark = docs.sparkSession
+
+    def run(batches):
+        for frame in batches:
+            fp = [wide_fingerprint(x, words, size).tobytes() for x in C.texts(frame["text"])]
+            yield pd.DataFrame({"doc_id": C.ids(frame["doc_id"]), "fp": fp})
+
+    own = docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp binary")
+    own = C.materialise(own, "fingerprints")
+    codes = C.materialise(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
+    n, to = 64 * size, C.partitions(spark)
+    bits, tables = bands(codes.count(), similarity)
+    p = agreement(similarity)
+    radius = math.floor(n * (1 - p) + math.sqrt(n * p * (1 - p)))
+    rng = np.random.default_rng(5)
+    drawn = np.stack([rng.choice(n, bits, replace=False) for _ in range(tables)])
+
+    def keyed(batches):
+        weight = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.int64)
+        for frame in batches:
+            for at in range(0, len(frame), 512):
+                few = frame.iloc[at : at + 512]
+                flags = np.unpackbits(np.frombuffer(b"".join(few["fp"]), np.uint8).reshape(len(few), -1), axis=1, bitorder="little")
+                keys = (flags[:, drawn].astype(np.int64) * weight).sum(2) + (np.arange(tables, dtype=np.int64) << 32)
+                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(few["id"].to_numpy(), tables), "fp": np.repeat(few["fp"].to_numpy(), tables)})
+
+    def compare(batches):
+        frame = C.whole(batches)
+        if frame is None or not len(frame):
+            return
+        key, ident = frame["key"].to_numpy(), frame["id"].to_numpy()
+        fp = np.frombuffer(b"".join(frame["fp"]), np.uint64).reshape(len(frame), -1)
+        del frame
+        order = np.lexsort((ident, key))
+        key, ident = key[order], ident[order]
+        s, e = C.runs(key)
+        # A lot of whole buckets at a time bounds the planes' memory.
+        cuts = np.searchsorted(e, np.arange(0, len(key) + 60_000, 60_000), side="left")
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if i == j:
+                continue
+            part = slice(s[i], e[j - 1])
+            a, b = links_of_buckets(key[part], fp[order[part]], radius)
+            found = pd.DataFrame({"a": ident[part][a], "b": ident[part][b]})
+            yield found[found.a != found.b].drop_duplicates()
+
+    pairs = codes.mapInPandas(keyed, "key long, id long, fp binary").repartition(to, "key").mapInPandas(compare, "a long, b long").distinct()
+    return _groups(own, codes, pairs)
+
+
+def _groups(own: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of own (doc_id, fp), given codes (fp, smallest id) and links of their ids; null ids are C.NULL_ID."""
+    # An id with several texts ties their fingerprints together.
+    repeated = own.distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    ties = own.join(repeated, "doc_id").join(codes.withColumnsRenamed({"id": "b"}), "fp").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+    found = components(pairs.unionByName(ties))
+    moved = codes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return own.join(moved, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs (doc_id, text).
 
@@ -246,14 +368,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     own = C.materialise(fingerprints(docs, words).select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc_id"), "fp"), "fingerprints")
     codes = C.materialise(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
     rows = codes.count()
-    # An id with several texts ties their fingerprints together.
-    repeated = own.distinct().groupBy("doc_id").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    ties = own.join(repeated, "doc_id").join(codes.withColumnsRenamed({"id": "b"}), "fp").select(F.col("b"), F.col("doc_id").alias("a")).where("a <> b").distinct()
-    found = components(links(codes, radius, rows).unionByName(ties.select("a", "b")))
-    moved = codes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = own.join(moved, "fp").select(
+    return _groups(own, codes, links(codes, radius, rows)).select(
         F.when(F.col("doc_id") != C.NULL_ID, F.col("doc_id")).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component_id") != C.NULL_ID, F.col("component_id")).alias("component_id"),
     )
-    return out

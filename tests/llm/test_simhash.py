@@ -99,6 +99,46 @@ def test_bit_slices_agree_with_counting():
         assert (found[: len(values) - by] == (far <= 4)).all() and not found[len(values) - by :].any()
 
 
+def test_wide_fingerprints_and_counters():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 2**63, (500, 8)).astype(np.uint64)
+    x[250:] = x[:250] ^ (np.uint64(1) << rng.integers(0, 64, (250, 8)).astype(np.uint64))
+    for radius in (3, 8, 86, 260):
+        wanted = np.zeros(500, bool)
+        wanted[:250] = True
+        found = np.unpackbits(S.close_pairs(S.bit_planes(x), S._flag_words(wanted), 250, radius).view(np.uint8), bitorder="little")[:250]
+        assert (found == (np.bitwise_count(x[:250] ^ x[250:]).sum(1) <= radius)).all()
+    rng, word = random.Random(9), lambda: f"w{rng.randrange(10**6)}"
+    a = [word() for _ in range(400)]
+    for edits in (5, 15, 60):
+        b = list(a)
+        for k in rng.sample(range(400), edits):
+            b[k] = word()
+        s, t = ({tuple(v[i : i + 5]) for i in range(396)} for v in (a, b))
+        exact = S.agreement(len(s & t) / len(s | t))
+        far = np.bitwise_count(S.wide_fingerprint(" ".join(a), 5, 64) ^ S.wide_fingerprint(" ".join(b), 5, 64)).sum() / 4096
+        assert abs(1 - far - exact) < 0.03
+
+
+def test_similar_groups(spark):
+    rng, rows = random.Random(12), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k in range(150):
+        base = [word() for _ in range(rng.choice((60, 300)))]
+        rows.append((10 * k, " ".join(base)))
+        rows.append((10 * k + 1, " ".join(base).upper()))
+        near, far = list(base), list(base)
+        near[len(base) // 2] = word()  # five shingles of the text's differ
+        for i in range(0, len(base), 4):
+            far[i] = word()
+        rows += [(10 * k + 2, " ".join(near)), (10 * k + 3, " ".join(far))]
+    rows += [(5001, ""), (5002, None), (5003, "short text"), (5004, "Short text"), (5005, "other text")]
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[10 * k] == got[10 * k + 1] == 10 * k and got[10 * k + 3] == 10 * k + 3 for k in range(150))
+    assert sum(got[10 * k + 2] == 10 * k for k in range(150)) >= 149
+    assert [got[k] for k in range(5001, 5006)] == [5001, 5001, 5003, 5003, 5005]
+
+
 def test_nulls_repeats_and_empty_table(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "a b c d e"), (2, "p q r s t u"), (3, "P Q r s t u"), (3, "P Q r s t u")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.component_id) for r in S.near_duplicates(df).collect())
