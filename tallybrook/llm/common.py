@@ -56,7 +56,7 @@ def partitions(spark: SparkSession) -> int:
 def sized(df: DataFrame, mb: int = 8) -> int:
     """Buckets of about `mb` megabytes by the plan's estimate of its input, two for each core at least, the shuffle partitions at most."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, min(partitions(spark), max(2 * spark.sparkContext.defaultParallelism, -(-size // (mb << 20)))))
 
 
