@@ -27,26 +27,27 @@ def two_key_dedup(df: DataFrame, identity: str, content: str, order: str = "ord"
     """df with `verdict`: kept, duplicate_id or duplicate_text; as if rows were taken in order, and a row kept
     unless a kept one has its identity (tested first) or its content. Rejected rows reserve nothing.
 
-    A round keeps the rows that come first by both keys among those left, and settles all that share a key with
+    A round keeps the rows that come first by both keys among those left, and drops all that share a key with
     them. Rounds run over plans, not rows; each is cut by a checkpoint. Keys meet by minima, which are
     combined before the exchange, so one key's copies don't gather. `order` is unique.
     """
-    rest = df.select(F.col(identity).alias("_i"), F.col(content).alias("_c"), F.col(order).alias("_o")).checkpoint()
-    settled = None
-    while True:
+    def known(key: str):  # null is a key like any other
+        return F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))
+
+    rest = df.select(known(identity).alias("_i"), known(content).alias("_c"), F.col(order).alias("_o")).checkpoint()
+    kept = None
+    while not rest.isEmpty():
         by_i = rest.groupBy("_i").agg(F.min("_o").alias("_first_i"))
         by_c = rest.groupBy("_c").agg(F.min("_o").alias("_first_c"))
         first = rest.join(by_i, "_i").join(by_c, "_c").where("_o = _first_i and _o = _first_c").select("_i", "_c", "_o").checkpoint()
-        ids = first.select("_i", F.col("_o").alias("_kept_i"))
-        contents = first.select("_c", F.col("_o").alias("_kept_c"))
-        marked = rest.join(ids, "_i", "left").join(contents, "_c", "left")
-        verdict = F.when((F.col("_o") == F.col("_kept_i")) & (F.col("_o") == F.col("_kept_c")), "kept").when(F.col("_kept_i") < F.col("_o"), "duplicate_id").when(F.col("_kept_c") < F.col("_o"), "duplicate_text")
-        marked = marked.withColumn("verdict", verdict).select("_i", "_c", "_o", "verdict").checkpoint()
-        done = marked.where("verdict is not null").select("_o", "verdict")
-        settled = done if settled is None else settled.unionByName(done)
-        rest = marked.where("verdict is null").drop("verdict")
-        if rest.isEmpty():
-            return df.join(settled, df[order] == F.col("_o")).drop("_o")
+        kept = first if kept is None else kept.unionByName(first)
+        rest = rest.join(first.select("_i"), "_i", "left_anti").join(first.select("_c"), "_c", "left_anti").checkpoint()
+    if kept is None:
+        return df.withColumn("verdict", F.lit("kept"))
+    # Which key a row is rejected by is known when all kept rows are.
+    ids = kept.select(F.col("_i"), F.col("_o").alias("_kept"))
+    verdict = F.when(F.col("_kept") == F.col(order), "kept").when(F.col("_kept") < F.col(order), "duplicate_id").otherwise("duplicate_text")
+    return df.join(ids, known(identity) == F.col("_i"), "left").withColumn("verdict", verdict).drop("_i", "_kept")
 
 
 def remap_products(reviews: DataFrame, registry: DataFrame) -> DataFrame:

@@ -80,11 +80,11 @@ def from_apple(entries: DataFrame, app_id: str, product_id: str) -> DataFrame:
     """Feed entries (a JSON column `entry`, values under `label`) as reviews; numbers that are none are null."""
 
     def label(path: str) -> Column:
-        return F.get_json_object("entry", f"$.{path}.label")
+        return F.get_json_object("entry", f"$['{path}'].label")
 
     return entries.select(
         label("id").alias("review_id"), F.lit("apple_app_store").alias("platform"), F.lit(app_id).alias("platform_app_id"), F.lit(product_id).alias("product_id"), label("content").alias("text"),
-        label("['im:rating']").try_cast("int").alias("rating"), label("updated").alias("timestamp"), label("['im:version']").alias("app_version"), label("['im:voteCount']").try_cast("long").alias("helpful_count"),
+        label("im:rating").try_cast("int").alias("rating"), label("updated").alias("timestamp"), label("im:version").alias("app_version"), label("im:voteCount").try_cast("long").alias("helpful_count"),
     )
 
 
