@@ -36,7 +36,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents of which nothing is left go.
     """
-    kept = suffix_dedup.dedup_substrings(docs, width=100).select(C.id_column(), "n_removed", "kept")
+    kept = suffix_dedup.dedup_substrings(docs, width=100).select("doc_id", "n_removed", "kept")
 
     @F.pandas_udf("string")
     def text(raw: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ so a corpus-wide exchange costs bytes rather than rows.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -67,8 +68,9 @@ def ids(column: pd.Series) -> np.ndarray:
     return np.fromiter((NULL_ID if x is None or x != x else int(x) for x in column.astype(object)), np.int64, len(column))
 
 
-def id_or_null(values: np.ndarray) -> pd.Series:
-    """The way back from ids()."""
+def id_or_null(values: np.ndarray | pd.Series) -> pd.Series:
+    """The way back from ids() and id_column()."""
+    values = np.asarray(values, np.int64)
     return pd.Series(values).astype("Int64").mask(values == NULL_ID)
 
 
@@ -78,7 +80,8 @@ def texts(column: pd.Series) -> list[str]:
 
 
 def id_column(name: str = "doc_id"):
-    return F.col(name).cast("long").alias(name)
+    """Ids for Python, where a null among them would turn all into floats: null is NULL_ID."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)).alias(name)
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +125,17 @@ def whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     return held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
+def release() -> None:
+    """Gives back memory that a task no longer uses: Python workers live on, and share the executor with later stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def in_order(doc_ids: np.ndarray, values: list[str]) -> np.ndarray:
     """Row order by id, ties by text."""
     order = np.argsort(doc_ids, kind="stable")

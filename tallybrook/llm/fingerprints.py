@@ -88,7 +88,7 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fingerprint": [to_text(fingerprint(x)) for x in C.texts(frame["text"])]})
+            yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"]), "fingerprint": [to_text(fingerprint(x)) for x in C.texts(frame["text"])]})
 
     return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
 
@@ -118,12 +118,15 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     the first of all), found by minima, so no row needs all the others in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(C.id_column(), F.lit(C.NULL_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(C.id_column().alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = _ranges(rows.select("k"), C.partitions(spark))
-    inner = F.lit(0)
-    if cuts:  # how many cuts are at or below the id
-        inner = F.aggregate(F.lit(cuts), F.lit(0), lambda n, c: n + F.when(F.col("k") > c, 1).otherwise(0))
-    rows = rows.withColumn("r", inner.cast("int"))
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def place(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, k.to_numpy(), side="left").astype(np.int32))
+
+    rows = rows.withColumn("r", place("k"))
     heads = sorted((r.r, r.k) for r in rows.groupBy("r").agg(F.min("k").alias("k")).collect())
     if not heads:
         return spark.createDataFrame([], _OUT)

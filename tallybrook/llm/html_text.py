@@ -284,7 +284,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for frame in batches:
             out = [main_text(x) for x in C.texts(frame["html"])]
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": out, "n_chars": [len(x) for x in out]})
+            yield pd.DataFrame({"page_id": C.id_or_null(frame["page_id"]), "url": frame["url"], "text": out, "n_chars": [len(x) for x in out]})
 
     own = pages.select(C.id_column("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -24,6 +24,8 @@ from tallybrook.llm import common as C
 
 DIMS = 4096
 PER_LANGUAGE, CLUSTERS, ROUNDS = 600, 4, 8
+#: n-grams from which on a text is held to the whole of its centroid's floor (about 170 letters).
+SURE_GRAMS = 500
 _SLICE = 1 << 20
 UNKNOWN = "und"
 
@@ -99,7 +101,9 @@ class Model:
             return UNKNOWN, 0.0, True
         cosine = self.centres @ vector(counts, self.idf)
         best = int(np.argmax(cosine))
-        return self.langs[best], float(min(1.0, max(0.0, cosine[best]))), bool(cosine[best] < self.floors[best])
+        # A short text is far from every centroid, so less is asked of it.
+        floor = self.floors[best] * min(1.0, counts.sum() / SURE_GRAMS)
+        return self.langs[best], float(min(1.0, max(0.0, cosine[best]))), bool(cosine[best] < floor)
 
 
 def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -180,5 +184,5 @@ def identify(docs: DataFrame) -> DataFrame:
     learnt every text is `und`. Other columns are ignored.
     """
     model = fit(docs.where(~held_out()))
-    own = docs.select(C.id_column(), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return predict(own, model).drop("text")

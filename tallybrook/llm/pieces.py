@@ -27,7 +27,7 @@ from tallybrook.llm.tokens import slices
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
-KEPT_WORDS, KEPT_CHARS, LONGEST_SHARED = 600_000, 48, 2000
+KEPT_WORDS, KEPT_CHARS, LONGEST_SHARED = 350_000, 48, 2000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _READY: dict[str, PieceEncoder] = {}
 
@@ -81,7 +81,7 @@ class Forward:
         self.ids, self.scores, self.bpe = pieces, scores, bpe
         self.text_of = {i: p for p, i in pieces.items()}
         self.longest = max(map(len, pieces), default=1)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.unknown = min(scores.values(), default=0.0) - 10.0
 
@@ -101,10 +101,11 @@ class Forward:
     def _fit(self, a: int, b: int) -> bool:
         if a < 0 or b < 0:
             return True
-        known = self.fits.get((a, b))
+        key = a << 32 | b
+        known = self.fits.get(key)
         if known is None:
             x, y = self.text_of[a], self.text_of[b]
-            known = self.fits[a, b] = not self._touch(x, y) or self.merge(x + y) == [x, y]
+            known = self.fits[key] = not self._touch(x, y) or self.merge(x + y) == [x, y]
         return known
 
     def _touch(self, x: str, y: str) -> bool:
@@ -190,7 +191,7 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        if len(self.forward.fits) > 4 * KEPT_WORDS:
+        if len(self.forward.fits) > 2 * KEPT_WORDS:
             self.forward.fits.clear()
         cut = [_WORD.findall(self.library.normalize(x)) if x else [] for x in values]
         lacking = set().union(*cut).difference(self.kept)
@@ -242,7 +243,7 @@ def encode_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
             values = C.texts(frame["text"])
             for i, j in slices(values):
                 raw = encoder(path).encode(values[i:j])
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[i:j].astype("Int64"), "n_pieces": [len(x) // 4 for x in raw], "ids": raw})
+                yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"].iloc[i:j]), "n_pieces": [len(x) // 4 for x in raw], "ids": raw})
 
     return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_pieces long, ids binary")
 
@@ -254,7 +255,7 @@ def decode_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         for frame in batches:
             text = [None if x is None else encoder(path).decode(np.frombuffer(x, "<u4")) for x in frame["ids"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text": text})
+            yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"]), "text": text})
 
     return rows.select(C.id_column(), "ids").mapInPandas(run, "doc_id long, text string")
 
@@ -272,7 +273,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text = [tool.decode(np.frombuffer(x, "<u4")) for x in raw]
                 yield pd.DataFrame(
                     {
-                        "doc_id": frame["doc_id"].iloc[i:j].astype("Int64"),
+                        "doc_id": C.id_or_null(frame["doc_id"].iloc[i:j]),
                         "n_pieces": [len(x) // 4 for x in raw],
                         "ids_crc32": [zlib.crc32(x) for x in raw],
                         "same": [a == b for a, b in zip(text, values[i:j], strict=True)],

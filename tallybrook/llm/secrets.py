@@ -146,7 +146,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         for frame in batches:
             rows = [scan(x) for x in C.texts(frame["text"])]
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", C.id_or_null(frame["doc_id"]))
             yield out
 
     return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, _SCANNED)

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     def run(batches):
         for frame in batches:
             values = [fingerprint(x, words) for x in C.texts(frame["text"])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": np.array(values, np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"]), "fp": np.array(values, np.uint64).view(np.int64)})
 
     return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
 
@@ -343,6 +343,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
             a, b = links_of_buckets(key[part], fp[order[part]], radius)
             found = pd.DataFrame({"a": ident[part][a], "b": ident[part][b]})
             yield found[found.a != found.b].drop_duplicates()
+        C.release()
 
     pairs = codes.mapInPandas(keyed, "key long, id long, fp binary").repartition(to, "key").mapInPandas(compare, "a long, b long").distinct()
     return _groups(own, codes, pairs)

@@ -43,7 +43,7 @@ _COLUMNS = {"a": "V5", "u": "<u8"} | _PLACE
 _SENT = "b int, kind string, a binary, u binary, d binary, r binary, lo binary, n binary"
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
@@ -57,7 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(buf: np.ndarray, width: int = GRAM) -> np.ndarray:
     """The rolling hash of every string of `width` bytes, by prefix sums."""
-    up, down = _powers(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
@@ -159,6 +159,7 @@ def _extract(width: int, to: C.Buckets):
         pick = np.sort(order[~late])
         yield from _send({k: v[pick] for k, v in cols.items()}, to.of_hashes(u[pick]), "phrase")
         yield from _repeats(d, r, lo, n, order[late], to)
+        C.release()
 
     return run
 

@@ -1,9 +1,10 @@
 """Token ids of whole texts, by the tokenizers library.
 
-A byte-level tokenizer of this kind encodes the parts of its pre-tokenizer one by one, and a part never
-runs over a space that follows a non-space or is followed by one. So a text can be cut at such spaces, and
-each distinct piece is encoded by the library once and kept. Texts with a space inside a longer run of
-white space are left whole.
+A byte-level tokenizer of this kind encodes the parts of its pre-tokenizer one by one. Where single spaces
+and newlines stand between other characters, a part ends before each of them, a space goes with what
+follows it, and a newline is a part of its own; so is a mark after letters. Texts are cut there, and each
+distinct piece is encoded by the library once and kept. Texts with runs of white space, or with white space
+at an end, are left whole.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm import common as C
+from tallybrook.llm.suffix_dedup import powers
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Bounds of the kept pieces, and of a piece that is kept.
-KEPT_PIECES, KEPT_CHARS = 800_000, 48
+#: Bound of the ids kept (16 MB for a million pieces or so).
+KEPT_IDS = 8_000_000
 _U32 = next(c for c in "IL" if array(c).itemsize == 4)
-_INSIDE_A_RUN = re.compile(r"\s (?=\s|\Z)")
 _READY: dict[str, PieceEncoder] = {}
 
 
@@ -34,13 +35,19 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 class PieceEncoder:
+    """Pieces are told apart by 64-bit hashes of their bytes, held with their ids in sorted arrays (25 bytes a piece)."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.after_space: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pool = np.zeros(0, np.uint32)
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # many and recent: hashes, places, counts
 
     def _raw(self, values: list[str]) -> list[bytes]:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
@@ -48,24 +55,106 @@ class PieceEncoder:
 
     def encode(self, values: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.after_space) > KEPT_PIECES:
-            self.after_space.clear()
-        kept, tails, first = self.after_space, [], []
-        for text in values:
-            head, *tail = [text] if _INSIDE_A_RUN.search(text) else text.split(" ")
-            first.append(head)
-            tails.append(tail)
-        lacking = list(set().union(*tails).difference(kept))
-        found = dict(zip(lacking, self._raw([" " + p for p in lacking]), strict=True)) if lacking else {}
-        heads = list(set(first))
-        of_head = dict(zip(heads, self._raw(heads), strict=True)) if heads else {}
-        kept.update(found)
-        out = [of_head[h] + b"".join(map(kept.__getitem__, t)) for h, t in zip(first, tails, strict=True)]
-        for p in found:
-            if len(p) > KEPT_CHARS:
-                del kept[p]
+        out: list[bytes] = [b""] * len(values)
+        raw = [b"\n" + x.encode("utf-8", "surrogatepass") for x in values]
+        whole = [k for k, x in enumerate(raw) if _ODD.search(x) and not _plain(values[k])]
+        for k, ids in zip(whole, self._raw([values[k] for k in whole]) if whole else (), strict=True):
+            out[k] = ids
+        kept = np.ones(len(values), bool)
+        kept[whole] = False
+        cut = np.flatnonzero(kept).tolist()
+        if cut:
+            for k, ids in zip(cut, self._pieces([raw[k] for k in cut]), strict=True):
+                out[k] = ids
         return out
 
+    def _pieces(self, raw: list[bytes]) -> list[bytes]:
+        data = b"".join(raw)
+        buf = np.frombuffer(data, np.uint8)
+        starts = np.cumsum([0, *map(len, raw)])
+        edges = _edges(buf)
+        hashes = _hashes(buf, edges)
+        found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        place, count = self._lookup(found)
+        new = np.flatnonzero(count == 0)
+        if len(new):
+            spans = zip(edges[first[new]].tolist(), edges[first[new] + 1].tolist(), strict=True)
+            ids = self._raw([data[s:e].decode("utf-8", "surrogatepass") for s, e in spans])
+            count[new] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            place[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)])
+            self._keep(found[new], place[new], count[new])
+        each = count[back]
+        upto = np.cumsum(each)
+        ids = self.pool[np.repeat(place[back] - (upto - each), each) + np.arange(upto[-1])]
+        # The newline put before each text gives one id, which goes.
+        ends = np.r_[0, upto][np.searchsorted(edges, starts)]
+        told = ids.astype("<u4").tobytes()
+        if len(self.pool) > KEPT_IDS:
+            self._forget()
+        return [told[4 * s + 4 : 4 * e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, count = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        for keys, at, n in self.parts:
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                hit = keys[k] == found
+                place[hit], count[hit] = at[k[hit]], n[k[hit]]
+        return place, count
+
+    def _keep(self, *new: np.ndarray) -> None:
+        many, recent = self.parts
+        recent = _merged(recent, new)
+        if len(recent[0]) > 50_000 + len(many[0]) // 4:
+            many, recent = _merged(many, recent), tuple(x[:0] for x in recent)
+        self.parts = [many, recent]
+
+
+def _merged(a, b):
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+
+def _plain(text: str) -> bool:
+    """One space or newline between every two words, and no other white space."""
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+
+
+#: After the newline put first: two separators in a row, one at the end, or a byte that may be of other white space.
+_ODD = re.compile(rb"[ \n][ \n]|[ \n]\Z|[\x00-\x09\x0b-\x1f\x7f\xc2\xe1-\xe3]")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+
+
+def _edges(buf: np.ndarray) -> np.ndarray:
+    """Starts of the pieces, and the end: at separators, and at a mark that ends a word of Latin letters."""
+    gap = (buf == 32) | (buf == 10)
+    at = np.flatnonzero(gap)
+    ends = np.r_[at[1:], len(buf)]
+    letter = _LETTER[buf]
+    pair = np.zeros(len(buf), bool)  # two bytes of a letter of the Latin-1 range
+    pair[:-1] = (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    letter |= pair
+    letter[1:] |= pair[:-1]
+    others = np.r_[0, np.cumsum(~letter, dtype=np.int32)]
+    last = ends - 1
+    split = (last > at + 1) & _MARK[buf[last]] & (others[last] == others[np.minimum(at + 1, len(buf))])
+    return np.sort(np.concatenate([at, last[split], [len(buf)]]))
+
+
+def _hashes(buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece's bytes, by prefix sums."""
+    up, down = powers(len(buf) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(0x51ED27)) * up[: len(buf)], out=sums[1:])
+        out = (sums[edges[1:]] - sums[edges[:-1]]) * down[edges[:-1]]
+        out = (out ^ (out >> np.uint64(29)) ^ (np.diff(edges).astype(np.uint64) << np.uint64(50))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
+
 
 def encoder(path: str) -> PieceEncoder:
     """One for each file in each Python process; what it has kept serves later tasks too."""
@@ -74,7 +163,7 @@ def encoder(path: str) -> PieceEncoder:
     return _READY[path]
 
 
-def slices(values: list[str], chars: int = 2_000_000):
+def slices(values: list[str], chars: int = 1_000_000):
     """Ranges of texts of about so many characters."""
     first, held = 0, 0
     for k, text in enumerate(values):
@@ -96,7 +185,8 @@ def token_rows(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
             values = C.texts(frame["text"])
             for i, j in slices(values):
                 raw = [x + end for x in tool.encode(values[i:j])]
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[i:j].astype("Int64"), "n": [len(x) // 4 for x in raw], "ids": [pack.compress(planes(x)) for x in raw]})
+                yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"].iloc[i:j]), "n": [len(x) // 4 for x in raw], "ids": [pack.compress(planes(x)) for x in raw]})
+        C.release()
 
     return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n long, ids binary")
 

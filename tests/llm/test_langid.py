@@ -49,5 +49,5 @@ def test_odd_rows(spark):
 def test_far_text_is_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = L.fit(docs)
-    assert model.predict("жизнь прекрасна и удивительна")[2]
+    assert model.predict("жизнь прекрасна и удивительна " * 9)[2] and not model.predict("Lllldoado.")[2]
     assert abs(np.linalg.norm(model.centres, axis=1) - 1).max() < 1e-4
