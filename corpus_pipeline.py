@@ -6,7 +6,6 @@ the columns of documents; a stage that changes texts sets n_chars anew.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +35,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents of which nothing is left go.
     """
-    kept = suffix_dedup.dedup_substrings(docs, width=100).select("doc_id", "n_removed", "kept")
-
-    @F.pandas_udf("string")
-    def text(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: x.decode("utf-8", "ignore"))
-
-    left = kept.withColumn("left", F.when(F.col("n_removed") > 0, text("kept"))).drop("kept")
+    left = suffix_dedup.dedup_substrings(docs, width=100, keep="text").select("doc_id", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("left"))
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
     cut = F.col("k.n_removed") > 0
     out = docs.alias("d").join(left.alias("k"), same)

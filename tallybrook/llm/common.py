@@ -65,7 +65,7 @@ def ids(column: pd.Series) -> np.ndarray:
     """Ids as int64; null is NULL_ID."""
     if column.dtype == np.int64:
         return column.to_numpy()
-    return np.fromiter((NULL_ID if x is None or x != x else int(x) for x in column.astype(object)), np.int64, len(column))
+    return np.array([NULL_ID if gone else int(x) for x, gone in zip(column.astype(object), column.isna(), strict=True)], np.int64)
 
 
 def id_or_null(values: np.ndarray | pd.Series) -> pd.Series:

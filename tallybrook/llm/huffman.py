@@ -228,8 +228,8 @@ def encode_corpus(docs: DataFrame, path: str | None = None, end_id: int = 2) ->
     return files
 
 
-def decode_corpus(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids, read from the files."""
+def decode_corpus(files: DataFrame, then=None, schema: str = "doc_id long, start long, n_tokens long, ids binary") -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids, read from the files; `then` goes over these batches in the same Python process."""
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     before, base = 0, {}
     for row in totals:
@@ -246,4 +246,4 @@ def decode_corpus(files: DataFrame) -> DataFrame:
                 parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": C.id_or_null(doc_ids), "start": base[part] + start + ends - counts, "n_tokens": counts.astype(np.int64), "ids": parts})
 
-    return files.select("part", "content").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("part", "content").mapInPandas(run if then is None else lambda batches: then(run(batches)), schema)

@@ -126,7 +126,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = Non
     spark = docs.sparkSession
     least = int(np.ceil(nearly * capacity))
     parts = max(C.partitions(spark), 1)
-    bins = C.materialise(T.token_rows(docs, path or T.tokenizer_path(), end_id).mapInPandas(_local(capacity, least, carry), _BIN), "bins")
+    bins = C.materialise(T.token_rows(docs, path or T.tokenizer_path(), end_id, _local(capacity, least, carry), _BIN), "bins")
     done = [bins.where("final")]
     level = 1
     while True:

@@ -260,8 +260,14 @@ def decode_rows(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select(C.id_column(), "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, same (whether decoding gives the text back) and decoded, in one pass; nulls as in encode_rows()."""
+_TRIP = "doc_id long, n_pieces long, ids_crc32 long, same boolean, decoded string"
+
+
+def round_trip(docs: DataFrame, path: str | None = None, then=None, schema: str = _TRIP) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, same (whether decoding gives the text back) and decoded, in one pass; nulls as in encode_rows().
+
+    `then` goes over these batches in the same Python process.
+    """
     path = path or model_path()
 
     def run(batches):
@@ -281,4 +287,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                     }
                 )
 
-    return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_pieces long, ids_crc32 long, same boolean, decoded string")
+    return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run if then is None else lambda batches: then(run(batches)), schema)

@@ -8,7 +8,6 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybrook.llm import common as C
 from tallybrook.llm import ann, fingerprints, html_text, huffman, langid, packing, pieces, secrets, simhash
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
@@ -18,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"), width=100, keep_bytes=False)
+    return dedup_substrings(table(spark, sf_dir, "documents"), width=100, keep=None).drop("kept")
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,20 +27,18 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for frame in batches:
-            out = frame[["doc_id", "n_pieces", "ids_crc32"]].assign(doc_id=C.id_or_null(frame["doc_id"]))
-            yield out.assign(decoded_sha256=[hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in frame["decoded"]])
+            yield frame[["doc_id", "n_pieces", "ids_crc32"]].assign(decoded_sha256=[hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in frame["decoded"]])
 
-    found = pieces.round_trip(table(spark, sf_dir, "documents"))
-    return found.withColumn("doc_id", C.id_column()).mapInPandas(digest, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return pieces.round_trip(table(spark, sf_dir, "documents"), then=digest, schema="doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
 
 
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for frame in batches:
-            yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"]), "start": frame["start"], "n_tokens": frame["n_tokens"], "ids_crc32": [zlib.crc32(x) for x in frame["ids"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "start": frame["start"], "n_tokens": frame["n_tokens"], "ids_crc32": [zlib.crc32(x) for x in frame["ids"]]})
 
     files = huffman.encode_corpus(table(spark, sf_dir, "documents"))
-    return huffman.decode_corpus(files).withColumn("doc_id", C.id_column()).mapInPandas(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return huffman.decode_corpus(files, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,7 +381,7 @@ def _first_bytes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _removed(width: int):
+def _removed(width: int, keep: str | None):
     """Per row of a bucket: its document, the removed mask's counts and the bytes that stay."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -404,16 +404,19 @@ def _removed(width: int):
                 gone = np.cumsum(marks)[:-1] > 0
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-            rows.append((lengths[k], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((lengths[k], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), {"bytes": kept, "text": kept.decode("utf-8", "ignore") if keep == "text" else None}.get(keep)))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         out.insert(0, "doc_id", C.id_or_null(d))
+        C.release()
         return out
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = 100, keep_bytes: bool = True, frequent: int = 2000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (keep_bytes) kept, the bytes that stay, for every row of docs.
+def dedup_substrings(docs: DataFrame, width: int = 100, keep: str | None = "bytes", frequent: int = 2000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, what stays, for every row of docs.
+
+    keep: kept is its bytes, or (`text`) its text without characters that are cut in two, or (None) null.
 
     docs needs doc_id (long) and text (string); other columns are ignored. A byte goes if a string of `width`
     bytes that also starts at a smaller (doc_id, start) covers it. Null text is empty. A null doc_id is
@@ -429,6 +432,5 @@ def dedup_substrings(docs: DataFrame, width: int = 100, keep_bytes: bool = True,
         places = places.repartition(nb, "b").mapInPandas(step, _SENT)
     places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_texts_of_suspects(width, to), _SENT)
     places = places.repartition(nb, "b").mapInPandas(_window_table(width, to), _SENT)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_removed(width), schema)
-    return out if keep_bytes else out.drop("kept")
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if keep == 'text' else 'binary'}"
+    return texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_removed(width, keep), schema)

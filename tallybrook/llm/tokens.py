@@ -175,8 +175,11 @@ def slices(values: list[str], chars: int = 1_000_000):
         yield first, len(values)
 
 
-def token_rows(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """doc_id, n (its ids, the end id included) and ids: zstandard over little-endian unsigned 32-bit integers."""
+TOKENS = "doc_id long, n long, ids binary"
+
+
+def tokenised(path: str, end_id: int):
+    """For batches of (doc_id, text): doc_id, n (its ids, the end id included) and ids, zstandard over planes()."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -188,7 +191,14 @@ def token_rows(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
                 yield pd.DataFrame({"doc_id": C.id_or_null(frame["doc_id"].iloc[i:j]), "n": [len(x) // 4 for x in raw], "ids": [pack.compress(planes(x)) for x in raw]})
         C.release()
 
-    return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n long, ids binary")
+    return run
+
+
+def token_rows(docs: DataFrame, path: str, end_id: int = 2, then=None, schema: str = TOKENS) -> DataFrame:
+    """A row per row of docs (doc_id, text) as tokenised() makes it; `then` goes over these batches in the same Python process."""
+    first = tokenised(path, end_id)
+    run = first if then is None else lambda batches: then(first(batches))
+    return docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
 
 def planes(raw: bytes) -> bytes:

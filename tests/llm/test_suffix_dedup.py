@@ -27,7 +27,7 @@ def brute(rows, width):
 
 def run(spark, rows, width, frequent=2000):
     df = spark.createDataFrame(rows, "doc_id long, text string, b int").repartition(5)
-    got = dedup_substrings(df, width, keep_bytes=False, frequent=frequent).collect()
+    got = dedup_substrings(df, width, keep=None, frequent=frequent).collect()
     return sorted((C.NULL_ID if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
 
 
@@ -66,6 +66,13 @@ def test_repeated_rows(spark):
     assert [r[2] for r in got] == [0, 0, len(text)]
 
 
+def test_text_that_stays(spark):
+    line = "".join(chr(0x100 + k) for k in range(60))
+    df = spark.createDataFrame([(1, "a" + line), (2, "b" + line + "ü")], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in dedup_substrings(df, keep="text").collect()} == {1: "a" + line, 2: "bü"}
+    assert {r.doc_id: r.kept for r in dedup_substrings(df).collect()}[2] == "bü".encode()
+
+
 def test_empty_table(spark):
     assert run(spark, [], 100) == []
 
