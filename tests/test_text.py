@@ -21,7 +21,7 @@ def test_normalise(spark):
 
 
 def test_counts_and_drop_reasons(spark):
-    values = ["", "🔥🔥🔥", "bohat acha", "بہت اچھا نہیں", "JazzCash app hang", "one, two; three!"]
+    values = ["", "🔥🔥🔥", "bohat acha", "بہت اچھا نہیں", "WalletCash app hang", "one, two; three!"]
     assert column(spark, values, X.drop_reason) == ["empty", "emoji_only", "too_short", None, None, None]
     assert column(spark, values, X.token_count) == [0, 0, 2, 3, 3, 3]
     assert column(spark, ["", " a b\u001cc ", None], X.word_count) == [0, 3, 0]
@@ -49,7 +49,7 @@ def test_features(spark):
     assert column(spark, words, X.length_bucket) == ["short", "short", "medium", "medium", "long", "long", "very_long"]
     assert column(spark, [None, 0, 2, 3], X.is_bad, "int") == [False, False, True, False]
     assert column(spark, ["call 0300 1234567", "کال ۱۲۳۴۵۶", "all well"], X.has_pii_risk_cue) == [True, True, False]
-    assert column(spark, ["Jazz Cash!", "EasyPaisa – 2"], X.normal_title) == ["jazzcash", "easypaisa2"]
+    assert column(spark, ["Wallet Cash!", "QuickPay – 2"], X.normal_title) == ["walletcash", "quickpay2"]
     assert column(spark, ["2026-01-02T03:04:05Z", "2026-01-02", "no"], X.timestamp) == [datetime(2026, 1, 2, 3, 4, 5), datetime(2026, 1, 2), None]
 
 
@@ -130,7 +130,7 @@ def test_label_replies(spark):
 def test_spend_and_titles(spark):
     usd = spark.range(1).select(parsing.spend_usd(F.lit(1_000_000), F.lit(100_000), F.lit(3.0), F.lit(15.0), F.lit(1_000_000), F.lit(1_000_000))).first()[0]
     assert usd == pytest.approx(3.0 + 1.5 + 3.75 + 0.3)
-    targets = spark.createDataFrame([("Jazz World", None, None), ("Easy", "com.easy", "Easy Ltd"), ("Lone", None, "Nobody")], "name string, expected_app_id string, expected_developer string")
-    rows = [("Jazz World", "a", "SIMOSA - Jazz World", "x", 0), ("Jazz World", "b", "Other", "x", 1), ("Easy", "com.other", "Easy", "easy LTD", 0), ("Easy", "com.easy", "Far", "Q", 1), ("Lone", "c", "Lone", "Somebody", 0)]
+    targets = spark.createDataFrame([("Plan World", None, None), ("Easy", "com.easy", "Easy Ltd"), ("Lone", None, "Nobody")], "name string, expected_app_id string, expected_developer string")
+    rows = [("Plan World", "a", "Mosa - Plan World", "x", 0), ("Plan World", "b", "Other", "x", 1), ("Easy", "com.other", "Easy", "easy LTD", 0), ("Easy", "com.easy", "Far", "Q", 1), ("Lone", "c", "Lone", "Somebody", 0)]
     got = {r.name: r for r in parsing.best_title_match(targets, spark.createDataFrame(rows, "target string, app_id string, title string, developer string, ord int")).collect()}
-    assert got["Jazz World"].match.app_id == "a" and got["Easy"].match.app_id == "com.easy" and got["Lone"].match is None and not got["Easy"].conflict
+    assert got["Plan World"].match.app_id == "a" and got["Easy"].match.app_id == "com.easy" and got["Lone"].match is None and not got["Easy"].conflict
