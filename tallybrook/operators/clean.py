@@ -100,3 +100,12 @@ def census(listings: DataFrame, reviews: DataFrame, metadata: DataFrame | None =
     seen = reviews.groupBy("platform", "platform_app_id").agg(F.count("*").alias("observed"), F.min(at).alias("earliest"), F.max(at).alias("latest"), *[F.count_if(F.col("rating") == k).alias(f"rating_{k}") for k in range(1, 6)])
     out = listings.join(seen, ["platform", "platform_app_id"], "left").fillna(0, ["observed", *[f"rating_{k}" for k in range(1, 6)]])
     return out if metadata is None else out.join(metadata, ["platform", "platform_app_id"], "left")
+
+
+def header_totals(listings: DataFrame) -> DataFrame:
+    """A report's header: products, listings, core products, listings to be confirmed, observed reviews (null as 0)."""
+    observed = F.sum(F.coalesce("observed", F.lit(0))) if "observed" in listings.columns else F.lit(0).cast("long")
+    return listings.agg(
+        F.countDistinct("product_id").alias("products"), F.count("*").alias("listings"), F.countDistinct(F.when(F.col("inclusion_tier") == "core", F.col("product_id"))).alias("core_products"),
+        F.count_if(~F.coalesce("confirmed", F.lit(False))).alias("pending"), F.coalesce(observed, F.lit(0)).alias("observed"),
+    )

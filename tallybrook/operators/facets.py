@@ -189,6 +189,12 @@ def export_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text", meta.alias("meta"))
 
 
+def display_json(rows: DataFrame) -> DataFrame:
+    """id, json: a review as the explorer shows it."""
+    shown = ("id", "text", "platform", "product", "rating", "language", "date", "version", "label", "label_source")
+    return rows.select("id", F.to_json(F.struct(*[c for c in shown if c in rows.columns]), {"ignoreNullFields": "false"}).alias("json"))
+
+
 class Report:
     """A filtered slice and all that an answer shows of it; the slice is read once and kept."""
 

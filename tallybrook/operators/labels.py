@@ -55,3 +55,14 @@ def draw_size(found, per_draw: int = 50, wanted: int = 30):
     """Rows to draw next: what is missing at the yield so far, from 25 to 400."""
     rate = F.greatest(found / per_draw, F.lit(0.05))
     return F.least(F.lit(400), F.greatest(F.lit(25), F.bround((wanted - found) / rate))).cast("int")
+
+
+def in_groups(rows: DataFrame, groups: dict[str, list[str]], column: str, into: str = "grp") -> DataFrame:
+    """A row for each group that holds the column's value: a value may be in several, or in none."""
+    found = F.array_compact(F.array(*[F.when(F.col(column).isin(members), name) for name, members in groups.items()]))
+    return rows.select("*", F.explode(found).alias(into))
+
+
+def job_list(variants: DataFrame, models: list[str]) -> DataFrame:
+    """Every variant with every model to ask."""
+    return variants.select("*", F.explode(F.array(*map(F.lit, models))).alias("model"))

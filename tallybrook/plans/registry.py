@@ -5,13 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.functions import parsing, pii
 from tallybrook.functions import stats as S
 from tallybrook.functions import text as X
-from tallybrook.functions.stats import pct, wilson
 from tallybrook.operators import clean as CL
 from tallybrook.operators import facets, labels, sampling, scoring, worklists
 from tallybrook.sources import reviews as R
@@ -41,9 +40,6 @@ def query(sql: str | None = None):
 
 # ---- adapters
 
-_DATE = "2024-{:02d}"
-
-
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     month = F.lpad((F.col("doc_id") % 30 % 12 + 1).cast("string"), 2, "0")
@@ -340,6 +336,20 @@ def secondary_totals(spark, sf_dir):
     return labels.secondary_totals(rows)
 
 
+@query(
+    """SELECT grp, model, count(*) AS n FROM (SELECT doc_id, 'low' AS grp FROM documents WHERE source IN ('src0', 'src1', 'src2') UNION ALL SELECT doc_id, 'even' FROM documents WHERE source IN ('src0', 'src2', 'src4')), (SELECT 'a' AS model UNION ALL SELECT 'b') GROUP BY 1, 2"""
+)
+def group_jobs(spark, sf_dir):
+    rows = labels.in_groups(table(spark, sf_dir, "documents").select("doc_id", "source"), {"low": ["src0", "src1", "src2"], "even": ["src0", "src2", "src4"]}, "source")
+    return labels.job_list(rows, ["a", "b"]).groupBy("grp", "model").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT n_regionkey) AS products, count(*) AS listings, count(DISTINCT n_regionkey) FILTER (WHERE n_regionkey < 2) AS core_products, count(*) FILTER (WHERE n_nationkey % 4 <> 0) AS pending, CAST(sum(n_nationkey) AS BIGINT) AS observed FROM nation")
+def header_totals(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return CL.header_totals(n.select(F.col("n_regionkey").cast("string").alias("product_id"), F.when(F.col("n_regionkey") < 2, "core").otherwise("extended").alias("inclusion_tier"), (F.col("n_nationkey") % 4 == 0).alias("confirmed"), F.col("n_nationkey").alias("observed")))
+
+
 # ---- judging and scoring: labels' quality is the truth; two models see toxic and the document's number
 
 _A = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE CAST(CASE WHEN toxic = 1 THEN 0 ELSE quality END AS VARCHAR) END"
