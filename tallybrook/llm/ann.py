@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm import common as C
 
-BLOCK_ROWS, QUERY_LOT = 65_536, 64
+#: Rows of a block: at most, and at least; between them a block for each quarter of a core.
+MOST_ROWS, LEAST_ROWS, QUERY_LOT = 65_536, 4096, 32
 #: Standard deviations of the estimate's error that the bound allows.
-EPSILON = 3.0
+EPSILON = 2.3
 STEPS = 4  # bits of a query's grid
 
 
@@ -46,12 +47,6 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.ascontiguousarray(words).view(np.uint64), length, lean
 
 
-def _bits_of(levels: np.ndarray) -> np.ndarray:
-    """Planes (step, word) of a query's grid levels."""
-    planes = [np.packbits(((levels >> k) & 1).astype(np.uint8), bitorder="little").view(np.uint64) for k in range(STEPS)]
-    return np.stack(planes)
-
-
 class Block:
     """The codes of some vectors, and the search in them."""
 
@@ -65,39 +60,46 @@ class Block:
         # Standard deviation of the part of the estimate that the codes don't show.
         self.error = np.sqrt(np.maximum(0.0, 1 - self.lean**2)) / self.lean / math.sqrt(max(1, padded(dims) - 1))
 
-    def bounds(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the inner products with all vectors, and the allowed errors."""
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the inner products of queries (a row each) with all vectors, and the allowed errors."""
         dims = self.turn.shape[0]
-        size = float(np.linalg.norm(query))
-        turned = self.turn @ (query / size)
-        low = float(turned.min())
-        step = (float(turned.max()) - low) / (2**STEPS - 1) or 1.0
-        levels = np.rint((turned - low) / step).astype(np.int64)
-        off = float(np.abs(turned - (low + step * levels)).sum()) / math.sqrt(dims)
-        planes = _bits_of(levels)
-        hits = np.zeros(len(self.ids), np.int64)
+        size = np.linalg.norm(queries, axis=1, keepdims=True)
+        turned = (queries / size) @ self.turn.T
+        low = turned.min(1, keepdims=True)
+        step = (turned.max(1, keepdims=True) - low) / (2**STEPS - 1)
+        step[step == 0] = 1.0
+        levels = np.rint((turned - low) / step).astype(np.uint8)
+        off = np.linalg.norm(turned - (low + step * levels), axis=1, keepdims=True)  # the grid's part of the error, spread over the signs at random
+        hits = np.zeros((len(queries), len(self.ids)), np.int32)
         for k in range(STEPS):
-            hits += np.bitwise_count(self.codes & planes[k]).sum(1, dtype=np.int64) << k
+            planes = np.ascontiguousarray(np.packbits((levels >> k) & 1, axis=1, bitorder="little")).view(np.uint64)
+            for w in range(planes.shape[1]):
+                hits += np.bitwise_count(self.codes[:, w] & planes[:, w, None]).astype(np.int32) << k
         # <query on its grid, sign vector>, with signs as +-1 / sqrt(dims)
-        inner = (2 * (step * hits + low * self.total) - (step * float(levels.sum()) + low * dims)) / math.sqrt(dims)
+        inner = (2 * (step * hits + low * self.total) - (step * levels.sum(1, keepdims=True, dtype=np.int64) + low * dims)) / math.sqrt(dims)
         scale = self.length * size
-        return scale * inner / self.lean, scale * (EPSILON * self.error + off / self.lean)
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and inner products of the k nearest rows, best first, ties to smaller ids; the query's own id stands out."""
-        other = self.ids != query_id
-        estimate, error = self.bounds(query)
-        upper = np.where(other, estimate + error, -np.inf)
-        few = min(k, int(other.sum()))
-        if not few:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.argpartition(-np.where(other, estimate, -np.inf), few - 1)[:few]
-        least = self._exact(at, query).min()
-        at = np.flatnonzero(other & (upper >= least))
-        at = np.union1d(at, np.argpartition(-np.where(other, estimate, -np.inf), few - 1)[:few])
-        score = self._exact(at, query)
-        order = np.lexsort((self.ids[at], -score))[:few]
-        return at[order], score[order]
+        return scale * inner / self.lean, scale * EPSILON * np.sqrt(self.error**2 + (off / self.lean) ** 2 / dims)
+
+    def nearest(self, query_ids: list[int], queries: np.ndarray, k: int):
+        """For each query the places and inner products of its k nearest rows, best first, ties to smaller ids; rows with the query's id stand out."""
+        for at in range(0, len(query_ids), QUERY_LOT):
+            lot, ids = queries[at : at + QUERY_LOT], query_ids[at : at + QUERY_LOT]
+            estimates, errors = self.bounds(lot)
+            own = [slice(*np.searchsorted(self.ids, [i, i + 1])) for i in ids]
+            for e, o in zip(estimates, own, strict=True):
+                e[o] = -np.inf
+            most = min(k, len(self.ids))
+            best = np.argpartition(-estimates, most - 1, axis=1)[:, :most]
+            for query, e, error, o, top in zip(lot, estimates, errors, own, best, strict=True):
+                few = min(k, len(self.ids) - (o.stop - o.start))
+                if not few:
+                    yield np.zeros(0, np.int64), np.zeros(0)
+                    continue
+                top = top[e[top] > -np.inf]
+                places = np.union1d(np.flatnonzero(e + error >= self._exact(top, query).min()), top)
+                score = self._exact(places, query)
+                order = np.lexsort((self.ids[places], -score))[:few]
+                yield places[order], score[order]
 
     def _exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         return exact(self.vectors[at], query)
@@ -121,7 +123,7 @@ def usable(frame: pd.DataFrame, column: str) -> tuple[np.ndarray, list[np.ndarra
     return np.array(keep, np.int64), out
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest among rows, nearest first, ties to smaller ids.
 
     Both have id_column (long) and column (array of numbers); others are ignored. Vectors that are null,
@@ -130,7 +132,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     in rows, and a repeated query is answered once. Vectors must be of one length; others than the
     query's take no part in its search.
     """
-    n = max(1, -(-rows.count() // block_rows))
+    count = rows.count()
+    if block_rows is None:
+        block_rows = max(LEAST_ROWS, min(MOST_ROWS, count // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
+    n = max(1, -(-count // block_rows))
     keys = C.Buckets(n)
     own = rows.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
     asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
@@ -146,11 +151,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
         for dims in {len(v) for v in vectors}:
             at = np.array([len(v) == dims for v in vectors])
             block = Block(left_ids[at], np.stack([v for v in vectors if len(v) == dims]))
-            for i, q in zip(right_ids.tolist(), wanted, strict=True):
-                if len(q) == dims:
-                    places, score = block.nearest(i, q, k)
-                    out.append(pd.DataFrame({"query_id": i, "vec_id": block.ids[places], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            same = [j for j, q in enumerate(wanted) if len(q) == dims]
+            if not same:
+                continue
+            ids = right_ids[same].tolist()
+            for i, (places, score) in zip(ids, block.nearest(ids, np.stack([wanted[j] for j in same]), k), strict=True):
+                out.append((np.full(len(places), i), block.ids[places], score))
+        columns = zip(*out, strict=True) if out else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0),))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, columns), strict=True)))
 
     found = dealt.repartition(n, "b").groupBy("b").cogroup(spread.repartition(n, "b").groupBy("b")).applyInPandas(find, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
