@@ -24,8 +24,8 @@ from tallybrook.llm import common as C
 from tallybrook.llm.suffix_dedup import powers
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Bound of the ids kept (16 MB for a million pieces or so).
-KEPT_IDS = 8_000_000
+#: Bound of the ids kept (20 MB, and as much again for 1.6 million pieces' hashes and places).
+KEPT_IDS = 5_000_000
 _U32 = next(c for c in "IL" if array(c).itemsize == 4)
 _READY: dict[str, PieceEncoder] = {}
 
