@@ -27,7 +27,7 @@ from tallybrook.llm.tokens import slices
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
-KEPT_WORDS, KEPT_CHARS, LONGEST_SHARED = 350_000, 48, 2000
+KEPT_WORDS, KEPT_CHARS, LONGEST_SHARED = 700_000, 48, 2000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _READY: dict[str, PieceEncoder] = {}
 
@@ -191,7 +191,7 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        if len(self.forward.fits) > 2 * KEPT_WORDS:
+        if len(self.forward.fits) > KEPT_WORDS:
             self.forward.fits.clear()
         cut = [_WORD.findall(self.library.normalize(x)) if x else [] for x in values]
         lacking = set().union(*cut).difference(self.kept)
