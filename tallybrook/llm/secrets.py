@@ -33,7 +33,7 @@ _LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 #: (kind, candidate, window, bits a character): random hex digits reach about 3.4 bits in 24, base64 about 4.3.
 CLASSES = (
     ("entropy_hex", re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])"), 24, 3.0),
-    ("entropy_base64", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"), 24, 4.0),
+    ("entropy_base64", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"), 24, 4.0),
 )
 ALLOWED = (
     re.compile(r"\A[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"),  # UUID

@@ -50,6 +50,16 @@ def test_scan_and_redact():
     assert S.redact(text, spans) == 'é <secret>" then <secret> and <secret> end'
 
 
+def test_values_after_an_equals_sign_under_any_name():
+    value = "Zk39xQ7LmN2pR8sT4vW6yB1cD5fG0hJa"
+    for before in ("private_key=", "AccountKey=", "https://a.example/x?sig=", "AWS_SECRET_ACCESS_KEY=", "x==", " "):
+        for after in ("", "==", "&b=c", "\n"):
+            text = before + value + after
+            assert f"entropy_base64:{len(before)}:" in S.scan(text)[4], text
+            assert value not in S.redact(text, S.scan(text)[4])
+    assert S.scan("the_name_of_the_setting_of_it=antidisestablishmentarianism")[4] == ""
+
+
 def test_allowed_strings_stay():
     for text in ("antidisestablishmentarianism-of-the-words", "1234567890123456789012345678", "550e8400-e29b-41d4-a716-446655440000", "a" * 80, "", "the plain text of a document"):
         assert not [x for x in S.scan(text)[4].split(",") if x.startswith("entropy")]
