@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -134,3 +135,27 @@ def test_spend_and_titles(spark):
     rows = [("Plan World", "a", "Mosa - Plan World", "x", 0), ("Plan World", "b", "Other", "x", 1), ("Easy", "com.other", "Easy", "easy LTD", 0), ("Easy", "com.easy", "Far", "Q", 1), ("Lone", "c", "Lone", "Somebody", 0)]
     got = {r.name: r for r in parsing.best_title_match(targets, spark.createDataFrame(rows, "target string, app_id string, title string, developer string, ord int")).collect()}
     assert got["Plan World"].match.app_id == "a" and got["Easy"].match.app_id == "com.easy" and got["Lone"].match is None and not got["Easy"].conflict
+
+
+def test_title_match_over_all_parts_and_suppliers(spark):
+    from difflib import SequenceMatcher
+
+    from tallybrook.plans import registry
+
+    at = "/root/testdata/sf0.01"
+    normal = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    titles = [(r.s_suppkey, r.s_name) for r in spark.read.parquet(f"{at}/supplier.parquet").collect()]
+    want = {}
+    for r in spark.read.parquet(f"{at}/part.parquet").collect():
+        name = f"{r.p_name} {r.p_partkey}"
+        ratio, _, title = max((SequenceMatcher(None, normal(name), normal(t)).ratio(), -k, t) for k, t in titles)
+        want[name] = (title, round(ratio, 6))
+    assert {r.name: (r.title, r.ratio) for r in registry.title_match(spark, at).collect()} == want
+
+
+def test_titles_in_blocks(spark):
+    targets = spark.createDataFrame([("ab",), ("--",), (None,)], "name string")
+    titles = spark.createDataFrame([("ba", 3), ("ab", 2), ("AB", 1), ("", 5), (None, 4)], "title string, ord int")
+    got = {r.name: (r.title, r.ratio) for r in parsing.most_similar_titles(targets, titles, block=2).collect()}
+    assert got == {"ab": ("AB", 1.0), "--": (None, 1.0), None: (None, None)}
+    assert {r.title for r in parsing.most_similar_titles(targets, titles.where("false")).collect()} == {None}
