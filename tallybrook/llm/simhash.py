@@ -1,7 +1,7 @@
 """SimHash fingerprints, and groups of texts whose fingerprints lie within a radius.
 
 near_duplicates() takes 64 bits and a small radius, and finds every link. similar_groups() takes wide
-fingerprints, which tell apart similarities near 0.8, and random keys for candidates.
+fingerprints and random keys for candidates, and compares the candidates' shingle sets themselves.
 
 Candidates: a fingerprint's bits are cut into blocks; two fingerprints within radius r agree on at least
 blocks - r of them, so they meet under the key of some such choice of blocks. Equal fingerprints are one
@@ -165,8 +165,11 @@ def _flag_words(flags: np.ndarray) -> np.ndarray:
     return np.packbits(padded, bitorder="little").view(np.uint64)
 
 
-def links_of_buckets(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows with equal keys (sorted) whose values lie within the radius, as stars of each bucket's groups."""
+def links_of_buckets(keys: np.ndarray, values: np.ndarray, radius: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows with equal keys (sorted) whose values lie within the radius, as stars of each bucket's groups.
+
+    With `alike`, a function of two rows, a pair links only if that holds too; pairs that are in one group already are not asked.
+    """
     parent = np.arange(len(keys))
 
     def root(i: int) -> int:
@@ -194,7 +197,7 @@ def links_of_buckets(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple
             hit = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little")[: len(k)])
             for i in hit.tolist():
                 a, b = root(int(rows[i])), root(int(rows[i + by]))
-                if a != b:
+                if a != b and (alike is None or alike(int(rows[i]), int(rows[i + by]))):
                     parent[max(a, b)] = min(a, b)
             touched.append(rows[hit])
             touched.append(rows[hit + by])
@@ -260,13 +263,24 @@ def _alike(x: DataFrame, y: DataFrame) -> bool:
     return sums(x) == sums(y)
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles."""
+    data, starts, ends = shingles(text, words)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(data[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def wide_fingerprint(text: str, words: int, size: int) -> np.ndarray:
     """A fingerprint of size x 64 bits over the distinct shingles, each of whose words has hashes of its own."""
-    data, starts, ends = shingles(text, words)
-    if not len(starts):
+    h = shingle_set(text, words)
+    if not len(h):
         return np.zeros(size, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(data[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
     totals = np.zeros(64 * size, np.int64)
     steps = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 8192):
@@ -290,28 +304,43 @@ def bands(rows: int, similarity: float, missed: float = 0.004) -> tuple[int, int
     return bits, math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** bits))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 8) -> DataFrame:
-    """doc_id, component_id for every row of docs (doc_id, text): groups of texts whose shingle sets are alike.
+def text_hash():
+    """Tells texts of one id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def lots(ends: np.ndarray, rows: int = 60_000) -> np.ndarray:
+    """Places among buckets' ends that cut them into lots of whole buckets, of about so many rows; the last place is after all."""
+    last = int(ends[-1]) if len(ends) else 0
+    return np.r_[np.searchsorted(ends, np.arange(0, last, rows), side="left"), len(ends)]
 
-    Fingerprints are `size` words wide. Texts link if the share of equal bits is what this Jaccard similarity
-    gives, or up to one standard deviation less. Candidates share a key: so many of the fingerprint's bits, drawn
-    without regard to words, that a pair that similar meets under one of the keys with probability 0.996.
-    Equal texts, by their words, have equal fingerprints. Nulls and repeats as in near_duplicates().
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 8) -> DataFrame:
+    """doc_id, text_hash, component_id, component_text for every row of docs (doc_id, text): groups of texts whose shingle sets are alike.
+
+    Texts link if the Jaccard similarity of their shingle sets (by 64-bit hashes) is `similarity` at least. They are
+    compared if their fingerprints, `size` words wide, have the share of equal bits that this similarity gives, or up
+    to three standard deviations less, and share a key: so many of the fingerprint's bits, drawn without regard to
+    words, that a pair that similar meets under one of the keys with probability 0.996. Texts of equal fingerprints
+    are one. A group is named by its row with the smallest id (null: C.NULL_ID, below all others) and that text's
+    hash. Rows are grouped by their texts only: repeated or null ids tie nothing together.
     """
     spark = docs.sparkSession
 
     def run(batches):
         for frame in batches:
             fp = [wide_fingerprint(x, words, size).tobytes() for x in C.texts(frame["text"])]
-            yield pd.DataFrame({"doc_id": C.ids(frame["doc_id"]), "fp": fp})
+            yield pd.DataFrame({"doc_id": C.ids(frame["doc_id"]), "text_hash": frame["text_hash"], "fp": fp})
 
-    own = docs.select(C.id_column(), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp binary")
-    own = C.materialise(own, "fingerprints")
-    codes = C.materialise(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
+    texts = docs.select(C.id_column(), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    own = C.materialise(texts.mapInPandas(run, "doc_id long, text_hash long, fp binary"), "fingerprints")
+    # Numbers in the order of the smallest ids tell codes apart even where an id repeats.
+    first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("fp", "r.*")
+    codes = C.materialise(first.orderBy("doc_id", "text_hash", "fp").withColumn("id", F.monotonically_increasing_id()), "codes")
     n, to = 64 * size, C.partitions(spark)
     bits, tables = bands(codes.count(), similarity)
     p = agreement(similarity)
-    radius = math.floor(n * (1 - p) + math.sqrt(n * p * (1 - p)))
+    radius = math.floor(n * (1 - p) + 3 * math.sqrt(n * p * (1 - p)))
     rng = np.random.default_rng(5)
     drawn = np.stack([rng.choice(n, bits, replace=False) for _ in range(tables)])
 
@@ -335,7 +364,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
         key, ident = key[order], ident[order]
         s, e = C.runs(key)
         # A lot of whole buckets at a time bounds the planes' memory.
-        cuts = np.searchsorted(e, np.arange(0, len(key) + 60_000, 60_000), side="left")
+        cuts = lots(e)
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if i == j:
                 continue
@@ -345,8 +374,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
             yield found[found.a != found.b].drop_duplicates()
         C.release()
 
-    pairs = codes.mapInPandas(keyed, "key long, id long, fp binary").repartition(to, "key").mapInPandas(compare, "a long, b long").distinct()
-    return _groups(own, codes, pairs)
+    def verify(batches):
+        seen: dict[int, tuple] = {}
+        for frame in batches:
+            for c, i, fp, text in zip(frame["component"].tolist(), frame["id"].tolist(), frame["fp"], C.texts(frame["text"]), strict=True):
+                if i not in seen:  # rows may repeat
+                    seen[i] = (c, fp, shingle_set(text, words))
+        if not seen:
+            return
+        order = sorted(seen, key=lambda i: (seen[i][0], i))
+        key, ident = np.array([seen[i][0] for i in order], np.int64), np.array(order, np.int64)
+        fp = np.frombuffer(b"".join(seen[i][1] for i in order), np.uint64).reshape(len(order), -1)
+        sets = [seen[i][2] for i in order]
+        a, b = links_of_buckets(key, fp, radius, lambda i, j: jaccard(sets[i], sets[j]) >= similarity - 1e-9)
+        yield pd.DataFrame({"id": ident[a], "to": ident[b]})
+        C.release()
+
+    pairs = codes.select("id", "fp").mapInPandas(keyed, "key long, id long, fp binary").repartition(to, "key").mapInPandas(compare, "a long, b long").distinct()
+    near = components(pairs)
+    near = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
+    held = near.join(codes, "id").join(texts, ["doc_id", "text_hash"]).select("component", "id", "fp", "text")
+    found = C.materialise(held.repartition(to, "component").mapInPandas(verify, "id long, to long"), "groups")
+    names = codes.select(F.col("id").alias("to"), F.col("doc_id").alias("component_id"), F.col("text_hash").alias("component_text"))
+    moved = codes.join(found, "id", "left").select("fp", F.coalesce("to", "id").alias("to")).join(names, "to")
+    return own.join(moved, "fp").select("doc_id", "text_hash", "component_id", "component_text")
 
 
 def _groups(own: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:

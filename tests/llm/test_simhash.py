@@ -139,6 +139,30 @@ def test_similar_groups(spark):
     assert [got[k] for k in range(5001, 5006)] == [5001, 5001, 5003, 5003, 5005]
 
 
+def test_similar_groups_leave_texts_below_the_similarity_apart(spark):
+    rng, rows, want = random.Random(3), [], {}
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k in range(200):
+        base = [word() for _ in range(rng.choice((10, 44, 104)))]
+        other = [*base[:-1], word()] if len(base) == 10 else list(base)  # ten words: 5 of 7 shingles are shared
+        for n in range(0 if len(base) == 10 else len(base) // 30):
+            other[12 + 30 * n] = word()
+        s, t = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (base, other))
+        want[2 * k + 1] = 2 * k if len(s & t) / len(s | t) >= 0.8 else 2 * k + 1
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    assert all(k == v for k, v in want.items())
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+
+
+def test_lots_hold_every_bucket():
+    for size in (1, 7, 60_000, 60_001):
+        for rows in (60_000, 120_000, 59_999):
+            e = np.array([*range(size, rows, size), rows])
+            cuts = S.lots(e)
+            assert cuts[0] == 0 and cuts[-1] == len(e) and (np.diff(cuts) >= 0).all()
+
+
 def test_nulls_repeats_and_empty_table(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "a b c d e"), (2, "p q r s t u"), (3, "P Q r s t u"), (3, "P Q r s t u")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.component_id) for r in S.near_duplicates(df).collect())
