@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences, by hierarchical residual packing.
 
 Each task packs the pieces it has, largest first, each into the bin with the least room that takes it.
-Bins that are nearly full are final. The others go on as items of their fill: eight tasks' bins meet in one
-task and are packed again, and so on up a tree to one task. Of what a task has left, at most `carry` bins,
-the emptiest, go up, so no task's input grows with the corpus; the fuller ones are final as they are.
+Bins that are nearly full are final. All others go on as items of their fill: eight tasks' bins meet in one
+task and are packed again, and so on up a tree. A level has so many tasks that each gets about eight times
+`carry` bins at most, dealt anew by hash, so no task's input grows with the corpus. The tree ends in one task
+or, where the open bins are too many for one, when a round of dealing has closed or merged few of them.
 """
 
 from __future__ import annotations
@@ -56,19 +57,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def _packed(sizes: np.ndarray, members: list[bytes], capacity: int, nearly: int, carry: int, level: int) -> pd.DataFrame:
+def _packed(sizes: np.ndarray, members: list[bytes], capacity: int, nearly: int, level: int) -> pd.DataFrame:
     bins = best_fit(sizes, capacity)
     fill = np.array([int(sizes[b].sum()) for b in bins], np.int32)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     final = fill >= nearly
-    open_ = np.flatnonzero(~final)
-    if len(open_) > carry:
-        final[open_[np.argsort(fill[open_], kind="stable")[carry:]]] = True
     number = (np.int64(level) << 57) | (np.int64(part) << 30) | np.arange(len(bins), dtype=np.int64)
     return pd.DataFrame({"final": final, "bin": number, "fill": fill, "pieces": [b"".join(members[k] for k in b) for b in bins]})
 
 
-def _local(capacity: int, nearly: int, carry: int):
+def _local(capacity: int, nearly: int):
     def run(batches):
         unpack, sizes, members, held = zstandard.ZstdDecompressor(), [], [], 0
         for frame in batches:
@@ -78,25 +76,25 @@ def _local(capacity: int, nearly: int, carry: int):
                     sizes.append(size)
                     members.append(np.array((d, k, s, size, zlib.crc32(ids[4 * s : 4 * (s + size)])), _PIECE).tobytes())
             if len(sizes) > 1_000_000:  # a task of any length runs in bounded memory
-                out = _packed(np.array(sizes), members, capacity, nearly, carry, 0)
+                out = _packed(np.array(sizes), members, capacity, nearly, 0)
                 out["bin"] += held << 22
                 held += 1
                 sizes, members = [], []
                 yield out
         if sizes:
-            out = _packed(np.array(sizes), members, capacity, nearly, carry, 0)
+            out = _packed(np.array(sizes), members, capacity, nearly, 0)
             out["bin"] += held << 22
             yield out
 
     return run
 
 
-def _again(capacity: int, nearly: int, carry: int, level: int, last: bool):
+def _again(capacity: int, nearly: int, level: int, last: bool):
     def run(batches):
         frame = C.whole(batches)
         if frame is None or not len(frame):
             return
-        out = _packed(frame["fill"].to_numpy(), list(frame["pieces"]), capacity, nearly, carry, level)
+        out = _packed(frame["fill"].to_numpy(), list(frame["pieces"]), capacity, nearly, level)
         yield out.assign(final=True) if last else out
 
     return run
@@ -126,18 +124,21 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = Non
     spark = docs.sparkSession
     least = int(np.ceil(nearly * capacity))
     parts = max(C.partitions(spark), 1)
-    bins = C.materialise(T.token_rows(docs, path or T.tokenizer_path(), end_id, _local(capacity, least, carry), _BIN), "bins")
+    bins = C.materialise(T.token_rows(docs, path or T.tokenizer_path(), end_id, _local(capacity, least), _BIN), "bins")
     done = [bins.where("final")]
-    level = 1
+    level, before = 1, None
     while True:
-        parts = -(-parts // FAN_IN)
+        left = bins.where("not final").count()
+        needed = -(-left // (FAN_IN * carry))
+        parts = max(1, -(-parts // FAN_IN), needed)
+        last = parts == 1 or level == 63 or (parts == needed and before is not None and left > 0.95 * before)
         keys = C.Buckets(parts)
         going = bins.where("not final").withColumn("b", keys.column("bin")).repartition(parts, "b").drop("b")
-        bins = C.materialise(going.mapInPandas(_again(capacity, least, carry, level, parts == 1), _BIN), "bins")
+        bins = C.materialise(going.mapInPandas(_again(capacity, least, level, last), _BIN), "bins")
         done.append(bins.where("final"))
-        if parts == 1:
+        if last:
             break
-        level += 1
+        level, before = level + 1, left
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -80,6 +80,15 @@ def test_packing(spark):
     assert P.pack_documents(df.where("false")).count() == 0
 
 
+def test_packing_carries_all_open_bins(spark):
+    """One task has 20 long texts, 20 others a short one each that fits: every bin over the old cap was closed half empty."""
+    long, short = " ".join(["a"] * 699), " ".join(["a"] * 319)
+    data = [(k, long) for k in range(20)], [(100 + k, short) for k in range(20)]
+    many = [spark.createDataFrame(spark.sparkContext.parallelize(d, n), "doc_id long, text string") for d, n in zip(data, (1, 20), strict=True)]
+    got = P.pack_documents(many[0].unionByName(many[1]), carry=2).toPandas()
+    assert sorted(got.length) == [320] * 20 + [700] * 20 and got.sequence_id.nunique() == 20
+
+
 def test_cut_and_best_fit():
     assert P.cut(1, 4) == [(0, 1)] and P.cut(4, 4) == [(0, 4)] and P.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
     sizes = np.array([6, 5, 4, 3, 2])
