@@ -3,8 +3,9 @@
 A byte-level tokenizer of this kind encodes the parts of its pre-tokenizer one by one. Where single spaces
 and newlines stand between other characters, a part ends before each of them, a space goes with what
 follows it, and a newline is a part of its own; so is a mark after letters. Texts are cut there, and each
-distinct piece is encoded by the library once and kept. Texts with runs of white space, or with white space
-at an end, are left whole.
+distinct piece is encoded by the library once and kept. Texts with runs of white space, with white space at
+an end, or with other white space than spaces and newlines, are left whole. The string of a special token
+gives that token, as in the library's defaults.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self._forget()
 
     def _forget(self) -> None:
@@ -57,7 +57,7 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(values)
         raw = [b"\n" + x.encode("utf-8", "surrogatepass") for x in values]
-        whole = [k for k, x in enumerate(raw) if _ODD.search(x) and not _plain(values[k])]
+        whole = [k for k, x in enumerate(raw) if _ODD.search(x) and _WHOLE.search("\n" + values[k])]
         for k, ids in zip(whole, self._raw([values[k] for k in whole]) if whole else (), strict=True):
             out[k] = ids
         kept = np.ones(len(values), bool)
@@ -116,12 +116,9 @@ def _merged(a, b):
     return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
 
-def _plain(text: str) -> bool:
-    """One space or newline between every two words, and no other white space."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
-
-
-#: After the newline put first: two separators in a row, one at the end, or a byte that may be of other white space.
+#: After the newline put first: two separators in a row, one at the end, or other white space.
+_WHOLE = re.compile(r"[ \n][ \n]|[ \n]\Z|[^\S \n]")
+#: The same in bytes, where some of the bytes may be of other white space.
 _ODD = re.compile(rb"[ \n][ \n]|[ \n]\Z|[\x00-\x09\x0b-\x1f\x7f\xc2\xe1-\xe3]")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

@@ -33,6 +33,15 @@ def test_pieces_give_the_library_ids():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x[:-1] for x in expected(values)]
 
 
+def test_ids_are_those_of_the_library_by_default():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(T.tokenizer_path())
+    values = ["x\ty\tz\n\n\nw", "a\u00a0b\n\nc", "a\tb  c", "Âme e\u0301 한 次 b", "x<|endoftext|>y", "a <|endoftext|> b.\n<|endoftext|>", *ODD]
+    got = T.PieceEncoder(T.tokenizer_path()).encode(values)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in values]
+
+
 def test_code_lengths_are_optimal_and_limited():
     counts = np.array([0, 5, 9, 12, 13, 16, 45, 0])
     assert H.code_lengths(counts).tolist() == [0, 4, 4, 3, 3, 3, 1, 0]
