@@ -22,21 +22,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts (five-word shingles, similarity 0.8) stays: the one with the smallest id.
 
-    Rows that repeat the whole of a row go too; a null id is the smallest.
+    Rows that repeat the id and text of a row go too; a null id is the smallest. Rows are grouped by their texts
+    only, so different texts of one id, or without an id, stay.
     """
     groups = simhash.similar_groups(docs, words=5, similarity=0.8)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    own = F.coalesce(F.col("d.doc_id").cast("long"), F.lit(C.NULL_ID))
-    return docs.dropDuplicates(["doc_id"]).alias("d").join(keep.alias("k"), own == F.col("k.doc_id"), "left_semi").select(*[f"d.{c}" for c in docs.columns])
+    keep = groups.where("doc_id = component_id and text_hash = component_text").select("doc_id", "text_hash").distinct()
+    own = docs.select(F.struct("*").alias("row"), C.id_column(), simhash.text_hash().alias("text_hash"))
+    return own.join(keep, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 bytes that stand earlier too are cut out; a character that is cut in two goes whole.
 
-    Documents of which nothing is left go.
+    Documents of which nothing is left go. A row is told by its id and text; equal rows have equal results.
     """
-    left = suffix_dedup.dedup_substrings(docs, width=100, keep="text").select("doc_id", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("left"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    left = suffix_dedup.dedup_substrings(docs, width=100, keep="text").select(C.id_column(), "text_hash", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("left"))
+    left = left.dropDuplicates(["doc_id", "text_hash"])
+    same = (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(C.NULL_ID)) == F.col("k.doc_id")) & (simhash.text_hash("d.text") == F.col("k.text_hash"))
     cut = F.col("k.n_removed") > 0
     out = docs.alias("d").join(left.alias("k"), same)
     changed = {"text": F.when(cut, F.col("k.left")).otherwise(F.col("d.text")), "n_chars": F.when(cut, F.length("k.left").cast("long")).otherwise(F.col("d.n_chars"))}

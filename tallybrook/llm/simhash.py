@@ -304,9 +304,9 @@ def bands(rows: int, similarity: float, missed: float = 0.004) -> tuple[int, int
     return bits, math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** bits))
 
 
-def text_hash():
+def text_hash(of: str = "text"):
     """Tells texts of one id apart; null is the empty text."""
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(of).cast("string"), F.lit("")))
 
 
 def lots(ends: np.ndarray, rows: int = 60_000) -> np.ndarray:

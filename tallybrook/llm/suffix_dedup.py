@@ -406,6 +406,8 @@ def _removed(width: int, keep: str | None):
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
             rows.append((lengths[k], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), {"bytes": kept, "text": kept.decode("utf-8", "ignore") if keep == "text" else None}.get(keep)))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        if keep == "text":
+            out["text_hash"] = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).view(np.int64)
         out.insert(0, "doc_id", C.id_or_null(d))
         C.release()
         return out
@@ -416,7 +418,8 @@ def _removed(width: int, keep: str | None):
 def dedup_substrings(docs: DataFrame, width: int = 100, keep: str | None = "bytes", frequent: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, what stays, for every row of docs.
 
-    keep: kept is its bytes, or (`text`) its text without characters that are cut in two, or (None) null.
+    keep: kept is its bytes, or (`text`) its text without characters that are cut in two, or (None) null. With `text`, text_hash is
+    the row's text by Spark's xxhash64 (null: the empty text), which tells rows of one doc_id apart.
 
     docs needs doc_id (long) and text (string); other columns are ignored. A byte goes if a string of `width`
     bytes that also starts at a smaller (doc_id, start) covers it. Null text is empty. A null doc_id is
@@ -432,5 +435,5 @@ def dedup_substrings(docs: DataFrame, width: int = 100, keep: str | None = "byte
         places = places.repartition(nb, "b").mapInPandas(step, _SENT)
     places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_texts_of_suspects(width, to), _SENT)
     places = places.repartition(nb, "b").mapInPandas(_window_table(width, to), _SENT)
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if keep == 'text' else 'binary'}"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string, text_hash long' if keep == 'text' else 'binary'}"
     return texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_removed(width, keep), schema)

@@ -47,3 +47,17 @@ def test_odd_documents(spark):
         out = stage(spark, docs, "")
         assert out.count() >= 0 and stage(spark, docs.where("false"), "").count() == 0, name
     assert sorted(r.doc_id or 0 for r in P.near_dedup(spark, docs, "").collect()) == [0, 1, 3]
+
+
+def test_rows_of_one_id_or_none_stay_apart(spark):
+    texts = [" ".join(f"{c}{n}" for n in range(60)) for c in "abcde"]
+    near = texts[1].replace("b59", "x")  # like the second, and of an id of its own
+    ids = [None, None, 7, 7, 8, 9, None]
+    rows_ = [(i, t, "en", "a", len(t)) for i, t in zip(ids, [*texts, near, texts[0]], strict=True)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text) for r in P.near_dedup(spark, docs, "").collect())
+    assert got == sorted((i or 0, t) for i, t in zip(ids[:5], texts, strict=True))
+    out = P.substring_dedup(spark, docs, "").collect()
+    want = {(i, t) for i, t in zip(ids, texts, strict=False)}
+    assert len(out) == len(rows_) and want <= {(r.doc_id, r.text) for r in out}
+    assert [len(r.text) < len(near) for r in out if r.doc_id == 9] == [True]
