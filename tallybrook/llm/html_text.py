@@ -25,7 +25,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Element names and the words of class and id names that tell parts of a page.
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select option datalist".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml object canvas audio video select option datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -35,6 +35,8 @@ BOILER_TAGS = {"nav": 8.0, "footer": 8.0, "aside": 8.0, "form": 8.0, "menu": 8.0
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus dropdown footer foot gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup privacy promo promoted promotion recommended related replies reply respond response responses rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar warning widget".split()
 )
+#: Of these, the words that tell what a part is however much of the page it holds.
+STICKY_WORDS = frozenset("ad ads adv advert advertisement advertising comment comments discussion disqus hidden related recommended replies reply respond response responses sponsor sponsored".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 ROLES = {"navigation": 8.0, "banner": 6.0, "contentinfo": 8.0, "complementary": 8.0, "search": 8.0, "form": 8.0, "dialog": 8.0, "alert": 6.0, "main": -2.0, "article": -4.0}
 _CLOSES_P = BLOCK - {"body", "html", "head", "button"}
@@ -46,7 +48,12 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    bias: float  # content if negative; of it and of what it stands in
+    own: float  # bias of its tag and attributes, without words of class and id names
+    named: float  # bias of these words
+    lifted: float  # the same if the element is a wrapper of most of the page
+    chars: int = 0  # of text in it
+    articles: int = 0  # article and main elements that it is or holds
+    bias: float = 0.0  # content if negative; of it and of what it stands in
 
 
 @dataclass(slots=True)
@@ -57,30 +64,53 @@ class Block:
     link_share: float
 
 
-def _bias(tag: str, attributes: str, above: float) -> float:
-    own = BOILER_TAGS.get(tag, 0.0) - CONTENT_TAGS.get(tag, 0.0)
+def _element(tag: str, attributes: str, parent: Element) -> Element:
+    own, named, lifted = BOILER_TAGS.get(tag, 0.0) - CONTENT_TAGS.get(tag, 0.0), 0.0, 0.0
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if name in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(value)}
+                content = -2.0 if words & CONTENT_WORDS else 0.0
                 if words & BOILER_WORDS and tag not in ("html", "body", "main"):
-                    own += 6.0
-                elif words & CONTENT_WORDS:
-                    own -= 2.0
+                    named += 6.0
+                    lifted += 6.0 if words & STICKY_WORDS else content
+                else:
+                    named += content
+                    lifted += content
             elif name == "role":
                 own += ROLES.get(value.lower(), 0.0)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 own += 12.0
-    # What is boilerplate stays so inside: an article within comments is a comment.
-    return above + own if own > 0 or above <= 0 else above
+    return Element(tag, parent, parent.depth + 1, own, named, lifted)
+
+
+def _set_biases(elements: list[Element], found: list[Block]) -> None:
+    """Biases of the elements, which are in document order.
+
+    A class or id word doesn't tell boilerplate (STICKY_WORDS do) where its element holds over half of the page's
+    text, and an article or main element if there are any: it names the page's layout.
+    """
+    for b in found:
+        b.element.chars += len(b.text)
+    for e in reversed(elements):
+        e.articles += e.tag in CONTENT_TAGS
+        if e.parent:
+            e.parent.chars += e.chars
+            e.parent.articles += e.articles
+    root = elements[0]
+    for e in elements[1:]:
+        wraps = 2 * e.chars > root.chars and (e.articles > 0 or not root.articles)
+        own, above = e.own + (e.lifted if wraps else e.named), e.parent.bias
+        # What is boilerplate stays so inside: an article within comments is a comment.
+        e.bias = above + own if own > 0 or above <= 0 else above
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order. Damaged markup is read as far as it goes."""
     out: list[Block] = []
-    root = Element("", None, 0, 0.0)
-    stack = [root]
+    root = Element("", None, 0, 0.0, 0.0, 0.0)
+    stack, elements = [root], [root]
     parts: list[str] = []
     linked, in_link, heading = 0, 0, False
 
@@ -151,8 +181,10 @@ def blocks(page: str) -> list[Block]:
             if stack[k].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "div"):
                 break
         heading = tag[0] == "h" and tag[1:].isdigit()
-        stack.append(Element(tag, stack[-1], len(stack), _bias(tag, m.group(3), stack[-1].bias)))
+        elements.append(_element(tag, m.group(3), stack[-1]))
+        stack.append(elements[-1])
     flush()
+    _set_biases(elements, out)
     return out
 
 

@@ -57,3 +57,17 @@ def test_tables(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in H.extract(df).collect())
     assert [x[3] for x in got] == [0, len(LONG), len(LONG), 0] and got[1][2] == LONG
     assert H.extract(df.where("false")).collect() == []
+
+
+def test_words_of_layout_do_not_lose_the_article():
+    story = "".join(f"<p>This is paragraph {k} of the story, and it is long enough to be one of the article's own, as anyone can see.</p>" for k in range(6))
+    side = "<ul><li><a href=x>One</a></li><li><a href=x>Two</a></li></ul>"
+    for wrapper in ('<div class="content-sidebar-wrap">', '<div id=page class="has-sidebar">', '<div class="header-banner share">'):
+        for inner in ("<article>", "<main>", "<div>"):
+            page = f"<html><body><nav>{side}</nav>{wrapper}{inner}{story}</{inner[1:-1]}><div class=sidebar>{side}</div></div></body></html>"
+            got = H.main_text(page)
+            assert all(f"paragraph {k} " in got for k in range(6)) and "Two" not in got, page
+    said = "".join(f"<article><p>Comment {k} says that this is a very fine story, and that many more of them should be told.</p></article>" for k in range(20))
+    got = H.main_text(f"<body><article>{story}</article><div class=comments>{said}</div></body>")
+    assert "paragraph 5 " in got and "Comment" not in got
+    assert "E = mc" in H.main_text(f"<article>{story}<p>Here <math><mi>E</mi> <mo>=</mo> <mi>mc</mi></math> is the formula that the whole of the long text is about.</p></article>")
