@@ -25,7 +25,7 @@ from tallybrook.llm import common as C
 from tallybrook.llm.suffix_dedup import powers
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Bound of the ids kept (20 MB, and as much again for 1.6 million pieces' hashes and places).
+#: Bound of the ids kept (20 MB; their pieces' hashes, places and bytes take some 80 MB more).
 KEPT_IDS = 5_000_000
 _U32 = next(c for c in "IL" if array(c).itemsize == 4)
 _READY: dict[str, PieceEncoder] = {}
@@ -36,7 +36,10 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 class PieceEncoder:
-    """Pieces are told apart by 64-bit hashes of their bytes, held with their ids in sorted arrays (25 bytes a piece)."""
+    """Pieces are found by 64-bit hashes of their bytes, held with their places in sorted arrays (32 bytes a piece).
+
+    The bytes of every piece are compared with those kept under its hash; one that differs is encoded by itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,8 +49,8 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.pool = np.zeros(0, np.uint32)
-        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # many and recent: hashes, places, counts
+        self.pool, self.spelt = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.parts = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)] * 2  # many and recent: hashes, places and numbers of ids, and of bytes
 
     def _raw(self, values: list[str]) -> list[bytes]:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
@@ -75,18 +78,28 @@ class PieceEncoder:
         edges = _edges(buf)
         hashes = _hashes(buf, edges)
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        place, count = self._lookup(found)
-        new = np.flatnonzero(count == 0)
+        place, count, at, size = self._lookup(found)
+        new = np.flatnonzero(size == 0)
         if len(new):
-            spans = zip(edges[first[new]].tolist(), edges[first[new] + 1].tolist(), strict=True)
-            ids = self._raw([data[s:e].decode("utf-8", "surrogatepass") for s, e in spans])
+            spans = list(zip(edges[first[new]].tolist(), edges[first[new] + 1].tolist(), strict=True))
+            own = [data[s:e] for s, e in spans]
+            ids = self._raw([x.decode("utf-8", "surrogatepass") for x in own])
             count[new] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             place[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+            size[new] = np.fromiter(map(len, own), np.int64, len(own))
+            at[new] = len(self.spelt) + np.cumsum(size[new]) - size[new]
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), np.uint32)])
-            self._keep(found[new], place[new], count[new])
-        each = count[back]
+            self.spelt = np.concatenate([self.spelt, np.frombuffer(b"".join(own), np.uint8)])
+            self._keep(found[new], place[new], count[new], at[new], size[new])
+        each, take = count[back], place[back]
+        pool = self.pool
+        if len(odd := self._unlike(buf, edges, at[back], size[back])):
+            ids = self._raw([data[edges[k] : edges[k + 1]].decode("utf-8", "surrogatepass") for k in odd.tolist()])
+            each[odd] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            take[odd] = len(pool) + np.cumsum(each[odd]) - each[odd]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(ids), np.uint32)])
         upto = np.cumsum(each)
-        ids = self.pool[np.repeat(place[back] - (upto - each), each) + np.arange(upto[-1])]
+        ids = pool[np.repeat(take - (upto - each), each) + np.arange(upto[-1])]
         # The newline put before each text gives one id, which goes.
         ends = np.r_[0, upto][np.searchsorted(edges, starts)]
         told = ids.astype("<u4").tobytes()
@@ -94,14 +107,26 @@ class PieceEncoder:
             self._forget()
         return [told[4 * s + 4 : 4 * e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def _lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place, count = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        for keys, at, n in self.parts:
+    def _unlike(self, buf: np.ndarray, edges: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces whose bytes are not those kept under their hash."""
+        own = np.diff(edges)
+        unlike = own != size
+        at = np.where(unlike, 0, at)  # compared with any bytes
+        where = np.repeat(at - edges[:-1], own) + np.arange(len(buf))
+        differ = np.flatnonzero(self.spelt[np.minimum(where, len(self.spelt) - 1)] != buf)
+        if len(differ):
+            unlike[np.searchsorted(edges, differ, side="right") - 1] = True
+        return np.flatnonzero(unlike)
+
+    def _lookup(self, found: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(len(found), np.int64) for _ in range(4)]
+        for keys, *kept in self.parts:
             if len(keys):
                 k = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                 hit = keys[k] == found
-                place[hit], count[hit] = at[k[hit]], n[k[hit]]
-        return place, count
+                for x, y in zip(out, kept, strict=True):
+                    x[hit] = y[k[hit]]
+        return out
 
     def _keep(self, *new: np.ndarray) -> None:
         many, recent = self.parts
@@ -143,7 +168,7 @@ def _edges(buf: np.ndarray) -> np.ndarray:
 
 
 def _hashes(buf: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece's bytes, by prefix sums."""
+    """A 64-bit hash of each piece's bytes, by prefix sums. Equal hashes of unlike pieces can be made, so bytes are compared too."""
     up, down = powers(len(buf) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(buf) + 1, np.uint64)

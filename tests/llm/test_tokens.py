@@ -19,7 +19,9 @@ def rows():
 
 
 def expected(values):
-    tool = T.encoder(T.tokenizer_path()).library
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(T.tokenizer_path())
     return [[*tool.encode(t or "", add_special_tokens=False).ids, 2] for t in values]
 
 
@@ -42,6 +44,37 @@ def test_ids_are_those_of_the_library_by_default():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in values]
 
 
+def thue_morse(n):
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_pieces_of_equal_hashes_are_told_apart():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(T.tokenizer_path())
+    (a, b), (c, d) = thue_morse(10), thue_morse(11)
+    edges = np.array([0, 2048, 4096])
+    assert len(set(T._hashes(np.frombuffer((c + d).encode(), np.uint8), edges).tolist())) == 1
+    tool = T.PieceEncoder(T.tokenizer_path())
+    for values in ([a, b], [c, d], [f"x {a} y {b} z {a}", f"{c} {d}"], [f"{d} {c}", b]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(values)] == [library.encode(x, add_special_tokens=False).ids for x in values]
+
+
+def test_whole_table_has_the_library_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(T.tokenizer_path())
+    values = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    tool, got = T.PieceEncoder(T.tokenizer_path()), []
+    for i, j in T.slices(values):
+        got += tool.encode(values[i:j])
+    want = [x.ids for x in library.encode_batch(values, add_special_tokens=False)]
+    assert [crc(np.frombuffer(x, "<u4")) for x in got] == [crc(x) for x in want]
+
+
 def test_code_lengths_are_optimal_and_limited():
     counts = np.array([0, 5, 9, 12, 13, 16, 45, 0])
     assert H.code_lengths(counts).tolist() == [0, 4, 4, 3, 3, 3, 1, 0]
