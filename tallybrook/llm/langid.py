@@ -7,8 +7,8 @@ language of the centroid with the largest cosine. It is rejected when that cosin
 training texts of that centroid's language had.
 
 Document frequencies come from all training rows. Centroids are fitted on at most `per_language` rows of
-each language, those with the smallest hash of the id; the vectors of that bounded sample are the only rows
-that meet in one task.
+each language, those with the smallest hash of id and text; the vectors of that bounded sample are the only
+rows that meet in one task. Rows that repeat both count once there, so copies can't make a task large.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.llm import common as C
 
 DIMS = 4096
 PER_LANGUAGE, CLUSTERS, ROUNDS = 600, 4, 8
+#: Languages a model may have: it is broadcast, 64 KB for each.
+MOST_LANGUAGES = 1000
 #: n-grams from which on a text is held to the whole of its centroid's floor (about 170 letters).
 SURE_GRAMS = 500
 _SLICE = 1 << 20
@@ -31,26 +33,31 @@ UNKNOWN = "und"
 
 
 def grams(text: str) -> np.ndarray | None:
-    """Counts of hashed 1-, 2- and 3-grams of the lower-cased letters; None if there is no letter."""
-    total = None
-    for at in range(0, max(len(text), 1), _SLICE):
-        part = text[at : at + _SLICE].lower()
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _is_letter(points, part)
-        if not letter.any():
-            continue
-        x = np.where(letter, points, np.uint32(0x20)).astype(np.uint64)
-        x = np.r_[np.uint64(0x20), x, np.uint64(0x20)]
-        space = x == 0x20
-        keep = np.r_[True, ~(space[1:] & space[:-1])]
-        x = x[keep]
-        with np.errstate(over="ignore"):
+    """Counts of hashed 1-, 2- and 3-grams of the lower-cased letters; None if there is no letter.
+
+    Long texts go slice by slice, each after the last two marks of what stands before it, so every gram counts once.
+    """
+    text = text.lower()
+    total, before, found = np.zeros(DIMS, np.int64), np.array([0x20], np.uint64), False
+    count = lambda h: np.bincount((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int64), minlength=DIMS)
+    with np.errstate(over="ignore"):
+        total += count(before)
+        for at in range(0, max(len(text), 1), _SLICE):
+            part = text[at : at + _SLICE]
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            letter = _is_letter(points, part)
+            found = found or bool(letter.any())
+            x = np.r_[before, np.where(letter, points, np.uint32(0x20))]
+            if at + _SLICE >= len(text):
+                x = np.r_[x, np.uint64(0x20)]
+            space = x == 0x20
+            x = x[np.r_[True, ~(space[1:] & space[:-1])]]
+            old = len(before)  # no gram that ends in these is new
             two = x[:-1] * np.uint64(0x1F123BB5) + x[1:]
             three = two[:-1] * np.uint64(0x1F123BB5) + x[2:]
-            h = np.concatenate([x, two ^ np.uint64(1 << 40), three ^ np.uint64(2 << 40)]) * np.uint64(0x9E3779B97F4A7C15)
-        counts = np.bincount((h >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int64), minlength=DIMS)
-        total = counts if total is None else total + counts
-    return total
+            total += count(np.concatenate([x[old:], two[old - 1 :] ^ np.uint64(1 << 40), three[max(0, old - 2) :] ^ np.uint64(2 << 40)]))
+            before = x[-2:]
+    return total if found else None
 
 
 _LETTERS = np.array([chr(k).isalpha() for k in range(0x3000)])
@@ -135,12 +142,12 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages: a model of more than {MOST_LANGUAGES} is not broadcast")
     # A hash threshold first leaves about twice the sample, so that only it is ordered.
-    h = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(2.0)
-    for lang, size in sizes.items():
-        rate = F.when(F.col("lang") == lang, min(2.0, (2.0 * per_language + 50) / size)).otherwise(rate)
-    sample = rows.withColumn("h", h).where(F.col("h") < rate)
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    rates = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(2.0, (2.0 * per_language + 50) / size))])
+    sample = rows.withColumn("h", h).where(F.col("h") < rates[F.col("lang")]).dropDuplicates(["lang", "h"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "doc_id", "text"]).head(per_language)
@@ -165,23 +172,31 @@ def held_out(name: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and rejected added, from the text alone. Names in docs must not clash with these."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x clusters x DIMS floats
+def predictor(spark: SparkSession, model: Model):
+    """A function of a text column that gives a struct of lang_pred, score and rejected."""
+    shared = spark.sparkContext.broadcast(model)  # MOST_LANGUAGES x clusters x DIMS floats at most
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(values: pd.Series) -> pd.DataFrame:
         rows = [shared.value.predict(x if isinstance(x, str) else None) for x in values]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_found", run(F.col("text").cast("string"))).select(*docs.columns, "_found.*")
+    return lambda text: run(text.cast("string"))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred, score and rejected added, from the text alone. Columns of docs with these names are replaced."""
+    added = ("lang_pred", "score", "rejected")
+    own = [c for c in docs.columns if c.lower() not in added]
+    found = docs.select(F.struct(*own).alias("own"), predictor(docs.sparkSession, model)(F.col("text")).alias("found"))
+    return found.select("own.*", *[f"found.{c}" for c in added])
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text, lang), learning from the rows that are not held out.
 
-    A null text, or one without letters, is `und` with score 0. Repeated rows are rows. If nothing can be
-    learnt every text is `und`. Other columns are ignored.
+    A null text, or one without letters, is `und` with score 0. Repeated rows are rows. A text of any length counts
+    whole. If nothing can be learnt every text is `und`. An empty table gives no rows. Other columns are ignored.
     """
     model = fit(docs.where(~held_out()))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))

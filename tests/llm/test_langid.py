@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -23,6 +24,63 @@ def test_grams_count_every_gram():
     assert L.grams("12 34 !?") is None and L.grams("") is None
 
 
+def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choice("abΣé  .,1\n") for _ in range(rng.randint(1, 70)))
+        whole = L.grams(text)
+        for size in (1, 2, 3, 7, 16):
+            with monkeypatch.context() as m:
+                m.setattr(L, "_SLICE", size)
+                part = L.grams(text)
+            assert (whole is None and part is None) or (whole == part).all()
+        assert whole is None or whole.sum() == sum(brute_grams(text).values())
+
+
+def test_model_is_that_of_direct_counts(spark):
+    """Cosines of the vectors made from plain dictionaries of n-grams against the model's centroids."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs)
+    rows = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+
+    def place(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x1F123BB5 + ord(c)) % 2**64
+        h ^= {1: 0, 2: 1 << 40, 3: 2 << 40}[len(gram)]
+        return (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - L.DIMS.bit_length() + 1)
+
+    found, vectors = np.zeros(L.DIMS, int), []
+    for r in rows:
+        counts = np.zeros(L.DIMS)
+        for gram, n in brute_grams(r.text).items():
+            counts[place(gram)] += n
+        found += counts > 0
+        vectors.append(np.log1p(counts))
+    idf = np.log((1 + len(rows)) / (1 + found)) + 1
+    assert np.allclose(idf, model.idf)
+    for r, v in zip(rows, vectors):
+        v = v * idf / np.linalg.norm(v * idf)
+        cosine = [sum(a * b for a, b in zip(c.tolist(), v.tolist())) for c in model.centres]
+        lang, score, _ = model.predict(r.text)
+        assert lang == model.langs[int(np.argmax(cosine))] and abs(score - max(0.0, min(1.0, max(cosine)))) < 1e-4
+
+
+def test_names_that_clash(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs)
+    odd = docs.selectExpr("*", "7 AS score", "'x' AS Lang_Pred", "true AS rejected", "1 AS own", "2 AS found")
+    got = L.predict(odd, model)
+    assert got.columns == [*docs.columns, "own", "found", "lang_pred", "score", "rejected"]
+    assert sorted(got.select("doc_id", "lang_pred", "score").collect()) == sorted(L.predict(docs, model).select("doc_id", "lang_pred", "score").collect())
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    same = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same words again' AS text", "'en' AS lang")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").unionByName(same)
+    assert L.identify(docs).where("doc_id IS NULL AND lang_pred <> 'en'").count() == 0
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
