@@ -6,6 +6,7 @@ so a corpus-wide exchange costs bytes rather than rows.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -20,12 +21,22 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Tables that materialise() wrote and discard() has not deleted, with the file system of each.
+_WRITTEN: dict[str, object] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of its own only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session (tests) gets a folder of its own; on a cluster that is an error, as the
+    executors would not see the driver's disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallybrook-"))
             at = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = at.get()
@@ -34,19 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN[path] = (at, at.getFileSystem(spark._jsc.hadoopConfiguration()))
     df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._tallybrook_path = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what materialise() wrote, through Hadoop's file system."""
-    spark, path = df.sparkSession, df._tallybrook_path
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialise() wrote for these frames, through Hadoop's file system."""
+    for df in frames:
+        at, files = _WRITTEN.pop(df._tallybrook_path)
+        files.delete(at, True)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Deletes every table that is left: results that were returned read from them, so they last as long as the program, or until this is called."""
+    while _WRITTEN:
+        _, (at, files) = _WRITTEN.popitem()
+        try:
+            files.delete(at, True)
+        except Exception:  # the JVM may be gone
+            return
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,10 +79,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def sized(df: DataFrame, mb: int = 8) -> int:
-    """Buckets of about `mb` megabytes by the plan's estimate of its input, two for each core at least, the shuffle partitions at most."""
+    """Buckets of about `mb` megabytes of what df's plan reads, however many that are.
+
+    A small input gets two for each core at least, where the session has as many shuffle partitions; so does one whose
+    size Spark doesn't know (rows of an RDD): that gets the shuffle partitions.
+    """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(partitions(spark), max(2 * spark.sparkContext.defaultParallelism, -(-size // (mb << 20)))))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= 1 << 60:
+        return partitions(spark)
+    return max(1, -(-size // (mb << 20)), min(partitions(spark), 2 * spark.sparkContext.defaultParallelism))
 
 
 def ids(column: pd.Series) -> np.ndarray:
@@ -194,17 +225,28 @@ def bucket_keys(n: int) -> np.ndarray:
 
 
 class Buckets:
-    """n buckets with one key each; an id's bucket is the same in SQL and in NumPy."""
+    """n buckets with one key each; a place is the same in SQL and in NumPy.
+
+    Up to EVEN buckets the keys fill the partitions of an exchange one each. Beyond, where keys are too many to be
+    listed in a plan, a bucket's number is its key, and a partition gets a few buckets or none.
+    """
+
+    EVEN = 4096
 
     def __init__(self, n: int):
-        self.n, self.keys = n, bucket_keys(n)
+        self.n = n
+        self.keys = bucket_keys(n) if n <= self.EVEN else np.arange(n, dtype=np.int64)
+
+    def at(self, place):
+        """The key of a column of places from 0 to n - 1."""
+        return (F.element_at(F.lit([int(k) for k in self.keys]), (place + 1).cast("int")) if self.n <= self.EVEN else place).cast("int")
 
-    def column(self, of: str = "doc_id"):
-        at = F.pmod(F.xxhash64(F.coalesce(F.col(of).cast("long"), F.lit(NULL_ID))), F.lit(self.n))
-        return F.element_at(F.lit([int(k) for k in self.keys]), (at + 1).cast("int")).cast("int")
+    def column(self, of: str = "doc_id", salt=None):
+        h = F.xxhash64(F.coalesce(F.col(of).cast("long"), F.lit(NULL_ID)))
+        return self.at(F.pmod(h if salt is None else h.bitwiseXOR(salt), F.lit(self.n)))
 
-    def of_ids(self, values: np.ndarray) -> np.ndarray:
-        return self.keys[xxh64_long(values) % self.n]
+    def of_ids(self, values: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        return self.keys[(xxh64_long(values) ^ salt) % self.n]
 
     def of_hashes(self, values: np.ndarray) -> np.ndarray:
         return self.keys[(values % np.uint64(self.n)).astype(np.int64)]

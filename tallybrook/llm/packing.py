@@ -77,13 +77,13 @@ def _local(capacity: int, nearly: int):
                     members.append(np.array((d, k, s, size, zlib.crc32(ids[4 * s : 4 * (s + size)])), _PIECE).tobytes())
             if len(sizes) > 1_000_000:  # a task of any length runs in bounded memory
                 out = _packed(np.array(sizes), members, capacity, nearly, 0)
-                out["bin"] += held << 22
-                held += 1
+                out["bin"] += held
+                held += len(out)
                 sizes, members = [], []
                 yield out
         if sizes:
             out = _packed(np.array(sizes), members, capacity, nearly, 0)
-            out["bin"] += held << 22
+            out["bin"] += held
             yield out
 
     return run
@@ -119,14 +119,19 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = Non
     """A row per piece of each document of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty: the end id alone. Repeated rows, and rows with a null doc_id, are packed like any
-    other. Other columns are ignored. An empty table gives no rows. Every piece is in exactly one sequence.
+    other. Other columns are ignored. An empty table gives no rows. Every piece is in exactly one sequence. A
+    text of any length is encoded whole, and becomes as many pieces as it needs.
+
+    The tree's first level has an eighth as many tasks as wrote bins. A task writes what it has after a million
+    pieces, for its memory; bins that are open then go on like all others. `carry` only says how many tasks a
+    level needs.
     """
-    spark = docs.sparkSession
     least = int(np.ceil(nearly * capacity))
-    parts = max(C.partitions(spark), 1)
     bins = C.materialise(T.token_rows(docs, path or T.tokenizer_path(), end_id, _local(capacity, least), _BIN), "bins")
     done = [bins.where("final")]
     level, before = 1, None
+    wrote = F.countDistinct(F.shiftright("bin", 30))
+    parts = bins.where("not final").agg(wrote.alias("n")).first().n
     while True:
         left = bins.where("not final").count()
         needed = -(-left // (FAN_IN * carry))

@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallybrook.llm import common as C
 
@@ -38,7 +39,8 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bits of a trigger's hash that are told apart; a false match costs work, never a wrong result.
 _TRIGGER = np.uint64((1 << 40) - 1)
-_PLACE = {"d": "<i8", "r": "<u2", "lo": "<u4", "n": "<u2"}
+#: A place: the document's id, its row (see _documents()), the first window's start, and how many windows follow it.
+_PLACE = {"d": "<i8", "r": "<u8", "lo": "<u4", "n": "<u2"}
 _COLUMNS = {"a": "V5", "u": "<u8"} | _PLACE
 _SENT = "b int, kind string, a binary, u binary, d binary, r binary, lo binary, n binary"
 
@@ -108,16 +110,24 @@ def _chunks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(lengths)
 
 
-def _documents(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Ids, numbers among the rows of an id (by text; equal rows share one) and bytes, in order."""
-    d, raw = C.ids(frame["doc_id"]), C.texts(frame["text"])
-    order = C.in_order(d, raw)
-    d, out = d[order], [raw[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
-    r = np.zeros(len(d), np.uint16)
-    for k in range(1, len(d)):
-        if d[k] == d[k - 1]:
-            r[k] = r[k - 1] + (out[k] != out[k - 1])
-    return d, r, out
+_X = np.uint64(32)
+
+
+def _documents(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Ids, rows, bytes and places in the frame, in order. A row is told by 32 bits of its text's hash (x), and by a
+    number among the texts of one id that share them; equal rows share one row."""
+    d, x, raw = C.ids(frame["doc_id"]), frame["x"].to_numpy().astype(np.uint64), C.texts(frame["text"])
+    order = np.lexsort((x, d))
+    d, x = d[order], x[order]
+    s, e = C.runs(d)
+    for i, j in zip(s.tolist(), e.tolist(), strict=True):
+        if j - i > 1:
+            order[i:j] = sorted(order[i:j].tolist(), key=lambda k: (frame["x"].iat[k], raw[k]))
+    out = [raw[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
+    number = np.zeros(len(d), np.uint64)
+    for k in np.flatnonzero((d[1:] == d[:-1]) & (x[1:] == x[:-1])).tolist():
+        number[k + 1] = number[k] + np.uint64(out[k + 1] != out[k])
+    return d, (x << _X) | number, out, order
 
 
 def _earliest(keys: list[np.ndarray], d: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +151,7 @@ def _extract(width: int, to: C.Buckets):
         frame = C.whole(batches)
         if frame is None or not len(frame):
             return
-        d, r, raw = _documents(frame)
+        d, r, raw, _ = _documents(frame)
         del frame
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         parts: list[tuple] = []
@@ -199,7 +209,12 @@ def _repeats(d, r, lo, n, pick: np.ndarray, to: C.Buckets) -> Iterator[pd.DataFr
     first = np.flatnonzero(new)
     last = np.maximum.reduceat(stop, first)
     cols = {"d": d[first], "r": r[first], "lo": lo[first].astype(np.uint32), "n": (last - lo[first]).astype(np.uint16)}
-    yield from _send(cols, to.of_ids(cols["d"]), "repeat")
+    yield from _send(cols, _home(cols, to), "repeat")
+
+
+def _home(cols: dict[str, np.ndarray], to: C.Buckets) -> np.ndarray:
+    """The buckets of places' rows."""
+    return to.of_ids(cols["d"], (cols["r"] >> _X).astype(np.int64))
 
 
 def _kinds(batches) -> dict[str, list[pd.DataFrame]]:
@@ -260,7 +275,7 @@ def _trigger_table(frequent: int, to: C.Buckets):
         of_single, of_shared = total[back[: len(x["a"])]], total[back[len(x["a"]) :]]
         for often, kind in ((False, "suspect"), (True, "frequent")):
             pick = np.flatnonzero((of_single > 1) & ((of_single > frequent) == often))
-            yield from _send({k: x[k][pick] for k in ("a", *_PLACE)}, to.of_ids(x["d"][pick]), kind)
+            yield from _send(cols := {k: x[k][pick] for k in ("a", *_PLACE)}, _home(cols, to), kind)
         pick = np.flatnonzero(of_shared > frequent)
         yield from _send({"a": y["a"][pick]}, y["u"][pick].astype(np.int64), "flag")
 
@@ -275,7 +290,7 @@ def _members(to: C.Buckets):
         x = _read(held, "member", ("a", *_PLACE))
         often = np.isin(x["a"], _read(held, "flag", ("a",))["a"])
         for pick, kind in ((~often, "suspect"), (often, "frequent")):
-            yield from _send({k: x[k][pick] for k in ("a", *_PLACE)}, to.of_ids(x["d"][pick]), kind)
+            yield from _send(cols := {k: x[k][pick] for k in ("a", *_PLACE)}, _home(cols, to), kind)
 
     return run
 
@@ -310,7 +325,7 @@ def _texts_of_suspects(width: int, to: C.Buckets):
             if not len(x["d"]):
                 continue
             if at is None:
-                d, r, raw = _documents(left)
+                d, r, raw, _ = _documents(left)
                 at = {(i, j): k for k, (i, j) in enumerate(zip(d.tolist(), r.tolist(), strict=True))}
             doc = [at[k] for k in zip(x["d"].tolist(), x["r"].tolist(), strict=True)]
             stop = x["lo"].astype(np.int64) + x["n"] + width
@@ -382,58 +397,144 @@ def _first_bytes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def _removed(width: int, keep: str | None):
-    """Per row of a bucket: its document, the removed mask's counts and the bytes that stay."""
+    """Per row of a bucket: its document, the removed mask's counts, the digest of the bytes that stay, and they or its own columns."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        d, r, raw = _documents(left)
+    def run(left, right):
+        import pyarrow as pa
+
+        frame = left.select(["doc_id", "x", "text"]).to_pandas()
+        d, r, raw, order = _documents(frame)
         where = {(i, j): k for k, (i, j) in enumerate(zip(d.tolist(), r.tolist(), strict=True))}
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-        x = C.unpack([right], _PLACE)
+        x = C.unpack([right.select(list(_PLACE)).to_pandas()], _PLACE)
         doc = np.fromiter((where[k] for k in zip(x["d"].tolist(), x["r"].tolist(), strict=True)), np.int64, len(x["d"]))
         by = np.argsort(doc, kind="stable")
         cuts = np.searchsorted(doc[by], np.arange(len(raw) + 1))
         lo, stop = x["lo"].astype(np.int64)[by], (x["lo"].astype(np.int64) + x["n"] + width)[by]
         rows = []
         for k, text in enumerate(raw):
-            twin = k and d[k] == d[k - 1] and r[k] == r[k - 1]
-            if not twin:
-                s, e = cuts[k], cuts[k + 1]
-                marks = np.zeros(lengths[k] + 1, np.int32)
-                np.add.at(marks, lo[s:e], 1)
-                np.add.at(marks, stop[s:e], -1)
-                gone = np.cumsum(marks)[:-1] > 0
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-            rows.append((lengths[k], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), {"bytes": kept, "text": kept.decode("utf-8", "ignore") if keep == "text" else None}.get(keep)))
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            # Equal rows share the last one's place.
+            twin = where[d[k], r[k]]
+            if k and where[d[k - 1], r[k - 1]] == twin:
+                rows.append(rows[-1])
+                continue
+            s, e = cuts[twin], cuts[twin + 1]
+            marks = np.zeros(lengths[k] + 1, np.int32)
+            np.add.at(marks, lo[s:e], 1)
+            np.add.at(marks, stop[s:e], -1)
+            gone = np.cumsum(marks)[:-1] > 0
+            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+            own = np.frombuffer(text, np.uint8)
+            if keep == "text":
+                kept = own[~_whole_characters(own, gone)].tobytes() if spans else text
+            else:
+                kept = own[~gone].tobytes() if spans else text
+            rows.append((int(lengths[k]), int(gone.sum()), spans, kept))
+        out = {"doc_id": pa.array([None if i == C.NULL_ID else i for i in d.tolist()], pa.int64())}
+        for name, values in zip(("n_bytes", "n_removed", "n_spans", "kept"), list(zip(*rows, strict=True)) or ((),) * 4, strict=True):
+            out[name] = values
+        kept = out.pop("kept")
+        columns = [out["doc_id"], *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans"))]
         if keep == "text":
-            out["text_hash"] = np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).view(np.int64)
-        out.insert(0, "doc_id", C.id_or_null(d))
+            columns += [pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), left.column("rest").take(pa.array(order)).combine_chunks()]
+        else:
+            columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
+            if keep == "bytes":
+                columns.append(pa.array(kept, pa.binary()))
         C.release()
-        return out
+        names = {"text": ["text", "rest"], "bytes": ["kept_sha256", "kept"]}.get(keep, ["kept_sha256"])
+        return pa.table(dict(zip(["doc_id", "n_bytes", "n_removed", "n_spans", *names], columns, strict=True)))
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = 100, keep: str | None = "bytes", frequent: int = 2000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, what stays, for every row of docs.
+def _whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The mask of removed bytes, widened to every character of UTF-8 text of which a byte goes."""
+    first = np.flatnonzero((text & 0xC0) != 0x80)
+    number = np.cumsum((text & 0xC0) != 0x80) - 1
+    return np.logical_or.reduceat(gone, first)[number]
 
-    keep: kept is its bytes, or (`text`) its text without characters that are cut in two, or (None) null. With `text`, text_hash is
-    the row's text by Spark's xxhash64 (null: the empty text), which tells rows of one doc_id apart.
 
-    docs needs doc_id (long) and text (string); other columns are ignored. A byte goes if a string of `width`
-    bytes that also starts at a smaller (doc_id, start) covers it. Null text is empty. A null doc_id is
-    ordered first. Rows that repeat a doc_id hold one place: a string repeats only if it starts at a
-    strictly smaller (doc_id, start), so equal rows get equal results. Texts under `width` bytes stay whole.
-    `frequent` only chooses a way of comparing; either finds every repeat.
-    """
+def _repeats_of(docs: DataFrame, width: int, keep: str | None, frequent: int, rest=None) -> DataFrame:
+    if width < 8 or width > 60_000:
+        raise ValueError("width must be from 8 to 60,000 bytes")
     to = C.Buckets(C.sized(docs))
     nb = to.n
-    texts = docs.select(C.id_column(), F.col("text").cast("string").alias("text")).withColumn("b", to.column()).repartition(nb, "b")
-    places = texts.mapInPandas(_extract(width, to), _SENT)
+    text = F.col("text").cast("string")
+    x = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFFFFFF)
+    texts = docs.select(C.id_column(), x.alias("x"), text.alias("text"), *([rest.alias("rest")] if rest is not None else []))
+    texts = texts.withColumn("b", to.column(salt=F.col("x"))).repartition(nb, "b")
+    places = texts.mapInPandas(_extract(width, to), _SENT) if rest is None else texts.mapInArrow(_in_pandas(_extract(width, to)), _SENT)
     for step in (_phrase_table(to), _trigger_table(frequent, to), _members(to)):
         places = places.repartition(nb, "b").mapInPandas(step, _SENT)
-    places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_texts_of_suspects(width, to), _SENT)
+    if rest is None:
+        places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_texts_of_suspects(width, to), _SENT)
+    else:
+        places = texts.groupBy("b").cogroup(places.groupBy("b")).applyInArrow(_cogroup_in_pandas(_texts_of_suspects(width, to)), _SENT)
     places = places.repartition(nb, "b").mapInPandas(_window_table(width, to), _SENT)
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string, text_hash long' if keep == 'text' else 'binary'}"
-    return texts.groupBy("b").cogroup(places.groupBy("b")).applyInPandas(_removed(width, keep), schema)
+    schema = StructType()
+    for name in ("doc_id", "n_bytes", "n_removed", "n_spans"):
+        schema.add(name, "long")
+    if keep == "text":
+        schema.add("text", "string").add(texts.schema["rest"])
+    else:
+        schema.add("kept_sha256", "string")
+        if keep == "bytes":
+            schema.add("kept", "binary")
+    return texts.groupBy("b").cogroup(places.groupBy("b")).applyInArrow(_removed(width, keep), schema)
+
+
+def _in_pandas(run):
+    """A step over batches of which only id, text and its hash become pandas; other columns, of any type, stay in Arrow."""
+    import pyarrow as pa
+
+    def step(batches):
+        frames = (x.select(["doc_id", "x", "text"]).to_pandas() for x in batches)
+        for out in run(frames):
+            yield pa.RecordBatch.from_pandas(out, _sent_schema(), preserve_index=False)
+
+    return step
+
+
+def _cogroup_in_pandas(run):
+    import pyarrow as pa
+
+    def step(left, right):
+        out = run(left.select(["doc_id", "x", "text"]).to_pandas(), right.to_pandas())
+        return pa.Table.from_pandas(out[["b", "kind", *_COLUMNS]], _sent_schema(), preserve_index=False)
+
+    return step
+
+
+def _sent_schema():
+    import pyarrow as pa
+
+    return pa.schema([("b", pa.int32()), ("kind", pa.string()), *((k, pa.binary()) for k in _COLUMNS)])
+
+
+def dedup_substrings(docs: DataFrame, width: int = 100, keep: str | None = "bytes", frequent: int = 2000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with keep) kept, the bytes that stay, for every row of docs.
+
+    docs needs doc_id (long) and text (string); other columns are ignored. A byte goes if a string of `width`
+    bytes that also starts at a smaller (doc_id, start) covers it. Null text is empty. A null doc_id is
+    ordered first. Rows that repeat a doc_id hold one place: a string repeats only if it starts at a
+    strictly smaller (doc_id, start), so equal rows get equal results. Texts under `width` bytes stay whole;
+    texts of up to 4 GB are read whole. An empty table gives no rows. Rows are dealt by id and text, so rows
+    without an id, or of one id, don't meet in one task.
+    `frequent` only chooses a way of comparing; either finds every repeat.
+    """
+    return _repeats_of(docs, width, "bytes" if keep else None, frequent)
+
+
+def without_repeats(docs: DataFrame, width: int = 100, frequent: int = 2000) -> DataFrame:
+    """docs, its columns as they are, with the bytes that dedup_substrings() removes cut out of text, and n_removed (bytes, before
+    whole characters are) added as the column `_removed`.
+
+    Of a character of which a byte goes all bytes go. Rows and columns are carried along, not joined back: null and
+    repeated ids, and equal rows, stay as many as they were. A null text stays null.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    own = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`") for c in rest])
+    out = _repeats_of(docs, width, "text", frequent, own)
+    text = F.when(~F.col("rest._null"), F.col("text")).alias("text")
+    return out.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns], F.col("n_removed").alias("_removed"))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from tallybrook.llm import common as C
-from tallybrook.llm.suffix_dedup import dedup_substrings, gram_hashes
+from tallybrook.llm.suffix_dedup import dedup_substrings, gram_hashes, without_repeats
 
 
 def brute(rows, width):
@@ -66,11 +66,53 @@ def test_repeated_rows(spark):
     assert [r[2] for r in got] == [0, 0, len(text)]
 
 
+def test_repeated_rows_after_the_first_place(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again until the string is long enough to count, yes"
+    rows = [(9, text, 0), (9, text, 0), (9, text + " and more", 0), (2, text, 0), (None, "z" * 99, 0)]
+    got = run(spark, rows, 100)
+    assert [r[:3] for r in got] == [(C.NULL_ID, 99, 0), (2, len(text), 0), (9, len(text), len(text)), (9, len(text), len(text)), (9, len(text) + 9, len(text))]
+
+
+def test_many_texts_of_one_id_and_without_id(spark):
+    """More texts than 16 bits number: each keeps its own result."""
+    end = "and the end of it is a passage of more than one hundred bytes that stands in just two of these many many texts"
+    rows = spark.range(70_000).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", f"IF(id IN (2, 69001), concat('{end}', id), concat('t', id)) AS text", "1 AS b")
+    got = dedup_substrings(rows, 100, keep=None).where("n_bytes > 100").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_removed) for r in got] == [(None, 0), (7, len(end))]
+    assert dedup_substrings(rows, 100, keep=None).where("n_removed > 0").count() == 1
+
+
+def test_long_texts_go_in_parts(spark, monkeypatch):
+    import tallybrook.llm.suffix_dedup as S
+
+    rng = random.Random(11)
+    texts = {d: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 3000))) for d in range(9)}
+    texts[20] = "".join(texts[d] for d in range(9)) * 2
+    raw = [(d, t.encode()) for d, t in texts.items()]
+    monkeypatch.setattr(S, "_CHUNK", 500)
+    assert list(S._chunks(np.array([len(x) for _, x in raw])))[-1][1] == len(raw)
+    check(spark, texts)
+
+
 def test_text_that_stays(spark):
     line = "".join(chr(0x100 + k) for k in range(60))
-    df = spark.createDataFrame([(1, "a" + line), (2, "b" + line + "ü")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in dedup_substrings(df, keep="text").collect()} == {1: "a" + line, 2: "bü"}
-    assert {r.doc_id: r.kept for r in dedup_substrings(df).collect()}[2] == "bü".encode()
+    rows = [(1, "a" + line, 5, None), (2, "b" + line + "ü", 6, [1]), (None, None, None, None), (3, "c" + line, 7, None), (3, "c" + line, 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `b` long, `odd name` array<int>")
+    out = without_repeats(df)
+    assert out.columns == [*df.columns, "_removed"]
+    got = sorted(out.collect(), key=lambda r: r.b or 0)
+    assert [tuple(r) for r in got] == [(None, None, None, None, 0), (1, "a" + line, 5, None, 0), (2, "bü", 6, [1], 120), (3, "c", 7, None, 120), (3, "c", 8, None, 120)]
+    assert {r.kept for r in dedup_substrings(df).where("doc_id = 2").collect()} == {"bü".encode()}
+
+
+def test_halves_of_cut_characters_do_not_fuse(spark):
+    """The repeat covers the second byte of one character and the first of another: both go."""
+    middle = "x" * 98
+    first = "\u0123" + middle + "\u0163"  # C4 A3 ... C5 A3
+    second = "\u0163" + middle + "\u0141"  # C5 A3 ... C5 81
+    df = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._removed) for r in without_repeats(df).collect()}
+    assert got == {1: (first, 0), 2: ("", 100)}
 
 
 def test_empty_table(spark):
