@@ -115,6 +115,14 @@ def id_column(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)).alias(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values in a sorted array."""
     if not len(keys):

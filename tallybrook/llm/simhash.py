@@ -12,6 +12,9 @@ whose rows all exceed the radius are abandoned on the way.
 
 Links become stars (row -> smallest id of its part of the bucket), and stars become groups by alternating
 large-star and small-star steps over a table in the shared folder.
+
+No key gathers all its rows in one task: a key with very many rows is dealt as a grid of cells, in which every
+two of its parts meet; and joins split off the keys that very many rows have (split_join()).
 """
 
 from __future__ import annotations
@@ -29,6 +32,12 @@ from pyspark.sql import functions as F
 from tallybrook.llm import common as C
 
 BITS = 64
+#: A key with over 1/SPLIT of all rows (and over LEAST_SPLIT) is split off in joins, so at most SPLIT keys are broadcast.
+SPLIT, LEAST_SPLIT = 1_000_000, 64
+#: Rows of a key that are compared in one task; beyond, its rows are dealt as a grid. Slots count rows of keys.
+GRID_ROWS, SLOTS = 20_000, 1 << 18
+#: Characters of texts whose shingle sets are compared in one task.
+GRID_CHARS = 16_000_000
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -212,18 +221,52 @@ def links_of_buckets(keys: np.ndarray, values: np.ndarray, radius: int, alike=No
     return members[keep], roots[keep]
 
 
+def split_join(rows: DataFrame, side: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with side, which has a row for each value of `on`, and in `n` how many of the rows have it; n goes.
+
+    Values that very many rows have are joined by broadcast, so no task gets all rows of one. They are SPLIT at most:
+    more than total / SPLIT of `total` rows have each.
+    """
+    many = max(LEAST_SPLIT, total // SPLIT)
+    added = [c for c in side.columns if c not in (on, "n")]
+    hot = side.where(F.col("n") > many).select(on, *added, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), on, "left")
+    few = marked.where("_hot is null").drop("_hot", *added).join(side.where(F.col("n") <= many).drop("n"), on)
+    return marked.where("_hot").drop("_hot").unionByName(few)
+
+
+def grid(rows: DataFrame, key: str, member: str, parts: DataFrame, on) -> DataFrame:
+    """rows with `cell`, a hash of `key`, and for keys of several parts also of two parts: a row goes to every cell of its own part.
+
+    parts: (slot, parts), few enough to be broadcast; `on` is the slot of a row. Any two rows of a key share a cell.
+    """
+    rows = rows.withColumn("_slot", on).join(F.broadcast(parts.withColumnRenamed("slot", "_slot")), "_slot", "left")
+    own = F.pmod(F.xxhash64(member, F.lit(3)), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64(F.col(key), F.least(own, q), F.greatest(own, q)))
+    return rows.withColumn("cell", F.explode(F.when(F.col("parts") > 1, cells).otherwise(F.array(F.xxhash64(key))))).drop("_slot", "parts")
+
+
+def _grid_by_rows(rows: DataFrame, key: str, member: str, total: int, keys: DataFrame | None = None) -> DataFrame:
+    """grid() of keys whose slot (a hash of the key) counts over GRID_ROWS rows, or twice the mean of all slots; `keys` are the keys of the rows."""
+    limit = max(GRID_ROWS, 2 * total // SLOTS)
+    slot = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(SLOTS))
+    counts = (rows if keys is None else keys).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return grid(rows, key, member, counts.select("slot", F.ceil(F.col("n") / limit).alias("parts")), slot)
+
+
 def links(codes: DataFrame, radius: int, rows: int) -> DataFrame:
     """Links (a, b), a > b, between the ids of codes (id, fp; one row per fingerprint): every row within the radius of another is joined to it through links."""
     masks = [np.uint64(m).astype(np.int64).item() if m < 2**63 else m - 2**64 for m in block_masks(radius, blocks_for(rows, radius))]
     choice = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)]))
     n = C.partitions(codes.sparkSession)
-    dealt = codes.select("id", "fp", choice.alias("c")).select("id", "fp", F.xxhash64("c.t", "c.key").alias("key")).repartition(n, "key")
+    keyed = codes.select("id", "fp", choice.alias("c")).select("id", "fp", F.xxhash64("c.t", "c.key").alias("key"))
+    dealt = _grid_by_rows(keyed, "key", "id", rows * len(masks)).select("id", "fp", "cell").repartition(n, "cell")
 
     def run(batches):
         frame = C.whole(batches)
         if frame is None or not len(frame):
             return
-        key, ident, fp = (frame[c].to_numpy() for c in ("key", "id", "fp"))
+        key, ident, fp = (frame[c].to_numpy() for c in ("cell", "id", "fp"))
         order = np.lexsort((ident, key))
         key, ident, fp = key[order], ident[order], fp[order]
         a, b = links_of_buckets(key, fp, radius)
@@ -236,31 +279,28 @@ def links(codes: DataFrame, radius: int, rows: int) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every id in pairs (a, b), by alternating star steps.
 
-    Each step's table is written to the shared folder. A node's neighbours are never gathered: both steps
-    use minima by node and joins, which Spark can split where one node has very many links.
+    Each step's table is written to the shared folder. A node's neighbours are never gathered: both steps use minima
+    by node, combined before the exchange, and joins that split off the nodes with very many links.
     """
     edges = C.materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    state = _sums(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = split_join(both.where("b > a"), least, "a", 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = C.materialise(large, "links")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = split_join(large, least, "a", 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = C.materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
-        same = _alike(edges, after)
-        C.discard(large)
-        C.discard(edges)
-        edges = after
-        if same:
+        C.discard(large, edges)
+        edges, before, state = after, state, _sums(after)
+        if state == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _alike(x: DataFrame, y: DataFrame) -> bool:
-    def sums(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
-
-    return sums(x) == sums(y)
+def _sums(edges: DataFrame):
+    """The number of edges, and two sums that tell sets of edges apart."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -330,34 +370,43 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
     def run(batches):
         for frame in batches:
             fp = [wide_fingerprint(x, words, size).tobytes() for x in C.texts(frame["text"])]
-            yield pd.DataFrame({"doc_id": C.ids(frame["doc_id"]), "text_hash": frame["text_hash"], "fp": fp})
+            yield pd.DataFrame({"doc_id": C.ids(frame["doc_id"]), "text_hash": frame["text_hash"], "chars": [len(x) for x in C.texts(frame["text"])], "fp": fp})
 
     texts = docs.select(C.id_column(), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    own = C.materialise(texts.mapInPandas(run, "doc_id long, text_hash long, fp binary"), "fingerprints")
+    own = C.materialise(texts.mapInPandas(run, "doc_id long, text_hash long, chars long, fp binary"), "fingerprints")
     # Numbers in the order of the smallest ids tell codes apart even where an id repeats.
-    first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("fp", "r.*")
+    first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "chars")).alias("r"), F.count("*").alias("n")).select("fp", "n", "r.*")
     codes = C.materialise(first.orderBy("doc_id", "text_hash", "fp").withColumn("id", F.monotonically_increasing_id()), "codes")
     n, to = 64 * size, C.partitions(spark)
-    bits, tables = bands(codes.count(), similarity)
+    rows = codes.count()
+    bits, tables = bands(rows, similarity)
     p = agreement(similarity)
     radius = math.floor(n * (1 - p) + 3 * math.sqrt(n * p * (1 - p)))
     rng = np.random.default_rng(5)
     drawn = np.stack([rng.choice(n, bits, replace=False) for _ in range(tables)])
 
+    weight = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.int64)
+
+    def keys_of(fps) -> np.ndarray:
+        flags = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+        return ((flags[:, drawn].astype(np.int64) * weight).sum(2) + (np.arange(tables, dtype=np.int64) << 32)).ravel()
+
     def keyed(batches):
-        weight = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.int64)
         for frame in batches:
             for at in range(0, len(frame), 512):
                 few = frame.iloc[at : at + 512]
-                flags = np.unpackbits(np.frombuffer(b"".join(few["fp"]), np.uint8).reshape(len(few), -1), axis=1, bitorder="little")
-                keys = (flags[:, drawn].astype(np.int64) * weight).sum(2) + (np.arange(tables, dtype=np.int64) << 32)
-                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(few["id"].to_numpy(), tables), "fp": np.repeat(few["fp"].to_numpy(), tables)})
+                yield pd.DataFrame({"key": keys_of(few["fp"]), "id": np.repeat(few["id"].to_numpy(), tables), "fp": np.repeat(few["fp"].to_numpy(), tables)})
+
+    def only_keys(batches):
+        for frame in batches:
+            for at in range(0, len(frame), 512):
+                yield pd.DataFrame({"key": keys_of(frame["fp"].iloc[at : at + 512])})
 
     def compare(batches):
         frame = C.whole(batches)
         if frame is None or not len(frame):
             return
-        key, ident = frame["key"].to_numpy(), frame["id"].to_numpy()
+        key, ident = frame["cell"].to_numpy(), frame["id"].to_numpy()
         fp = np.frombuffer(b"".join(frame["fp"]), np.uint64).reshape(len(frame), -1)
         del frame
         order = np.lexsort((ident, key))
@@ -376,38 +425,52 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
 
     def verify(batches):
         seen: dict[int, tuple] = {}
+        at: list[tuple[int, int]] = []
         for frame in batches:
-            for c, i, fp, text in zip(frame["component"].tolist(), frame["id"].tolist(), frame["fp"], C.texts(frame["text"]), strict=True):
-                if i not in seen:  # rows may repeat
-                    seen[i] = (c, fp, shingle_set(text, words))
+            for c, i, fp, text in zip(frame["cell"].tolist(), frame["id"].tolist(), frame["fp"], C.texts(frame["text"]), strict=True):
+                at.append((c, i))
+                if i not in seen:  # rows may repeat, and stand in several cells
+                    seen[i] = (fp, shingle_set(text, words))
         if not seen:
             return
-        order = sorted(seen, key=lambda i: (seen[i][0], i))
-        key, ident = np.array([seen[i][0] for i in order], np.int64), np.array(order, np.int64)
-        fp = np.frombuffer(b"".join(seen[i][1] for i in order), np.uint64).reshape(len(order), -1)
-        sets = [seen[i][2] for i in order]
+        order = sorted(set(at))
+        key, ident = (np.array(x, np.int64) for x in zip(*order, strict=True))
+        fp = np.frombuffer(b"".join(seen[i][0] for _, i in order), np.uint64).reshape(len(order), -1)
+        sets = [seen[i][1] for _, i in order]
         a, b = links_of_buckets(key, fp, radius, lambda i, j: jaccard(sets[i], sets[j]) >= similarity - 1e-9)
         yield pd.DataFrame({"id": ident[a], "to": ident[b]})
         C.release()
 
-    pairs = codes.select("id", "fp").mapInPandas(keyed, "key long, id long, fp binary").repartition(to, "key").mapInPandas(compare, "a long, b long").distinct()
+    every = codes.select("id", "fp").mapInPandas(keyed, "key long, id long, fp binary")
+    dealt = _grid_by_rows(every, "key", "id", rows * tables, codes.select("fp").mapInPandas(only_keys, "key long"))
+    pairs = dealt.select("cell", "id", "fp").repartition(to, "cell").mapInPandas(compare, "a long, b long").distinct()
     near = components(pairs)
     near = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
-    held = near.join(codes, "id").join(texts, ["doc_id", "text_hash"]).select("component", "id", "fp", "text")
-    found = C.materialise(held.repartition(to, "component").mapInPandas(verify, "id long, to long"), "groups")
+    # Groups with very many characters are dealt as a grid of parts; at most SPLIT of them.
+    held = C.materialise(near.join(codes.drop("n"), "id"), "candidates")
+    limit = max(GRID_CHARS, (held.agg(F.sum("chars")).first()[0] or 0) // SPLIT)
+    large = held.groupBy(F.col("component").alias("slot")).agg(F.ceil(F.sum("chars") / limit).alias("parts")).where("parts > 1")
+    gridded = grid(held, "component", "id", large, F.col("component")).select("cell", "id", "fp", "doc_id", "text_hash")
+    found = gridded.join(texts, ["doc_id", "text_hash"]).select("cell", "id", "fp", "text").repartition(to, "cell").mapInPandas(verify, "id long, to long")
+    found = C.materialise(found, "groups")
+    if not large.isEmpty():  # links of several cells, not groups yet
+        found = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("component", "to")
     names = codes.select(F.col("id").alias("to"), F.col("doc_id").alias("component_id"), F.col("text_hash").alias("component_text"))
-    moved = codes.join(found, "id", "left").select("fp", F.coalesce("to", "id").alias("to")).join(names, "to")
-    return own.join(moved, "fp").select("doc_id", "text_hash", "component_id", "component_text")
+    moved = codes.join(found, "id", "left").select("fp", "n", F.coalesce("to", "id").alias("to"))
+    sizes = moved.groupBy("to").agg(F.count("*").alias("n"))
+    moved = split_join(moved.withColumnRenamed("n", "rows"), names.join(sizes, "to"), "to", rows).withColumnRenamed("rows", "n")
+    return split_join(own, moved.select("fp", "n", "component_id", "component_text"), "fp", own.count()).select("doc_id", "text_hash", "component_id", "component_text")
 
 
-def _groups(own: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of own (doc_id, fp), given codes (fp, smallest id) and links of their ids; null ids are C.NULL_ID."""
+def _groups(own: DataFrame, codes: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """doc_id, fp, component_id of own (doc_id, fp; `rows` of them), given codes (fp, smallest id, n) and links of their ids; null ids are C.NULL_ID."""
     # An id with several texts ties their fingerprints together.
-    repeated = own.distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    ties = own.join(repeated, "doc_id").join(codes.withColumnsRenamed({"id": "b"}), "fp").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+    texts = own.distinct()
+    repeated = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    ties = split_join(split_join(texts, repeated, "doc_id", rows), codes.withColumnsRenamed({"id": "b"}), "fp", rows).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     found = components(pairs.unionByName(ties))
-    moved = codes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return own.join(moved, "fp").select("doc_id", "fp", "component_id")
+    moved = codes.join(found, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"))
+    return split_join(own, moved, "fp", rows).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -418,9 +481,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     one id: all texts under it belong to one group. Other columns are ignored.
     """
     own = C.materialise(fingerprints(docs, words).select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc_id"), "fp"), "fingerprints")
-    codes = C.materialise(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
-    rows = codes.count()
-    return _groups(own, codes, links(codes, radius, rows)).select(
+    codes = C.materialise(own.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "codes")
+    return _groups(own, codes, links(codes, radius, codes.count()), own.count()).select(
         F.when(F.col("doc_id") != C.NULL_ID, F.col("doc_id")).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component_id") != C.NULL_ID, F.col("component_id")).alias("component_id"),

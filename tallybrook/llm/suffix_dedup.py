@@ -526,9 +526,9 @@ def dedup_substrings(docs: DataFrame, width: int = 100, keep: str | None = "byte
     return _repeats_of(docs, width, "bytes" if keep else None, frequent)
 
 
-def without_repeats(docs: DataFrame, width: int = 100, frequent: int = 2000) -> DataFrame:
-    """docs, its columns as they are, with the bytes that dedup_substrings() removes cut out of text, and n_removed (bytes, before
-    whole characters are) added as the column `_removed`.
+def without_repeats(docs: DataFrame, width: int = 100, into: str = "n_removed", frequent: int = 2000) -> DataFrame:
+    """docs, its columns as they are, with the bytes that dedup_substrings() removes cut out of text, and their number in the
+    column `into`, which docs must not have.
 
     Of a character of which a byte goes all bytes go. Rows and columns are carried along, not joined back: null and
     repeated ids, and equal rows, stay as many as they were. A null text stays null.
@@ -537,4 +537,4 @@ def without_repeats(docs: DataFrame, width: int = 100, frequent: int = 2000) ->
     own = F.struct(F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`") for c in rest])
     out = _repeats_of(docs, width, "text", frequent, own)
     text = F.when(~F.col("rest._null"), F.col("text")).alias("text")
-    return out.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns], F.col("n_removed").alias("_removed"))
+    return out.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns], F.col("n_removed").alias(into))

@@ -41,12 +41,38 @@ def test_every_stage_keeps_the_columns_and_acts(spark):
 
 
 def test_odd_documents(spark):
-    rows_ = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "the text of a document without id", "en", "a", 1), (3, "the text of a document with an id", "en", "a", 1), (3, "the text of a document with an id", "en", "a", 1)]
-    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in P.STAGES:
-        out = stage(spark, docs, "")
-        assert out.count() >= 0 and stage(spark, docs.where("false"), "").count() == 0, name
-    assert sorted(r.doc_id or 0 for r in P.near_dedup(spark, docs, "").collect()) == [0, 1, 3]
+    """Null, empty and repeated texts and ids, and columns with the names that the stages use themselves."""
+    words = "the text of a document that is told about in the house by the dog at the door "
+    rows_ = [(1, None), (2, ""), (None, words + "without id"), (3, words), (3, words), (4, "123 !! 456"), (None, words + "without id as well"), (5, "x" * 300_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rejected boolean, Score string, lang_pred int, n_removed array<int>, b int, text_hash string, rest string, kept string, spans string"
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or ""), True, "s", 7, [1], 2, "h", "r", "k", "p") for d, t in rows_], schema)
+    every = sorted(docs.collect(), key=str)
+    got = {name: stage(spark, docs, "") for name, stage in P.STAGES}
+    for name, stage in P.STAGES[:-1]:
+        assert got[name].schema.simpleString() == docs.schema.simpleString(), name
+        assert stage(spark, docs.where("false"), "").count() == 0, name
+    assert P.pack(spark, docs.where("false"), "").count() == 0
+    letters = [r for r in every if r.doc_id in (None, 3, 5)]
+    kept = got["language_id"].collect()
+    assert sorted((r for r in kept if r.doc_id != 5), key=str) == [r for r in letters if r.doc_id != 5]
+    once = {str(r): r for r in every if r.doc_id in (None, 1, 3, 4, 5)}  # the empty text goes with the null one
+    assert sorted(got["near_dedup"].collect(), key=str) == sorted(once.values(), key=str)
+    cut = {str(r.doc_id) + (r.text or "")[-4:]: r for r in got["suffix_array_dedup"].collect()}
+    same = [r for r in every if r.doc_id in (1, 2, 4)]
+    assert sorted((r for r in got["suffix_array_dedup"].collect() if r.doc_id in (1, 2, 4)), key=str) == same
+    assert [r.text for r in got["suffix_array_dedup"].collect() if r.doc_id == 5] == ["x" * 100]
+    assert len(cut) <= len(every) and got["suffix_array_dedup"].where("doc_id is null").count() == 2
+    assert sorted(got["secret_scan"].withColumn("n_chars", P.F.coalesce("n_chars", P.F.lit(0))).collect(), key=str) == every
+    packed = got["best_fit_packing"].groupBy("doc_id").agg(P.F.countDistinct("piece").alias("n")).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 2, 3, 4, 5}
+
+
+def test_run_leaves_no_stage_behind(spark):
+    before = set(P.C._WRITTEN)
+    P.run(spark, "/root/testdata/sf0.001").count()
+    assert not [x for x in set(P.C._WRITTEN) - before if "/pipeline-" in x]
+    P.C.discard_all()
+    assert not P.C._WRITTEN
 
 
 def test_rows_of_one_id_or_none_stay_apart(spark):

@@ -63,6 +63,64 @@ def test_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+@pytest.fixture
+def split(monkeypatch):
+    """Every key that a few rows share is split off in joins and dealt as a grid."""
+    for name, value in (("LEAST_SPLIT", 1), ("GRID_ROWS", 3), ("GRID_CHARS", 2000), ("SPLIT", 10**9)):
+        monkeypatch.setattr(S, name, value)
+
+
+def test_split_keys_give_the_same_groups(spark, split):
+    rows = corpus() + [(500 + k, "the same text in many rows " * 3) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in S.near_duplicates(df).collect())
+    assert got == brute_components(rows)
+
+
+def brute_groups(rows, words=5, similarity=0.8):
+    sets = [set(S.shingle_set(t or "", words).tolist()) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [b if c == a else c for c in comp]
+    least = {}
+    for (d, _), c in zip(rows, comp):
+        least[c] = min(least.get(c, d), d)
+    return {d: least[c] for (d, _), c in zip(rows, comp)}
+
+
+def chains():
+    """Chains of near texts, each like the next alone, and a large group of texts that are like one."""
+    rng, rows = random.Random(21), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k in range(6):
+        text = [word() for _ in range(120)]
+        for n in range(12):
+            rows.append((100 * k + n, " ".join(text)))
+            text = list(text)
+            text[9 * n + 5] = word()
+    base = [word() for _ in range(100)]
+    for n in range(60):
+        own = list(base)
+        own[rng.randrange(100)] = word()
+        rows.append((1000 + n, " ".join(own)))
+    return rows
+
+
+def test_similar_groups_against_brute_force(spark):
+    rows = chains()
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_split_groups_are_the_same(spark, split):
+    rows = chains() + [(2000, ""), (2001, None)] + [(2100 + k, "one text in very many rows of the table " * 2) for k in range(30)]
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
 @pytest.mark.parametrize("blocks", [5, 6, 7, 8])
 def test_every_close_pair_is_linked(spark, blocks, monkeypatch):
     monkeypatch.setattr(S, "blocks_for", lambda rows, radius: blocks)

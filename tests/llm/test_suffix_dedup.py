@@ -99,7 +99,7 @@ def test_text_that_stays(spark):
     rows = [(1, "a" + line, 5, None), (2, "b" + line + "ü", 6, [1]), (None, None, None, None), (3, "c" + line, 7, None), (3, "c" + line, 8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, `b` long, `odd name` array<int>")
     out = without_repeats(df)
-    assert out.columns == [*df.columns, "_removed"]
+    assert out.columns == [*df.columns, "n_removed"]
     got = sorted(out.collect(), key=lambda r: r.b or 0)
     assert [tuple(r) for r in got] == [(None, None, None, None, 0), (1, "a" + line, 5, None, 0), (2, "bü", 6, [1], 120), (3, "c", 7, None, 120), (3, "c", 8, None, 120)]
     assert {r.kept for r in dedup_substrings(df).where("doc_id = 2").collect()} == {"bü".encode()}
@@ -111,7 +111,7 @@ def test_halves_of_cut_characters_do_not_fuse(spark):
     first = "\u0123" + middle + "\u0163"  # C4 A3 ... C5 A3
     second = "\u0163" + middle + "\u0141"  # C5 A3 ... C5 81
     df = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
-    got = {r.doc_id: (r.text, r._removed) for r in without_repeats(df).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in without_repeats(df).collect()}
     assert got == {1: (first, 0), 2: ("", 100)}
 
 
