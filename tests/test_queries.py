@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -41,3 +47,18 @@ def test_entry_and_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     for name in ("permutation", "redact_pii", "pii_totals", "title_match", "dedupe_two_key"):
         assert registry.queries()[name](spark, DIR).count() > 0
+
+
+def test_the_rest_works_without_the_training_data_folders(tmp_path):
+    """A copy without them, and without their tests, gives every other query and SQL; with the pipeline's file and without."""
+    root = Path(__file__).resolve().parent.parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "tallybrook", tmp_path / "tallybrook", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(sorted(q))"
+    for _ in range(2):
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+        assert out.returncode == 0, out.stderr
+        assert out.stdout.strip().splitlines()[-1] == str(sorted(registry.queries()))
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
