@@ -102,67 +102,84 @@ def edited(text: str, following: str) -> str:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _ranges(keys: DataFrame, n: int) -> list[int]:
-    """Cuts of the ids into n ranges of about equal counts: numbers only, one for each range."""
-    cuts = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("c")).first().c if n > 1 else []
-    return sorted(set(cuts or []))
+class Ranges:
+    """Ranges of rows in the order of (id, hash of the text), of about equal counts. An id that has several shares of all rows
+    (null, say) has as many ranges, by the hash."""
+
+    def __init__(self, cuts: list[int]):
+        at, shares = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.at, self.shares = at, np.where(shares > 1, shares, 0)  # ranges that an id has to itself
+        self.first = np.cumsum(np.r_[0, 1 + self.shares])
+
+    def of(self, k: np.ndarray, h: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.at, k, side="left")
+        own = self.first[i]
+        if len(self.at):
+            near = np.minimum(i, len(self.at) - 1)
+            shares = np.where(self.at[near] == k, self.shares[near], 0)
+            high = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of h
+            own = own + np.where(shares > 0, 1 + ((high.astype(np.int64) * shares) >> 32), 0)
+        return own.astype(np.int32)
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints every row of docs (doc_id, text), its edited text, and compares both with it and with the next row's.
 
-    The next row is the one that follows by (doc_id, text), after the last the first. Null text is empty; a
-    null doc_id comes first; repeated rows follow one another. Other columns are ignored.
+    The next row is the one that follows by doc_id, after the last the first; rows of one id by the hash of their
+    texts, and by the texts. Null text is empty; a null doc_id comes first; repeated rows follow one another. Other
+    columns are ignored. Texts of any length are read whole. An empty table gives no rows.
 
-    Rows go to ranges of ids once; with a range goes the first row of the range after it (and to the last,
-    the first of all), found by minima, so no row needs all the others in one task.
+    Rows go to ranges once, and are read there in order; with a range goes the first row of the range after it (and
+    to the last, the first of all), found by minima, so no row needs all the others in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(C.id_column().alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = _ranges(rows.select("k"), C.partitions(spark))
-    edges = np.array(cuts, np.int64)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(C.id_column().alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    n = C.partitions(spark)
+    cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("c")).first().c if n > 1 else []
+    ranges = Ranges(cuts or [])
 
     @F.pandas_udf("int")
-    def place(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, k.to_numpy(), side="left").astype(np.int32))
+    def place(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(k.to_numpy(), h.to_numpy()))
 
-    rows = rows.withColumn("r", place("k"))
-    heads = sorted((r.r, r.k) for r in rows.groupBy("r").agg(F.min("k").alias("k")).collect())
+    heads = sorted((x.r, x.m.k, x.m.h) for x in rows.groupBy(place("k", "h").alias("r")).agg(F.min(F.struct("k", "h")).alias("m")).collect())
     if not heads:
         return spark.createDataFrame([], _OUT)
-    keys = C.bucket_keys(len(heads)).tolist()
-    key_of = {r: key for (r, _), key in zip(heads, keys, strict=True)}
-    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
-    homes = F.lit([key_of.get(r, 0) for r in range(max(key_of) + 1)])
-    firsts = F.array(*[F.lit(k) for _, k in heads])
-    guests = F.element_at(F.lit([key_of[before[k]] for _, k in heads]), F.array_position(firsts, F.col("k")).cast("int"))
-    sent = F.explode(
-        F.when(F.array_contains(firsts, F.col("k")), F.array(F.struct(F.element_at(homes, F.col("r") + 1).alias("b"), F.lit(False).alias("guest")), F.struct(guests.alias("b"), F.lit(True).alias("guest")))).otherwise(
-            F.array(F.struct(F.element_at(homes, F.col("r") + 1).alias("b"), F.lit(False).alias("guest")))
-        )
-    )
-    dealt = rows.withColumn("s", sent).select(F.col("s.b").alias("b"), F.col("s.guest").alias("guest"), "k", "text").repartition(len(heads), "b")
+    keys = C.Buckets(len(heads)).keys
+    at, first_k, first_h = (np.array(x, np.int64) for x in zip(*heads, strict=True))
+
+    @F.pandas_udf("home int, before int")
+    def deal(k: pd.Series, h: pd.Series) -> pd.DataFrame:
+        k, h = k.to_numpy(), h.to_numpy()
+        i = np.searchsorted(at, ranges.of(k, h))
+        head = (first_k[i] == k) & (first_h[i] == h)
+        return pd.DataFrame({"home": keys[i].astype(np.int32), "before": pd.Series(keys[i - 1]).astype("Int32").mask(~head)})
+
+    def to(b, guest: bool):
+        return F.struct(b.alias("b"), F.lit(guest).alias("guest"))
+
+    sent = F.explode(F.when(F.col("d.before").isNull(), F.array(to(F.col("d.home"), False))).otherwise(F.array(to(F.col("d.home"), False), to(F.col("d.before"), True))))
+    dealt = rows.withColumn("d", deal("k", "h")).select(sent.alias("s"), "k", "h", "text").select("s.b", "s.guest", "k", "h", "text")
+    dealt = dealt.repartition(len(heads), "b").sortWithinPartitions("b", "guest", "k", "h", "text")
 
     def run(batches):
-        frame = C.whole(batches)
-        if frame is None or not len(frame):
-            return
-        for _, own in frame.groupby("b"):
-            guest = own["guest"].to_numpy()
-            k, text = own["k"].to_numpy()[~guest], [x for x, g in zip(own["text"], guest, strict=True) if not g]
-            following = min(x for x, g in zip(own["text"], guest, strict=True) if g)
-            order = C.in_order(k, text)
-            k, text = k[order], [text[i] for i in order.tolist()]
-            after = fingerprint(following)
+        before = None  # range, id, text and fingerprint of the row that waits for its next
+        for frame in batches:
             out = []
-            for i in range(len(text) - 1, -1, -1):
-                changed = edited(text[i], following)
-                now, other = fingerprint(text[i]), fingerprint(changed)
-                out.append((len(text[i]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), to_text(now), to_text(other), likeness(now, other), likeness(now, after)))
-                following, after = text[i], now
-            for i in range(0, len(out), 2000):
-                part = pd.DataFrame(out[i : i + 2000], columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                part.insert(0, "doc_id", C.id_or_null(k[::-1][i : i + 2000].copy()).to_numpy())
-                yield part
-
-    return dealt.mapInPandas(run, _OUT)
+            for b, guest, k, text in zip(frame["b"].tolist(), frame["guest"].tolist(), frame["k"].tolist(), frame["text"], strict=True):
+                waits = before is not None and before[0] == b
+                if guest and not waits:
+                    continue
+                now = fingerprint(text)
+                if waits:
+                    changed = edited(before[2], text)
+                    other = fingerprint(changed)
+                    own = before[3]
+                    out.append((before[1], len(before[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(other), likeness(own, other), likeness(own, now)))
+                before = None if guest else (b, k, text, now)
+            if out:
+                part = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                yield part.assign(doc_id=C.id_or_null(part["doc_id"]))
+
+    return dealt.select("b", "guest", "k", "text").mapInPandas(run, _OUT)

@@ -53,6 +53,21 @@ def test_odd_rows(spark):
     assert one.near_next == 1.0
 
 
+def test_an_id_that_most_rows_have(spark):
+    """Rows without an id are read in several ranges, each followed by its next row."""
+    rows = [(None if k % 3 else k, f"text number {k} " * (k % 5 + 1)) for k in range(400)]
+    got = run(spark, rows)
+    assert len(got) == 400 and sorted(r.n_chars for r in got) == sorted(len(t) for _, t in rows)
+    h = {r.text: r.h for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], h[x[1]], x[1]))
+    want = []
+    for (d, text), (_, after) in zip(order, order[1:] + order[:1]):
+        changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want.append((-1 if d is None else d, hashlib.sha256(changed.encode()).hexdigest()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.edited_sha256) for r in got) == sorted(want)
+    assert len(set(S.Ranges([7, 7, 7, 9]).of(np.full(100, 7), np.arange(100, dtype=np.int64) * 10**17 * 9 - 4 * 10**18).tolist())) == 3
+
+
 def test_sketches_merge():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (3, 20, 300, 5000)]
