@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm import common as C
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+_IN_TAG = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -39,6 +40,7 @@ BOILER_WORDS = frozenset(
 STICKY_WORDS = frozenset("ad ads adv advert advertisement advertising comment comments discussion disqus hidden related recommended replies reply respond response responses sponsor sponsored".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 ROLES = {"navigation": 8.0, "banner": 6.0, "contentinfo": 8.0, "complementary": 8.0, "search": 8.0, "form": 8.0, "dialog": 8.0, "alert": 6.0, "main": -2.0, "article": -4.0}
+_BETWEEN = frozenset("address p dd dt li td th tr".split())
 _CLOSES_P = BLOCK - {"body", "html", "head", "button"}
 _SAME_KIND = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -73,8 +75,9 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
                 words = {w.lower() for w in _WORD.findall(value)}
                 content = -2.0 if words & CONTENT_WORDS else 0.0
                 if words & BOILER_WORDS and tag not in ("html", "body", "main"):
-                    named += 6.0
-                    lifted += 6.0 if words & STICKY_WORDS else content
+                    sticky = bool(words & STICKY_WORDS)
+                    named += 12.0 if sticky else 6.0  # also within an article
+                    lifted += 12.0 if sticky else content
                 else:
                     named += content
                     lifted += content
@@ -106,11 +109,66 @@ def _set_biases(elements: list[Element], found: list[Block]) -> None:
         e.bias = above + own if own > 0 or above <= 0 else above
 
 
+class _Markup:
+    """The tags of a page, in order: (start, end, whether it ends an element, name, attributes); the name of a comment is empty.
+
+    Each part of the page is read once, however damaged: what can't be found once is not sought again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.never: set[str] = set()  # elements whose end stands nowhere after some place
+        self.lower: str | None = None
+
+    def _end(self, at: int) -> int:
+        """The place of the tag's end; a quote that is never closed is a character like any other."""
+        page = self.page
+        while m := _IN_TAG.search(page, at):
+            if m.group() == ">":
+                return m.start()
+            at = m.end()
+            if m.start() < self.quotes[m.group()]:
+                at = page.find(m.group(), at) + 1
+        return -1
+
+    def after(self, at: int):
+        page = self.page
+        while (m := _TAG.search(page, at)) and m.start() <= self.last:
+            if m.group() == "<!--":
+                end = page.find("-->", m.end())
+                return m.start(), len(page) if end < 0 else end + 3, False, "", ""
+            stop = self._end(m.end()) if m.group(2) else page.find(">", m.end())
+            if stop < 0:  # all that is left stands in quotes: they are damaged
+                self.quotes = dict.fromkeys(self.quotes, -1)
+                stop = self._end(m.end())
+            return m.start(), stop + 1, bool(m.group(1)), (m.group(2) or "").lower(), page[m.end() : stop]
+        if m and m.group() == "<!--":
+            return m.start(), len(page), False, "", ""
+        return None
+
+    def skip(self, tag: str, at: int) -> int:
+        """The place after the end of an element whose content is no text; -1 if it has no end."""
+        if tag in self.never:
+            return -1
+        if self.lower is None:
+            self.lower = self.page.lower()
+            if len(self.lower) != len(self.page):
+                self.lower = self.page
+        close = self.lower.find(f"</{tag}", at)
+        if close < 0:
+            self.never.add(tag)
+            return -1
+        end = self.page.find(">", close) if close < self.last else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in order. Damaged markup is read as far as it goes."""
+    """The page's blocks of text, in order. Damaged markup is read as far as it goes, in time that grows with its length."""
     out: list[Block] = []
     root = Element("", None, 0, 0.0, 0.0, 0.0)
     stack, elements = [root], [root]
+    open_: dict[str, int] = {}
     parts: list[str] = []
     linked, in_link, heading = 0, 0, False
 
@@ -123,41 +181,40 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at, end, search = 0, len(page), _TAG.search
-    lower = None
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
+
+    at, end, markup = 0, len(page), _Markup(page)
     while at < end:
-        m = search(page, at)
-        stop = m.start() if m else end
+        found = markup.after(at)
+        stop = found[0] if found else end
         if stop > at:
             parts.append(page[at:stop])
             linked += (stop - at) if in_link else 0
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+        _, at, ends, tag, attributes = found
         if not tag:
             continue
-        if m.group(1):  # an end tag
+        if ends:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag not in BLOCK:
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = False
             continue
         if tag in RAW:
-            if not m.group(3).endswith("/"):
-                lower = page.lower() if lower is None and len(page.lower()) == len(page) else lower
-                close = (lower or page).find(f"</{tag}", at)
-                if close < 0 and tag in ("select", "option", "object", "noscript", "canvas", "audio", "video", "datalist"):
+            if not attributes.endswith("/"):
+                after = markup.skip(tag, at)
+                if after < 0 and tag in ("select", "option", "object", "noscript", "canvas", "audio", "video", "datalist"):
                     continue  # never closed: its text is judged like any other
-                after = page.find(">", close) if close >= 0 else -1
-                at = after + 1 if after >= 0 else end
+                at = after if after >= 0 else end
             parts.append(" ")
             continue
         if tag == "br":
@@ -173,16 +230,19 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in _CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in _SAME_KIND.get(tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "div"):
-                break
+            close(len(stack) - 1)
+        kinds = _SAME_KIND.get(tag, ())
+        if any(open_.get(x) for x in kinds):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in kinds:
+                    close(k)
+                    break
+                if stack[k].tag not in _BETWEEN:
+                    break
         heading = tag[0] == "h" and tag[1:].isdigit()
-        elements.append(_element(tag, m.group(3), stack[-1]))
+        elements.append(_element(tag, attributes, stack[-1]))
         stack.append(elements[-1])
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
     _set_biases(elements, out)
     return out

@@ -71,3 +71,33 @@ def test_words_of_layout_do_not_lose_the_article():
     got = H.main_text(f"<body><article>{story}</article><div class=comments>{said}</div></body>")
     assert "paragraph 5 " in got and "Comment" not in got
     assert "E = mc" in H.main_text(f"<article>{story}<p>Here <math><mi>E</mi> <mo>=</mo> <mi>mc</mi></math> is the formula that the whole of the long text is about.</p></article>")
+
+
+def test_marked_pages():
+    """Blocks of 200 invented pages a style whose kinds are known; the README has these figures."""
+    from tests.llm import marked_pages
+
+    for style in ("elements", "classes"):
+        for kind, (_, share) in marked_pages.figures(H.main_text, style).items():
+            assert share < 0.02 if kind in marked_pages.KINDS else share > 0.98, (style, kind, share)
+    plain = marked_pages.figures(H.main_text, "plain")
+    assert all(share > 0.98 for kind, (_, share) in plain.items() if kind not in marked_pages.KINDS)
+    assert all(plain[kind][1] < 0.02 for kind in ("menu", "header", "footer", "form", "related"))
+
+
+def test_damaged_pages_take_time_by_their_length():
+    import time
+
+    n = 1_000_000
+    for unit in ("<a ", '<a "x>"', "<!-- ", "<! ", "<select>", "<div></p>", "<section><tr></tr>", "<li><p>x", '<p a="', "<script>", "<"):
+        for tail in ("", ">"):
+            began = time.process_time()
+            H.main_text(unit * (n // len(unit)) + tail)
+            assert time.process_time() - began < 20, unit
+
+
+def test_damaged_markup_is_read_as_far_as_it_goes():
+    assert H.main_text(f'<p title="x>{LONG}</p>') == H.main_text(f"<p>{LONG}</p>") == LONG
+    assert H.main_text(f"<p title='a>b' class=x>{LONG}<!-- never closed {LONG}") == LONG
+    assert H.main_text(f"<select><p>{LONG}</p>") == LONG
+    assert H.main_text(f"<ul><li>{LONG}<section><li>{LONG}</section></ul></div></p>") == f"{LONG}\n{LONG}"
