@@ -6,8 +6,12 @@ grid of 16 steps, so its inner product with a sign vector is a few popcounts. Fr
 of the true inner product, and a bound of its error that holds with high probability. Vectors are ranked
 exactly, on the originals in double precision, while their upper bound reaches the 20th best found so far.
 
-Rows are dealt into blocks of bounded size, and the queries (a stated set) go to every block. Each block
-returns its own nearest; the best of them are merged for each query.
+Rows are dealt into blocks of bounded size: coarse cells, by centres fitted on a bounded sample, and parts of those
+cells that hold more rows. A query first searches one block of its nearest cell; its k-th best there is a floor. Then
+it goes to the blocks of all cells that can hold better: those whose centre's inner product, plus the query's length
+times the cell's radius, reaches the floor. That leaves out no neighbour; where the vectors are clustered it leaves
+out most cells. A block's rows are held by one task, and the queries stream past them, so neither side's share of a
+task grows with the tables. The best of all blocks are merged for each query.
 """
 
 from __future__ import annotations
@@ -18,11 +22,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tallybrook.llm import common as C
 
-#: Rows of a block: at most, and at least; between them a block for each quarter of a core.
-MOST_ROWS, LEAST_ROWS, QUERY_LOT = 65_536, 4096, 32
+#: A block: bytes of its vectors at most, and rows at least; between them a block for each quarter of a core.
+MOST_BYTES, LEAST_ROWS = 64 << 20, 4096
+#: Queries that are compared at a time, and their estimates, at most.
+QUERY_LOT, ESTIMATES = 32, 2_000_000
+#: The sample that centres are fitted on, and the number of cells of a vector length, at most.
+SAMPLE, MOST_CELLS, ROUNDS = 16_384, 4096, 5
 #: Standard deviations of the estimate's error that the bound allows.
 EPSILON = 2.3
 STEPS = 4  # bits of a query's grid
@@ -39,12 +48,14 @@ def padded(dims: int) -> int:
 
 def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits (64 to a word), lengths, and <unit vector, unit sign vector> of each row."""
-    length = np.linalg.norm(x, axis=1)
-    turned = (x / length[:, None]) @ turn.T
-    signs = turned > 0
-    lean = np.abs(turned).sum(1) / math.sqrt(turn.shape[0])
-    words = np.packbits(signs, axis=1, bitorder="little")
-    return np.ascontiguousarray(words).view(np.uint64), length, lean
+    length, lean, words = np.empty(len(x)), np.empty(len(x)), np.empty((len(x), turn.shape[0] // 8), np.uint8)
+    for i in range(0, len(x), 8192):
+        own, part = slice(i, i + 8192), x[i : i + 8192].astype(np.float64)
+        length[own] = np.linalg.norm(part, axis=1)
+        turned = (part / length[own, None]) @ turn.T
+        lean[own] = np.abs(turned).sum(1) / math.sqrt(turn.shape[0])
+        words[own] = np.packbits(turned > 0, axis=1, bitorder="little")
+    return words.view(np.uint64), length, lean
 
 
 class Block:
@@ -80,25 +91,29 @@ class Block:
         scale = self.length * size
         return scale * inner / self.lean, scale * EPSILON * np.sqrt(self.error**2 + (off / self.lean) ** 2 / dims)
 
-    def nearest(self, query_ids: list[int], queries: np.ndarray, k: int):
-        """For each query the places and inner products of its k nearest rows, best first, ties to smaller ids; rows with the query's id stand out."""
-        for at in range(0, len(query_ids), QUERY_LOT):
-            lot, ids = queries[at : at + QUERY_LOT], query_ids[at : at + QUERY_LOT]
+    def nearest(self, query_ids: list[int], queries: np.ndarray, k: int, floors: np.ndarray | None = None):
+        """For each query the places and inner products of its k nearest rows, best first, ties to smaller ids; rows with the query's id
+        stand out, and rows below its floor."""
+        floors = np.full(len(query_ids), -np.inf) if floors is None else floors
+        size = max(1, min(QUERY_LOT, ESTIMATES // len(self.ids)))
+        for at in range(0, len(query_ids), size):
+            lot, ids = queries[at : at + size], query_ids[at : at + size]
             estimates, errors = self.bounds(lot)
             own = [slice(*np.searchsorted(self.ids, [i, i + 1])) for i in ids]
             for e, o in zip(estimates, own, strict=True):
                 e[o] = -np.inf
             most = min(k, len(self.ids))
             best = np.argpartition(-estimates, most - 1, axis=1)[:, :most]
-            for query, e, error, o, top in zip(lot, estimates, errors, own, best, strict=True):
+            for query, e, error, o, top, floor in zip(lot, estimates, errors, own, best, floors[at : at + size].tolist(), strict=True):
                 few = min(k, len(self.ids) - (o.stop - o.start))
                 if not few:
                     yield np.zeros(0, np.int64), np.zeros(0)
                     continue
                 top = top[e[top] > -np.inf]
-                places = np.union1d(np.flatnonzero(e + error >= self._exact(top, query).min()), top)
+                places = np.union1d(np.flatnonzero(e + error >= max(floor, self._exact(top, query).min())), top)
                 score = self._exact(places, query)
                 order = np.lexsort((self.ids[places], -score))[:few]
+                order = order[score[order] >= floor]
                 yield places[order], score[order]
 
     def _exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -110,17 +125,91 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.add.reduce(np.asarray(vectors, np.float64) * np.asarray(query, np.float64), axis=1)
 
 
-def usable(frame: pd.DataFrame, column: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Row numbers and vectors of the rows that take part: not null, finite, and not zero."""
-    keep, out = [], []
-    for k, v in enumerate(frame[column]):
-        if v is None or isinstance(v, float) or not len(v):
+class Cells:
+    """Centres of the vectors of each length, numbered through, and what is known of their cells once the rows are counted."""
+
+    def __init__(self, centres: dict[int, np.ndarray]):
+        self.centres = centres
+        ends = np.cumsum([0, *(len(c) for c in centres.values())])
+        self.first = dict(zip(centres, ends.tolist(), strict=False))
+        self.n = int(ends[-1])
+
+    def nearest(self, vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector (the nearest centre; -1: a length without rows) and its distance from the centre."""
+        cell, far = np.full(len(vectors), -1, np.int32), np.zeros(len(vectors))
+        lengths = np.array([len(v) for v in vectors])
+        for dims, centres in self.centres.items():
+            at = np.flatnonzero(lengths == dims)
+            half = (centres**2).sum(1) / 2
+            for i in range(0, len(at), 1024):
+                few = at[i : i + 1024]
+                x = np.stack([vectors[k] for k in few.tolist()]).astype(np.float64)
+                best = np.argmax(x @ centres.T - half, axis=1)
+                cell[few] = self.first[dims] + best
+                far[few] = np.linalg.norm(x - centres[best], axis=1)
+        return cell, far
+
+    def count(self, found, block_rows: dict[int, int]) -> None:
+        """found: (cell, rows, radius) of every cell with rows; block_rows by length."""
+        self.parts, self.radius = np.zeros(self.n, np.int64), np.zeros(self.n)
+        most = np.repeat([block_rows[dims] for dims in self.centres], [len(c) for c in self.centres.values()])
+        for cell, rows, radius in found:
+            self.parts[cell], self.radius[cell] = -(-rows // int(most[cell])), radius
+        self.start = np.cumsum(self.parts) - self.parts
+        self.blocks = int(self.parts.sum())
+
+    def block(self, cell: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return self.start[cell] + h % self.parts[cell]
+
+    def home(self, query: np.ndarray, h: int) -> int:
+        """One block of the cell whose centre is nearest by inner product."""
+        query = query.astype(np.float64)
+        centres, first = self.centres[len(query)], self.first[len(query)]
+        value = np.where(self.parts[first : first + len(centres)] > 0, centres @ query, -np.inf)
+        return int(self.block(first + int(np.argmax(value)), h))
+
+    def worth(self, query: np.ndarray, floor: float) -> np.ndarray:
+        """The blocks of all cells that can hold a vector whose inner product reaches the floor."""
+        query = query.astype(np.float64)
+        centres, first = self.centres[len(query)], self.first[len(query)]
+        own = slice(first, first + len(centres))
+        size = float(np.linalg.norm(query))
+        most = centres @ query + size * self.radius[own]
+        slack = 1e-9 * size * (np.linalg.norm(centres, axis=1) + self.radius[own])
+        cells = first + np.flatnonzero((most + slack >= floor) & (self.parts[own] > 0))
+        return np.concatenate([np.arange(self.start[c], self.start[c] + self.parts[c]) for c in cells.tolist()] or [np.zeros(0, np.int64)])
+
+
+def kmeans(x: np.ndarray, k: int) -> np.ndarray:
+    """Centres of x by a few rounds from k of its rows."""
+    centres = x[np.random.default_rng(4).choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(ROUNDS):
+        own = np.concatenate([np.argmax(p @ centres.T - (centres**2).sum(1) / 2, axis=1) for p in np.array_split(x, -(-len(x) // 2048))])
+        order = np.argsort(own, kind="stable")
+        s, _ = C.runs(own[order])
+        sums = np.add.reduceat(x[order], s, axis=0)
+        centres[own[order][s]] = sums / np.diff(np.r_[s, len(x)])[:, None]
+    return centres
+
+
+def _fit(rows: DataFrame, block_rows) -> tuple[Cells, dict[int, int]]:
+    """Centres by a sample of SAMPLE rows, those with the smallest hashes, and the rows of a block by length. A length with no more
+    rows than a block has one cell, around zero."""
+    lengths = {x.dims: x.n for x in rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).collect()}
+    total = sum(lengths.values())
+    most = {dims: block_rows(dims, total) for dims in sorted(lengths)}
+    centres = {}
+    for dims, n in sorted(lengths.items()):
+        if n <= most[dims]:
+            centres[dims] = np.zeros((1, dims))
             continue
-        v = np.asarray([np.nan if c is None else c for c in v] if getattr(v, "dtype", None) == object else v, np.float64)
-        if np.isfinite(v).all() and v.any():
-            keep.append(k)
-            out.append(v)
-    return np.array(keep, np.int64), out
+        bound = max(256, min(SAMPLE, (128 << 20) // (8 * dims)))  # the driver holds so many
+        sample = rows.where(F.size("v") == dims).orderBy(F.xxhash64("id", "v")).limit(bound).select("v").collect()
+        centres[dims] = kmeans(np.array([x.v for x in sample], np.float64), min(MOST_CELLS, -(-n // most[dims])))
+    return Cells(centres), most
+
+
+_FOUND = "query_id long, vec_id long, score double"
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding", block_rows: int | None = None) -> DataFrame:
@@ -130,36 +219,112 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "v
     empty, zero or hold null or non-finite numbers take no part; nor do rows without an id. A row is no
     candidate of a query with its id. Repeated rows are rows: an id can be returned as often as it stands
     in rows, and a repeated query is answered once. Vectors must be of one length; others than the
-    query's take no part in its search.
+    query's take no part in its search. Vectors of any length are read whole, a few thousand at a time.
+    Empty tables give no rows.
     """
-    count = rows.count()
-    if block_rows is None:
-        block_rows = max(LEAST_ROWS, min(MOST_ROWS, count // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
-    n = max(1, -(-count // block_rows))
-    keys = C.Buckets(n)
-    own = rows.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null").dropDuplicates(["id"])
-    # Rows of one id would share a block by the id alone, so their place in the input counts too.
-    dealt = own.withColumn("b", F.element_at(F.lit(keys.keys.tolist()), (F.pmod(F.xxhash64("id", "v"), F.lit(n)) + 1).cast("int")))
-    spread = asked.withColumn("b", F.explode(F.lit(keys.keys.tolist())))
-
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        keep, vectors = usable(left, "v")
-        asked_at, wanted = usable(right, "v")
-        left_ids, right_ids = left["id"].to_numpy()[keep], right["id"].to_numpy()[asked_at]
-        for dims in {len(v) for v in vectors}:
-            at = np.array([len(v) == dims for v in vectors])
-            block = Block(left_ids[at], np.stack([v for v in vectors if len(v) == dims]))
-            same = [j for j, q in enumerate(wanted) if len(q) == dims]
-            if not same:
-                continue
-            ids = right_ids[same].tolist()
-            for i, (places, score) in zip(ids, block.nearest(ids, np.stack([wanted[j] for j in same]), k), strict=True):
-                out.append((np.full(len(places), i), block.ids[places], score))
-        columns = zip(*out, strict=True) if out else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),), (np.zeros(0),))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, columns), strict=True)))
-
-    found = dealt.repartition(n, "b").groupBy("b").cogroup(spread.repartition(n, "b").groupBy("b")).applyInPandas(find, "query_id long, vec_id long, score double")
+    spark = rows.sparkSession
+
+    def usable_rows(df: DataFrame) -> DataFrame:
+        v = F.col(column)
+        if df.select(column).schema[0].dataType != ArrayType(FloatType(), True):  # floats travel as they are
+            v = v.cast("array<double>")
+        own = df.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
+        fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        return own.where(fine)
+
+    own, asked = usable_rows(rows), usable_rows(queries).dropDuplicates(["id"])
+    kind = own.schema["v"].dataType.simpleString()
+    cores = spark.sparkContext.defaultParallelism
+
+    def most_rows(dims: int, count: int) -> int:
+        return block_rows or max(LEAST_ROWS, min(MOST_BYTES // ((4 if kind == "array<float>" else 8) * dims), count // (4 * cores)))
+
+    cells, most = _fit(own, most_rows)
+    centres = spark.sparkContext.broadcast(cells)  # MOST_CELLS centres of a length at most
+
+    @F.pandas_udf("cell int, far double")
+    def place(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("cell", "far"), centres.value.nearest(list(v)), strict=True)))
+
+    placed = own.withColumn("p", place("v"))
+    cells.count(placed.groupBy("p.cell").agg(F.count("*"), F.max("p.far")).collect(), most)
+    known = spark.sparkContext.broadcast(cells)
+    keys = C.Buckets(max(1, cells.blocks))
+    # Rows of one id would share a block by the id alone, so the vector counts too.
+    h = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 31))
+
+    @F.pandas_udf("int")
+    def block(cell: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(keys.keys[known.value.block(cell.to_numpy(), h.to_numpy())].astype(np.int32))
+
+    @F.pandas_udf("int")
+    def home(v: pd.Series, h: pd.Series) -> pd.Series:
+        tool = known.value
+        return pd.Series([int(keys.keys[tool.home(q, i)]) if len(q) in tool.centres else None for q, i in zip(v, h.tolist(), strict=True)], dtype="Int32")
+
+    @F.pandas_udf("array<int>")
+    def worth(v: pd.Series, floor: pd.Series) -> pd.Series:
+        return pd.Series([keys.keys[known.value.worth(q, t)].astype(np.int32) for q, t in zip(v, floor.tolist(), strict=True)])
+
+    def visit(queries: DataFrame, run, schema: str) -> DataFrame:
+        """run over each block: its rows first, then the queries that visit it."""
+        held = placed.select(block("p.cell", h).alias("b"), F.lit(0).alias("asks"), "id", "v", F.lit(None).cast("double").alias("floor"))
+        both = held.unionByName(queries.select("b", F.lit(1).alias("asks"), "id", "v", "floor"))
+        return both.repartition(keys.n, "b").sortWithinPartitions("b", "asks").mapInPandas(lambda batches: _blocks(batches, run), schema)
+
+    def floors(blocks: dict, ids: np.ndarray, vectors: list, _):
+        found = _nearest(blocks, ids, vectors, np.full(len(ids), -np.inf), k)
+        yield pd.DataFrame({"id": ids, "v": vectors, "floor": [float(score[-1]) if len(score) == k else -math.inf for _, score in found]})
+
+    def answer(blocks: dict, ids: np.ndarray, vectors: list, floor: np.ndarray):
+        found = _nearest(blocks, ids, vectors, floor, k)
+        if found:
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x, _ in found]), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([x for _, x in found])})
+
+    if not cells.blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    first = asked.select(home("v", h).alias("b"), "id", "v", F.lit(None).cast("double").alias("floor")).where("b is not null")
+    known_floor = visit(first, floors, f"id long, v {kind}, floor double") if cells.blocks > 1 else first.select("id", "v", F.lit(-math.inf).alias("floor"))
+    found = visit(known_floor.withColumn("b", F.explode(worth("v", "floor"))), answer, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(batches, run):
+    """Rows sorted by block, a block's vectors before the queries: run(blocks by length, ids, vectors, floors) for each batch's queries of a block."""
+    at, held, blocks = None, [], None
+    for frame in batches:
+        for b, own in frame.groupby("b", sort=False):
+            if b != at:
+                at, held, blocks = b, [], None
+            asks = own["asks"].to_numpy() == 1
+            if not asks.all():
+                held.append(own[~asks])
+            if asks.any():
+                if blocks is None:
+                    blocks, held = _ready(held), []
+                wanted = own[asks]
+                yield from run(blocks, wanted["id"].to_numpy(np.int64), list(wanted["v"]), wanted["floor"].to_numpy(np.float64))
+
+
+def _ready(frames: list[pd.DataFrame]) -> dict[int, Block]:
+    by_length: dict[int, tuple[list, list]] = {}
+    for frame in frames:
+        for i, v in zip(frame["id"].tolist(), frame["v"], strict=True):
+            ids, vectors = by_length.setdefault(len(v), ([], []))
+            ids.append(i)
+            vectors.append(v)
+    return {dims: Block(np.array(ids, np.int64), np.stack(vectors)) for dims, (ids, vectors) in by_length.items()}
+
+
+def _nearest(blocks: dict[int, Block], ids: np.ndarray, vectors: list, floors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and inner products of each query's nearest in its length's block."""
+    out = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+    lengths = np.array([len(v) for v in vectors])
+    for dims, block in blocks.items():
+        at = np.flatnonzero(lengths == dims)
+        if len(at):
+            found = block.nearest(ids[at].tolist(), np.stack([vectors[j] for j in at.tolist()]).astype(np.float64), k, floors[at])
+            for j, (places, score) in zip(at.tolist(), found, strict=True):
+                out[j] = (block.ids[places], score)
+    return out

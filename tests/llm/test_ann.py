@@ -34,6 +34,31 @@ def test_recall_and_scores(spark):
         assert same / len(want) > 0.98
 
 
+def test_clusters_are_skipped_without_loss(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 32)) * 4
+    x = (centres[rng.integers(0, 12, 3000)] + 0.2 * rng.standard_normal((3000, 32))).astype(np.float32)
+    x[500:1500] = x[500]  # a third of all rows is one vector
+    ids = np.arange(3000)
+    df = frame(spark, [(int(i), v.tolist(), 1) for i, v in zip(ids, x)]).repartition(4)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in A.search(df, df.where("vec_id % 20 = 0"), block_rows=250).collect()}
+    want = brute(ids, x)
+    assert set(got) == {(q, r) for q, r, _, _ in want}
+    assert sum(got[q, r][1] == s for q, r, _, s in want) / len(want) > 0.98
+    cells = A.Cells({32: A.kmeans(x.astype(float), 12)})
+    own, far = cells.nearest(list(x.astype(float)))
+    cells.count([(c, int((own == c).sum()), float(far[own == c].max())) for c in np.unique(own).tolist()], {32: 250})
+    visited = []
+    for i in range(0, 3000, 100):
+        q = x[i].astype(float)
+        score = np.sort(x @ q)[-20]
+        blocks = cells.worth(q, score)
+        visited.append(len(blocks) / cells.blocks)
+        best = {int(cells.block(own[j], 0)) for j in np.flatnonzero(A.exact(x, q) >= score)}
+        assert best <= set(blocks.tolist())
+    assert np.mean(visited) < 0.5
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((4000, 128))
