@@ -173,51 +173,41 @@ def global_counts(tokens: DataFrame, symbols: int) -> np.ndarray:
 
 
 def write_files(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """part, number, n_tokens, content: files in the order of (part, number); parts are ranges of doc_id, ties by ids."""
+    """part, number, n_tokens, content: files in the order of (part, number); parts are ranges of doc_id, rows of one id in the order of
+    their ids' hash. A file ends after FILE_IDS ids, so a task holds one file's."""
 
     def run(batches):
         part, number, before = TaskContext.get().partitionId(), 0, 0
         unpack = zstandard.ZstdDecompressor()
         d, rows, held = [], [], 0
 
-        def flush(final: bool):
-            nonlocal d, rows, held, number, before
-            keep = 0
-            if not final:  # rows of one id stay together, for their order
-                keep = next((k for k in range(1, len(d)) if d[-1 - k] != d[-1]), len(d))
-                if keep == len(d):
-                    return None
-            done = len(d) - keep
-            order = sorted(range(done), key=lambda k: (d[k], rows[k].tobytes()) if (k and d[k - 1] == d[k]) or (k + 1 < done and d[k + 1] == d[k]) else (d[k], b""))
-            own = [rows[k] for k in order]
-            count = np.array([len(x) for x in own], np.int64)
-            content = write_file(np.array([d[k] for k in order], np.int64), count, np.concatenate(own), lengths, before)
-            row = {"part": part, "number": number, "n_tokens": int(count.sum()), "content": content}
-            number, before = number + 1, before + int(count.sum())
-            d, rows = d[done:], rows[done:]
-            held = sum(map(len, rows))
-            return pd.DataFrame([row])
+        def flush() -> pd.DataFrame:
+            content = write_file(np.array(d, np.int64), np.array([len(x) for x in rows], np.int64), np.concatenate(rows), lengths, before)
+            return pd.DataFrame([{"part": part, "number": number, "n_tokens": held, "content": content}])
 
         for frame in batches:
             for i, raw in zip(C.ids(frame["doc_id"]).tolist(), frame["ids"], strict=True):
                 d.append(i)
                 rows.append(T.unplanes(unpack.decompress(raw)))
                 held += len(rows[-1])
-                if held >= FILE_IDS and (out := flush(False)) is not None:
-                    yield out
+                if held >= FILE_IDS:
+                    yield flush()
+                    number, before = number + 1, before + held
+                    d, rows, held = [], [], 0
         if d:
-            yield flush(True)
+            yield flush()
 
     n = C.partitions(tokens.sparkSession)
-    ordered = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInPandas(run, "part int, number int, n_tokens long, content binary")
+    ordered = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    return ordered.select("doc_id", "ids").mapInPandas(run, "part int, number int, n_tokens long, content binary")
 
 
 def encode_corpus(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
     """Tokenises docs (doc_id, text), writes the files into the shared folder and returns them as a table.
 
     Null text is empty: the end id alone. A null doc_id comes first; rows that repeat a doc_id are ordered
-    by their ids. Other columns are ignored. An empty table gives no files.
+    by a hash of their ids, so neither fills one task. A text of any length is encoded whole, and stands in one
+    file. Other columns are ignored. An empty table gives no files.
     """
     path = path or T.tokenizer_path()
     tokens = C.materialise(T.token_rows(docs, path, end_id), "tokens")

@@ -22,6 +22,8 @@ from tallybrook.llm import common as C
 from tallybrook.llm import tokens as T
 
 FAN_IN = 8
+#: Pieces that a task packs at a time.
+TASK_PIECES = 1_000_000
 _PIECE = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("start", "<u8"), ("length", "<u4"), ("crc", "<u4")])
 _BIN = "final boolean, bin long, fill int, pieces binary"
 _ROWS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -75,7 +77,7 @@ def _local(capacity: int, nearly: int):
                 for k, (s, size) in enumerate(cut(n, capacity)):
                     sizes.append(size)
                     members.append(np.array((d, k, s, size, zlib.crc32(ids[4 * s : 4 * (s + size)])), _PIECE).tobytes())
-            if len(sizes) > 1_000_000:  # a task of any length runs in bounded memory
+            if len(sizes) > TASK_PIECES:  # a task of any length runs in bounded memory
                 out = _packed(np.array(sizes), members, capacity, nearly, 0)
                 out["bin"] += held
                 held += len(out)
@@ -122,7 +124,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, path: str | None = Non
     other. Other columns are ignored. An empty table gives no rows. Every piece is in exactly one sequence. A
     text of any length is encoded whole, and becomes as many pieces as it needs.
 
-    The tree's first level has an eighth as many tasks as wrote bins. A task writes what it has after a million
+    The tree's first level has an eighth as many tasks as wrote bins. A task writes what it has after TASK_PIECES
     pieces, for its memory; bins that are open then go on like all others. `carry` only says how many tasks a
     level needs.
     """

@@ -94,17 +94,50 @@ def test_bits_round_trip():
         assert (start, doc_ids.tolist(), counts.tolist()) == (11, [7], [size]) and (back == ids).all()
 
 
-def test_corpus_round_trip(spark):
-    data = rows()
-    df = spark.createDataFrame(data, "doc_id long, text string, n long").repartition(5)
-    got = sorted(H.decode_corpus(H.encode_corpus(df)).collect(), key=lambda r: r.start)
+def check_round_trip(spark, data, parts):
+    """Rows are in the order of ids, those of one id in any; starts add up."""
+    df = spark.createDataFrame(data, "doc_id long, text string, n long").repartition(parts)
+    files = H.encode_corpus(df)
+    got = sorted(H.decode_corpus(files).collect(), key=lambda r: r.start)
     want = sorted(((-1 if d is None else d), np.array(x, "<u4").tobytes()) for (d, *_), x in zip(data, expected([t for _, t, _ in data]), strict=True))
-    assert [(-1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in got] == want
+    found = [(-1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in got]
+    assert [d for d, _ in found] == [d for d, _ in want] and sorted(found) == want
     at = 0
     for r in got:
         assert (r.start, r.n_tokens) == (at, len(r.ids) // 4)
         at += r.n_tokens
-    assert H.decode_corpus(H.encode_corpus(df.where("false"))).count() == 0
+    return files
+
+
+def test_corpus_round_trip(spark):
+    files = check_round_trip(spark, rows(), 5)
+    assert files.groupBy("part").count().where("count > 1").isEmpty()
+    assert H.decode_corpus(H.encode_corpus(spark.createDataFrame(rows(), "doc_id long, text string, n long").where("false"))).count() == 0
+
+
+def test_many_files_and_an_id_of_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(H, "FILE_IDS", 500)
+    data = [(None if k % 2 else 7, f"text {k} " * (k % 40), k) for k in range(300)] + rows()
+    files = check_round_trip(spark, data, 5)
+    assert files.groupBy("part").count().where("count > 1").count() > 1
+    assert files.where("n_tokens > 20000").isEmpty()
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(T, "KEPT_IDS", 300)
+    tool = T.PieceEncoder(T.tokenizer_path())
+    for _, t, _ in rows()[:60]:
+        assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode([t or ""])] == [x[:-1] for x in expected([t])]
+        assert len(tool.pool) <= 300
+
+
+def test_one_task_packs_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_PIECES", 25)
+    data = rows()
+    got = P.pack_documents(spark.createDataFrame(data, "doc_id long, text string, n long").coalesce(1)).toPandas()
+    assert len(got) == sum(len(P.cut(len(x), 1024)) for x in expected([t for _, t, _ in data]))
+    fill = got.groupby("sequence_id").length.sum()
+    assert fill.max() <= 1024 and len(fill) <= 1.03 * fill.sum() / 1024 + 1
 
 
 def test_packing(spark):
