@@ -36,8 +36,8 @@ BITS = 64
 SPLIT, LEAST_SPLIT = 1_000_000, 64
 #: Rows of a key that are compared in one task; beyond, its rows are dealt as a grid. Slots count rows of keys.
 GRID_ROWS, SLOTS = 20_000, 1 << 18
-#: Characters of texts whose shingle sets are compared in one task.
-GRID_CHARS = 16_000_000
+#: Texts whose shingle sets are compared in one task: their characters, and their number as long as that takes GRID_PARTS parts at most.
+GRID_CHARS, GRID_TEXTS, GRID_PARTS = 16_000_000, 500, 16
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -446,10 +446,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
     pairs = dealt.select("cell", "id", "fp").repartition(to, "cell").mapInPandas(compare, "a long, b long").distinct()
     near = components(pairs)
     near = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
-    # Groups with very many characters are dealt as a grid of parts; at most SPLIT of them.
+    # Large groups are dealt as a grid of parts: at most SPLIT of them by characters, and a GRID_TEXTS-th of the texts.
     held = C.materialise(near.join(codes.drop("n"), "id"), "candidates")
     limit = max(GRID_CHARS, (held.agg(F.sum("chars")).first()[0] or 0) // SPLIT)
-    large = held.groupBy(F.col("component").alias("slot")).agg(F.ceil(F.sum("chars") / limit).alias("parts")).where("parts > 1")
+    parts = F.greatest(F.ceil(F.sum("chars") / limit), F.least(F.ceil(F.count("*") / GRID_TEXTS), F.lit(GRID_PARTS)))
+    large = held.groupBy(F.col("component").alias("slot")).agg(parts.alias("parts")).where("parts > 1")
     gridded = grid(held, "component", "id", large, F.col("component")).select("cell", "id", "fp", "doc_id", "text_hash")
     found = gridded.join(texts, ["doc_id", "text_hash"]).select("cell", "id", "fp", "text").repartition(to, "cell").mapInPandas(verify, "id long, to long")
     found = C.materialise(found, "groups")
