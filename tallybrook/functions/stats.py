@@ -87,3 +87,24 @@ def permutation_test(outcomes: DataFrame, group: str, correct: str, rounds: int
     lots = spark.range(0, -(-rounds // 1000))
     found = lots.mapInPandas(run, "at_least long")
     return found.agg(F.lit(observed).alias("observed"), (F.sum("at_least") / rounds).alias("p"), F.lit(rounds).cast("long").alias("rounds"))
+
+
+def permutation_tests(cells: DataFrame, by: str, group: str, rounds: int = 4000, seed: int = 0) -> DataFrame:
+    """by, p: permutation_test() for each value of `by` (a model, say), in one job over the counts (by, group, n, hits).
+
+    Groups are few, so a task holds one value's counts.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(group)
+        sizes, hits = frame["n"].to_numpy(np.int64), frame["hits"].to_numpy(np.int64)
+        p = 1.0
+        if len(frame) > 1:
+            observed, found = float(np.ptp(hits / sizes)), 0
+            for at in range(0, rounds, 1000):
+                draws = np.random.default_rng([seed, at // 1000]).multivariate_hypergeometric(sizes, int(hits.sum()), size=min(1000, rounds - at)) / sizes
+                found += int((np.ptp(draws, axis=1) >= observed - 1e-12).sum())
+            p = found / rounds
+        return pd.DataFrame({by: [frame[by].iloc[0]], "p": [p]})
+
+    return cells.select(by, group, "n", "hits").groupBy(by).applyInPandas(run, f"{by} string, p double")

@@ -27,15 +27,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD))
 
 
-def _latin_words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), F.lit(1)), F.lower)
+_MARKED = f"(?i)(?<![A-Za-z])(?:{'|'.join(K.ROMAN_URDU_MARKERS)})(?![A-Za-z])"
 
 
 def language(text: Column) -> Column:
     """Both scripts: code_switched; Arabic: urdu_script; a marker word: roman_urdu; all else, also no letters: english."""
     arabic, latin = text.rlike(f"[{K.ARABIC}]"), text.rlike("[A-Za-z]")
-    marked = F.arrays_overlap(_latin_words(text), F.array(*map(F.lit, K.ROMAN_URDU_MARKERS)))
-    return F.when(arabic & latin, "code_switched").when(arabic, "urdu_script").when(marked, "roman_urdu").otherwise("english")
+    return F.when(arabic & latin, "code_switched").when(arabic, "urdu_script").when(text.rlike(_MARKED), "roman_urdu").otherwise("english")
 
 
 def language_wide(text: Column) -> Column:

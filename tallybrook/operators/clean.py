@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook import schemas
@@ -10,23 +10,22 @@ from tallybrook.functions import text as X
 
 
 def first_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
-    return _nth(df, key, F.col(order))
+    """The first record of each key. Records of a key are combined before the exchange, so its copies don't gather."""
+    return df.groupBy(key).agg(F.min_by(F.struct("*"), F.col(order)).alias("r")).select("r.*")
 
 
 def last_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """The last record of each key, with `first_ord`, the place of the first."""
-    df = df.withColumn("first_ord", F.min(order).over(Window.partitionBy(key)))
-    return _nth(df, key, F.desc(order))
-
-
-def _nth(df: DataFrame, key: str, order) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    return df.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order)).alias("r"), F.min(order).alias("first_ord")).select("r.*", "first_ord")
 
 
 def two_key_dedup(df: DataFrame, identity: str, content: str, order: str = "ord") -> DataFrame:
     """df with `verdict`: kept, duplicate_id or duplicate_text; as if rows were taken in order, and a row kept
     unless a kept one has its identity (tested first) or its content. Rejected rows reserve nothing.
 
+    Rounds: at most one more than the longest chain of rows of which each waits for the one before it by the other key (half of the
+    rows if each shares one key with the row before and one with the row after; a few in data that copies make).
+
     A round keeps the rows that come first by both keys among those left, and drops all that share a key with
     them. Rounds run over plans, not rows; each is cut by a checkpoint. Keys meet by minima, which are
     combined before the exchange, so one key's copies don't gather. `order` is unique.

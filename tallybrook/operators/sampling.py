@@ -28,7 +28,13 @@ def round_robin(rows: DataFrame, strata: list[str], target: int, seed: int, key:
     total = rows.count()
     if not 0 < target <= total:
         raise ValueError(f"{target} rows of {total} can't be drawn")
-    placed = rows.withColumn("_turn", nth_in(strata, [draw_key(seed, key), F.col(key)]))
+    # After t turns each stratum has given t rows, or all: the last turn is the first by which there are `target`.
+    found = {r.n: r.times for r in rows.groupBy(*strata).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("times")).collect()}
+    low, high = 1, max(found)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(min(n, middle) * times for n, times in found.items()) >= target else (middle + 1, high)
+    placed = rows.withColumn("_turn", nth_in(strata, [draw_key(seed, key), F.col(key)])).where(F.col("_turn") <= low)
     return placed.orderBy("_turn", *strata).limit(target).drop("_turn")
 
 

@@ -77,15 +77,10 @@ def first_two_agreement(pairs: DataFrame) -> DataFrame:
 def power_report(pairs: DataFrame, key: str, rounds: int = 4000) -> DataFrame:
     """Per model: spread over groups, its p, the baseline and the smallest difference that could have been found."""
     rows = _answers(pairs, False).withColumn("group", F.coalesce(F.try_element_at("meta", F.lit(key)), F.lit("None")))
-    out = None
-    for (model,) in rows.select("model").distinct().orderBy("model").collect():  # a handful of models
-        own = rows.where(F.col("model") == model)
-        facts = S.spread(S.group_rates(own, "group", "hit"))
-        test = S.permutation_test(own, "group", "hit", rounds)
-        base = F.coalesce(F.col("hits") / F.col("n"), F.lit(0.5))
-        one = facts.join(test).select(F.lit(model).alias("model"), "spread", "p", (F.col("p") < 0.05).alias("significant"), base.alias("baseline"), "smallest", S.minimum_detectable_effect(base, F.col("smallest")).alias("detectable"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else pairs.sparkSession.createDataFrame([], "model string, spread double, p double, significant boolean, baseline double, smallest long, detectable double")
+    cells = rows.groupBy("model", "group").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    facts = cells.groupBy("model").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.max(F.col("hits") / F.col("n")) - F.min(F.col("hits") / F.col("n"))).alias("spread"), (F.sum("hits") / F.sum("n")).alias("baseline"), F.min("n").alias("smallest"))
+    out = facts.join(S.permutation_tests(cells, "model", "group", rounds), "model")
+    return out.select("model", "spread", "p", (F.col("p") < 0.05).alias("significant"), "baseline", "smallest", S.minimum_detectable_effect(F.col("baseline"), F.col("smallest")).alias("detectable"))
 
 
 def winner(accuracies: DataFrame) -> DataFrame:
@@ -114,8 +109,9 @@ def pilot_gaps(scores: DataFrame, forms: list[str], base: str = "roman_urdu") ->
 
 
 def decompose(rows: DataFrame, gaps: tuple[str, ...] = ("none", "__none__", "unclassifiable")) -> DataFrame:
-    """kind, n over disagreements (a, b, truth): coverage_gap first, then a_right, b_right, neither."""
-    kind = F.when(F.col("truth").isin(*gaps), "coverage_gap").when(F.col("a") == F.col("truth"), "a_right").when(F.col("b") == F.col("truth"), "b_right").otherwise("neither")
+    """kind, n over disagreements (a, b, truth): coverage_gap (no label for the person, one for both models) first, then a_right, b_right, neither."""
+    gap = F.col("truth").isin(*gaps) & ~F.col("a").isin(*gaps) & ~F.col("b").isin(*gaps)
+    kind = F.when(gap, "coverage_gap").when(F.col("a") == F.col("truth"), "a_right").when(F.col("b") == F.col("truth"), "b_right").otherwise("neither")
     return rows.where(F.col("a") != F.col("b")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -127,7 +123,7 @@ def annotator_bias(rows: DataFrame) -> DataFrame:
 
 
 def agreement_report(rows: DataFrame, by: str) -> DataFrame:
-    """n, agree, refunds flagged, unclassifiable by either and by both, by group and over all (group null)."""
+    """n, agree, unclassifiable by either and by both, by group and over all (group null); studies.diagnostic_report() has the rest."""
     a, b = F.col("a"), F.col("b")
     none = F.lit("unclassifiable")
     return rows.rollup(by).agg(
@@ -168,7 +164,28 @@ def hunt_yield(rows: DataFrame) -> DataFrame:
 
 
 def kappa_word(value: Column) -> Column:
-    return F.when(value >= 0.8, "strong").when(value >= 0.6, "substantial").when(value >= 0.4, "moderate").otherwise("weak")
+    word = F.when(value >= 0.8, "strong").when(value >= 0.6, "moderate").when(value >= 0.4, "weak").otherwise("little better than chance")
+    return F.when(value.isNull(), "unknown").otherwise(word)
+
+
+def chance_word(p: Column) -> Column:
+    """How often chance alone does as well."""
+    whole = lambda c: F.round(c).cast("int").cast("string")
+    rare = F.concat(F.lit("fewer than "), F.greatest(F.lit(1), F.round(100 * p).cast("int")).cast("string"), F.lit(" times in 100"))
+    return F.when(p >= 0.5, F.concat(whole(10 * p), F.lit(" times out of 10"))).when(p >= 0.1, F.concat(F.lit("about "), whole(100 * p), F.lit(" times in 100"))).otherwise(rare)
+
+
+# Spoken shares.
+SPOKEN = (
+    (90, "about 9 in 10"), (80, "about 4 in 5"), (75, "about 3 in 4"), (67, "about 2 in 3"), (60, "about 3 in 5"), (50, "about half"),
+    (40, "about 2 in 5"), (33, "about 1 in 3"), (25, "about 1 in 4"), (20, "about 1 in 5"), (10, "about 1 in 10"),
+)
+
+
+def spoken_share(percent: Column) -> Column:
+    """The nearest of the spoken shares; of two as near the first."""
+    near = F.array_min(F.array(*[F.struct(F.abs(percent - at).alias("far"), F.lit(k).alias("k"), F.lit(words).alias("words")) for k, (at, words) in enumerate(SPOKEN)]))
+    return near["words"]
 
 
 def tally(rows: DataFrame, *by: str) -> DataFrame:

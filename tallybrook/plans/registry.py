@@ -12,7 +12,7 @@ from tallybrook.functions import parsing, pii
 from tallybrook.functions import stats as S
 from tallybrook.functions import text as X
 from tallybrook.operators import clean as CL
-from tallybrook.operators import facets, labels, sampling, scoring, worklists
+from tallybrook.operators import facets, labels, sampling, scoring, studies, worklists
 from tallybrook.sources import reviews as R
 from tallybrook.streaming import refresh
 
@@ -217,17 +217,23 @@ def dedupe_text(spark, sf_dir):
     return CL.first_wins(rows, "text_hash")
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id, source || ':' || CAST(n_chars % 7 AS VARCHAR) AS i, sha256(text) AS c, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+t AS (SELECT 0::BIGINT AS k, 0::BIGINT AS ord, '' AS verdict, []::VARCHAR[] AS ids, []::VARCHAR[] AS texts
+  UNION ALL SELECT r.k, r.doc_id, CASE WHEN list_contains(ids, i) THEN 'duplicate_id' WHEN list_contains(texts, c) THEN 'duplicate_text' ELSE 'kept' END,
+    CASE WHEN list_contains(ids, i) OR list_contains(texts, c) THEN ids ELSE list_append(ids, i) END, CASE WHEN list_contains(ids, i) OR list_contains(texts, c) THEN texts ELSE list_append(texts, c) END FROM t JOIN r ON r.k = t.k + 1)
+SELECT ord, verdict FROM t WHERE k > 0"""
+)
 def dedupe_two_key(spark, sf_dir):
-    """Rows in order against two keys: SQL has no such rule; a test holds it against a sequential loop."""
+    """Rows in order against two keys."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat("source", F.lit(":"), (F.col("n_chars") % 7).cast("string")).alias("identity"), X.text_hash(F.col("text")).alias("content"))
     return CL.two_key_dedup(rows, "identity", "content").select("ord", "verdict")
 
 
-@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<EMAIL>', 'g') AS text FROM documents WHERE contains(text, '@')")
+@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<EMAIL>', 'g') AS text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails FROM documents")
 def redact_email(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
-    return rows.select("doc_id", F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>").alias("text"))
+    out = pii.scrub(table(spark, sf_dir, "documents"), "text", classes=("email",))
+    return out.select("doc_id", F.col("text_scrubbed").alias("text"), F.coalesce(F.try_element_at("pii_counts", F.lit("email")), F.lit(0)).cast("long").alias("emails"))
 
 
 @query()
@@ -252,33 +258,47 @@ def registry_join(spark, sf_dir):
     return CL.attach_brand(CL.remap_products(rows, listings), listings).select("c_custkey", "product_id", "brand_group")
 
 
+_STARS = ", ".join(f"count(*) FILTER (WHERE CAST(floor(value) AS BIGINT) % 5 = {k - 1}) AS rating_{k}" for k in range(1, 6))
+
+
 @query(
-    """SELECT event_type, count(*) AS records, count(*) - count(DISTINCT user_id) AS duplicates, count(*) FILTER (WHERE coalesce(props, '') = '') AS empty_texts,
-CAST(count(*) FILTER (WHERE CAST(floor(value) AS BIGINT) % 5 = 0) AS BIGINT) AS rating_1, count(*) FILTER (WHERE CAST(floor(value) AS BIGINT) % 5 = 4) AS rating_5,
-strftime(min(ts), '%Y-%m-%d') AS earliest, strftime(max(ts), '%Y-%m-%d') AS latest, count(*) FILTER (WHERE coalesce(props, '') <> '') AS script_latin FROM events GROUP BY 1"""
+    f"""WITH e AS (SELECT *, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'خراب ہے' WHEN 2 THEN 'app خراب' ELSE '  ' END AS t FROM events)
+SELECT event_type, count(*) AS records, count(*) - count(DISTINCT user_id) AS duplicates, count(*) FILTER (WHERE trim(coalesce(t, '')) = '') AS empty_texts, {_STARS},
+strftime(min(ts), '%Y-%m-%d') AS earliest, strftime(max(ts), '%Y-%m-%d') AS latest, count(*) FILTER (WHERE event_id % 4 = 0 AND coalesce(props, '') <> '') AS script_latin,
+count(*) FILTER (WHERE event_id % 4 = 1) AS script_urdu_script, count(*) FILTER (WHERE event_id % 4 = 2) AS script_mixed, count(*) FILTER (WHERE trim(coalesce(t, '')) = '') AS script_empty FROM e GROUP BY 1"""
 )
 def raw_validation(spark, sf_dir):
+    text = F.element_at(F.array(F.col("props"), F.lit("خراب ہے"), F.lit("app خراب"), F.lit("  ")), (F.col("event_id") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select(
-        "event_type", F.col("user_id").cast("string").alias("review_id"), F.col("props").alias("text"), (F.floor("value") % 5 + 1).cast("int").alias("rating"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp")
+        "event_type", F.col("user_id").cast("string").alias("review_id"), text.alias("text"), (F.floor("value") % 5 + 1).cast("int").alias("rating"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp")
     )
-    out = CL.validate_raw(rows, ("event_type",))
-    return out.select("event_type", "records", "duplicates", "empty_texts", "rating_1", "rating_5", "earliest", "latest", "script_latin")
+    return CL.validate_raw(rows, ("event_type",))
 
 
-@query("SELECT lang AS language, source AS product_id, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
+@query(
+    f"""WITH {REVIEWS} SELECT language, platform, product AS product_id, count(*) AS n, min(date) AS first_day, max(date) AS last_day FROM reviews GROUP BY GROUPING SETS ((language), (platform), (product), ())"""
+)
 def grouping_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("source").alias("product_id"))
-    return rows.groupingSets([["language"], ["product_id"], ["language", "product_id"], []], "language", "product_id").agg(F.count("*").alias("n"))
+    rows = reviews(spark, sf_dir).withColumnsRenamed({"product": "product_id", "date": "timestamp"})
+    return CL.report(rows)
+
+
+_CENSUS_STARS = ", ".join(f"count(*) FILTER (WHERE c_custkey % 5 = {k - 1}) AS rating_{k}" for k in range(1, 6))
+_CENSUS_DAY = "'2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0')"
 
 
 @query(
-    """WITH s AS (SELECT c_nationkey, count(*) AS observed, count(*) FILTER (WHERE c_custkey % 5 = 0) AS rating_1 FROM customer GROUP BY 1)
-SELECT n_name, coalesce(observed, 0) AS observed, coalesce(rating_1, 0) AS rating_1 FROM nation LEFT JOIN s ON n_nationkey = c_nationkey"""
+    f"""WITH s AS (SELECT c_nationkey, count(*) AS observed, min({_CENSUS_DAY}) AS earliest, max({_CENSUS_DAY}) AS latest, {_CENSUS_STARS} FROM customer GROUP BY 1)
+SELECT n_name, coalesce(observed, 0) AS observed, earliest, latest, {", ".join(f"coalesce(rating_{k}, 0) AS rating_{k}" for k in range(1, 6))}, CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey END AS reported FROM nation LEFT JOIN s ON n_nationkey = c_nationkey"""
 )
 def census(spark, sf_dir):
-    listings = table(spark, sf_dir, "nation").select("n_name", F.lit("shop").alias("platform"), F.col("n_nationkey").cast("string").alias("platform_app_id"))
-    rows = table(spark, sf_dir, "customer").select(F.lit("shop").alias("platform"), F.col("c_nationkey").cast("string").alias("platform_app_id"), (F.col("c_custkey") % 5 + 1).cast("int").alias("rating"), F.lit("2024-01-01").alias("timestamp"))
-    return CL.census(listings, rows).select("n_name", "observed", "rating_1")
+    n = table(spark, sf_dir, "nation")
+    listings = n.select("n_name", F.lit("shop").alias("platform"), F.col("n_nationkey").cast("string").alias("platform_app_id"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"))
+    rows = table(spark, sf_dir, "customer").select(F.lit("shop").alias("platform"), F.col("c_nationkey").cast("string").alias("platform_app_id"), (F.col("c_custkey") % 5 + 1).cast("int").alias("rating"), day.alias("timestamp"))
+    metadata = n.where("n_nationkey % 3 = 0").select(F.lit("shop").alias("platform"), F.col("n_nationkey").cast("string").alias("platform_app_id"), F.col("n_regionkey").alias("reported"))
+    out = CL.census(listings, rows, metadata).drop("platform", "platform_app_id")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("earliest", "latest")})
 
 
 # ---- labels and ranking
@@ -303,19 +323,28 @@ def signal_rank(spark, sf_dir):
     return _candidates(spark, sf_dir, 50, 0)
 
 
-@query(_SIGNAL_SQL + " SELECT intent, rank, doc_id AS review_id, hits FROM r WHERE rank > 50 AND rank <= 75")
+@query(
+    _SIGNAL_SQL.partition(",\nfree AS")[0]
+    + f""", w AS (SELECT s.* FROM s JOIN documents USING (doc_id) WHERE hits > 0 AND {WORDS.format("text")} >= 3),
+a AS (SELECT *, CAST(row_number() OVER (PARTITION BY intent ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY rank) AS k FROM a WHERE rank > 50 AND doc_id NOT IN (SELECT doc_id FROM labels)) SELECT intent, rank, doc_id AS review_id, hits FROM f WHERE k <= 25"""
+)
 def signal_next_slice(spark, sf_dir):
-    return _candidates(spark, sf_dir, 75, 50)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text", F.col("doc_id").alias("ord"))
+    seen = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("review_id"))
+    return studies.next_slice(rows, {k: X.signal_score(F.col("text"), v) for k, v in SIGNALS.items()}, 25, seen)
 
 
 @query(
-    """WITH own AS (SELECT event_type AS hunted_for, CASE WHEN user_id % 4 = 0 THEN event_type ELSE 'other_' || CAST(user_id % 4 AS VARCHAR) END AS label FROM events)
-SELECT hunted_for, count(*) AS candidates, count(*) FILTER (WHERE label = hunted_for) AS hits, round_even(100.0 * count(*) FILTER (WHERE label = hunted_for) / count(*), 1) AS yield,
-CASE WHEN count(*) FILTER (WHERE label = hunted_for) = 0 THEN 'absent' WHEN count(*) FILTER (WHERE label = hunted_for) < 5 THEN 'rare' ELSE 'present' END AS verdict FROM own GROUP BY 1"""
+    """WITH own AS (SELECT event_type AS hunted_for, CASE WHEN user_id % 4 = 0 THEN event_type ELSE 'other_' || CAST(user_id % 7 AS VARCHAR) END AS label FROM events),
+o AS (SELECT hunted_for AS h, label, count(*) AS n FROM own WHERE label <> hunted_for GROUP BY 1, 2), t AS (SELECT h, string_agg(label || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, label) AS confusions FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY n DESC, label) AS k FROM o) WHERE k <= 3 GROUP BY 1)
+SELECT hunted_for, any_value(confusions) AS confusions, count(*) AS candidates, count(*) FILTER (WHERE label = hunted_for) AS hits, round_even(100.0 * count(*) FILTER (WHERE label = hunted_for) / count(*), 1) AS yield,
+CASE WHEN count(*) FILTER (WHERE label = hunted_for) = 0 THEN 'absent' WHEN count(*) FILTER (WHERE label = hunted_for) < 5 THEN 'rare' ELSE 'present' END AS verdict FROM own LEFT JOIN t ON h = hunted_for GROUP BY 1"""
 )
 def hunt_yield(spark, sf_dir):
-    label = F.when(F.col("user_id") % 4 == 0, F.col("event_type")).otherwise(F.concat(F.lit("other_"), (F.col("user_id") % 4).cast("string")))
-    return scoring.hunt_yield(table(spark, sf_dir, "events").select(F.col("event_type").alias("hunted_for"), label.alias("label"))).drop("confusions")
+    label = F.when(F.col("user_id") % 4 == 0, F.col("event_type")).otherwise(F.concat(F.lit("other_"), (F.col("user_id") % 7).cast("string")))
+    out = scoring.hunt_yield(table(spark, sf_dir, "events").select(F.col("event_type").alias("hunted_for"), label.alias("label")))
+    return out.withColumn("confusions", F.array_join(F.transform("confusions", lambda e: F.concat(e["label"], F.lit("="), e["n"].cast("string"))), ","))
 
 
 @query(
@@ -375,11 +404,11 @@ def pairs(spark, sf_dir):
 
 
 _HASH = "sha256('{seed}:' || {key})"
-_DOC_ITEMS = f"i AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 2 = 0), j AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, CAST(doc_id % 3 AS INTEGER) AS label_version FROM labels)"
+_DOC_ITEMS = f"i AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents), j AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, CAST(doc_id % 3 AS INTEGER) AS label_version FROM labels)"
 
 
 def _doc_items(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    d = table(spark, sf_dir, "documents")
     answer = (F.col("doc_id") % 3).cast("string")
     return d.select(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("a"), answer, F.lit("b"), F.when(F.col("doc_id") % 4 == 0, answer).otherwise("x")).alias("predictions"))
 
@@ -635,6 +664,9 @@ def title_match(spark, sf_dir):
     return parsing.most_similar_titles(targets, titles).withColumn("ratio", F.round("ratio", 6))
 
 
+from tallybrook.plans import more  # noqa: E402, F401  (registers the studies' queries)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

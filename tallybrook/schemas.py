@@ -25,6 +25,7 @@ CLEAN = T.StructType([*REVIEW.fields, *of("text_clean STRING, text_hash STRING,
 LABEL = of("intent STRING, intent_secondary STRING, refund_requested BOOLEAN, language STRING, severity STRING, confidence DOUBLE, rationale STRING")
 ITEM = of("id STRING, text STRING, meta MAP<STRING>, predictions MAP<STRING>")
 JUDGEMENT = of("item_id STRING, label STRING, secondary STRING, flags MAP<BOOLEAN>, notes STRING, skipped BOOLEAN, blind BOOLEAN, label_version INT, predictions MAP<STRING>")
+TOKEN = of("token STRING, lang STRING, country STRING, sort INT, count INT, filter_score_with INT, filter_device_with INT")
 LISTING = of(
     "product_id STRING, display_name STRING, brand_group STRING, vertical STRING, inclusion_tier STRING, platform STRING, platform_app_id STRING, bundle_id STRING, store_title STRING, developer STRING, store_url STRING, confirmed BOOLEAN"
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,16 +18,15 @@ from tallybrook.operators.clean import last_wins
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """Lines with `ord`, by path, then place in the file. Blank lines are skipped."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    rows = files.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    return rows.where(F.trim("value") != "")
+    return files.where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
 
 
 def _with_ord(rows: DataFrame) -> DataFrame:
-    """Ordinals without one task for all rows: places are dense within a file only, so files' sizes are summed first."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("path")) - F.col("n")).drop("n")
-    in_file = F.row_number().over(Window.partitionBy("path").orderBy("block", "place"))
-    return rows.withColumn("k", in_file).join(before, "path").withColumn("ord", F.col("before") + F.col("k") - 1).drop("k", "before", "block", "place")
+    """Ordinals in the order of path, block and place. Places are dense within a block, which one task reads, so only blocks are sorted."""
+    blocks = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("path", "block")) - F.col("n")  # a row a block
+    blocks = blocks.select("path", "block", "first", before.alias("before"))
+    return rows.join(blocks, ["path", "block"]).withColumn("ord", F.col("before") + F.col("place") - F.col("first")).drop("before", "first", "block", "place")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = schemas.REVIEW, malformed: str = "fail", glob: str = "*.jsonl") -> DataFrame:
@@ -140,6 +140,95 @@ def _yaml(path: str):
     return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
 
 
+# The stores' hosts.
+PLATFORM_HOSTS = {"google_play": "play.google.com", "apple_app_store": "apps.apple.com"}
+
+
+def wrong_addresses(listings: DataFrame) -> DataFrame:
+    """Listings (platform, store_url) whose address is not https, or not on their platform's host."""
+    host = F.coalesce(*[F.when(F.col("platform") == p, h) for p, h in PLATFORM_HOSTS.items()], F.lit(""))
+    url = F.coalesce("store_url", F.lit(""))
+    right = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host)
+    return listings.where(~F.coalesce(right, F.lit(False)))
+
+
+def confirmed_apps(apps: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """Apps (name, confirmed) that are chosen. Unknown names, none at all, or one that nobody confirmed is an error that names them."""
+    chosen = apps if names is None else apps.where(F.col("name").isin(*names))
+    found = {r.name: bool(r.confirmed) for r in chosen.select("name", "confirmed").collect()}  # configuration: a few rows
+    if missing := sorted((names or set()) - set(found)):
+        raise ValueError(f"unknown apps: {', '.join(missing)}")
+    if not found:
+        raise ValueError("no apps")
+    if waiting := sorted(n for n, sure in found.items() if not sure):
+        raise ValueError(f"not confirmed by a person: {', '.join(waiting)}")
+    return chosen
+
+
+def confirmed_listings(listings: DataFrame, platform: str, products: set[str] | None = None) -> DataFrame:
+    """Confirmed listings of a platform; chosen products that have none are an error."""
+    out = listings.where((F.col("platform") == platform) & F.col("confirmed"))
+    if products is None:
+        return out
+    out = out.where(F.col("product_id").isin(*products))
+    if missing := sorted(products - {r.product_id for r in out.select("product_id").distinct().collect()}):
+        raise ValueError(f"unknown or unconfirmed products: {', '.join(missing)}")
+    return out
+
+
+def quotas(spark: SparkSession, path: str, key: str = "google_quotas") -> DataFrame:
+    """platform_app_id, quota of a configuration file; a file that is not there has none."""
+    data = (_yaml(path) or {}).get(key) or {} if Path(path).exists() else {}
+    if not isinstance(data, dict):
+        raise ValueError(f"{key} in {path} must be a mapping")
+    return spark.createDataFrame([(str(k), int(v)) for k, v in data.items()], "platform_app_id string, quota long")
+
+
+def roster(source: str | dict, providers: tuple[str, ...]) -> list[dict]:
+    """Models to ask: id, provider and label are needed, ids differ, providers are known; prices are 0 and a request takes 0.5 s unless told."""
+    data = _yaml(source) if isinstance(source, str) else source
+    models, seen = (data or {}).get("models") or [], set()
+    if not models:
+        raise ValueError("the roster is empty")
+    out = []
+    for m in models:
+        if lacking := [k for k in ("id", "provider", "label") if not m.get(k)]:
+            raise ValueError(f"a model lacks {lacking}")
+        if m["provider"] not in providers:
+            raise ValueError(f"{m['id']}: provider {m['provider']!r} is none of {', '.join(providers)}")
+        if m["id"] in seen:
+            raise ValueError(f"model {m['id']} is there twice")
+        seen.add(m["id"])
+        out.append({"price_per_mtok_input": 0.0, "price_per_mtok_output": 0.0, "min_request_interval": 0.5, "effort": None, "disable_thinking": False} | m)
+    return out
+
+
+def judged_ids(judgements: DataFrame, key: str = "item_id") -> DataFrame:
+    """What needs no judging again when a pass is resumed."""
+    return judgements.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def token_json(token: Column) -> Column:
+    """A continuation token (a struct) as JSON, empty fields too; null stays null."""
+    return F.when(token.isNotNull(), F.to_json(token, {"ignoreNullFields": "false"}))
+
+
+def token_of(value: Column) -> Column:
+    return F.from_json(value, schemas.TOKEN)
+
+
+def judgement_json(columns: tuple[str, ...] = ("item_id", "label", "secondary", "flags", "notes", "skipped", "blind", "label_version", "predictions")) -> Column:
+    """A judgement as a JSON line, its fields in this order, empty ones too."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def label_groups(labels: DataFrame) -> DataFrame:
+    """grp, ids: labels (id, group, ord) by group, groups and ids in the order of their declaration; without a group: `labels`."""
+    grp = F.coalesce(F.nullif("group", F.lit("")), F.lit("labels"))
+    out = labels.groupBy(grp.alias("grp")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda e: e["id"]).alias("ids"), F.min("ord").alias("ord"))
+    return out.select("grp", "ids", "ord")
+
+
 def registry(spark: SparkSession, source: str | dict) -> DataFrame:
     """Listings with their product's fields. Problems in the file are all named in one error."""
     data = _yaml(source) if isinstance(source, str) else source
@@ -153,8 +242,11 @@ def registry(spark: SparkSession, source: str | dict) -> DataFrame:
             if key in seen:
                 problems.append(f"listing {key} is there twice")
             seen.add(key)
-            if not str(e.get("store_url", "")).startswith("https://"):
-                problems.append(f"listing {key} has no https address")
+            at = urlparse(str(e.get("store_url", "")))
+            if e["platform"] not in PLATFORM_HOSTS:
+                problems.append(f"listing {key} is on an unknown platform")
+            elif at.scheme != "https" or at.hostname != PLATFORM_HOSTS[e["platform"]]:
+                problems.append(f"listing {key} has no https address of its platform")
             rows.append({f.name: e.get(f.name, p.get(f.name)) for f in schemas.LISTING.fields})
         if p.get("inclusion_tier") == "core" and len({e["platform"] for e in p.get("listings") or []}) < 2:
             problems.append(f"core product {p['product_id']} is not on both platforms")

@@ -21,16 +21,31 @@ def known_ids(*trees: DataFrame, key: tuple[str, ...] = ("platform", "review_id"
 def caught_up(pages: DataFrame, by: str, page: str, order: str, known: Column, threshold: int = 100) -> DataFrame:
     """by, page, last_run, stops: the run of known rows at each page's end, and whether it has reached the threshold there.
 
-    A run begins anew after each unknown row, and goes on over pages.
+    A run begins anew after each unknown row, and goes on over pages, which are in the order of their rows. Rows meet
+    within their page only; what goes on is a row a page.
     """
-    so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    islands = pages.withColumn("_known", known.cast("int")).withColumn("_run", F.sum(1 - F.col("_known")).over(so_far))
-    within = Window.partitionBy(by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    lengths = islands.withColumn("_length", F.sum("_known").over(within))
-    ends = lengths.groupBy(by, page).agg(F.max_by("_length", order).cast("long").alias("last_run"))
+    own = Window.partitionBy(by, page)  # a page is of bounded size
+    last = F.max(F.when(~known, F.col(order))).over(own)
+    rows = pages.select(by, page, last.alias("_last"), F.col(order).alias("_at"))
+    sizes = rows.groupBy(by, page).agg(F.count_if(F.col("_last").isNull() | (F.col("_at") > F.col("_last"))).alias("_tail"), F.max(F.col("_last").isNotNull()).cast("int").alias("_breaks"))
+    run = F.sum("_breaks").over(Window.partitionBy(by).orderBy(page))  # a row a page
+    within = Window.partitionBy(by, "_run").orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.withColumn("_run", run).select(by, page, F.sum("_tail").over(within).alias("last_run"))
     return ends.withColumn("stops", F.col("last_run") >= threshold)
 
 
+def stop_reasons(pages: DataFrame, by: str, page: str, order: str, known: Column, threshold: int = 100, max_pages: int = 50) -> DataFrame:
+    """by, pages_fetched, new_rows, stop_reason of a walk over pages from the newest (page 0): caught_up after the first page that ends in
+    a run of `threshold` known rows, store_exhausted after the last page there is, max_pages after so many."""
+    ends = caught_up(pages.where(F.col(page) < max_pages), by, page, order, known, threshold)
+    walks = ends.groupBy(by).agg(F.min(F.when(F.col("stops"), F.col(page))).alias("_stop"), (F.max(page) + 1).alias("_there"))
+    walks = walks.withColumn("pages_fetched", F.coalesce(F.col("_stop") + 1, F.col("_there")).cast("long"))
+    reason = F.when(F.col("_stop").isNotNull(), "caught_up").when(F.col("_there") < max_pages, "store_exhausted").otherwise("max_pages")
+    fresh = pages.where(~known).groupBy(by, page).agg(F.count("*").alias("_n"))
+    new = fresh.join(walks.select(by, "pages_fetched"), by).where(F.col(page) < F.col("pages_fetched")).groupBy(by).agg(F.sum("_n").alias("new_rows"))
+    return walks.select(by, "pages_fetched", reason.alias("stop_reason")).join(new, by, "left").fillna(0, ["new_rows"])
+
+
 def admit(rows: DataFrame, known: DataFrame, key: tuple[str, ...] = ("platform", "review_id")) -> DataFrame:
     """Unseen rows whose normalised text has three words or more, by white space; the first of each id."""
     good = rows.withColumn("text_clean", X.normalise(F.col("text"))).where(X.word_count(F.col("text_clean")) >= 3)
