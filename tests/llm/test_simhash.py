@@ -66,7 +66,7 @@ def test_against_brute_force(spark):
 @pytest.fixture
 def split(monkeypatch):
     """Every key that a few rows share is split off in joins and dealt as a grid."""
-    for name, value in (("LEAST_SPLIT", 1), ("GRID_ROWS", 3), ("GRID_CHARS", 2000), ("SPLIT", 10**9)):
+    for name, value in (("LEAST_SPLIT", 1), ("GRID_ROWS", 3), ("GRID_CHARS", 2000), ("GRID_TEXTS", 7), ("SPLIT", 10**9)):
         monkeypatch.setattr(S, name, value)
 
 
