@@ -11,6 +11,7 @@ from tallybrook.operators import clean as CL
 from tallybrook.operators import sampling, scoring, studies, worklists
 from tallybrook.plans import registry as G
 from tallybrook.plans.registry import query, sql_pct, sql_wilson, table
+from tallybrook.sources import labelling
 from tallybrook.sources import reviews as R
 from tallybrook.streaming import refresh
 
@@ -347,3 +348,29 @@ def admitted(spark, sf_dir):
     rows = texts(spark, sf_dir)
     known = rows.where("p_partkey % 4 = 0").select("p_partkey")
     return refresh.admit(rows.unionByName(rows), known, ("p_partkey",)).select("p_partkey")
+
+
+# ---- vocabularies and addresses
+
+
+@query("""SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de') GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source NOT IN (SELECT min(source) FROM documents) GROUP BY source
+UNION ALL SELECT 'quality', CAST(quality AS VARCHAR), count(*) FROM labels JOIN documents USING (doc_id) WHERE quality IS NULL OR quality <> 1 GROUP BY quality""")
+def vocabulary_check(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    first = d.agg(F.min("source")).first()[0]
+    marked = table(spark, sf_dir, "labels").join(d, "doc_id")
+    return labelling.outside_vocabulary(d, {"lang": ["en", "de"], "source": [first]}, optional=("source",)).unionByName(labelling.outside_vocabulary(marked, {"quality": ["1"]}))
+
+
+@query("""SELECT CAST(count(DISTINCT doc_id) AS VARCHAR) || ' complaints, not 20' AS problem FROM documents HAVING count(DISTINCT doc_id) <> 20
+UNION ALL SELECT 'nothing of nordic' FROM documents HAVING count(*) FILTER (lang IN ('sv', 'da')) = 0
+UNION ALL SELECT 'nothing of german or english' FROM documents HAVING count(*) FILTER (lang IN ('de', 'en')) = 0""")
+def authored_gaps(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("complaint_id"), F.col("lang").alias("gold_intent"))
+    return labelling.authored_gaps(rows, {"nordic": ("sv", "da"), "german or english": ("de", "en")})
+
+
+@query("SELECT s_suppkey, 'https://itunes.apple.com/pk/rss/customerreviews/page=' || (s_suppkey % 10 + 1) || '/id=' || s_suppkey || '/sortBy=mostRecent/json' AS address FROM supplier")
+def page_addresses(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", labelling.apple_page_address(F.col("s_suppkey"), F.col("s_suppkey") % 10 + 1).alias("address"))

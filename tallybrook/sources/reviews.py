@@ -51,8 +51,11 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType, **option
 
 
 def read_strict(spark: SparkSession, path: str, fields: tuple[str, ...] = schemas.REVIEW_FIELDS, schema: T.StructType = schemas.REVIEW, glob: str = "page_*.jsonl") -> DataFrame:
-    """As read_jsonl(), for rows whose keys are exactly these, in this order."""
-    rows = _with_ord(_lines(spark, path, glob))
+    """As read_jsonl(), for rows whose keys are exactly these, in this order. No row at all is an error."""
+    lines = _lines(spark, path, glob)
+    if lines.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    rows = _with_ord(lines)
     right = F.coalesce(F.json_object_keys("value") == F.array(*map(F.lit, fields)), F.lit(False))
     checked = rows.withColumn("value", F.when(~right, F.raise_error(F.concat(F.lit("unexpected fields in "), F.col("path")))).otherwise(F.col("value")))
     return checked.select(F.from_json("value", schema).alias("r"), "ord").select("r.*", "ord")
