@@ -7,8 +7,9 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybrook.llm import ann, fingerprints, html_text, huffman, langid, packing, pieces, secrets, simhash
+from tallybrook.llm import ann, chat, fingerprints, html_text, huffman, langid, negatives, packing, pieces, repair, secrets, simhash
 from tallybrook.llm.suffix_dedup import dedup_substrings
 
 
@@ -66,6 +67,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(odd)))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(*repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
     own = (
         op1_suffix_array_dedup,
@@ -78,9 +95,12 @@ def queries() -> dict:
         op8_nearest_neighbours,
         op9_html_main_text,
         op10_secret_scan,
+        op11_chat_format,
+        op12_conversation_repair,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_chat_format": chat.oracle_sql(), "op13_hard_negatives": negatives.ORACLE_SQL}
