@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions import catalogue as K
@@ -11,9 +14,11 @@ from tallybrook.operators import clean as CL
 from tallybrook.operators import sampling, scoring, studies, worklists
 from tallybrook.plans import registry as G
 from tallybrook.plans.registry import query, sql_pct, sql_wilson, table
-from tallybrook.sources import labelling
+from tallybrook.sources import labelling, paged
 from tallybrook.sources import reviews as R
+from tallybrook.sources.shared import shared_dir
 from tallybrook.streaming import refresh
+from tallybrook.streaming.walk import walk
 
 LOW, HIGH = sql_wilson("hits", "total", S.Z_SCRIPTS)
 BLOW, BHIGH = sql_wilson("hits", "total")
@@ -168,15 +173,52 @@ def winner(spark, sf_dir):
 # ---- increments, quotas, sources
 
 
-@query("""WITH k AS (SELECT event_type, event_id, event_id // 200 AS page, CASE WHEN (event_id * 7919) % 100 < CASE event_type WHEN 'click' THEN 99 WHEN 'view' THEN 97 ELSE 40 END THEN 1 ELSE 0 END AS known FROM events WHERE event_id // 200 < 40),
-r AS (SELECT *, sum(1 - known) OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM k), l AS (SELECT *, sum(known) OVER (PARTITION BY event_type, run ORDER BY event_id) AS length FROM r),
-e AS (SELECT event_type, page, arg_max(length, event_id) >= 30 AS stops FROM l GROUP BY 1, 2), s AS (SELECT event_type, min(page) FILTER (WHERE stops) AS stop, max(page) + 1 AS there FROM e GROUP BY 1),
-w AS (SELECT event_type, CAST(coalesce(stop + 1, there) AS BIGINT) AS pages_fetched, CASE WHEN stop IS NOT NULL THEN 'caught_up' WHEN there < 40 THEN 'store_exhausted' ELSE 'max_pages' END AS stop_reason FROM s)
-SELECT w.*, (SELECT count(*) FROM k WHERE k.event_type = w.event_type AND known = 0 AND page < pages_fetched) AS new_rows FROM w""")
+#: Walks over the events of a type, newest first: ids that repeat (click, purchase), ids that are mostly known (view), rows without an id, and a type whose 40th page is its last.
+_WALKS = """i AS (SELECT event_type, event_id, event_id // 200 AS page, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_type = 'click' THEN user_id WHEN event_type = 'purchase' THEN user_id * 10 + event_id % 10 ELSE event_id END AS id FROM events),
+j AS (SELECT *, coalesce((id * 7919) % 100 < CASE event_type WHEN 'view' THEN 97 WHEN 'purchase' THEN 30 ELSE 0 END, false) AS known FROM i),
+k AS (SELECT *, CAST(NOT known AND row_number() OVER (PARTITION BY event_type, id ORDER BY event_id) = 1 AS INTEGER) AS new FROM j),
+r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM k), l AS (SELECT *, sum(1 - new) OVER (PARTITION BY event_type, run ORDER BY event_id) AS length FROM r),
+p AS (SELECT event_type, page, arg_max(length, event_id) >= 30 AS stops, sum(new) AS fresh FROM l GROUP BY 1, 2), m AS (SELECT *, page < max(page) OVER (PARTITION BY event_type) AND NOT (event_type = 'error' AND page = 39) AS more FROM p),
+e AS (SELECT *, CASE WHEN stops THEN 'caught_up' WHEN NOT more THEN 'store_exhausted' END AS reason FROM m WHERE page < 40),
+w AS (SELECT event_type, least(coalesce(min(page) FILTER (WHERE reason IS NOT NULL), 39), max(page)) AS last FROM e GROUP BY 1)"""
+
+
+def walks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ident = F.when(F.col("event_id") % 50 == 0, None).when(F.col("event_type") == "click", F.col("user_id")).when(F.col("event_type") == "purchase", F.col("user_id") * 10 + F.col("event_id") % 10).otherwise(F.col("event_id"))
+    rows = e.select("event_type", "event_id", F.floor(F.col("event_id") / 200).alias("page"), ident.alias("id"))
+    share = F.when(F.col("event_type") == "view", 97).when(F.col("event_type") == "purchase", 30).otherwise(0)
+    rows = rows.withColumn("known", F.coalesce((F.col("id") * 7919) % 100 < share, F.lit(False)))
+    last = F.max("page").over(Window.partitionBy("event_type"))
+    tokens = rows.select("event_type", "page").distinct().withColumn("more", (F.col("page") < last) & ~((F.col("event_type") == "error") & (F.col("page") == 39)))
+    return rows, tokens
+
+
+@query(f"WITH {_WALKS} SELECT event_type, count(*) AS pages_fetched, CAST(sum(fresh) AS BIGINT) AS new_rows, coalesce(max(reason), 'max_pages') AS stop_reason FROM e JOIN w USING (event_type) WHERE page <= last GROUP BY 1")
 def stop_reasons(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("page", F.floor(F.col("event_id") / 200))
-    share = F.when(F.col("event_type") == "click", 99).when(F.col("event_type") == "view", 97).otherwise(40)
-    return refresh.stop_reasons(rows, "event_type", "page", "event_id", (F.col("event_id") * 7919) % 100 < share, 30, 40)
+    rows, tokens = walks(spark, sf_dir)
+    return refresh.stop_reasons(rows, "event_type", "page", "event_id", F.col("known"), "id", 30, 40, tokens)
+
+
+@query(f"WITH {_WALKS} SELECT event_type, page, event_id, id FROM k JOIN w USING (event_type) WHERE new = 1 AND page <= last")
+def refresh_walk(spark, sf_dir):
+    """What the stateful walk writes: every row that is new where it stands, up to the end of its walk."""
+    rows, tokens = walks(spark, sf_dir)
+    known = rows.where("known").select(F.col("event_type").alias("app_id"), F.col("id").alias("review_id"))
+    pages = rows.join(tokens, ["event_type", "page"]).select(F.col("event_type").alias("app_id"), "page", F.col("event_id").alias("place"), F.col("id").alias("review_id"), F.col("id").cast("string").alias("review"), "more")
+    out = walk(pages, known, 30, 40).where("stop_reason is null")
+    return out.select(F.col("app_id").alias("event_type"), "page", F.col("place").alias("event_id"), F.col("review").cast("long").alias("id"))
+
+
+@query("SELECT event_type, CAST(event_id // 500 + 1 AS BIGINT) AS page, event_id, user_id, event_id // 500 < max(event_id // 500) OVER (PARTITION BY event_type) AS more FROM events")
+def landed_pages(spark, sf_dir):
+    """All events, landed as pages in the shared folder and read back through the paged source."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("app_id"), (F.floor(F.col("event_id") / 500) + 1).alias("page"), F.col("event_id").alias("place"), F.to_json(F.struct(F.col("event_id").cast("string").alias("review_id"), "user_id")).alias("review"))
+    last = e.groupBy("app_id").agg(F.max("page").alias("last"))
+    root = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    paged.land_pages(e.join(F.broadcast(last), "app_id").withColumn("more", F.col("page") < F.col("last")), root)  # a row an app
+    back = paged.read_pages(spark, root)
+    return back.select(F.col("app_id").alias("event_type"), "page", F.col("review_id").cast("long").alias("event_id"), F.get_json_object("review", "$.user_id").cast("long").alias("user_id"), "more")
 
 
 @query("""WITH r AS (SELECT o_orderpriority, o_orderkey, o_orderkey // 500 AS page, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE 700 END AS quota FROM orders), s AS (SELECT o_orderpriority AS p, page, count(*) AS n FROM r GROUP BY 1, 2),
@@ -334,13 +376,23 @@ def judgement_upsert(spark, sf_dir):
     return worklists.upsert(old, new, ("doc_id",)).select("doc_id", "label_version")
 
 
-@query("SELECT doc_id, text FROM documents UNION ALL SELECT item_id + 1000000000, text FROM benchmark")
+@query(f"""WITH late AS (SELECT item_id + 1000000000 AS id, text FROM benchmark UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN NULL ELSE item_id + 1000000000 END, 'another text <b>of</b> it' FROM benchmark WHERE item_id % 2 = 0
+  UNION ALL SELECT item_id + 2000000000, CASE item_id % 3 WHEN 0 THEN 'two<br>words' WHEN 1 THEN '  App   bohat <b>acha</b> hai ' ELSE 'سروس بہت اچھی hai' END FROM benchmark UNION ALL SELECT doc_id, 'of an id that is there' FROM documents),
+c AS (SELECT id, {G._CLEAN_SQL.format("text")} AS t FROM late WHERE id IS NOT NULL)
+SELECT doc_id, text, lang AS language FROM documents UNION ALL
+SELECT id, t, CASE WHEN regexp_matches(t, '[\\x{{0600}}-\\x{{06FF}}]') THEN 'code_switched' WHEN regexp_matches(t, '(?i)(?:^|[^A-Za-z])({G._MARKERS})(?:[^A-Za-z]|$)') THEN 'roman_urdu' ELSE 'english' END
+FROM c WHERE {G.WORDS.format("t")} >= 3 AND id NOT IN (SELECT doc_id FROM documents)""")
 def corpus_with_refresh(spark, sf_dir):
-    """The corpus and what came later; late rows of ids that are there already don't count."""
-    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text", F.col("doc_id").alias("ord"))
-    late = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("review_id"), "text", F.col("item_id").alias("ord"))
-    again = corpus.withColumn("text", F.lit("another text"))
-    return refresh.with_refresh(corpus, late.unionByName(again)).select(F.col("review_id").alias("doc_id"), "text")
+    """The corpus and what came later, cleaned as it is read: tags and short texts go, the language is told, rows without an id and of known ids don't count."""
+    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text", F.col("lang").alias("language"), F.col("doc_id").alias("ord"))
+    b = table(spark, sf_dir, "benchmark")
+    ident = F.col("item_id") + 1_000_000_000
+    odd = F.when(F.col("item_id") % 3 == 0, "two<br>words").when(F.col("item_id") % 3 == 1, "  App   bohat <b>acha</b> hai ").otherwise("سروس بہت اچھی hai")
+    late = b.select(ident.alias("review_id"), "text", F.col("item_id").alias("ord"))
+    late = late.unionByName(b.where("item_id % 2 = 0").select(F.lit(None).cast("long").alias("review_id"), F.lit("another text <b>of</b> it").alias("text"), (F.col("item_id") + 10**6).alias("ord")))
+    late = late.unionByName(b.select((F.col("item_id") + 2_000_000_000).alias("review_id"), odd.alias("text"), F.col("item_id").alias("ord")))
+    late = late.unionByName(corpus.select("review_id", F.lit("of an id that is there").alias("text"), "ord"))
+    return refresh.with_refresh(corpus, late).select(F.col("review_id").alias("doc_id"), "text", "language")
 
 
 @query(f"WITH {_ROWS} SELECT p_partkey FROM t WHERE {G.WORDS.format('text')} >= 3 AND p_partkey % 4 <> 0")

@@ -99,24 +99,6 @@ def test_caught_up(spark):
     assert got[1] == (4, True)
 
 
-def test_refresh_stream(spark, tmp_path):
-    known = spark.createDataFrame([("google_play", "old")], "platform string, review_id string")
-    paths = [str(tmp_path / x) for x in ("landing", "refreshed", "checkpoint")]
-    write(tmp_path / "landing" / "p1.jsonl", [REVIEW | {"review_id": r, "text": t} for r, t in (("old", "seen it all before"), ("new", "three words here"), ("new", "three words again"), ("short", "two words"))])
-
-    def run(checkpoint=paths[2]):
-        refresh.refresh_stream(spark, paths[0], paths[1], checkpoint, known, "2026-02-01").awaitTermination()
-        return sorted(r.review_id for r in spark.read.parquet(paths[1]).collect())
-
-    assert run() == ["new"]
-    assert run() == ["new"]
-    write(tmp_path / "landing" / "p2.jsonl", [REVIEW | {"review_id": r} for r in ("new", "newer")])
-    assert run() == ["new", "newer"]
-    corpus = spark.createDataFrame([("newer", "corpus", 0)], "review_id string, text string, ord long")
-    merged = refresh.with_refresh(corpus, spark.read.parquet(paths[1]).select("review_id", "text", F.lit(1).cast("long").alias("ord")))
-    assert {r.review_id: r.text for r in merged.collect()}["newer"] == "corpus"
-
-
 def test_judgement_log(spark, tmp_path):
     schema = schemas.of("item_id STRING, label STRING, ord LONG")
     for k, lines in enumerate(([{"item_id": "a", "label": "x", "ord": 0}, {"item_id": "b", "label": "x", "ord": 1}], [{"item_id": "a", "label": "y", "ord": 0}])):
