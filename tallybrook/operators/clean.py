@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybrook import schemas
 from tallybrook.functions import text as X
+from tallybrook.sources.shared import discard, materialise
 
 
 def first_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
@@ -19,36 +20,88 @@ def last_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct("*"), F.col(order)).alias("r"), F.min(order).alias("first_ord")).select("r.*", "first_ord")
 
 
+#: Rows that are left in two_key_dedup() and are few enough to be taken in order by one task.
+FEW = 200_000
+
+
 def two_key_dedup(df: DataFrame, identity: str, content: str, order: str = "ord") -> DataFrame:
     """df with `verdict`: kept, duplicate_id or duplicate_text; as if rows were taken in order, and a row kept
     unless a kept one has its identity (tested first) or its content. Rejected rows reserve nothing.
 
-    Rounds: at most one more than the longest chain of rows of which each waits for the one before it by the other key (half of the
-    rows if each shares one key with the row before and one with the row after; a few in data that copies make).
-
-    A round keeps the rows that come first by both keys among those left, and drops all that share a key with
-    them. Rounds run over plans, not rows; each is cut by a checkpoint. Keys meet by minima, which are
-    combined before the exchange, so one key's copies don't gather. `order` is unique.
+    Which rows are kept is found by first_matching(), in a few rounds. `order` is unique.
     """
+
     def known(key: str):  # null is a key like any other
         return F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))
 
-    rest = df.select(known(identity).alias("_i"), known(content).alias("_c"), F.col(order).alias("_o")).checkpoint()
-    kept = None
-    while not rest.isEmpty():
-        by_i = rest.groupBy("_i").agg(F.min("_o").alias("_first_i"))
-        by_c = rest.groupBy("_c").agg(F.min("_o").alias("_first_c"))
-        first = rest.join(by_i, "_i").join(by_c, "_c").where("_o = _first_i and _o = _first_c").select("_i", "_c", "_o").checkpoint()
-        kept = first if kept is None else kept.unionByName(first)
-        rest = rest.join(first.select("_i"), "_i", "left_anti").join(first.select("_c"), "_c", "left_anti").checkpoint()
-    if kept is None:
-        return df.withColumn("verdict", F.lit("kept"))
+    rows = df.select(known(identity).alias("i"), known(content).alias("c"), F.col(order).alias("o"))
+    kept, _ = first_matching(rows)
     # Which key a row is rejected by is known when all kept rows are.
-    ids = kept.select(F.col("_i"), F.col("_o").alias("_kept"))
+    ids = kept.select(F.col("i").alias("_i"), F.col("o").alias("_kept"))
     verdict = F.when(F.col("_kept") == F.col(order), "kept").when(F.col("_kept") < F.col(order), "duplicate_id").otherwise("duplicate_text")
     return df.join(ids, known(identity) == F.col("_i"), "left").withColumn("verdict", verdict).drop("_i", "_kept")
 
 
+def first_matching(rows: DataFrame, few: int | None = None) -> tuple[DataFrame, int]:
+    """The rows (i, c, o) that are kept if rows are taken in the order of o, each unless a kept one has its i or its c; and the rounds that took.
+
+    Rows of one (i, c) are as their first. A row waits for the rows before it that share a key. One that waits for none is kept. One that
+    waits for a single row is kept if that one is not, so along a chain of such rows every other one is kept: pointers are doubled until
+    each reaches the chain's end, in as many rounds as the logarithm of its length. What is kept takes all rows of its keys out, and the
+    rest goes on. Once at most `few` rows are left, one task takes them in order.
+
+    Keys meet by minima, which are combined before the exchange, and rows by their unique o. Tables are in the shared folder, and are
+    removed when the next one has replaced them.
+    """
+    few = FEW if few is None else few
+    rest = materialise(rows.groupBy("i", "c").agg(F.min("o").alias("o")), "rows")
+    kept, rounds = rows.limit(0), 0
+    while n := rest.count():
+        if n <= few:
+            last = materialise(rest.repartition(1).sortWithinPartitions("o").mapInPandas(_in_order, rest.schema), "kept")
+            discard(rest)
+            return kept.unionByName(last), rounds + 1
+        first = {k: rest.groupBy(k).agg(F.min("o").alias("o")) for k in "ic"}
+        firsts = {k: materialise(f, "firsts") for k, f in first.items()}
+        ends = firsts["i"].select("o").join(firsts["c"].select("o"), "o").select("o", F.lit(None).cast(dict(rest.dtypes)["o"]).alias("to"), F.lit(False).alias("odd"))
+        chains = ends
+        for k, other in (("i", "c"), ("c", "i")):  # second of one key, first of the other: it waits for one row
+            second = rest.join(firsts[k].select("o"), "o", "left_anti").groupBy(k).agg(F.min("o").alias("o"))
+            waits = second.join(firsts[k].withColumnRenamed("o", "to"), k).select("o", "to", F.lit(True).alias("odd"))
+            chains = chains.unionByName(waits.join(firsts[other].select("o"), "o", "left_semi"))
+        chains = materialise(chains, "chains")
+        rounds += 1
+        while True:
+            by = chains.select(F.col("o").alias("to"), F.col("to").alias("_next"), F.col("odd").alias("_odd"))
+            moved = chains.where("to is not null").join(by, "to").select("o", F.col("_next").alias("to"), (F.col("odd") != F.col("_odd")).alias("odd"), F.lit(True).alias("moved"))
+            stuck = chains.where("to is not null").join(by, "to", "left_anti").unionByName(chains.where("to is null"))
+            after = materialise(moved.unionByName(stuck.withColumn("moved", F.lit(False))), "chains")
+            discard(chains)
+            chains, rounds = after.drop("moved"), rounds + 1
+            chains._tallybrook_path = after._tallybrook_path
+            if after.where("moved and to is not null").isEmpty():
+                break
+        held = materialise(rest.join(chains.where("to is null and not odd").select("o"), "o", "left_semi"), "kept")
+        after = materialise(rest.join(held.select("i"), "i", "left_anti").join(held.select("c"), "c", "left_anti"), "rows")
+        discard(rest, chains, *firsts.values())
+        rest, kept = after, kept.unionByName(held)
+    discard(rest)
+    return kept, rounds
+
+
+def _in_order(batches):
+    """Rows in the order of o, each unless a kept one has its i or c; the keys of what is kept are all that is held."""
+    ids, contents = set(), set()
+    for frame in batches:
+        keep = []
+        for i, c in zip(frame["i"], frame["c"], strict=True):
+            keep.append(i not in ids and c not in contents)
+            if keep[-1]:
+                ids.add(i)
+                contents.add(c)
+        yield frame[keep]
+
+
 def remap_products(reviews: DataFrame, registry: DataFrame) -> DataFrame:
     """product_id by (platform, platform_app_id) of the registry; unknown listings keep theirs, null becomes empty."""
     dim = registry.select("platform", "platform_app_id", F.col("product_id").alias("_mapped")).dropDuplicates(["platform", "platform_app_id"])

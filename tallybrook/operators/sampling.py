@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions import catalogue as K
 from tallybrook.functions import text as X
 from tallybrook.operators.worklists import shuffled
+from tallybrook.sources.shared import materialise
 
 
 def draw_key(seed: int, key: str | Column) -> Column:
@@ -19,6 +20,40 @@ def nth_in(by: list, order: list) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+#: Draws are hex digits; the first 15 are a number below this.
+_ALL = 16**15
+
+
+def drawn(rows: DataFrame, by: list[str], want: int | DataFrame, seed: int, key: str = "review_id") -> DataFrame:
+    """The `want` rows of each stratum that come first by the hash of seed and key, with their place in `_k`.
+
+    want: a number, or a table (by, want); strata that it lacks give none. A stratum's size tells below which hash its first `want`
+    rows lie, with six standard deviations to spare, so only about as many rows travel and are sorted; if that ever is too few,
+    a second pass takes the stratum whole. Null is a stratum like any other.
+    """
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    if isinstance(want, int):
+        sizes = sizes.withColumn("_want", F.lit(want))
+    else:
+        sizes = sizes.alias("r").join(want.alias("q"), same).select(*[F.col(f"r.{c}") for c in by], "_n", F.col("q.want").alias("_want"))
+    share = (F.col("_want") + 6 * F.sqrt(F.col("_want").cast("double")) + 20) / F.col("_n")
+    sizes = sizes.where("_want > 0").withColumn("_limit", F.when(share >= 1, F.lit(_ALL)).otherwise((share * _ALL).cast("long")))
+    place = F.conv(F.substring(draw_key(seed, key), 1, 15), 16, 10).cast("long")
+
+    def of(quotas: DataFrame, within: Column) -> DataFrame:
+        found = rows.alias("r").join(quotas.alias("q"), same).where(within)
+        return found.select("r.*", "q._want", "q._n")
+
+    near = materialise(of(sizes, place <= F.col("_limit")), "draws")
+    there = near.groupBy(*by).agg(F.count("*").alias("_there"))
+    lacking = sizes.alias("r").join(there.alias("q"), same, "left").where(F.coalesce("q._there", F.lit(0)) < F.least("r._want", "r._n")).select("r.*")
+    if not lacking.isEmpty():
+        whole = of(lacking, F.lit(True))
+        near = near.alias("r").join(lacking.alias("q"), same, "left_anti").unionByName(whole)
+    return near.withColumn("_k", nth_in(by, [draw_key(seed, key), F.col(key)])).where(F.col("_k") <= F.col("_want")).drop("_want", "_n")
+
+
 def round_robin(rows: DataFrame, strata: list[str], target: int, seed: int, key: str = "review_id") -> DataFrame:
     """Takes one row of each stratum in turn until there are `target`; small strata leave their share to the others.
 
@@ -34,7 +69,7 @@ def round_robin(rows: DataFrame, strata: list[str], target: int, seed: int, key:
     while low < high:
         middle = (low + high) // 2
         low, high = (low, middle) if sum(min(n, middle) * times for n, times in found.items()) >= target else (middle + 1, high)
-    placed = rows.withColumn("_turn", nth_in(strata, [draw_key(seed, key), F.col(key)])).where(F.col("_turn") <= low)
+    placed = drawn(rows, strata, low, seed, key).withColumnRenamed("_k", "_turn")
     return placed.orderBy("_turn", *strata).limit(target).drop("_turn")
 
 
@@ -52,23 +87,22 @@ def first_per_slice(rows: DataFrame, slices: list[str], n: int) -> DataFrame:
 def quota_sample(rows: DataFrame, by: str, flag: Column, per_group: int, flagged: int, seed: int, key: str = "review_id") -> DataFrame:
     """Per group up to `flagged` rows with the flag, and the rest of the quota from those without."""
     marked = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    marked = marked.withColumns({"_n": nth_in([by, "_flag"], [draw_key(seed, key), F.col(key)])})
-    have = marked.groupBy(by).agg(F.least(F.count_if("_flag"), F.lit(flagged)).alias("_have"))
-    take = F.when(F.col("_flag"), F.col("_have")).otherwise(per_group - F.col("_have"))
-    return marked.join(have, by).where(F.col("_n") <= take).drop("_flag", "_n", "_have")
+    sizes = marked.where(F.col(by).isNotNull()).groupBy(by).agg(F.least(F.count_if("_flag"), F.lit(flagged)).alias("have"))
+    wants = F.explode(F.array(F.struct(F.lit(True).alias("_flag"), F.col("have").alias("want")), F.struct(F.lit(False).alias("_flag"), (per_group - F.col("have")).alias("want"))))
+    return drawn(marked, [by, "_flag"], sizes.select(by, wants.alias("w")).select(by, "w.*"), seed, key).drop("_flag", "_k")
 
 
 def length_matched(rows: DataFrame, by: str, model_group: str, target: int, seed: int, key: str = "review_id", text: str = "text") -> DataFrame:
     """Every group drawn to the shape of one group's length buckets; a bucket with too few rows gives what it has."""
     bucketed = rows.withColumn("bucket", X.length_bucket(F.col(text)))
     sizes = bucketed.where(F.col(by) == model_group).groupBy("bucket").agg(F.count("*").alias("_n"))
-    shape = sizes.withColumn("_want", F.bround(target * F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))).cast("long")).select("bucket", "_want")
-    placed = bucketed.withColumn("_k", nth_in([by, "bucket"], [draw_key(seed, key), F.col(key)]))
-    return placed.join(F.broadcast(shape), "bucket").where("_k <= _want").drop("_k", "_want")  # four buckets at most
+    shape = sizes.withColumn("want", F.bround(target * F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))).cast("long")).select("bucket", "want")  # four buckets at most
+    wants = bucketed.select(by, "bucket").distinct().join(F.broadcast(shape), "bucket").select(by, "bucket", "want")
+    return drawn(bucketed, [by, "bucket"], wants, seed, key).drop("_k")
 
 
 def random_per_group(rows: DataFrame, by: str, n: int, seed: int, key: str = "review_id") -> DataFrame:
-    return rows.withColumn("_k", nth_in([by], [draw_key(seed, key), F.col(key)])).where(F.col("_k") <= n).drop("_k")
+    return drawn(rows, [by], n, seed, key).drop("_k")
 
 
 def quotas(target: int, groups: tuple[str, ...] = K.LANGUAGES) -> dict[str, int]:
@@ -85,13 +119,19 @@ def audit_sample(rows: DataFrame, target: int, seed: int, groups: tuple[str, ...
     changed = (F.col("text_clean") != F.col("text_scrubbed")) if changed is None else changed
     risky = X.has_pii_risk_cue(F.col("text_clean")) if risky is None else risky
     rank = F.when(changed, 0).when(risky, 1).otherwise(2)
-    have = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] in share}
+    marked = rows.withColumn("priority", rank)
+    have: dict = {}
+    for r in marked.groupBy(by, "priority").count().collect():  # three rows a group
+        have.setdefault(r[0], {})[r[1]] = r[2]
+    wants = []
     for g, n in share.items():
-        if have.get(g, 0) < n:
-            raise ValueError(f"{n} rows of {g} are needed, {have.get(g, 0)} are there")
-    quota = F.coalesce(*[F.when(F.col(by) == g, n) for g, n in share.items()], F.lit(0))
-    placed = rows.withColumn("priority", rank).withColumn("_k", nth_in([by], [F.col("priority"), draw_key(seed, key), F.col(key)]))
-    return placed.where(F.col("_k") <= quota).drop("_k")
+        sizes = have.get(g, {})
+        if sum(sizes.values()) < n:
+            raise ValueError(f"{n} rows of {g} are needed, {sum(sizes.values())} are there")
+        for p in range(3):  # what those of higher priority leave
+            wants.append((g, p, min(sizes.get(p, 0), n)))
+            n -= wants[-1][2]
+    return drawn(marked, [by, "priority"], rows.sparkSession.createDataFrame(wants, f"{by} string, priority int, want long"), seed, key).drop("_k")
 
 
 def disputed_and_controls(rows: DataFrame, disputed: Column, control: Column, extra: int, seed: int, key: str = "review_id") -> DataFrame:

@@ -10,6 +10,7 @@ from tallybrook.functions import text as X
 from tallybrook.functions.stats import pct
 from tallybrook.operators import scoring
 from tallybrook.operators.worklists import answers
+from tallybrook.sources.shared import materialise
 
 NONE = "unclassifiable"
 GAPS = (NONE, "none", "__none__")
@@ -163,16 +164,21 @@ def score_report(items: DataFrame, judgements: DataFrame, by: str | None = None)
 def next_slice(rows: DataFrame, scores: dict, want: int, seen: DataFrame, skip: int = 50, least_words: int = 3, id_column: str = "review_id", text: str = "text") -> DataFrame:
     """intent, rank, id, hits: of each intent's ranking by signals, what follows the first `skip` and is not seen yet, the first `want`.
 
-    All rows of enough words are ranked, seen ones too, so that runs go on down one ranking. Only ranks up to
-    skip + want + the number of seen ids can be wanted.
+    All rows of enough words are ranked, seen ones too, so that runs go on down one ranking. What is wanted is among the first
+    skip + want rows that are not seen; their ranks follow from how many seen rows come before each, which are counted, not sorted.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("intent"), c.cast("int").alias("hits")) for k, c in scores.items()]))
     scored = rows.where(X.word_count(F.col(text)) >= least_words).select(id_column, "ord", pairs.alias("e")).select(id_column, "ord", "e.*").where("hits > 0")
     known = seen.select(id_column).distinct()
+    place = F.struct((-F.col("hits")).alias("h"), F.col("ord").alias("o"))
     order = Window.partitionBy("intent").orderBy(F.desc("hits"), "ord")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > skip) & (F.col("rank") <= skip + want + known.count()))
-    fresh = ranked.join(known, id_column, "left_anti")
-    return fresh.withColumn("_k", F.row_number().over(Window.partitionBy("intent").orderBy("rank"))).where(F.col("_k") <= want).select("intent", "rank", id_column, "hits")
+    fresh = scored.join(known, id_column, "left_anti").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= skip + want)
+    fresh = materialise(fresh, "slice")  # skip + want rows an intent at most
+    ends = fresh.groupBy("intent").agg(F.array_sort(F.collect_list(place)).alias("ends"))
+    before = scored.join(known, id_column, "left_semi").join(F.broadcast(ends), "intent").select("intent", (F.size(F.filter("ends", lambda e: e < place)) + 1).alias("_k"))
+    before = before.groupBy("intent", "_k").agg(F.count("*").alias("_seen"))
+    ranked = fresh.join(before, ["intent", "_k"], "left").withColumn("rank", (F.col("_k") + F.coalesce(F.sum("_seen").over(Window.partitionBy("intent").orderBy("_k")), F.lit(0))).cast("int"))
+    return ranked.where(F.col("rank") > skip).withColumn("_n", F.row_number().over(Window.partitionBy("intent").orderBy("_k"))).where(F.col("_n") <= want).select("intent", "rank", id_column, "hits")
 
 
 def quota_pages(rows: DataFrame, by: str, page: str, quota: Column) -> DataFrame:

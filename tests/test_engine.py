@@ -33,10 +33,13 @@ def test_rejected_row_reserves_nothing(spark):
     assert {r.reason: r.n for r in dropped.collect()} == {"duplicate_text": 1, "duplicate_id": 1}
 
 
-def test_two_keys_against_a_loop(spark):
+@pytest.mark.parametrize("few", [0, 25, clean.FEW])
+def test_two_keys_against_a_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(clean, "FEW", few)
     rng = random.Random(1)
-    for n, ids, contents in ((40, 6, 6), (60, 30, 25), (30, 2, 20)):
+    for n, ids, contents in ((40, 6, 6), (60, 30, 25), (30, 2, 20)) if few else ((60, 30, 25),):
         rows = [(k, f"i{rng.randrange(ids)}", f"c{rng.randrange(contents)}") for k in range(n)]
+        rows = rows + [(n + k, None, f"c{k}") for k in range(3)] + [(n + 3 + k, f"i{k}", None) for k in range(3)]
         seen_i, seen_c, want = set(), set(), {}
         for k, i, c in rows:
             want[k] = "duplicate_id" if i in seen_i else "duplicate_text" if c in seen_c else "kept"
@@ -47,6 +50,16 @@ def test_two_keys_against_a_loop(spark):
         assert {r.ord: r.verdict for r in got.collect()} == want
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.concat(F.lit("i"), F.floor(F.col("id") / 2)).alias("i"), F.concat(F.lit("c"), F.floor((F.col("id") + 1) / 2)).alias("c"), F.col("id").alias("o"))
+    kept, rounds = clean.first_matching(rows, few=0)
+    assert rounds < 20 and sorted(r.o for r in kept.select("o").collect()) == list(range(0, n, 2))
+    from tallybrook.sources import shared
+
+    assert sum("/rows-" in p or "/chains-" in p or "/firsts-" in p for p in shared._WRITTEN) == 0
+
+
 SMALL = "id string, text string, platform string, product string, rating int, language string, date string, version string, label string, label_source string, ord long"
 
 
