@@ -20,7 +20,6 @@ two of its parts meet; and joins split off the keys that very many rows have (sp
 from __future__ import annotations
 
 import math
-import re
 from itertools import combinations
 
 import numpy as np
@@ -36,21 +35,40 @@ BITS = 64
 SPLIT, LEAST_SPLIT = 1_000_000, 64
 #: Rows of a key that are compared in one task; beyond, its rows are dealt as a grid. Slots count rows of keys.
 GRID_ROWS, SLOTS = 20_000, 1 << 18
+#: Rows of keys that a task holds, and characters whose shingle sets it holds: an exchange gets as many partitions as that takes.
+TASK_ROWS, TASK_CHARS = 400_000, 32_000_000
 #: Texts whose shingle sets are compared in one task: their characters, and their number as long as that takes GRID_PARTS parts at most.
 GRID_CHARS, GRID_TEXTS, GRID_PARTS = 16_000_000, 500, 16
-_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {k: k + 32 for k in range(65, 91)}
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in UTF-8 bytes; the bytes of white space stand in no other character."""
+    edge = np.diff(np.concatenate(([True], _IS_SPACE[raw], [True])).view(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
 def shingles(text: str, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words joined by spaces, and the starts and ends of its shingles (fewer words: the whole sequence)."""
-    found = [w.encode("utf-8", "surrogatepass") for w in _SPACE.findall(text.translate(_LOWER) if not text.islower() else text)]
-    if not found:
-        return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    k = min(words, len(found))
-    return b" ".join(found), starts[: len(found) - k + 1], ends[k - 1 :]
+    raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    space = _IS_SPACE[raw]
+    raw[space] = 0x20
+    raw = raw[~(space & np.concatenate(([True], space[:-1])))]  # of white space the first stays, but none at the start
+    starts, ends = _words(raw)
+    k = min(words, len(starts))
+    return raw.tobytes(), starts[: len(starts) - k + 1 if k else 0], ends[max(0, k - 1) :]
+
+
+def _bit_totals(rows: np.ndarray, order: str) -> np.ndarray:
+    """How many rows have each bit; rows of bytes."""
+    totals = np.zeros(8 * rows.shape[1], np.int64)
+    for at in range(0, len(rows), 8160):
+        bits = np.unpackbits(rows[at : at + 8160], axis=1, bitorder=order)
+        for k in range(0, len(bits), 255):  # as many as a byte can count
+            totals += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return totals
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -60,12 +78,8 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
         return 0
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(data[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-    n = len(starts)
-    rows = np.frombuffer(raw, ">u8")
-    totals = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
-        totals += np.unpackbits(np.ascontiguousarray(rows[at : at + 65_536]).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * totals > n).tobytes(), "big")
+    totals = _bit_totals(np.frombuffer(raw, np.uint8).reshape(-1, 8), "big")
+    return int.from_bytes(np.packbits(2 * totals > len(starts)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -258,7 +272,7 @@ def links(codes: DataFrame, radius: int, rows: int) -> DataFrame:
     """Links (a, b), a > b, between the ids of codes (id, fp; one row per fingerprint): every row within the radius of another is joined to it through links."""
     masks = [np.uint64(m).astype(np.int64).item() if m < 2**63 else m - 2**64 for m in block_masks(radius, blocks_for(rows, radius))]
     choice = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)]))
-    n = C.partitions(codes.sparkSession)
+    n = max(C.partitions(codes.sparkSession), rows * len(masks) // TASK_ROWS)
     keyed = codes.select("id", "fp", choice.alias("c")).select("id", "fp", F.xxhash64("c.t", "c.key").alias("key"))
     dealt = _grid_by_rows(keyed, "key", "id", rows * len(masks)).select("id", "fp", "cell").repartition(n, "cell")
 
@@ -303,11 +317,55 @@ def _sums(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
 
 
+_STEP = 0x9E3779B97F4A7C15
+#: A random odd number for each byte, and powers of _STEP and of its inverse, modulo 2^64.
+_OF_BYTE = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PIECE = 1 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    while len(_POWERS[0]) < n:
+        for k, base in enumerate((_STEP, pow(_STEP, -1, 2**64))):
+            held = _POWERS[k]
+            _POWERS[k] = np.concatenate((held, held * np.uint64(pow(base, len(held), 2**64))))
+    return _POWERS
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word, from differences of one running sum over the text's bytes; long texts go piece by piece, cut between words."""
+    raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    found, at = [], 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > _PIECE:
+            space = np.flatnonzero(_IS_SPACE[raw[at + _PIECE :]][: 1 << 16])
+            if not len(space):  # a very long word
+                space = np.flatnonzero(_IS_SPACE[raw[at + _PIECE :]])
+            stop = at + _PIECE + int(space[0]) if len(space) else stop
+        part = raw[at:stop]
+        starts, ends = _words(part)
+        up, down = _powers(len(part))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[part] * up[: len(part)], dtype=np.uint64)))
+        found.append(_mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        at = stop
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles."""
-    data, starts, ends = shingles(text, words)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(data[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+    own = word_hashes(text)
+    k = min(words, len(own))
+    h = np.zeros(len(own) - k + 1 if k else 0, np.uint64)
+    for j in range(k):
+        h = _mix(h + own[j : j + len(h)]) * np.uint64(_STEP)
+    return np.unique(h)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -321,15 +379,10 @@ def wide_fingerprint(text: str, words: int, size: int) -> np.ndarray:
     h = shingle_set(text, words)
     if not len(h):
         return np.zeros(size, np.uint64)
+    steps = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_STEP)
     totals = np.zeros(64 * size, np.int64)
-    steps = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(h), 8192):
-        with np.errstate(over="ignore"):
-            x = h[at : at + 8192, None] + steps
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        totals += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, len(h), 8160):
+        totals += _bit_totals(_mix(h[at : at + 8160, None] + steps).view(np.uint8), "little")
     return np.packbits(2 * totals > len(h), bitorder="little").view(np.uint64)
 
 
@@ -377,9 +430,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
     # Numbers in the order of the smallest ids tell codes apart even where an id repeats.
     first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash", "chars")).alias("r"), F.count("*").alias("n")).select("fp", "n", "r.*")
     codes = C.materialise(first.orderBy("doc_id", "text_hash", "fp").withColumn("id", F.monotonically_increasing_id()), "codes")
-    n, to = 64 * size, C.partitions(spark)
+    n, least = 64 * size, C.partitions(spark)
     rows = codes.count()
     bits, tables = bands(rows, similarity)
+    to = max(least, rows * tables // TASK_ROWS)
     p = agreement(similarity)
     radius = math.floor(n * (1 - p) + 3 * math.sqrt(n * p * (1 - p)))
     rng = np.random.default_rng(5)
@@ -448,11 +502,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
     near = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
     # Large groups are dealt as a grid of parts: at most SPLIT of them by characters, and a GRID_TEXTS-th of the texts.
     held = C.materialise(near.join(codes.drop("n"), "id"), "candidates")
-    limit = max(GRID_CHARS, (held.agg(F.sum("chars")).first()[0] or 0) // SPLIT)
+    chars = held.agg(F.sum("chars")).first()[0] or 0
+    limit = max(GRID_CHARS, chars // SPLIT)
     parts = F.greatest(F.ceil(F.sum("chars") / limit), F.least(F.ceil(F.count("*") / GRID_TEXTS), F.lit(GRID_PARTS)))
     large = held.groupBy(F.col("component").alias("slot")).agg(parts.alias("parts")).where("parts > 1")
     gridded = grid(held, "component", "id", large, F.col("component")).select("cell", "id", "fp", "doc_id", "text_hash")
-    found = gridded.join(texts, ["doc_id", "text_hash"]).select("cell", "id", "fp", "text").repartition(to, "cell").mapInPandas(verify, "id long, to long")
+    # A text that stands under one id more than once goes to the join once.
+    repeated = not own.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    once = texts.groupBy("doc_id", "text_hash").agg(F.min("text").alias("text")) if repeated else texts
+    found = gridded.join(once, ["doc_id", "text_hash"]).select("cell", "id", "fp", "text").repartition(max(least, chars // TASK_CHARS), "cell").mapInPandas(verify, "id long, to long")
     found = C.materialise(found, "groups")
     if not large.isEmpty():  # links of several cells, not groups yet
         found = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("component", "to")

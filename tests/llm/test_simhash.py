@@ -213,6 +213,37 @@ def test_similar_groups_leave_texts_below_the_similarity_apart(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_shingles_and_their_sets_against_plain_ones(monkeypatch):
+    import re
+
+    monkeypatch.setattr(S, "_PIECE", 50)
+    rng = random.Random(21)
+    words = ["a", "B", "cc", "É", "漢字", "\u00a0x", "word", "WORD", "z" * 70, "\ud800"]
+    texts = ["", " ", "\t\n", "one", " one  two\x0bthree "] + [rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.randrange(60))) for _ in range(300)]
+    plain = {}
+    for text in texts:
+        own = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        for k in (4, 5):
+            want = [" ".join(own[i : i + k]) for i in range(max(1, len(own) - k + 1))] if own else []
+            data, starts, ends = S.shingles(text, k)
+            assert [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts, ends)] == want
+            got = S.shingle_set(text, k)
+            assert len(got) == len(set(want))
+        for h, w in zip(S.word_hashes(text).tolist(), own, strict=True):
+            assert plain.setdefault(h, w) == w
+    assert len(plain) == len(set(plain.values()))
+
+
+def test_a_text_repeated_under_one_id(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    near = [*base[:50], "other", *base[51:]]
+    rows = [(None, " ".join(base))] * 3000 + [(7, " ".join(near))] * 500 + [(8, "apart from them all")]
+    got = S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "component_id").count().collect()
+    null = S.C.NULL_ID
+    assert sorted((r.doc_id, r.component_id, r["count"]) for r in got) == [(null, null, 3000), (7, null, 500), (8, 8, 1)]
+
+
 def test_lots_hold_every_bucket():
     for size in (1, 7, 60_000, 60_001):
         for rows in (60_000, 120_000, 59_999):
