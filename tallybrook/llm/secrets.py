@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of high-entropy strings outside the base spans and the allow-list."""
+    """(start, kind, end) of high-entropy strings outside the allow-list; those that lie within base spans, or within others, are told by them."""
     found: list[tuple[int, str, int]] = []
     for kind, pattern, window, bits in CLASSES:
         taken = _merged([(s, e) for s, _, e in base] + [(s, e) for s, _, e in found])
@@ -93,8 +93,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 continue
             for s, e in entropy_spans(m.group(), window, bits):
                 s, e = s + m.start(), e + m.start()
-                before = bisect_left(starts, e) - 1  # the last taken range that starts before e
-                if before < 0 or taken[before][1] <= s:
+                before = bisect_right(starts, s) - 1  # the last taken range that starts at s or before
+                if before < 0 or taken[before][1] < e:
                     found.append((s, kind, e))
     return sorted(found)
 
@@ -138,8 +138,8 @@ _SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 s
 def find_secrets(docs: DataFrame) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Null text is empty. Null and repeated ids are kept as they are; other columns are ignored.
-    Offsets are code points, ends exclusive.
+    Null text is empty. Null and repeated ids are kept as they are; other columns are ignored. A text of any length is
+    scanned whole; an empty table gives no rows. Offsets are code points, ends exclusive.
     """
 
     def run(batches):
