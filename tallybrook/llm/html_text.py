@@ -26,7 +26,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Element names and the words of class and id names that tell parts of a page.
-RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml object canvas audio video select option datalist".split())
+RAW = frozenset("script style noscript template textarea title iframe annotation annotation-xml select option datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -212,7 +212,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if not attributes.endswith("/"):
                 after = markup.skip(tag, at)
-                if after < 0 and tag in ("select", "option", "object", "noscript", "canvas", "audio", "video", "datalist"):
+                if after < 0 and tag in ("select", "option", "noscript", "datalist"):
                     continue  # never closed: its text is judged like any other
                 at = after if after >= 0 else end
             parts.append(" ")
@@ -370,7 +370,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     Null html is empty, and gives an empty text, as does a page without main text. Null ids and urls and
-    repeated rows stay as they are; other columns are ignored.
+    repeated rows stay as they are; other columns are ignored. Pages of any length are read whole; the cut's time grows
+    faster than a page's blocks (2.5 s for 16,000 of them). An empty table gives no rows.
     """
 
     def run(batches):

@@ -29,6 +29,12 @@ def test_plain_divisions():
     assert text == f"Title\n{LONG}\nYes.\n{LONG}"
 
 
+def test_fallback_content_of_an_article_stays():
+    for tag in ("object", "canvas", "audio", "video"):
+        assert H.main_text(page(f"<article><p>{LONG}</p><{tag}><p>{LONG} Fallback.</p></{tag}></article>")) == f"{LONG}\n{LONG} Fallback."
+    assert H.main_text(page(f"<article><p>{LONG} <svg><title>no</title><text>drawn words</text></svg></p></article>")).endswith("drawn words")
+
+
 def test_odd_pages():
     for raw in ("", " ", "<", "<p", "<script>x", "<!-- x", "<nav>menu</nav>", "</p></p></div>"):
         assert H.main_text(raw) == "" or raw == "<p" or raw == "<"
