@@ -24,7 +24,7 @@ from tallybrook.llm import common as C
 
 DIMS = 4096
 PER_LANGUAGE, CLUSTERS, ROUNDS = 600, 4, 8
-#: Languages a model may have: it is broadcast, 64 KB for each.
+#: Languages of a model: it is broadcast, 64 KB for each. More of them make several models, and the best of all counts.
 MOST_LANGUAGES = 1000
 #: n-grams from which on a text is held to the whole of its centroid's floor (about 170 letters).
 SURE_GRAMS = 500
@@ -134,20 +134,18 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
-    """Learns from rows (doc_id, text, lang); rows with null lang, or without letters, teach nothing."""
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> list[Model]:
+    """Learns from rows (doc_id, text, lang); rows with null lang, or without letters, teach nothing.
+
+    Returns one model, or (with more than MOST_LANGUAGES languages) several, languages in ascending order.
+    """
     rows = rows.select(C.id_column(), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     found, n = _document_frequencies(rows)
     idf = np.log((1 + n) / (1 + found)) + 1
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages: a model of more than {MOST_LANGUAGES} is not broadcast")
     # A hash threshold first leaves about twice the sample, so that only it is ordered.
     h = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    rates = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(2.0, (2.0 * per_language + 50) / size))])
-    sample = rows.withColumn("h", h).where(F.col("h") < rates[F.col("lang")]).dropDuplicates(["lang", "h"])
+    rates = rows.groupBy("lang").agg(F.least(F.lit(2.0), F.lit(2.0 * per_language + 50) / F.count("*")).alias("rate"))
+    sample = rows.withColumn("h", h).join(rates, "lang").where(F.col("h") < F.col("rate")).drop("rate").dropDuplicates(["lang", "h"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "doc_id", "text"]).head(per_language)
@@ -161,10 +159,23 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
         floor = 0.5 * float(np.quantile(best, 0.01))
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "floor": floor})
 
-    learnt = sample.groupBy("lang").applyInPandas(learn, "lang string, centre binary, floor double").orderBy("lang").collect()
-    learnt = sorted(learnt, key=lambda r: (r.lang, bytes(r.centre)))
-    centres = np.stack([np.frombuffer(r.centre, np.float32) for r in learnt]) if learnt else np.zeros((0, DIMS), np.float32)
-    return Model(idf, centres, [r.lang for r in learnt], np.array([r.floor for r in learnt]))
+    learnt = C.materialise(sample.groupBy("lang").applyInPandas(learn, "lang string, centre binary, floor double"), "centres")
+    out, after = [], None
+    while True:  # a model at a time: this many languages after the last one's
+        left = learnt if after is None else learnt.where(F.col("lang") > after)
+        names = left.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES)
+        held = sorted(left.join(F.broadcast(names), "lang", "left_semi").collect(), key=lambda r: (r.lang, bytes(r.centre)))
+        if not held and out:
+            break
+        centres = np.stack([np.frombuffer(r.centre, np.float32) for r in held]) if held else np.zeros((0, DIMS), np.float32)
+        out.append(Model(idf, centres, [r.lang for r in held], np.array([r.floor for r in held])))
+        if not held:
+            break
+        after = held[-1].lang
+        if len({r.lang for r in held}) < MOST_LANGUAGES:
+            break
+    C.discard(learnt)
+    return out
 
 
 def held_out(name: str = "doc_id"):
@@ -172,11 +183,13 @@ def held_out(name: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predictor(spark: SparkSession, model: Model):
-    """A function of a text column that gives a struct of lang_pred, score and rejected."""
+_FOUND = "lang_pred string, score double, rejected boolean"
+
+
+def _predictor(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)  # MOST_LANGUAGES x clusters x DIMS floats at most
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @F.pandas_udf(_FOUND)
     def run(values: pd.Series) -> pd.DataFrame:
         rows = [shared.value.predict(x if isinstance(x, str) else None) for x in values]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
@@ -184,12 +197,30 @@ def predictor(spark: SparkSession, model: Model):
     return lambda text: run(text.cast("string"))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def found(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """own (a row of docs) and found (lang_pred, score, rejected, from its text alone).
+
+    Several models judge one after another, so that only one is held at a time; of equal scores the first model's counts.
+    """
+    rows = docs.select(F.struct("*").alias("own"))
+    for k, model in enumerate(models):
+        new = _predictor(docs.sparkSession, model)(F.col("own.text"))
+        if k == 0:
+            rows = rows.select("own", new.alias("found"))
+            continue
+        held = rows
+        rows = held.select("own", "found", new.alias("new")).select("own", F.when((F.col("new.lang_pred") != UNKNOWN) & (F.col("new.score") > F.col("found.score")), F.col("new")).otherwise(F.col("found")).alias("found"))
+        rows = C.materialise(rows, "languages")
+        if k > 1:
+            C.discard(held)
+    return rows
+
+
+def predict(docs: DataFrame, models: list[Model]) -> DataFrame:
     """docs with lang_pred, score and rejected added, from the text alone. Columns of docs with these names are replaced."""
     added = ("lang_pred", "score", "rejected")
     own = [c for c in docs.columns if c.lower() not in added]
-    found = docs.select(F.struct(*own).alias("own"), predictor(docs.sparkSession, model)(F.col("text")).alias("found"))
-    return found.select("own.*", *[f"found.{c}" for c in added])
+    return found(docs.select(*own), models).select("own.*", *[f"found.{c}" for c in added])
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -198,6 +229,6 @@ def identify(docs: DataFrame) -> DataFrame:
     A null text, or one without letters, is `und` with score 0. Repeated rows are rows. A text of any length counts
     whole. If nothing can be learnt every text is `und`. An empty table gives no rows. Other columns are ignored.
     """
-    model = fit(docs.where(~held_out()))
+    models = fit(docs.where(~held_out()))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return predict(own, model).drop("text")
+    return predict(own, models).drop("text")

@@ -40,7 +40,7 @@ def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):
 def test_model_is_that_of_direct_counts(spark):
     """Cosines of the vectors made from plain dictionaries of n-grams against the model's centroids."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = L.fit(docs)
+    (model,) = L.fit(docs)
     rows = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
 
     def place(gram):
@@ -68,11 +68,21 @@ def test_model_is_that_of_direct_counts(spark):
 
 def test_names_that_clash(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = L.fit(docs)
+    (model,) = L.fit(docs)
     odd = docs.selectExpr("*", "7 AS score", "'x' AS Lang_Pred", "true AS rejected", "1 AS own", "2 AS found")
-    got = L.predict(odd, model)
+    got = L.predict(odd, [model])
     assert got.columns == [*docs.columns, "own", "found", "lang_pred", "score", "rejected"]
-    assert sorted(got.select("doc_id", "lang_pred", "score").collect()) == sorted(L.predict(docs, model).select("doc_id", "lang_pred", "score").collect())
+    assert sorted(got.select("doc_id", "lang_pred", "score").collect()) == sorted(L.predict(docs, [model]).select("doc_id", "lang_pred", "score").collect())
+
+
+def test_more_languages_than_a_model_holds(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(tuple(r) for r in L.identify(docs).collect())
+    for most in (1, 3):
+        monkeypatch.setattr(L, "MOST_LANGUAGES", most)
+        assert len(L.fit(docs)) == -(-docs.select("lang").where("lang is not null").distinct().count() // most)
+        got = sorted(tuple(r) for r in L.identify(docs).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want]) and [r[4] for r in got] == [r[4] for r in want]
 
 
 def test_copies_do_not_fill_the_sample(spark):
@@ -106,6 +116,6 @@ def test_odd_rows(spark):
 
 def test_far_text_is_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = L.fit(docs)
+    (model,) = L.fit(docs)
     assert model.predict("жизнь прекрасна и удивительна " * 9)[2] and not model.predict("Lllldoado.")[2]
     assert abs(np.linalg.norm(model.centres, axis=1) - 1).max() < 1e-4
