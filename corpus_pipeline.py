@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has no letters; null ids, repeated rows, texts of any length and columns of any name are as any other. If
     nothing can be learnt every document goes. An empty table stays empty.
     """
-    model = langid.fit(docs.where(~langid.held_out()))
-    return docs.where(~langid.predictor(spark, model)(F.col("text"))["rejected"])
+    models = langid.fit(docs.where(~langid.held_out()))
+    return langid.found(docs, models).where("not found.rejected").select("own.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
