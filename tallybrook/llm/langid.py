@@ -26,6 +26,8 @@ DIMS = 4096
 PER_LANGUAGE, CLUSTERS, ROUNDS = 600, 4, 8
 #: Languages of a model: it is broadcast, 64 KB for each. More of them make several models, and the best of all counts.
 MOST_LANGUAGES = 1000
+#: Languages whose sampling rates are broadcast (a few MB); beyond, they are joined.
+FEW_RATES = 100_000
 #: n-grams from which on a text is held to the whole of its centroid's floor (about 170 letters).
 SURE_GRAMS = 500
 _SLICE = 1 << 20
@@ -145,7 +147,9 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
     # A hash threshold first leaves about twice the sample, so that only it is ordered.
     h = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     rates = rows.groupBy("lang").agg(F.least(F.lit(2.0), F.lit(2.0 * per_language + 50) / F.count("*")).alias("rate"))
-    sample = rows.withColumn("h", h).join(rates, "lang").where(F.col("h") < F.col("rate")).drop("rate").dropDuplicates(["lang", "h"])
+    rates = C.materialise(rates, "languages")
+    few = rates.count() <= FEW_RATES
+    sample = rows.withColumn("h", h).join(F.broadcast(rates) if few else rates, "lang").where(F.col("h") < F.col("rate")).drop("rate").dropDuplicates(["lang", "h"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "doc_id", "text"]).head(per_language)
@@ -174,7 +178,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
         after = held[-1].lang
         if len({r.lang for r in held}) < MOST_LANGUAGES:
             break
-    C.discard(learnt)
+    C.discard(learnt, rates)
     return out
 
 

@@ -80,6 +80,7 @@ def test_more_languages_than_a_model_holds(spark, monkeypatch):
     want = sorted(tuple(r) for r in L.identify(docs).collect())
     for most in (1, 3):
         monkeypatch.setattr(L, "MOST_LANGUAGES", most)
+        monkeypatch.setattr(L, "FEW_RATES", most)
         assert len(L.fit(docs)) == -(-docs.select("lang").where("lang is not null").distinct().count() // most)
         got = sorted(tuple(r) for r in L.identify(docs).collect())
         assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want]) and [r[4] for r in got] == [r[4] for r in want]
