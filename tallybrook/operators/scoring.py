@@ -28,6 +28,11 @@ def _answers(pairs: DataFrame, strict: bool) -> DataFrame:
     return rows.withColumn("hit", same.cast("long"))
 
 
+def scored_answers(pairs: DataFrame, strict: bool = False) -> DataFrame:
+    """id, meta, truth, model, answer, correct: a row for each answer of a model to a judged item."""
+    return _answers(pairs, strict).select("id", "meta", "truth", "model", "answer", (F.col("hit") == 1).alias("correct"))
+
+
 def with_interval(rows: DataFrame, hits: str = "hits", total: str = "answered", z: float = S.Z) -> DataFrame:
     low, high = wilson(F.col(hits), F.col(total), z)
     return rows.withColumns({"rate": pct(F.col(hits), F.col(total)), "low": F.bround(100 * low, 1), "high": F.bround(100 * high, 1)})

@@ -161,6 +161,19 @@ def score_report(items: DataFrame, judgements: DataFrame, by: str | None = None)
     return out
 
 
+def score(items: DataFrame, judgements: DataFrame, by: str | None = None, rounds: int = 4000) -> dict[str, DataFrame]:
+    """All that a view of results shows, in one call: `report` (score_report()), `fields` (of meta, by which one can ask), and with `by`
+    also `power`: model, spread (points), p, mde (points), needed, significant, for models with two groups or more."""
+    out = {"report": score_report(items, judgements, by), "fields": items.select(F.explode(F.map_keys("meta")).alias("field")).distinct().orderBy("field")}
+    if by is not None:
+        pairs = scoring.eligible(items, judgements)
+        several = scoring.accuracy_by(pairs, by).groupBy("model").agg(F.count("*").alias("n")).where("n > 1").select("model")
+        found = scoring.power_report(pairs, by, rounds).join(several, "model", "left_semi")
+        needed = F.when(F.col("spread") > 0, S.required_n(F.col("baseline"), F.col("spread")))
+        out["power"] = found.select("model", F.bround(100 * F.col("spread"), 1).alias("spread"), F.bround("p", 3).alias("p"), F.bround(100 * F.col("detectable"), 1).alias("mde"), needed.alias("needed"), "significant")
+    return out
+
+
 def next_slice(rows: DataFrame, scores: dict, want: int, seen: DataFrame, skip: int = 50, least_words: int = 3, id_column: str = "review_id", text: str = "text") -> DataFrame:
     """intent, rank, id, hits: of each intent's ranking by signals, what follows the first `skip` and is not seen yet, the first `want`.
 

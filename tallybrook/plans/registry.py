@@ -664,7 +664,7 @@ def title_match(spark, sf_dir):
     return parsing.most_similar_titles(targets, titles).withColumn("ratio", F.round("ratio", 6))
 
 
-from tallybrook.plans import more  # noqa: E402, F401  (registers the studies' queries)
+from tallybrook.plans import more, runs  # noqa: E402, F401  (register the queries of studies and of runs)
 
 
 def queries() -> dict:

@@ -128,16 +128,11 @@ def with_refresh(corpus: DataFrame, refreshed: DataFrame) -> DataFrame:
 
 
 def latest_stream(spark: SparkSession, log: str, schema, target: str, checkpoint: str, keys: tuple[str, ...] = ("item_id",)) -> StreamingQuery:
-    """Follows an append-only log of judgements; target/version=n holds the last record of each key."""
-    from tallybrook.operators.worklists import upsert
+    """Follows an append-only log of judgements; the table at target (see sources/bucketed.py) holds the last record of each key."""
+    from tallybrook.sources.bucketed import Bucketed
 
-    def write(batch: DataFrame, number: int) -> None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number - 1}")
-        there = number > 0 and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        old = spark.read.schema(schema).parquet(f"{target}/version={number - 1}") if there else spark.createDataFrame([], schema)
-        upsert(old, batch, keys).write.mode("overwrite").parquet(f"{target}/version={number}")
-
-    return spark.readStream.schema(schema).json(log).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    table = Bucketed(spark, target, schema, keys)
+    return spark.readStream.schema(schema).json(log).writeStream.foreachBatch(lambda batch, number: table.upsert(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def monthly_stream(rows: DataFrame, at: str = "ts", late: str = "7 days", bad: Column | None = None) -> DataFrame:

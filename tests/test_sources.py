@@ -106,7 +106,9 @@ def test_judgement_log(spark, tmp_path):
         from tallybrook.streaming.refresh import latest_stream
 
         latest_stream(spark, str(tmp_path / "log"), schema, str(tmp_path / "view"), str(tmp_path / "ck")).awaitTermination()
-    assert {r.item_id: r.label for r in spark.read.parquet(str(tmp_path / "view" / "version=1")).collect()} == {"a": "y", "b": "x"}
+    from tallybrook.sources.bucketed import Bucketed
+
+    assert {r.item_id: r.label for r in Bucketed(spark, str(tmp_path / "view"), schema).read().collect()} == {"a": "y", "b": "x"}
 
 
 def test_monthly_stream(spark, tmp_path):
