@@ -46,7 +46,9 @@ def diagnostic_report(rows: DataFrame) -> DataFrame:
 
     Sections by language and over all (key null): unclassifiable_either, unclassifiable_both, multi_intent, agreement, refund;
     by rating: praise; complaints (two stars at most, key null): complaint_unclassifiable, complaint_both, complaint_agreement;
-    as shares of all rows: severity, coverage; proxy: a row is a hit where the proxy and a financial loss agree, by "proxy/loss".
+    as shares of all rows: severity, coverage; proxy: a row is a hit where the proxy and a financial loss agree, by "proxy/loss";
+    proxy_precision (of flagged rows, those with a financial loss) and proxy_recall (of those with one, the flagged) with key null; kappa,
+    by language and over all: the hits are agreements, and the column `kappa` is set (null where it is undefined, and elsewhere).
     """
     a, b, yes = F.col("a"), F.col("b"), F.lit(True)
     either, both = (a == NONE) | (b == NONE), (a == NONE) & (b == NONE)
@@ -59,7 +61,11 @@ def diagnostic_report(rows: DataFrame) -> DataFrame:
     facts += [("praise", rating, b == NONE, yes)]
     facts += [(s, F.lit(None), h, complaint) for s, h in (("complaint_unclassifiable", b == NONE), ("complaint_both", both), ("complaint_agreement", a == b))]
     facts += [("severity", F.col("severity"), yes, yes), ("coverage", b, yes, yes), ("proxy", F.concat(sign(F.col("severity_proxy")), F.lit("/"), sign(loss)), F.col("severity_proxy") == loss, yes)]
-    return _rates(_facts(rows, *facts), shares=("severity", "coverage"))
+    facts += [("proxy_precision", F.lit(None), loss, F.col("severity_proxy")), ("proxy_recall", F.lit(None), F.col("severity_proxy"), loss)]
+    out = _rates(_facts(rows, *facts), shares=("severity", "coverage")).withColumn("kappa", F.lit(None).cast("double"))
+    alike = S.kappa(rows, "a", "b", ["language"]).withColumnRenamed("language", "key").unionByName(S.kappa(rows, "a", "b").withColumn("key", F.lit(None).cast("string")))
+    alike = alike.select(F.lit("kappa").alias("section"), "key", F.col("agree").alias("hits"), F.col("n").alias("total"), F.bround("kappa", 3).alias("kappa"))
+    return out.unionByName(scoring.with_interval(alike, "hits", "total", S.Z_SCRIPTS).select(out.columns))
 
 
 def disagreement_kind(a: Column, b: Column, truth: Column) -> Column:

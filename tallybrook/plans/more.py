@@ -57,6 +57,7 @@ _DIAGNOSTIC = _sections(
     *[(s, k, f"({h})", "true") for s, h in _FLAGS for k in ("language", "NULL")], ("praise", "CAST(rating AS VARCHAR)", f"(b = {_U})", "true"), ("complaint_unclassifiable", "NULL", f"(b = {_U})", "rating <= 2"),
     ("complaint_both", "NULL", f"(a = {_U} AND b = {_U})", "rating <= 2"), ("complaint_agreement", "NULL", "(a = b)", "rating <= 2"), ("severity", "severity", "true", "true"), ("coverage", "b", "true", "true"),
     ("proxy", "CASE WHEN proxy THEN '+' ELSE '-' END || '/' || CASE WHEN severity = 'financial_loss' THEN '+' ELSE '-' END", "(proxy = (severity = 'financial_loss'))", "true"),
+    ("proxy_precision", "NULL", "(severity = 'financial_loss')", "proxy"), ("proxy_recall", "NULL", "proxy", "severity = 'financial_loss'"),
 )
 
 
@@ -65,11 +66,26 @@ def _rates(facts: str, shares: str) -> str:
 t AS (SELECT section, key, hits, CASE WHEN section IN ({shares}) THEN CAST(sum(n) OVER (PARTITION BY section) AS BIGINT) ELSE n END AS total FROM g) SELECT *, {_BAND} FROM t"""
 
 
-@query(_rates(_DIAGNOSTIC, "'severity', 'coverage'"))
+_KAPPA = f"""v AS (SELECT language AS key, false AS whole, a, b FROM w UNION ALL SELECT NULL, true, a, b FROM w), n AS (SELECT whole, key, count(*) FILTER (WHERE a = b) AS hits, count(*) AS total FROM v GROUP BY 1, 2),
+x AS (SELECT whole, key, a AS l, count(*) AS k FROM v GROUP BY 1, 2, 3), y AS (SELECT whole, key, b AS l, count(*) AS k FROM v GROUP BY 1, 2, 3),
+c AS (SELECT x.whole, x.key, sum(x.k * y.k) AS chance FROM x JOIN y ON x.whole = y.whole AND x.key IS NOT DISTINCT FROM y.key AND x.l = y.l GROUP BY 1, 2),
+o AS (SELECT n.key, hits, total, coalesce(chance, 0) / (CAST(total AS DOUBLE) * total) AS e FROM n LEFT JOIN c ON n.whole = c.whole AND n.key IS NOT DISTINCT FROM c.key)
+SELECT 'kappa' AS section, key, hits, total, {_BAND}, CASE WHEN e <> 1 THEN round_even((CAST(hits AS DOUBLE) / total - e) / (1 - e), 3) END AS kappa FROM o"""
+
+
+_PARTS = _rates(_DIAGNOSTIC, "'severity', 'coverage'")
+
+
+@query(f"""SELECT *, CAST(NULL AS DOUBLE) AS kappa FROM ({_PARTS}) UNION ALL BY NAME SELECT * FROM (WITH {_STUDY}, {_KAPPA})""")
 def diagnostic_report(spark, sf_dir):
     return studies.diagnostic_report(study(spark, sf_dir))
 
 
+@query(f"""WITH {_STUDY} SELECT language, count(*) AS n, count(*) FILTER (WHERE a = b) AS agree, count(*) FILTER (WHERE a = {_U} OR b = {_U}) AS either_none, count(*) FILTER (WHERE a = {_U} AND b = {_U}) AS both_none FROM w GROUP BY ROLLUP (language)""")
+def agreement_report(spark, sf_dir):
+    return scoring.agreement_report(study(spark, sf_dir), "language")
+
+
 _KIND = f"CASE WHEN truth = {_U} AND a <> {_U} AND b <> {_U} THEN 'coverage_gap' WHEN a = truth THEN 'a_right' WHEN b = truth THEN 'b_right' ELSE 'neither' END"
 _REASON = "coalesce(reason, 'unrecorded')"
 

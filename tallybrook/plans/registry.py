@@ -545,12 +545,6 @@ def gap_pivot(spark, sf_dir):
     return scoring.pilot_gaps(scoring.pilot_score(rows), ["en", "fr", "de"], "fr")
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = toxic) AS agree, 0::BIGINT AS either_none, 0::BIGINT AS both_none FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
-def agreement_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("lang", F.col("quality").cast("string").alias("a"), F.col("toxic").cast("string").alias("b"))
-    return scoring.agreement_report(rows, "lang")
-
-
 @query(f"""WITH c AS (SELECT event_type AS label, count(*) FILTER (WHERE user_id % 2 = 0) AS x, count(*) FILTER (WHERE user_id % 2 = 1) AS y FROM events GROUP BY 1),
 s AS (SELECT label, x + y AS n, {sql_pct("x", "sum(x) OVER ()")} AS share_a, {sql_pct("y", "sum(y) OVER ()")} AS share_b FROM c)
 SELECT label, n, share_a, share_b, round_even(share_a - share_b, 1) AS gap, abs(round_even(share_a - share_b, 1)) > 3 AS marked FROM s ORDER BY n DESC, label LIMIT 12""")

@@ -11,33 +11,51 @@ from pyspark.sql import types as T
 
 from tallybrook import schemas
 from tallybrook.operators.clean import last_wins
+from tallybrook.sources.shared import materialise
 
 # ---- JSON lines
 
 
+#: Blocks of files whose places are broadcast (some 15 MB); beyond, lines are joined to them.
+MOST_BLOCKS = 100_000
+
+
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Lines with `ord`, by path, then place in the file. Blank lines are skipped."""
+    """value, path, line (its number in the file), ord (by path and line, dense). Blank lines are skipped, but have a number.
+
+    A task numbers its lines one after another, so within a block numbers are dense, with blank lines and without. Blocks are counted,
+    their counts summed up in the order of path and block, and the sums go to the scan as a table of a row a block.
+    """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return files.where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    every = files.select("value", *at, F.monotonically_increasing_id().alias("_line"))
+    some = every.where(F.trim("value") != "").select("*", F.monotonically_increasing_id().alias("_place"))
+    lines = every.groupBy("path", "block").agg(F.min("_line").alias("_first_line"), F.count("*").alias("_lines"))
+    places = some.groupBy("path", "block").agg(F.min("_place").alias("_first_place"), F.count("*").alias("_places"))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = lines.join(places, ["path", "block"], "left").select(
+        "path", "block",
+        (F.coalesce(F.sum("_lines").over(before.partitionBy("path")), F.lit(0)) - F.col("_first_line") + 1).alias("_to_line"),
+        (F.coalesce(F.sum("_places").over(before.partitionBy(F.lit(1))), F.lit(0)) - F.col("_first_place")).alias("_to_ord"),
+    )
+    blocks = materialise(blocks, "blocks")
+    side = F.broadcast(blocks) if blocks.count() <= MOST_BLOCKS else blocks
+    return some.join(side, ["path", "block"]).select("value", "path", (F.col("_line") + F.col("_to_line")).alias("line"), (F.col("_place") + F.col("_to_ord")).alias("ord"))
 
 
-def _with_ord(rows: DataFrame) -> DataFrame:
-    """Ordinals in the order of path, block and place. Places are dense within a block, which one task reads, so only blocks are sorted."""
-    blocks = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("path", "block")) - F.col("n")  # a row a block
-    blocks = blocks.select("path", "block", "first", before.alias("before"))
-    return rows.join(blocks, ["path", "block"]).withColumn("ord", F.col("before") + F.col("place") - F.col("first")).drop("before", "first", "block", "place")
+def _named(text: str) -> Column:
+    return F.concat(F.lit(text), F.col("path"), F.lit(":"), F.col("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = schemas.REVIEW, malformed: str = "fail", glob: str = "*.jsonl") -> DataFrame:
-    """Rows of every file below path with `ord`. A malformed line fails the read and is named, or (`drop`) is left out."""
+    """Rows of every file below path with `ord`. A malformed line fails the read and is named by file and line, or (`drop`) is left out."""
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     broken = F.try_parse_json("value").isNull()
-    rows = _with_ord(_lines(spark, path, glob))
+    rows = _lines(spark, path, glob)
     if malformed == "drop":
         rows = rows.where(~broken)
     else:
-        named = F.concat(F.lit("malformed line in "), F.col("path"), F.lit(": "), F.substring("value", 1, 200))
+        named = F.concat(_named("malformed line in "), F.lit(": "), F.substring("value", 1, 200))
         rows = rows.withColumn("value", F.when(broken, F.raise_error(named)).otherwise(F.col("value")))
     return rows.select(parsed.alias("r"), "ord").select("r.*", "ord")
 
@@ -55,9 +73,8 @@ def read_strict(spark: SparkSession, path: str, fields: tuple[str, ...] = schema
     lines = _lines(spark, path, glob)
     if lines.isEmpty():
         raise ValueError(f"no rows in {path}")
-    rows = _with_ord(lines)
     right = F.coalesce(F.json_object_keys("value") == F.array(*map(F.lit, fields)), F.lit(False))
-    checked = rows.withColumn("value", F.when(~right, F.raise_error(F.concat(F.lit("unexpected fields in "), F.col("path")))).otherwise(F.col("value")))
+    checked = lines.withColumn("value", F.when(~right, F.raise_error(_named("unexpected fields in "))).otherwise(F.col("value")))
     return checked.select(F.from_json("value", schema).alias("r"), "ord").select("r.*", "ord")
 
 

@@ -259,3 +259,47 @@ def test_reports(spark):
     found = {r.hunted_for: r for r in scoring.hunt_yield(hunt).collect()}
     assert found["i"].verdict == "rare" and found["k"].verdict == "absent" and found["i"].confusions[0].n == 2
     assert np.isclose(found["i"]["yield"], 33.3)
+
+
+def test_display_of_a_review(spark):
+    import json
+
+    (row,) = facets.display_json(slice_of(spark, [one(3, text="ok <b>", label=None)])).collect()
+    assert row.id == "r3" and json.loads(row.json) == {"id": "r3", "text": "ok <b>", "platform": "google_play", "product": "wallet_a", "rating": 1, "language": "english", "date": "2026-01-04", "version": "1.0", "label": None, "label_source": None}
+
+
+def test_keywords_are_described(spark):
+    from tallybrook.functions import catalogue as K
+
+    got = facets.describe_keywords(spark).collect()
+    assert len(got) == len(K.KEYWORD_GROUPS) and [r[0] for r in got] == [g[0] for g in K.KEYWORD_GROUPS]
+
+
+def test_words_of_chance(spark):
+    rows = spark.createDataFrame([(p,) for p in (0.001, 0.049, 0.05, 0.3, 0.9)], "p double")
+    words = [r.w for r in rows.select(scoring.chance_word(F.col("p")).alias("w"), "p").orderBy("p").collect()]
+    assert words == ["fewer than 1 times in 100", "fewer than 5 times in 100", "fewer than 5 times in 100", "about 30 times in 100", "9 times out of 10"]
+
+
+def test_at_most(spark):
+    from tallybrook.operators import studies
+
+    rows = spark.range(10)
+    assert [studies.at_most(rows, n).count() for n in (None, 0, 3, 20)] == [10, 0, 3, 10]
+
+
+def test_disputed_rows_and_controls(spark):
+    rows = spark.createDataFrame([(f"r{k}", k % 4 == 0, k % 4 == 1) for k in range(100)], "review_id string, disputed boolean, control boolean")
+    got = [r.review_id for r in sampling.disputed_and_controls(rows, F.col("disputed"), F.col("control"), 6, 2).collect()]
+    again = [r.review_id for r in sampling.disputed_and_controls(rows.repartition(5), F.col("disputed"), F.col("control"), 6, 2).collect()]
+    kinds = [int(r[1:]) % 4 for r in got]
+    assert got == again and (kinds.count(0), kinds.count(1), len(kinds)) == (25, 6, 31) and kinds != sorted(kinds)
+    assert sampling.disputed_and_controls(rows, F.col("disputed"), F.col("control"), 0, 2).count() == 25
+
+
+def test_records_with_personal_data(spark):
+    from tallybrook.functions import pii
+
+    rows = spark.createDataFrame([("call 0300 1234567 now",), ("nothing here",), ("a@b.example and c@d.example",), (None,)], "text_clean string")
+    found = pii.records_with_pii(pii.scrub(rows)).first()
+    assert (found.records, found.with_pii) == (4, 2)

@@ -25,10 +25,11 @@ def test_json_lines(spark, tmp_path):
     assert R.read_strict(spark, str(tmp_path)).count() == 4
     write(tmp_path / "c" / "page_1.jsonl", ["{broken"])
     assert R.read_jsonl(spark, str(tmp_path), malformed="drop").count() == 4
-    with pytest.raises(PySparkException, match="malformed line in .*page_1"):
+    write(tmp_path / "c" / "page_1.jsonl", [REVIEW, "", "{broken"])
+    with pytest.raises(PySparkException, match=r"malformed line in .*c/page_1.jsonl:3: \{broken"):
         R.read_jsonl(spark, str(tmp_path)).collect()
     write(tmp_path / "c" / "page_1.jsonl", [dict(reversed(REVIEW.items()))])
-    with pytest.raises(PySparkException, match="unexpected fields"):
+    with pytest.raises(PySparkException, match=r"unexpected fields in .*c/page_1.jsonl:1"):
         R.read_strict(spark, str(tmp_path)).collect()
     assert R.read_if_there(spark, str(tmp_path / "none"), schemas.REVIEW).count() == 0
     out = str(tmp_path / "out")
@@ -36,6 +37,27 @@ def test_json_lines(spark, tmp_path):
     assert R.read_jsonl(spark, out, glob="*.json").count() == 2
 
 
+@pytest.mark.parametrize("most", [R.MOST_BLOCKS, 0])
+def test_ordinals_and_line_numbers_over_many_blocks(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_BLOCKS", most)
+    want, n = [], 0
+    for name in ("a", "b", "c"):
+        rows = ["" if k % 7 == 3 or k < 5 else json.dumps(REVIEW | {"review_id": f"{name}{k}", "text": "x" * (k % 90)}) for k in range(400)]
+        write(tmp_path / f"{name}.jsonl", rows)
+        for k, row in enumerate(rows):
+            if row:
+                want.append((n, f"{name}.jsonl", k + 1, f"{name}{k}"))
+                n += 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = R._lines(spark, str(tmp_path), "*.jsonl")
+        assert not most or "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.ord, r.path.rsplit("/", 1)[1], r.line, json.loads(r.value)["review_id"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == want
+
+
 def test_items_and_judgements(spark):
     lines = [
         {"id": "a", "text": "t", "meta": {"lang": "ur"}, "predictions": {"m": "x", "n": {"intent": "y"}, "o": "", "p": None}},
@@ -79,6 +101,35 @@ def test_configuration(spark):
     assert sorted(r.problem for r in R.authored_problems(variants, ["i"]).collect()) == ["forms are missing", "span is not in the text"]
 
 
+def test_quotas_and_rosters(spark, tmp_path):
+    path = tmp_path / "quotas.yaml"
+    assert R.quotas(spark, str(path)).collect() == []
+    path.write_text("google_quotas:\n  com.a: 5\n  com.b: 0\n")
+    assert sorted(tuple(r) for r in R.quotas(spark, str(path)).collect()) == [("com.a", 5), ("com.b", 0)]
+    path.write_text("google_quotas: [1]\n")
+    with pytest.raises(ValueError, match="mapping"):
+        R.quotas(spark, str(path))
+    model = {"id": "m", "provider": "p", "label": "M"}
+    (one,) = R.roster({"models": [model | {"price_per_mtok_input": 3.0}]}, ("p",))
+    assert (one["price_per_mtok_input"], one["price_per_mtok_output"], one["min_request_interval"], one["effort"], one["disable_thinking"]) == (3.0, 0.0, 0.5, None, False)
+    for wrong in ({}, {"models": [{"id": "m"}]}, {"models": [model | {"provider": "q"}]}, {"models": [model, model]}):
+        with pytest.raises(ValueError):
+            R.roster(wrong, ("p",))
+
+
+def test_unconfirmed_apps_and_listings_are_refused(spark):
+    apps = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", None)], "name string, confirmed boolean")
+    assert {r.name for r in R.confirmed_apps(apps, {"a", "c"}).collect()} == {"a", "c"}
+    for names, problem in (({"a", "x"}, "unknown apps: x"), ({"a", "b"}, "not confirmed by a person: b"), ({"d"}, "person: d"), (set(), "no apps"), (None, "person: b, d")):
+        with pytest.raises(ValueError, match=problem):
+            R.confirmed_apps(apps, names)
+    listings = spark.createDataFrame([("google_play", "p", True), ("google_play", "q", False), ("apple_app_store", "r", True)], "platform string, product_id string, confirmed boolean")
+    assert [r.product_id for r in R.confirmed_listings(listings, "google_play").collect()] == ["p"]
+    for products in ({"p", "q"}, {"r"}):
+        with pytest.raises(ValueError, match="unknown or unconfirmed"):
+            R.confirmed_listings(listings, "google_play", products)
+
+
 def test_validation_and_census(spark):
     rows = [("a", "google_play", "x", "p", "hi", 5, "2026-01-02"), ("a", "google_play", "x", "p", "بلاک", 1, "2026-01-01"), (None, "google_play", "x", "p", " ", None, None)]
     df = spark.createDataFrame(rows, "review_id string, platform string, platform_app_id string, product_id string, text string, rating int, timestamp string")
