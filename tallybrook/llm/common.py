@@ -232,6 +232,16 @@ def bucket_keys(n: int) -> np.ndarray:
     return keys
 
 
+class _Numbers:
+    """Each place is its own key; places count from either end, as in a list."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __getitem__(self, place):
+        return np.asarray(place, np.int64) % self.n
+
+
 class Buckets:
     """n buckets with one key each; a place is the same in SQL and in NumPy.
 
@@ -243,7 +253,7 @@ class Buckets:
 
     def __init__(self, n: int):
         self.n = n
-        self.keys = bucket_keys(n) if n <= self.EVEN else np.arange(n, dtype=np.int64)
+        self.keys = bucket_keys(n) if n <= self.EVEN else _Numbers(n)
 
     def at(self, place):
         """The key of a column of places from 0 to n - 1."""
