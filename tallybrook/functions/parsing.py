@@ -15,9 +15,16 @@ from tallybrook.functions.text import normal_title
 _REQUIRED = [f.name for f in schemas.LABEL.fields]
 
 
+def unfenced(reply: Column) -> Column:
+    """The reply, or what its leading code block holds: up to the next fence, or to the end; prose after the block goes."""
+    text = F.trim(reply)
+    inside = F.regexp_extract(text, "(?s)^```([a-z]*)(.*?)(?:```|\\z)", 2)
+    return F.when(F.startswith(text, F.lit("```")), F.trim(F.regexp_replace(inside, "^\\s+|\\s+$", ""))).otherwise(text)
+
+
 def label_reply(reply: Column) -> Column:
     """The label of a structured reply, or null: a field is missing, or the confidence is not within 0 and 1."""
-    bare = F.regexp_replace(F.trim(reply), "(?s)^```[a-z]*\\s*|\\s*```$", "")
+    bare = unfenced(reply)
     keys = F.json_object_keys(bare)
     parsed = F.from_json(bare, schemas.LABEL)
     whole = F.size(F.array_except(F.array(*map(F.lit, _REQUIRED)), keys)) == 0

@@ -168,6 +168,19 @@ def hunt_yield(rows: DataFrame) -> DataFrame:
     return sums.withColumns({"yield": pct(F.col("hits"), F.col("candidates")), "verdict": verdict}).join(top, "hunted_for", "left")
 
 
+# The least kappa of each word, on the page and in the report of a retest.
+RETEST_WORDS = ((0.80, "near-perfect"), (0.61, "substantial"), (0.41, "moderate"))
+
+
+def retest_word(value: Column) -> Column:
+    """How a retest's kappa is read: near-perfect only above its bound, the others from theirs on; null is unknown."""
+    (top, best), *rest = RETEST_WORDS
+    word = F.when(value > top, best)
+    for least, name in rest:
+        word = word.when(value >= least, name)
+    return F.when(value.isNull(), "unknown").otherwise(word.otherwise("below moderate"))
+
+
 def kappa_word(value: Column) -> Column:
     word = F.when(value >= 0.8, "strong").when(value >= 0.6, "moderate").when(value >= 0.4, "weak").otherwise("little better than chance")
     return F.when(value.isNull(), "unknown").otherwise(word)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallybrook import schemas
+from tallybrook.operators import facets
 from tallybrook.operators import label_run as L
 from tallybrook.plans import registry as G
 from tallybrook.plans import views
@@ -119,3 +120,11 @@ SELECT section, model, grp, bad AS hits, total, {sql_pct("bad", "total")} AS rat
 def score_sql(spark, sf_dir):
     views.register(spark, items=G.items(spark, sf_dir), judgements=G.judged(spark, sf_dir))
     return spark.sql("SELECT * FROM score('lang')")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' AND o_orderkey % 3 <> 1")
+def table_filters(spark, sf_dir):
+    """Filters of report tables: tier, status and vertical, each with some of its values."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.col("o_orderpriority").alias("inclusion_tier"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3).cast("string").alias("vertical"))
+    return facets.select(rows, facets.Filters(more={"inclusion_tier": {"1-URGENT", "2-HIGH"}, "status": {"O"}, "vertical": {"0", "2"}})).select("o_orderkey")

@@ -78,6 +78,23 @@ def read_strict(spark: SparkSession, path: str, fields: tuple[str, ...] = schema
     return checked.select(F.from_json("value", schema).alias("r"), "ord").select("r.*", "ord")
 
 
+def read_cleaned(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """read_strict() of cleaned rows: the fields of reviews, then text_clean, text_hash and language."""
+    return read_strict(spark, path, schemas.CLEAN_FIELDS, schemas.CLEAN, glob)
+
+
+def read_payload(spark: SparkSession, path: str) -> DataFrame:
+    """complaint_id, gold_intent, variants of an authoring document, a JSON object with a list of `complaints`; anything else is an error."""
+    held = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    right = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    complaints = F.from_json(F.to_json(F.try_variant_get("v", "$.complaints", "variant")), _COMPLAINTS)
+    checked = F.when(F.coalesce(right, F.lit(False)), complaints).otherwise(F.raise_error(F.lit("a pilot document must be a JSON object")))
+    return held.select(F.explode(checked).alias("c")).select("c.*")
+
+
+_COMPLAINTS = "array<struct<complaint_id: string, gold_intent: string, variants: map<string, struct<text: string, fact_span: string>>>>"
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Through Spark's commit protocol: a reader sees all of it or nothing."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -303,3 +303,17 @@ def test_records_with_personal_data(spark):
     rows = spark.createDataFrame([("call 0300 1234567 now",), ("nothing here",), ("a@b.example and c@d.example",), (None,)], "text_clean string")
     found = pii.records_with_pii(pii.scrub(rows)).first()
     assert (found.records, found.with_pii) == (4, 2)
+
+
+def test_filters_of_report_tables(spark):
+    rows = [("a", "core", "wallet", "ok"), ("b", "core", "bank", "ok"), ("c", "extended", "wallet", "ok"), ("d", "core", "wallet", "error"), ("e", None, "wallet", "ok")]
+    df = spark.createDataFrame(rows, "product string, inclusion_tier string, vertical string, status string")
+    chosen = lambda **more: sorted(r[0] for r in facets.select(df, facets.Filters(more={k: set(v) for k, v in more.items()})).collect())
+    assert chosen() == list("abcde") and chosen(inclusion_tier=[], vertical=[]) == list("abcde")
+    assert chosen(inclusion_tier=["core"], vertical=["wallet"], status=["ok"]) == ["a"]
+    assert chosen(inclusion_tier=["core", "extended"], status=["ok"]) == ["a", "b", "c"]
+
+
+def test_words_of_a_retest(spark):
+    rows = spark.createDataFrame([(k,) for k in (0.81, 0.8, 0.61, 0.6, 0.41, 0.4, None)], "k double")
+    assert [r[0] for r in rows.select(scoring.retest_word(F.col("k"))).collect()] == ["near-perfect", "substantial", "substantial", "moderate", "moderate", "below moderate", "unknown"]

@@ -101,6 +101,22 @@ def test_configuration(spark):
     assert sorted(r.problem for r in R.authored_problems(variants, ["i"]).collect()) == ["forms are missing", "span is not in the text"]
 
 
+def test_cleaned_rows_and_payloads(spark, tmp_path):
+    cleaned = REVIEW | {"text_clean": "one two three", "text_hash": "h", "language": "english"}
+    write(tmp_path / "c" / "rows.jsonl", [cleaned, cleaned | {"review_id": "b"}])
+    assert [(r.review_id, r.language) for r in R.read_cleaned(spark, str(tmp_path / "c")).orderBy("ord").collect()] == [("a", "english"), ("b", "english")]
+    write(tmp_path / "c" / "rows.jsonl", [REVIEW])
+    with pytest.raises(PySparkException, match="unexpected fields"):
+        R.read_cleaned(spark, str(tmp_path / "c")).collect()
+    payload = {"version": 1, "complaints": [{"complaint_id": "c", "gold_intent": "i", "variants": {"en": {"text": "money gone", "fact_span": "gone"}}}]}
+    (tmp_path / "p.json").write_text(json.dumps(payload, indent=2))
+    assert [tuple(r) for r in R.authored_variants(R.read_payload(spark, str(tmp_path / "p.json"))).collect()] == [("c", "i", "en", "money gone", "gone")]
+    for wrong in ("[1]", "{", "5"):
+        (tmp_path / "p.json").write_text(wrong)
+        with pytest.raises(PySparkException, match="JSON object"):
+            R.read_payload(spark, str(tmp_path / "p.json")).collect()
+
+
 def test_quotas_and_rosters(spark, tmp_path):
     path = tmp_path / "quotas.yaml"
     assert R.quotas(spark, str(path)).collect() == []

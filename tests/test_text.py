@@ -121,11 +121,11 @@ def test_intent_replies(spark, reply, intent):
 
 def test_label_replies(spark):
     good = '{"intent":"x","intent_secondary":null,"refund_requested":true,"language":"english","severity":"low","confidence":0.5,"rationale":"r"}'
-    values = [good, f"```json\n{good}\n```", good.replace("0.5", "1.5"), good.replace('"rationale":"r"', '"other":1'), "no json", None]
+    values = [good, f"```json\n{good}\n```", f"  ```json\n{good}\n```\nI hope that helps: `x`.\n```\nother\n```", f"```{good}", good.replace("0.5", "1.5"), good.replace('"rationale":"r"', '"other":1'), "no json", None]
     got = column(spark, values, parsing.label_reply)
-    assert [g and (g.intent, g.refund_requested, g.confidence) for g in got] == [("x", True, 0.5)] * 2 + [None] * 4
+    assert [g and (g.intent, g.refund_requested, g.confidence) for g in got] == [("x", True, 0.5)] * 4 + [None] * 4
     right, wrong = parsing.quarantine(spark.createDataFrame([(v,) for v in values], "reply string"))
-    assert (right.count(), wrong.count()) == (2, 4)
+    assert (right.count(), wrong.count()) == (4, 4)
 
 
 def test_spend_and_titles(spark):
