@@ -27,6 +27,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD))
 
 
+_GAP = r"[\s\x{1c}-\x{1f}]"
+_INK = r"[^\s\x{1c}-\x{1f}]"
+
+
+def has_words(text: Column, n: int) -> Column:
+    """word_count() of n at least; a long text is read no further than its n-th word."""
+    if n <= 0:
+        return F.lit(True)
+    return F.coalesce(text, F.lit("")).rlike(f"(?U){_INK}++(?:{_GAP}++{_INK}++){{{n - 1}}}")
+
+
 _MARKED = f"(?i)(?<![A-Za-z])(?:{'|'.join(K.ROMAN_URDU_MARKERS)})(?![A-Za-z])"
 
 

@@ -24,15 +24,15 @@ def nth_in(by: list, order: list) -> Column:
 _ALL = 16**15
 
 
-def drawn(rows: DataFrame, by: list[str], want: int | DataFrame, seed: int, key: str = "review_id") -> DataFrame:
+def drawn(rows: DataFrame, by: list[str], want: int | DataFrame, seed: int, key: str = "review_id", sizes: DataFrame | None = None) -> DataFrame:
     """The `want` rows of each stratum that come first by the hash of seed and key, with their place in `_k`.
 
     want: a number, or a table (by, want); strata that it lacks give none. A stratum's size tells below which hash its first `want`
     rows lie, with six standard deviations to spare, so only about as many rows travel and are sorted; if that ever is too few,
-    a second pass takes the stratum whole. Null is a stratum like any other.
+    a second pass takes the stratum whole. Null is a stratum like any other. sizes: (by, _n), if they are known already.
     """
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")) if sizes is None else sizes
     if isinstance(want, int):
         sizes = sizes.withColumn("_want", F.lit(want))
     else:
@@ -95,10 +95,11 @@ def quota_sample(rows: DataFrame, by: str, flag: Column, per_group: int, flagged
 def length_matched(rows: DataFrame, by: str, model_group: str, target: int, seed: int, key: str = "review_id", text: str = "text") -> DataFrame:
     """Every group drawn to the shape of one group's length buckets; a bucket with too few rows gives what it has."""
     bucketed = rows.withColumn("bucket", X.length_bucket(F.col(text)))
-    sizes = bucketed.where(F.col(by) == model_group).groupBy("bucket").agg(F.count("*").alias("_n"))
-    shape = sizes.withColumn("want", F.bround(target * F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))).cast("long")).select("bucket", "want")  # four buckets at most
-    wants = bucketed.select(by, "bucket").distinct().join(F.broadcast(shape), "bucket").select(by, "bucket", "want")
-    return drawn(bucketed, [by, "bucket"], wants, seed, key).drop("_k")
+    sizes = materialise(bucketed.groupBy(by, "bucket").agg(F.count("*").alias("_n")), "strata")  # four a group at most
+    own = sizes.where(F.col(by) == model_group)
+    shape = own.withColumn("want", F.bround(target * F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))).cast("long")).select("bucket", "want")
+    wants = sizes.select(by, "bucket").where(F.col(by).isNotNull()).join(F.broadcast(shape), "bucket").select(by, "bucket", "want")
+    return drawn(bucketed, [by, "bucket"], wants, seed, key, sizes).drop("_k")
 
 
 def random_per_group(rows: DataFrame, by: str, n: int, seed: int, key: str = "review_id") -> DataFrame:

@@ -23,7 +23,7 @@ def answered(rows: DataFrame) -> DataFrame:
 
 def complaints(rows: DataFrame, most: int = 2, least_words: int = 0, text: str = "text", rating: str = "rating") -> DataFrame:
     """Rows rated `most` stars at most (no rating counts as 5), of so many words at least."""
-    return rows.where((X.rated(F.col(rating)) <= most) & (X.word_count(F.col(text)) >= least_words))
+    return rows.where((X.rated(F.col(rating)) <= most) & X.has_words(F.col(text), least_words))
 
 
 def _rates(facts: DataFrame, z: float = S.Z_SCRIPTS, shares: tuple[str, ...] = ()) -> DataFrame:
@@ -187,7 +187,8 @@ def next_slice(rows: DataFrame, scores: dict, want: int, seen: DataFrame, skip:
     skip + want rows that are not seen; their ranks follow from how many seen rows come before each, which are counted, not sorted.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("intent"), c.cast("int").alias("hits")) for k, c in scores.items()]))
-    scored = rows.where(X.word_count(F.col(text)) >= least_words).select(id_column, "ord", pairs.alias("e")).select(id_column, "ord", "e.*").where("hits > 0")
+    scored = rows.where(X.has_words(F.col(text), least_words)).select(id_column, "ord", pairs.alias("e")).select(id_column, "ord", "e.*").where("hits > 0")
+    scored = materialise(scored, "scored")  # ids and hits, without texts
     known = seen.select(id_column).distinct()
     place = F.struct((-F.col("hits")).alias("h"), F.col("ord").alias("o"))
     order = Window.partitionBy("intent").orderBy(F.desc("hits"), "ord")

@@ -74,13 +74,13 @@ def stop_reasons(pages: DataFrame, by: str, page: str, order: str, known: Column
 
 def readable(rows: DataFrame) -> DataFrame:
     """Refreshed rows as they are read: text normalised, of three words or more by white space, its language told from it."""
-    good = rows.withColumn("text", X.normalise(F.col("text"))).where(X.word_count(F.col("text")) >= 3)
+    good = rows.withColumn("text", X.normalise(F.col("text"))).where(X.has_words(F.col("text"), 3))
     return good.withColumn("language", X.language(F.col("text")))
 
 
 def admit(rows: DataFrame, known: DataFrame, key: tuple[str, ...] = ("platform", "review_id")) -> DataFrame:
     """Unseen rows whose normalised text has three words or more, by white space; the first of each id."""
-    good = rows.withColumn("text_clean", X.normalise(F.col("text"))).where(X.word_count(F.col("text_clean")) >= 3)
+    good = rows.withColumn("text_clean", X.normalise(F.col("text"))).where(X.has_words(F.col("text_clean"), 3))
     return good.dropDuplicates(list(key)).join(known, list(key), "left_anti")
 
 

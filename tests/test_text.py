@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import datetime
 
@@ -159,3 +160,11 @@ def test_titles_in_blocks(spark):
     got = {r.name: (r.title, r.ratio) for r in parsing.most_similar_titles(targets, titles, block=2).collect()}
     assert got == {"ab": ("AB", 1.0), "--": (None, 1.0), None: (None, None)}
     assert {r.title for r in parsing.most_similar_titles(targets, titles.where("false")).collect()} == {None}
+
+
+def test_has_words_is_the_count(spark):
+    rng = random.Random(6)
+    values = [None, "", " ", "one", " one ", "one two", "one\u00a0two\x1cthree", "بہت اچھی سروس"] + ["".join(rng.choices(["a", "bb", " ", "\n", "\u2003", "\x1d", "."], k=rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    for n in (0, 1, 2, 3, 5):
+        assert df.where(X.has_words(F.col("t"), n) != (X.word_count(F.col("t")) >= n)).count() == 0
