@@ -43,7 +43,7 @@ PII = (
     ("account", r"(?i)(?:\b(?:account|acct|a/c)\s*(?:number|no\.?|#)?|(?:اکاؤنٹ|اکاونٹ|حساب)\s*(?:نمبر)?)\s*[:=-]?\s*(?P<pii>\d(?:[- ]?\d){7,23})(?!\d)"),
     ("name", r"(?:\b[Mm]y name is|\bI am)\s+(?P<pii>[A-Z][A-Za-z'-]*(?:\s+[A-Z][A-Za-z'-]*){0,3})(?=$|[,.!?])"),
     ("name", r"(?i)\bmera na?am\s+(?P<pii>[A-Za-z][A-Za-z'-]*(?:\s+[A-Za-z][A-Za-z'-]*){0,3}?)\s+hain?\b"),
-    ("name", r"میرا نام\s+(?P<pii>[؀-ۿ]+(?:\s+[؀-ۿ]+){0,3}?)\s+ہے"),
+    ("name", r"میرا نام\s+(?P<pii>[\u0600-\u06FF]+(?:\s+[\u0600-\u06FF]+){0,3}?)\s+ہے"),
 )
 PLACEHOLDERS = {"email": "<EMAIL>", "cnic": "<CNIC>", "phone": "<PHONE>", "account": "<ACCOUNT>", "iban": "<IBAN>", "name": "<NAME>"}
 OTHER_DIGITS, ASCII_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
