@@ -1,10 +1,9 @@
-"""Replies of labelling models, costs, and similarity of titles."""
+"""Replies of labelling models, costs, and the choice among results of a search."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,57 +73,3 @@ def best_title_match(targets: DataFrame, results: DataFrame) -> DataFrame:
     best = scored.groupBy("name").agg(F.max_by(F.struct("app_id", "title", "developer", "ratio"), rank).alias("match"))
     conflict = F.col("expected_app_id").isNotNull() & F.col("match.app_id").isNotNull() & (F.col("match.app_id") != F.col("expected_app_id"))
     return targets.join(best, "name", "left").withColumn("conflict", F.coalesce(conflict, F.lit(False)))
-
-
-_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"  # all that normal_title() leaves
-_BEST = "name string, title string, ratio double, ord long"
-
-
-def _sign_counts(values: list[str]) -> np.ndarray:
-    return np.array([[x.count(c) for c in _SIGNS] for x in values], np.int32).reshape(len(values), len(_SIGNS))
-
-
-def _packed(rows: DataFrame, schema: str, size: int) -> DataFrame:
-    """A row of arrays for each `size` rows at most of a batch."""
-
-    def run(batches):
-        for frame in batches:
-            for at in range(0, len(frame), size):
-                yield pd.DataFrame({c: [frame[c].iloc[at : at + size].tolist()] for c in frame.columns})
-
-    return rows.mapInPandas(run, schema)
-
-
-def _best_of_blocks(batches):
-    for frame in batches:
-        for r in frame.itertuples(index=False):
-            keys, titles = list(r.title_keys), list(r.titles)
-            length, counts = np.array([len(x) for x in keys]), _sign_counts(keys)
-            out = []
-            for name, key in zip(r.names, r.name_keys, strict=True):
-                total = len(key) + length
-                # The signs two titles share bound their ratio from above; those that can't reach the best are not compared.
-                bound = np.where(total > 0, 2.0 * np.minimum(_sign_counts([key])[0], counts).sum(1) / np.maximum(total, 1), 1.0)
-                best = (-1.0, 0, 0)
-                for j in np.argsort(-bound, kind="stable").tolist():
-                    if bound[j] < best[0] - 1e-12:
-                        break
-                    best = max(best, (SequenceMatcher(None, key, keys[j]).ratio(), -int(r.ords[j]), j))
-                out.append((name, titles[best[2]], best[0], -best[1]))
-            yield pd.DataFrame(out, columns=["name", "title", "ratio", "ord"])
-
-
-def most_similar_titles(targets: DataFrame, titles: DataFrame, block: int = 1000) -> DataFrame:
-    """For each target (name) the most similar of all titles (title, ord), then the first: name, title, ratio.
-
-    Blocks of names meet blocks of titles, and each pair of blocks gives a row a name. A null title is empty;
-    a null name, or any where there are no titles, has null.
-    """
-    key = lambda c: normal_title(F.coalesce(c, F.lit("")))
-    names = targets.where("name is not null").select(F.col("name").alias("names"), key("name").alias("name_keys"))
-    found = titles.select(F.col("title").alias("titles"), key("title").alias("title_keys"), F.col("ord").cast("long").alias("ords"))
-    left = _packed(names, "names array<string>, name_keys array<string>", max(1, block // 10)).repartition(max(1, targets.sparkSession.sparkContext.defaultParallelism) * 4)
-    right = _packed(found, "titles array<string>, title_keys array<string>, ords array<long>", block)
-    rank = F.struct("ratio", -F.col("ord"))
-    best = left.crossJoin(right).mapInPandas(_best_of_blocks, _BEST).groupBy("name").agg(F.max_by(F.struct("title", "ratio"), rank).alias("match"))
-    return targets.select("name").join(best, "name", "left").select("name", F.col("match.title").alias("title"), F.col("match.ratio").alias("ratio"))

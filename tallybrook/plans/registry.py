@@ -13,6 +13,7 @@ from tallybrook.functions import stats as S
 from tallybrook.functions import text as X
 from tallybrook.operators import clean as CL
 from tallybrook.operators import facets, labels, sampling, scoring, studies, worklists
+from tallybrook.operators import titles as similar
 from tallybrook.sources import reviews as R
 from tallybrook.streaming import refresh
 
@@ -655,7 +656,7 @@ def title_match(spark, sf_dir):
     """The most similar of all suppliers' titles for each part: the similarity is no SQL function; tests hold exact ratios."""
     targets = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
     titles = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), F.col("s_suppkey").alias("ord"))
-    return parsing.most_similar_titles(targets, titles).withColumn("ratio", F.round("ratio", 6))
+    return similar.most_similar_titles(targets, titles).withColumn("ratio", F.round("ratio", 6))
 
 
 from tallybrook.plans import more, runs  # noqa: E402, F401  (register the queries of studies and of runs)

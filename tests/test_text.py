@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions import catalogue as K
 from tallybrook.functions import parsing, pii
 from tallybrook.functions import text as X
+from tallybrook.operators import titles as similar
 
 
 def column(spark, values, expression, kind="string"):
@@ -157,9 +158,9 @@ def test_title_match_over_all_parts_and_suppliers(spark):
 def test_titles_in_blocks(spark):
     targets = spark.createDataFrame([("ab",), ("--",), (None,)], "name string")
     titles = spark.createDataFrame([("ba", 3), ("ab", 2), ("AB", 1), ("", 5), (None, 4)], "title string, ord int")
-    got = {r.name: (r.title, r.ratio) for r in parsing.most_similar_titles(targets, titles, block=2).collect()}
+    got = {r.name: (r.title, r.ratio) for r in similar.most_similar_titles(targets, titles, block=2).collect()}
     assert got == {"ab": ("AB", 1.0), "--": (None, 1.0), None: (None, None)}
-    assert {r.title for r in parsing.most_similar_titles(targets, titles.where("false")).collect()} == {None}
+    assert {r.title for r in similar.most_similar_titles(targets, titles.where("false")).collect()} == {None}
 
 
 def test_has_words_is_the_count(spark):
