@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm import common as C
 
-WORDS, FRACTION, LEAST = 5, 8, 24
+WORDS, FRACTION, LEAST = 5, 3, 12
 _TOP = (1 << 64) - 1
 
 
