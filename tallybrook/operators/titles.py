@@ -131,8 +131,8 @@ def _best_in_cells(batches):
 
 def _best_in_grid(names: DataFrame, titles: DataFrame, block: int) -> DataFrame:
     """name_key, title_key, ratio, ord, compared: the best title of each part of the titles for each name. Distinct keys spread over
-    parts by their hash: about `block` titles and four times as many names meet in a task."""
-    rows, columns = (max(1, math.ceil(df.count() / size)) for df, size in ((names, 4 * block), (titles, block)))
+    parts by their hash: about `block` names and as many titles meet in a task."""
+    rows, columns = (max(1, math.ceil(df.count() / size)) for df, size in ((names, block), (titles, block)))
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = names.groupBy(place("name_key", rows).alias("i")).agg(F.collect_list("name_key").alias("names"))
     right = titles.groupBy(place("title_key", columns).alias("j")).agg(F.collect_list(F.struct("title_key", "ord")).alias("titles"))
