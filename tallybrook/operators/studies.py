@@ -147,7 +147,7 @@ def score_report(items: DataFrame, judgements: DataFrame, by: str | None = None)
     Sections: items, judged, scored, excluded (counts in total); model; joint (all models agree on a label that the person did not
     give); agreement (of the first two models by name); group (by a field of meta, where a model has two groups or more).
     """
-    pairs = scoring.eligible(items, judgements)
+    pairs = materialise(scoring.eligible(items, judgements).select("id", "meta", "predictions", "truth"), "pairs")  # joined once for all sections
     counts = items.agg(F.count("*").alias("items")).join(judgements.agg(F.count("*").alias("judged"))).join(pairs.agg(F.count("*").alias("scored")))
     counts = counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), v.alias("total")) for s, v in (("items", F.col("items")), ("judged", F.col("judged")), ("scored", F.col("scored")), ("excluded", F.col("judged") - F.col("scored")))])).alias("f")).select("f.*")
 
