@@ -5,14 +5,16 @@ The similarity is 2M / (|a| + |b|), where M counts the characters of the matchin
 * Between two blocks that follow one another at least one key has a gap, so there are at most |a| + |b| - 2M + 1 blocks, and the
   keys share at least M less as many bigrams: 3M - |a| - |b| - 1. A name of six characters or more thus finds every title that
   is as similar as `NEAR` by its rarest bigrams (a prefix filter) among titles of fitting length.
-* The blocks are a common subsequence, so M is at most the longest one, which bit operations find for a block of titles at once.
-  Names without a near title meet the titles in a grid of parts; only pairs whose bound reaches the best so far are compared.
+* The blocks are a common subsequence, so M is at most the longest one, which bit operations find. Names without a near title
+  meet the titles in a grid of parts. There the titles stand in a trie: a prefix's common subsequence and the lengths of the titles
+  below it bound them all, so names go down only where the best so far can be reached; pairs at the ends are compared.
 """
 
 from __future__ import annotations
 
 import math
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,10 @@ _SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"  # all that normal_title() leave
 _CODE = np.full(128, len(_SIGNS), np.uint8)
 _CODE[[ord(c) for c in _SIGNS]] = np.arange(len(_SIGNS))
 _BITS, _LONG = 63, 256  # names and titles beyond these are bounded by the characters they share, in any order
+#: Names that go down the trie at a time, nodes that give a name its floor, and pairs of name and node that are held at once.
+_LOT, _BEAM, _WIDE = 512, 6, 1 << 18
+#: A cell of the grid has so many times `block` names at most, and so many characters of titles for each of `block`.
+_MORE, _CHARS = 64, 1280
 #: Titles that one task takes of one bigram.
 _SPLIT = 4096
 
@@ -44,28 +50,37 @@ def _needed(n: Column) -> Column:
     return F.ceil(both * (1.5 * NEAR - 1) - 1 - 1e-9).cast("int")
 
 
-def _bigrams(keys: DataFrame, key: str) -> DataFrame:
-    """key, gram: each bigram with its number among the equal ones of the key, so that shared grams count repeats."""
+def _pairs_of_signs(keys: DataFrame, key: str) -> DataFrame:
     all_of = F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(F.col(key), i, F.lit(2)))
-    rows = keys.where(F.length(key) >= 2).select(key, F.explode(all_of).alias("_g"))
+    return keys.where(F.length(key) >= 2).select(key, F.explode(all_of).alias("_g"))
+
+
+def _bigrams(keys: DataFrame, key: str, among: DataFrame | None = None) -> DataFrame:
+    """key, gram: each bigram (of those `among` others, if told) with its number among the equal ones of the key, so that shared grams count repeats."""
+    rows = _pairs_of_signs(keys, key)
+    if among is not None:
+        rows = rows.join(F.broadcast(among), "_g", "left_semi")
     rows = rows.groupBy(key, "_g").agg(F.count("*").alias("_n"))
     return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda i: F.concat("_g", i.cast("string")))).alias("gram"))
 
 
 def _prefixes(grams: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """key, gram, held: the rarest bigrams of each key (held: titles that have it), of which it shares one with any near key."""
-    known = grams.join(counts, "gram", "left").select(key, F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram").alias("g"))
+    """key, gram, held: the rarest bigrams of each key (held: titles that have it), of which it shares one with any near key.
+
+    Bigrams that no title has would come first, and join none."""
+    known = grams.join(counts, "gram").select(key, F.struct("held", "gram").alias("g"))
     ranked = known.groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("gs"))  # as many as the key has characters
     first = F.slice("gs", F.lit(1), F.greatest(F.lit(0), F.size("gs") - F.greatest(_needed(F.length(key)), F.lit(1)) + 1))
-    return ranked.select(key, F.explode(first).alias("g")).select(key, "g.gram", "g.held").where("held > 0")
+    return ranked.select(key, F.explode(first).alias("g")).select(key, "g.gram", "g.held")
 
 
 def near_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
     """name_key, title_key: every two as similar as NEAR, and some that are less, of distinct keys; names have SHORTEST characters or more."""
     grams = _bigrams(titles, "title_key")
+    signs = _pairs_of_signs(titles, "title_key").select("_g").distinct()  # two of 36, so 1296 at most
     counts = grams.groupBy("gram").agg(F.count("*").alias("held"))
     parts = F.ceil(F.col("held") / _SPLIT).cast("int")
-    left = _prefixes(_bigrams(names, "name_key"), counts, "name_key").select("name_key", "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    left = _prefixes(_bigrams(names, "name_key", signs), counts, "name_key").select("name_key", "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     right = _prefixes(grams, counts, "title_key").select("title_key", "gram", F.pmod(F.xxhash64("title_key"), parts).cast("int").alias("part"))
     shorter, longer = F.least(F.length("name_key"), F.length("title_key")), F.greatest(F.length("name_key"), F.length("title_key"))
     fits = 2 * shorter >= NEAR * (shorter + longer) - 1e-9
@@ -79,29 +94,40 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 # ---- the others in a grid
 
 class TitleBlock:
-    """Keys of titles with their places (ord), and bounds of their similarity to a name."""
+    """Keys of titles (distinct) with their places (ord), and bounds of their similarity to a name."""
 
     def __init__(self, keys: list[str], ords: list[int]):
         self.keys, self.ords = keys, np.array(ords, np.int64)
         self.length = np.array([len(x) for x in keys], np.int64)
-        codes = [_CODE[np.frombuffer(x.encode("ascii"), np.uint8)] for x in keys]
-        self.counts = np.array([np.bincount(c, minlength=len(_SIGNS)) for c in codes], np.int64).reshape(len(keys), len(_SIGNS))
         self.short = np.flatnonzero(self.length <= _LONG)
-        self.grid = np.full((int(self.length[self.short].max(initial=0)), len(self.short)), len(_SIGNS), np.uint8)  # a row for each place
-        for j, i in enumerate(self.short.tolist()):
-            self.grid[: len(codes[i]), j] = codes[i]
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """How often each key has each sign."""
+        codes = [_CODE[np.frombuffer(x.encode("ascii"), np.uint8)] for x in self.keys]
+        return np.array([np.bincount(c, minlength=len(_SIGNS)) for c in codes], np.int64).reshape(len(codes), len(_SIGNS))
+
+    @cached_property
+    def signs(self) -> np.ndarray:
+        """A row for each of the `short` keys, filled up with a sign of none."""
+        out = np.full((len(self.short), int(self.length[self.short].max(initial=0))), len(_SIGNS), np.uint8)
+        held = _CODE[np.frombuffer("".join([self.keys[i] for i in self.short.tolist()]).encode("ascii"), np.uint8)]
+        out[np.arange(out.shape[1]) < self.length[self.short, None]] = held
+        return out
+
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie([self.keys[i] for i in self.short.tolist()], self.signs, self.ords[self.short])
 
     def bounds(self, name: str) -> np.ndarray:
         code = _CODE[np.frombuffer(name.encode("ascii"), np.uint8)]
         most = np.minimum(np.bincount(code, minlength=len(_SIGNS)), self.counts).sum(1)
         if 0 < len(name) <= _BITS:
-            at = np.zeros(len(_SIGNS) + 1, np.uint64)
-            np.bitwise_or.at(at, code, np.uint64(1) << np.arange(len(name), dtype=np.uint64))
-            full = np.uint64((1 << len(name)) - 1)
-            open_ = np.full(len(self.short), full, np.uint64)  # a bit that is gone is a character of the common subsequence
-            for signs in self.grid:
-                met = open_ & at[signs]
-                open_ = ((open_ + met) | (open_ - met)) & full
+            at, _, full = _masks([name])
+            open_ = np.full(len(self.short), full[0], np.uint64)  # a bit that is gone is a character of the common subsequence
+            for signs in self.signs.T:
+                met = open_ & at[0][signs]
+                open_ = ((open_ + met) | (open_ - met)) & full[0]
             most[self.short] = len(name) - np.bitwise_count(open_).astype(np.int64)
         both = len(name) + self.length
         return np.where(both > 0, 2.0 * most / np.maximum(both, 1), 1.0)
@@ -119,27 +145,195 @@ class TitleBlock:
                 top, at = ratio, j
         return top, at, compared
 
+    def best_of_all(self, names: list[str]) -> list[tuple[float, int, int]]:
+        """best() of every name; names and titles of usual lengths meet in the trie, many names at a time."""
+        if 0 < len(self.short) < len(self.keys):
+            return self._of_parts(names, [self.short, np.flatnonzero(self.length > _LONG)])
+        usual = np.array([0 < len(x) <= _BITS for x in names], bool) & (len(self.short) > 0)
+        out: list = [None if u else self.best(x) for x, u in zip(names, usual.tolist(), strict=True)]
+        places = np.flatnonzero(usual)
+        for at in range(0, len(places), _LOT):
+            few = places[at : at + _LOT].tolist()
+            for k, found in zip(few, self._descended([names[k] for k in few]), strict=True):
+                out[k] = found
+        return out
+
+    def _of_parts(self, names: list[str], parts: list[np.ndarray]) -> list[tuple[float, int, int]]:
+        found = []
+        for part in parts:
+            own = TitleBlock([self.keys[i] for i in part.tolist()], self.ords[part].tolist()).best_of_all(names)
+            found.append([(ratio, int(part[i]), n) for ratio, i, n in own])
+        return [(*max((x[:2] for x in of), key=lambda x: (x[0], -self.ords[x[1]])), sum(x[2] for x in of)) for of in zip(*found, strict=True)]
+
+    def _descended(self, names: list[str]):
+        masks = _masks(names)
+        top, at = np.full(len(names), -1.0), np.full(len(names), -1, np.int64)  # `at` is an index, and -1 has no place
+        place = np.r_[self.ords, np.iinfo(np.int64).max]
+        compared = np.zeros(len(names), np.int64)
+        for beam in (_BEAM, None):  # a few titles that promise most give a floor, which the others must reach
+            own, title, bound = self.trie.titles(*masks, top, place[at], beam)
+            order = np.lexsort((self.ords[title], -bound, own))
+            own, title, bound = own[order], title[order], bound[order]
+            take = 2
+            while len(own):
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+                now = rank < take
+                ratio = self._ratios(names, masks[0], own[now], title[now])
+                compared += np.bincount(own[now], minlength=len(names))
+                self._better(top, at, place, own[now], title[now], ratio)
+                left = ~now & ((bound > top[own]) | ((bound == top[own]) & (self.ords[title] < place[at[own]])))
+                own, title, bound = own[left], title[left], bound[left]
+                take *= 2
+        return zip(top.tolist(), at.tolist(), compared.tolist(), strict=True)
+
+    def _better(self, top, at, place, own, title, ratio) -> None:
+        order = np.lexsort((self.ords[title], -ratio, own))
+        first = order[np.r_[True, own[order][1:] != own[order][:-1]]]
+        own, title, ratio = own[first], title[first], ratio[first]
+        more = (ratio > top[own]) | ((ratio == top[own]) & (self.ords[title] < place[at[own]]))
+        top[own[more]], at[own[more]] = ratio[more], title[more]
+
+    def _ratios(self, names: list[str], at: np.ndarray, own: np.ndarray, title: np.ndarray) -> np.ndarray:
+        """SequenceMatcher's ratio of every two; it leaves out frequent signs of keys of 200, so these are its own."""
+        out = np.empty(len(own))
+        junk = self.length[title] >= 200
+        for k in np.flatnonzero(junk).tolist():
+            out[k] = SequenceMatcher(None, names[own[k]], self.keys[title[k]]).ratio()
+        rest = np.flatnonzero(~junk)
+        size = np.array([len(x) for x in names], np.int64)
+        for i in range(0, len(rest), 8192):
+            k = rest[i : i + 8192]
+            length = self.length[title[k]]
+            equal = at[own[k, None], self.signs[title[k], : int(length.max(initial=0))]]
+            out[k] = 2.0 * _matching(equal, size[own[k]], length) / (size[own[k]] + length)
+        return out
+
+
+def _masks(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of names of 1 to _BITS signs: a word of the places of each sign, lengths, and words of all places."""
+    length = np.array([len(x) for x in names], np.int64)
+    code = _CODE[np.frombuffer("".join(names).encode("ascii"), np.uint8)]
+    at = np.zeros((len(names), len(_SIGNS) + 1), np.uint64)
+    own = np.repeat(np.arange(len(names)), length)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+    np.bitwise_or.at(at, (own, code), np.uint64(1) << place.astype(np.uint64))
+    return at, length, (np.uint64(1) << length.astype(np.uint64)) - np.uint64(1)
+
+
+def _matching(equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Characters in the matching blocks of each two keys of a and b characters: the longest one, of equals the first in the
+    first key and then in the second, and the same again to its left and right. equal: a word of the places of the first key
+    for each character of the second."""
+    total, one = np.zeros(len(equal), np.int64), np.uint64(1)
+    own, a0, a1, b0, b1 = np.arange(len(equal)), np.zeros_like(a), a, np.zeros_like(b), b
+    column = np.arange(equal.shape[1])
+    while len(own):
+        inside = ((one << a1.astype(np.uint64)) - one) & ~((one << a0.astype(np.uint64)) - one)
+        here = np.where((column >= b0[:, None]) & (column < b1[:, None]), equal[own] & inside[:, None], np.uint64(0))
+        i, j, size = np.zeros_like(a0), np.zeros_like(b0), np.zeros_like(a0)
+        alive, runs, k = np.flatnonzero(here.any(1)), here, 1  # runs: words of the places where k equal characters end
+        here = runs = here[alive]
+        while len(alive):
+            longer = (runs[:, :-1] << one) & here[:, k:]
+            goes_on = longer.any(1)
+            done = ~goes_on
+            held, to = runs[done], alive[done]
+            least = np.where(held == 0, ~np.uint64(0), held & (~held + one)).min(1, initial=~np.uint64(0))
+            i[to] = np.bitwise_count(least - one).astype(np.int64) - k + 1
+            j[to] = ((held & least[:, None]) != 0).argmax(1)
+            size[to] = k
+            alive, runs, here, k = alive[goes_on], longer[goes_on], here[goes_on], k + 1
+        np.add.at(total, own, size)
+        some = size > 0
+        own, a0, a1, b0, b1, i, j, size = (x[some] for x in (own, a0, a1, b0, b1, i, j, size))
+        own, a0, a1, b0, b1 = np.r_[own, own], np.r_[a0, i + size], np.r_[i, a1], np.r_[b0, j + size], np.r_[j, b1]
+        some = (a0 < a1) & (b0 < b1)
+        own, a0, a1, b0, b1 = (x[some] for x in (own, a0, a1, b0, b1))
+    return total
+
+
+class Trie:
+    """Keys by their prefixes, a level for each length. A node has the sign, its children in the level after (first, and how
+    many), the lengths and the least ord of the keys below it, and the key that ends there (-1: none)."""
+
+    def __init__(self, keys: list[str], signs: np.ndarray, ords: np.ndarray):
+        rows = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        length = np.array([len(keys[i]) for i in rows.tolist()], np.int64)
+        self.empty = rows[:1][length[:1] == 0]
+        new, of = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        new[:1] = True
+        self.levels, nodes = [], 1
+        for depth in range(1, signs.shape[1] + 1):
+            new[1:] |= signs[rows[1:], depth - 1] != signs[rows[:-1], depth - 1]
+            long = np.flatnonzero(length >= depth)
+            first = np.flatnonzero(new[long] | np.r_[True, long[1:] != long[:-1] + 1])
+            start = long[first]
+            children = np.searchsorted(of[start], np.arange(nodes + 1))
+            least = np.minimum.reduceat(ords[rows[long]], first)
+            shortest, longest = np.minimum.reduceat(length[long], first), np.maximum.reduceat(length[long], first)
+            self.levels.append((children[:-1], np.diff(children), signs[rows[start], depth - 1], shortest, longest, least, np.where(length[start] == depth, rows[start], -1)))
+            of[long], nodes = np.cumsum(np.isin(np.arange(len(long)), first)) - 1, len(first)
+
+    def titles(self, at, size, full, top, place, beam: int | None):
+        """(name, key, bound): keys whose common subsequence with a name lets them reach its `top` (as similar: with an ord below
+        `place`). beam: only so many nodes of each level are followed for a name, those that promise most."""
+        found = [(np.repeat(np.arange(len(size)), len(self.empty)), np.tile(self.empty, len(size)), np.zeros(len(size) * len(self.empty)))]
+        todo = [(0, np.arange(len(size)), np.zeros(len(size), np.int64), full)] if self.levels else []
+        while todo:
+            depth, own, node, open_ = todo.pop()
+            if len(own) > _WIDE:
+                half = len(own) // 2
+                todo += [(depth, own[half:], node[half:], open_[half:]), (depth, own[:half], node[:half], open_[:half])]
+                continue
+            first, many, sign, shortest, longest, least, ends = self.levels[depth]
+            depth += 1
+            n = many[node]
+            own, open_ = np.repeat(own, n), np.repeat(open_, n)
+            node = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(len(own))
+            met = open_ & at[own, sign[node]]
+            open_ = ((open_ + met) | (open_ - met)) & full[own]
+            a = size[own]
+            common = a - np.bitwise_count(open_).astype(np.int64)
+            length = np.clip(a - common + depth, shortest[node], longest[node])  # at which the bound is largest
+            bound = 2.0 * np.minimum(a, common + length - depth) / (a + length)
+            keep = np.flatnonzero((bound > top[own]) | ((bound == top[own]) & (least[node] < place[own])))
+            if beam is not None and len(keep):
+                keep = keep[np.lexsort((~open_[keep], -bound[keep], own[keep]))]  # then those whose characters come early in the name
+                starts = np.flatnonzero(np.r_[True, own[keep][1:] != own[keep][:-1]])
+                keep = keep[np.arange(len(keep)) - np.repeat(starts, np.diff(np.r_[starts, len(keep)])) < beam]
+            own, node, open_ = own[keep], node[keep], open_[keep]
+            stop = np.flatnonzero(ends[node] >= 0)
+            found.append((own[stop], ends[node[stop]], 2.0 * common[keep[stop]] / (size[own[stop]] + depth)))
+            if len(own) and depth < len(self.levels):
+                todo.append((depth, own, node, open_))
+        own, key, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = bound >= top[own]
+        return own[keep], key[keep], bound[keep]
+
 
 def _best_in_cells(batches):
     for frame in batches:
         for cell in frame.itertuples(index=False):
             block = TitleBlock([t["title_key"] for t in cell.titles], [t["ord"] for t in cell.titles])
-            found = [(name, *block.best(name)) for name in cell.names]
+            found = [(name, *best) for name, best in zip(cell.names, block.best_of_all(list(cell.names)), strict=True)]
             out = pd.DataFrame(found, columns=["name_key", "ratio", "at", "compared"])
             yield out.assign(title_key=[block.keys[j] for j in out["at"]], ord=block.ords[out["at"].to_numpy(np.int64)])[["name_key", "title_key", "ratio", "ord", "compared"]]
 
 
 def _best_in_grid(names: DataFrame, titles: DataFrame, block: int) -> DataFrame:
     """name_key, title_key, ratio, ord, compared: the best title of each part of the titles for each name. Distinct keys spread over
-    parts by their hash: about `block` names and as many titles meet in a task."""
-    rows, columns = (max(1, math.ceil(df.count() / size)) for df, size in ((names, block), (titles, block)))
+    parts by their hash: `block` names meet in a task, or up to _MORE times as many if there are enough for all cores, and titles
+    of _CHARS characters a name of `block`, which bounds the trie."""
+    n, cores = names.count(), names.sparkSession.sparkContext.defaultParallelism
+    rows = max(1, math.ceil(n / min(max(block, n // (8 * cores)), _MORE * block)))
+    columns = max(1, math.ceil((titles.agg(F.sum(F.length("title_key"))).first()[0] or 0) / (_CHARS * block)))
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = names.groupBy(place("name_key", rows).alias("i")).agg(F.collect_list("name_key").alias("names"))
     right = titles.groupBy(place("title_key", columns).alias("j")).agg(F.collect_list(F.struct("title_key", "ord")).alias("titles"))
     left = left.select("i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), "names")
     right = right.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), "j", "titles")
-    tasks = min(rows * columns, 4 * names.sparkSession.sparkContext.defaultParallelism)
-    cells = left.hint("shuffle_hash").join(right, ["i", "j"]).repartition(tasks, "i", "j").select("names", "titles")
+    cells = left.hint("shuffle_hash").join(right, ["i", "j"]).repartition(rows * columns, "i", "j").select("names", "titles")
     return cells.mapInPandas(_best_in_cells, "name_key string, title_key string, ratio double, ord long, compared long")
 
 
@@ -147,8 +341,8 @@ def most_similar_titles(targets: DataFrame, titles: DataFrame, block: int = 1000
     """For each target (name) the most similar of all titles (title, ord), then the first: name, title, ratio.
 
     Equal keys are compared once. A null title is empty; a null name, or any where there are no titles, has null; targets that
-    repeat stay. Names that no title is near are met by all titles in the grid, by a bound; what they have in common is small
-    work for a pair, but that work grows with names times titles.
+    repeat stay. Names that no title is near meet the titles in the grid, where bounds of prefixes leave out most of them; titles
+    that share no prefixes and promise alike are still bounded one by one.
     """
     wanted = targets.select("name", F.when(F.col("name").isNotNull(), _key(F.col("name"))).alias("name_key"))
     place = F.struct(F.col("ord").cast("long").alias("ord"), "title")

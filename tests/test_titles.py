@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,57 @@ def test_bounds_hold_and_the_best_is_found(name, keys):
     assert (top, -at) == max((ratio(name, key), -i) for i, key in enumerate(keys))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc01", max_size=80), max_size=9), st.lists(st.text("abc01", max_size=300), min_size=1, max_size=30, unique=True), st.integers(1, 4), st.booleans())
+def test_many_names_in_a_trie_find_what_one_does(names, keys, beam, wide):
+    block = T.TitleBlock(keys, [7 * k % 31 for k in range(len(keys))])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(T, "_BEAM", beam)
+        patch.setattr(T, "_LOT", 4)
+        patch.setattr(T, "_WIDE", 1 << 18 if wide else 8)
+        assert [x[:2] for x in block.best_of_all(names)] == [block.best(x)[:2] for x in names]
+
+
+def test_matching_blocks_are_those_of_the_library():
+    rng = random.Random(8)
+    names, keys = ([x for x in strings(rng, 200, "ab01", n) if x] for n in (63, 190))
+    block = T.TitleBlock(keys, list(range(len(keys))))
+    own, title = (np.array([rng.randrange(len(x)) for _ in range(2000)]) for x in (names, keys))
+    got = block._ratios(names, T._masks(names)[0], own, title)
+    assert got.tolist() == [ratio(names[i], keys[j]) for i, j in zip(own.tolist(), title.tolist(), strict=True)]
+
+
+def test_most_titles_are_left_out_by_their_prefixes():
+    """Each name met each title before, at 20 and more microseconds a pair."""
+    keys = [f"supplier{k:09d}" for k in range(0, 60000, 3)]
+    names = [f"largering{k}" for k in range(0, 1200000, 12007)]
+    block, visited = T.TitleBlock(keys, list(range(len(keys)))), 0
+    bitwise_count = np.bitwise_count
+
+    def counted(x):
+        nonlocal visited
+        visited += x.size
+        return bitwise_count(x)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(T.np, "bitwise_count", counted)
+        found = block.best_of_all(names)
+    assert visited < len(names) * len(keys) / 5
+    assert [x[:2] for x in found[::20]] == [block.best(x)[:2] for x in names[::20]]
+
+
+@pytest.mark.parametrize("chars", [1280, 20])
+def test_grid_of_several_parts(spark, monkeypatch, chars):
+    monkeypatch.setattr(T, "_CHARS", chars)
+    rng = random.Random(6)
+    titles, names = sorted(set(strings(rng, 150))), sorted(set(strings(rng, 90)))
+    frames = spark.createDataFrame([(x,) for x in names], "name_key string"), spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title_key string, ord long")
+    best = {}
+    for r in T._best_in_grid(*frames, 7).collect():
+        best[r.name_key] = max(best.get(r.name_key, (-1.0, 0)), (r.ratio, -r.ord))
+    assert best == {x: max((ratio(x, t), -i) for i, t in enumerate(titles)) for x in names}
+
+
 @pytest.mark.parametrize("split", [4096, 3])
 def test_near_titles_are_found_by_their_bigrams(spark, monkeypatch, split):
     """Every pair at the threshold, short and long, with repeated bigrams; and bigrams of many titles in parts."""
