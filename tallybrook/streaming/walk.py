@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -70,15 +70,25 @@ def walk(pages: DataFrame, known: DataFrame, threshold: int = 100, max_pages: in
     """WALKED for pages (app_id, page, place, review_id, review, more; an empty page is a row without a place), a stream or a table.
 
     known: (app_id, review_id) of all that was there before the walk. A null id is an id like any other. `more`: whether the store
-    has a page after this one. An app's rows of a batch go to one task, which stops at max_pages.
+    has a page after this one. An app's rows of a batch go to one task, which stops at max_pages; of a table, pages beyond these
+    don't go there (a stream's source bounds them).
     """
     use_rocksdb(pages.sparkSession)
+    if not pages.isStreaming:
+        pages = _first_pages(pages, max_pages)
     ident = F.coalesce(F.col("review_id").cast("string"), F.lit("None")).alias("review_id")
     held = known.select("app_id", ident, F.lit(True).alias("known")).distinct()
     rows = pages.select("app_id", "page", "place", ident, "review", "more").join(held, ["app_id", "review_id"], "left")
     return rows.groupBy("app_id").transformWithState(Walk(threshold, max_pages), WALKED, "Append", "None")
 
 
+def _first_pages(pages: DataFrame, most: int) -> DataFrame:
+    """The rows of each app's first pages. Only a row a page meets in the ranking; a null app is one like any other."""
+    first = pages.select("app_id", "page").distinct().withColumn("_at", F.row_number().over(Window.partitionBy("app_id").orderBy("page"))).where(F.col("_at") <= most)
+    last = first.groupBy("app_id").agg(F.max("page").alias("_last")).select(F.col("app_id").alias("_app"), "_last")
+    return pages.join(last, F.col("app_id").eqNullSafe(F.col("_app")) & (F.col("page").isNull() | (F.col("page") <= F.col("_last")))).drop("_app", "_last")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that map state needs; it counts for streams that start after this. The manager of streams has its coordinator."""
     _ = spark.streams.active

@@ -180,3 +180,17 @@ def test_short_texts_are_written_but_not_read(spark, tmp_path):
     assert {r.review_id: (r.text, r.language) for r in merged.collect()} == {"9": ("cleaned text", "english"), "2": ("raw", "english"), "4": ("سروس بہت اچھی", "urdu_script")}
     alone = refresh.with_refresh(corpus.limit(0), stored.select("review_id", "text", F.col("place").alias("ord")))
     assert {r.review_id: (r.text, r.language) for r in alone.collect()} == {"2": ("App bohat acha hai", "roman_urdu"), "4": ("سروس بہت اچھی", "urdu_script")}
+
+
+def test_pages_beyond_the_most_do_not_gather(spark):
+    """A task held every row of an app, though its walk ends after max_pages."""
+    from tallybrook.streaming.walk import _first_pages
+
+    rows = [(app, page, place, f"{app}{page}{place}", "r", True) for app in ("a", None, "b") for page in range(3, 200) for place in range(3)]
+    pages = spark.createDataFrame(rows, PAGES)
+    kept = {(r.app_id, r.page) for r in _first_pages(pages, 4).collect()}
+    assert kept == {(app, page) for app in ("a", None, "b") for page in range(3, 7)}
+    assert "_last" in walk(pages, pages.select("app_id", "review_id"), 5, 4)._jdf.queryExecution().optimizedPlan().toString()
+    fresh = walk(pages.where("app_id = 'a'"), pages.where("false").select("app_id", "review_id"), 5, 4).collect()
+    assert sorted((r.page, r.place) for r in fresh if r.stop_reason is None) == [(page, place) for page in range(3, 7) for place in range(3)]
+    assert [(r.stop_reason, r.pages_fetched, r.new_rows) for r in fresh if r.stop_reason] == [("max_pages", 4, 12)]
