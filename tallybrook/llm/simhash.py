@@ -20,6 +20,7 @@ two of its parts meet; and joins split off the keys that very many rows have (sp
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +40,8 @@ GRID_ROWS, SLOTS = 20_000, 1 << 18
 TASK_ROWS, TASK_CHARS = 400_000, 32_000_000
 #: Texts whose shingle sets are compared in one task: their characters, and their number as long as that takes GRID_PARTS parts at most.
 GRID_CHARS, GRID_TEXTS, GRID_PARTS = 16_000_000, 500, 16
+#: Rows of a random key in the mean, at most; and keys whose rows are dealt and compared at a time, which bounds an exchange.
+KEY_ROWS, ROUND = 64, 26
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -392,8 +395,10 @@ def agreement(similarity: float) -> float:
 
 
 def bands(rows: int, similarity: float, missed: float = 0.004) -> tuple[int, int]:
-    """Bits of a key and number of keys, so that a pair of that similarity shares no key with probability `missed` at most."""
-    bits = max(10, math.ceil(math.log2(max(2, rows))) - 12)
+    """Bits of a key and number of keys, so that a pair of that similarity shares no key with probability `missed` at most.
+
+    A key has KEY_ROWS rows in the mean at most, so comparisons grow in proportion to rows and keys."""
+    bits = max(10, math.ceil(math.log2(max(2, rows) / KEY_ROWS)))
     return bits, math.ceil(math.log(missed) / math.log(1 - agreement(similarity) ** bits))
 
 
@@ -433,7 +438,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
     n, least = 64 * size, C.partitions(spark)
     rows = codes.count()
     bits, tables = bands(rows, similarity)
-    to = max(least, rows * tables // TASK_ROWS)
     p = agreement(similarity)
     radius = math.floor(n * (1 - p) + 3 * math.sqrt(n * p * (1 - p)))
     rng = np.random.default_rng(5)
@@ -441,20 +445,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
 
     weight = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.int64)
 
-    def keys_of(fps) -> np.ndarray:
+    def keys_of(fps, own: np.ndarray) -> np.ndarray:
         flags = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-        return ((flags[:, drawn].astype(np.int64) * weight).sum(2) + (np.arange(tables, dtype=np.int64) << 32)).ravel()
+        return ((flags[:, drawn[own]].astype(np.int64) * weight).sum(2) + (own << 32)).ravel()
 
-    def keyed(batches):
-        for frame in batches:
-            for at in range(0, len(frame), 512):
-                few = frame.iloc[at : at + 512]
-                yield pd.DataFrame({"key": keys_of(few["fp"]), "id": np.repeat(few["id"].to_numpy(), tables), "fp": np.repeat(few["fp"].to_numpy(), tables)})
+    def keyed(own: np.ndarray):
+        def run(batches):
+            for frame in batches:
+                for at in range(0, len(frame), 512):
+                    few = frame.iloc[at : at + 512]
+                    yield pd.DataFrame({"key": keys_of(few["fp"], own), "id": np.repeat(few["id"].to_numpy(), len(own)), "fp": np.repeat(few["fp"].to_numpy(), len(own))})
 
-    def only_keys(batches):
-        for frame in batches:
-            for at in range(0, len(frame), 512):
-                yield pd.DataFrame({"key": keys_of(frame["fp"].iloc[at : at + 512])})
+        return run
+
+    def only_keys(own: np.ndarray):
+        def run(batches):
+            for frame in batches:
+                for at in range(0, len(frame), 512):
+                    yield pd.DataFrame({"key": keys_of(frame["fp"].iloc[at : at + 512], own)})
+
+        return run
 
     def compare(batches):
         frame = C.whole(batches)
@@ -495,10 +505,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, siz
         yield pd.DataFrame({"id": ident[a], "to": ident[b]})
         C.release()
 
-    every = codes.select("id", "fp").mapInPandas(keyed, "key long, id long, fp binary")
-    dealt = _grid_by_rows(every, "key", "id", rows * tables, codes.select("fp").mapInPandas(only_keys, "key long"))
-    pairs = dealt.select("cell", "id", "fp").repartition(to, "cell").mapInPandas(compare, "a long, b long").distinct()
-    near = components(pairs)
+    found = []
+    for part in np.array_split(np.arange(tables, dtype=np.int64), math.ceil(tables / ROUND)):
+        to = max(least, rows * len(part) // TASK_ROWS)
+        every = codes.select("id", "fp").mapInPandas(keyed(part), "key long, id long, fp binary")
+        dealt = _grid_by_rows(every, "key", "id", rows * len(part), codes.select("fp").mapInPandas(only_keys(part), "key long"))
+        found.append(C.materialise(dealt.select("cell", "id", "fp").repartition(to, "cell").mapInPandas(compare, "a long, b long").distinct(), "pairs"))
+    near = components(reduce(DataFrame.unionByName, found))
+    C.discard(*found)
     near = near.unionByName(near.select(F.col("component").alias("id"), "component").distinct())
     # Large groups are dealt as a grid of parts: at most SPLIT of them by characters, and a GRID_TEXTS-th of the texts.
     held = C.materialise(near.join(codes.drop("n"), "id"), "candidates")

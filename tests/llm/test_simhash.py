@@ -263,3 +263,19 @@ def test_chain_and_star(spark):
     pairs = [(k + 1, k) for k in range(60)] + [(1000, k) for k in range(100, 160)]
     got = {r.id: r.component for r in S.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert set(got) == {*range(1, 61), *range(101, 160), 1000} and all(v == (0 if k <= 60 else 100) for k, v in got.items())
+
+
+def test_random_keys_have_few_rows_however_many_there_are():
+    """Keys of 10 bits served 4 million rows, so a key's comparisons grew with the square of the rows."""
+    for rows in (1000, 60_000, 235_000, 2_800_000, 14_000_000):
+        bits, tables = S.bands(rows, 0.8)
+        assert rows / 2**bits <= S.KEY_ROWS
+        assert (1 - S.agreement(0.8) ** bits) ** tables <= 0.004
+
+
+def test_keys_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(S, "KEY_ROWS", 0.02)
+    rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(60)) + f" end{k}") for k in range(90)]
+    assert S.bands(len(rows), 0.8)[1] > 2 * S.ROUND - 20
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 3 for k in range(90)}
