@@ -81,6 +81,8 @@ class Forward:
         self.ids, self.scores, self.bpe = pieces, scores, bpe
         self.text_of = {i: p for p, i in pieces.items()}
         self.longest = max(map(len, pieces), default=1)
+        # The ends of all pieces: the piece's id, or -1 where that end is none. Characters are taken back only as far as a piece goes.
+        self.ends = {p[k:]: -1 for p in pieces for k in range(1, len(p))} | pieces if bpe else {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.unknown = min(scores.values(), default=0.0) - 10.0
@@ -124,9 +126,15 @@ class Forward:
         """(start, id, score) of the last piece of the best path to i."""
         ids = self.ids
         if self.bpe:
-            for j in range(max(0, i - self.longest), i):
-                t = ids.get(word[j:i])
-                if t is not None and self._reached(t) and (j == 0 or self._fit(states[j][1], t)):
+            ends, found, j = self.ends, [], i - 1
+            while j >= 0 and (t := ends.get(word[j:i])) is not None:
+                if t >= 0:
+                    found.append((j, t))
+                j -= 1
+            for j, t in reversed(found):
+                if not self._reached(t):
+                    continue
+                if j == 0 or self._fit(states[j][1], t):
                     return j, t, 0.0
             return i - 1, -1 - ord(word[i - 1]), 0.0
         best = (i - 1, -1 - ord(word[i - 1]), states[i - 1][2] + self.unknown)
@@ -171,6 +179,7 @@ class PieceEncoder:
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unknown = sp.unk_id()
         self.forward = Forward(pieces, {sp.id_to_piece(i): sp.get_score(i) for i in normal}, is_bpe(raw))
+        self.plain = {i: p.replace(MARK, " ") for i, p in self.forward.text_of.items()}
         self.kept: dict[str, bytes] = {}
 
     def _final(self, ids: list[int]) -> bytes:
@@ -210,6 +219,11 @@ class PieceEncoder:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; marks are spaces again, and the one before the first word goes."""
         out, spelt = [], bytearray()
+        try:  # most texts have pieces only
+            text = "".join([self.plain[t] for t in ids.tolist()])
+            return text[1:] if text[:1] == " " else text
+        except KeyError:
+            pass
         for t in ids.tolist():
             b = self.byte_of.get(t)
             if b is not None:

@@ -28,6 +28,22 @@ def test_any_text(values):
     same([v.replace("\x00", "") for v in values])
 
 
+def test_only_ends_of_pieces_are_looked_up():
+    """Every end of a word of up to the longest piece's length was looked up at each of its characters."""
+    forward, asked = P.PieceEncoder(P.model_path()).forward, 0
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            nonlocal asked
+            asked += 1
+            return dict.get(self, key, default)
+
+    forward.ends, forward.ids = Counted(forward.ends), Counted(forward.ids)
+    word = P.MARK + "0123456789zqxj" * 20
+    forward.encode([word])
+    assert asked < forward.longest * len(word) / 3
+
+
 def test_corpus_texts(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(1000).collect()]
     same(texts)
