@@ -4,7 +4,8 @@ The similarity is 2M / (|a| + |b|), where M counts the characters of the matchin
 
 * Between two blocks that follow one another at least one key has a gap, so there are at most |a| + |b| - 2M + 1 blocks, and the
   keys share at least M less as many bigrams: 3M - |a| - |b| - 1. A name of six characters or more thus finds every title that
-  is as similar as `NEAR` by its rarest bigrams (a prefix filter) among titles of fitting length.
+  is as similar as `NEAR` by its rarest bigrams (a prefix filter) among titles of fitting length. If many titles have these, as
+  those of two digits where titles end in numbers, the grid is cheaper: such names go there.
 * The blocks are a common subsequence, so M is at most the longest one, which bit operations find. Names without a near title
   meet the titles in a grid of parts. There the titles stand in a trie: a prefix's common subsequence and the lengths of the titles
   below it bound them all, so names go down only where the best so far can be reached; pairs at the ends are compared.
@@ -34,8 +35,12 @@ _BITS, _LONG = 63, 256  # names and titles beyond these are bounded by the chara
 _LOT, _BEAM, _WIDE = 512, 6, 1 << 18
 #: A cell of the grid has so many times `block` names at most, and so many characters of titles for each of `block`.
 _MORE, _CHARS = 64, 1280
-#: Titles that one task takes of one bigram.
-_SPLIT = 4096
+#: Titles that one task takes of one bigram; bigrams there are, and their repeats in a key that are told apart by how many titles have them.
+_SPLIT, _PAIRS, _REPEATS = 4096, len(_SIGNS) ** 2, 64
+#: Titles that a name meets by its bigrams: so many at most, or one of so many of all; else it meets them in the grid.
+_FEW, _SHARE = 16, 4096
+#: SequenceMatcher leaves out frequent signs of keys from this length on.
+_JUNK = 200
 
 
 def _key(title: Column) -> Column:
@@ -44,51 +49,80 @@ def _key(title: Column) -> Column:
 
 # ---- near titles by bigrams
 
-def _needed(n: Column) -> Column:
+def _needed(n: np.ndarray) -> np.ndarray:
     """Bigrams that a key of n characters shares at least with any key that is as similar as NEAR."""
-    both = n + F.ceil(n * (NEAR / (2 - NEAR)) - 1e-9)  # characters of both, the other as short as it may be
-    return F.ceil(both * (1.5 * NEAR - 1) - 1 - 1e-9).cast("int")
-
-
-def _pairs_of_signs(keys: DataFrame, key: str) -> DataFrame:
-    all_of = F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(F.col(key), i, F.lit(2)))
-    return keys.where(F.length(key) >= 2).select(key, F.explode(all_of).alias("_g"))
-
-
-def _bigrams(keys: DataFrame, key: str, among: DataFrame | None = None) -> DataFrame:
-    """key, gram: each bigram (of those `among` others, if told) with its number among the equal ones of the key, so that shared grams count repeats."""
-    rows = _pairs_of_signs(keys, key)
-    if among is not None:
-        rows = rows.join(F.broadcast(among), "_g", "left_semi")
-    rows = rows.groupBy(key, "_g").agg(F.count("*").alias("_n"))
-    return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda i: F.concat("_g", i.cast("string")))).alias("gram"))
-
-
-def _prefixes(grams: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """key, gram, held: the rarest bigrams of each key (held: titles that have it), of which it shares one with any near key.
-
-    Bigrams that no title has would come first, and join none."""
-    known = grams.join(counts, "gram").select(key, F.struct("held", "gram").alias("g"))
-    ranked = known.groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("gs"))  # as many as the key has characters
-    first = F.slice("gs", F.lit(1), F.greatest(F.lit(0), F.size("gs") - F.greatest(_needed(F.length(key)), F.lit(1)) + 1))
-    return ranked.select(key, F.explode(first).alias("g")).select(key, "g.gram", "g.held")
-
-
-def near_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """name_key, title_key: every two as similar as NEAR, and some that are less, of distinct keys; names have SHORTEST characters or more."""
-    grams = _bigrams(titles, "title_key")
-    signs = _pairs_of_signs(titles, "title_key").select("_g").distinct()  # two of 36, so 1296 at most
-    counts = grams.groupBy("gram").agg(F.count("*").alias("held"))
+    both = n + np.ceil(n * (NEAR / (2 - NEAR)) - 1e-9)  # characters of both, the other as short as it may be
+    return np.ceil(both * (1.5 * NEAR - 1) - 1 - 1e-9).astype(np.int64)
+
+
+def _bigrams(keys: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, bigram, number): each bigram with its number among the equal ones of the key, so that shared ones count repeats."""
+    own = np.repeat(np.arange(len(keys)), keys.str.len().to_numpy(np.int64))
+    code = _CODE[np.frombuffer("".join(keys).encode("ascii"), np.uint8)].astype(np.int64)
+    inside = own[1:] == own[:-1]
+    held = np.sort((own[1:] * _PAIRS + code[:-1] * len(_SIGNS) + code[1:])[inside])
+    starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
+    number = np.arange(len(held)) - np.repeat(starts, np.diff(np.r_[starts, len(held)])) + 1
+    return held // _PAIRS, held % _PAIRS, number
+
+
+def _held(titles: DataFrame) -> np.ndarray:
+    """How many titles have each bigram n times or more, n up to _REPEATS."""
+
+    def of_batches(frames):
+        for frame in frames:
+            _, gram, number = _bigrams(frame["title_key"])
+            gram, many = np.unique((gram * _REPEATS + number - 1)[number <= _REPEATS], return_counts=True)
+            yield pd.DataFrame({"gram": gram, "held": many})
+
+    out = np.zeros(_PAIRS * _REPEATS, np.int64)
+    for row in titles.select("title_key").mapInPandas(of_batches, "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).collect():
+        out[row.gram] = row.held
+    return out.reshape(_PAIRS, _REPEATS)
+
+
+def _prefixes(keys: DataFrame, key: str, held: np.ndarray, most: int | None = None) -> DataFrame:
+    """key, gram, held: the rarest bigrams of each key (held: titles that have it), of which it shares one with any near key; bigrams
+    that no title has would come first, and join none. most: keys whose bigrams are held more often, all in all, have no row."""
+
+    def of_batches(frames):
+        for frame in frames:
+            own, gram, number = _bigrams(frame[key])
+            many = held[gram, np.minimum(number, _REPEATS) - 1]
+            order = np.lexsort((number, gram, many, own))
+            order = order[many[order] > 0]
+            own, gram, number, many = own[order], gram[order], number[order], many[order]
+            size = np.bincount(own, minlength=len(frame))
+            rank = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            take = rank <= (size - np.maximum(_needed(frame[key].str.len().to_numpy(np.int64)), 1))[own]
+            if most is not None:
+                take &= (np.bincount(own[take], many[take], len(frame)) <= most)[own]
+            yield pd.DataFrame({key: frame[key].to_numpy()[own[take]], "gram": (number * _PAIRS + gram)[take], "held": many[take]})
+
+    return keys.select(key).mapInPandas(of_batches, f"{key} string, gram long, held long")
+
+
+def near_pairs(names: DataFrame, titles: DataFrame, most: int | None = None) -> DataFrame:
+    """name_key, title_key: every two as similar as NEAR, and some that are less, of distinct keys; names have SHORTEST characters
+    or more. most: names that would meet more titles, repeats included, are left out."""
+    held = _held(titles)
     parts = F.ceil(F.col("held") / _SPLIT).cast("int")
-    left = _prefixes(_bigrams(names, "name_key", signs), counts, "name_key").select("name_key", "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = _prefixes(grams, counts, "title_key").select("title_key", "gram", F.pmod(F.xxhash64("title_key"), parts).cast("int").alias("part"))
+    left = _prefixes(names, "name_key", held, most).select("name_key", "gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = _prefixes(titles, "title_key", held).select("title_key", "gram", F.pmod(F.xxhash64("title_key"), parts).cast("int").alias("part"))
     shorter, longer = F.least(F.length("name_key"), F.length("title_key")), F.greatest(F.length("name_key"), F.length("title_key"))
     fits = 2 * shorter >= NEAR * (shorter + longer) - 1e-9
     return left.join(right, ["gram", "part"]).where(fits).select("name_key", "title_key").distinct()
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """SequenceMatcher's ratio of every two; those of usual lengths are compared by vectors."""
+    usual = (a.str.len().between(1, _BITS) & (b.str.len() < _JUNK)).to_numpy(bool)
+    out = np.empty(len(a))
+    (own, names), (title, keys) = pd.factorize(a[usual]), pd.factorize(b[usual])
+    if len(own):
+        out[usual] = TitleBlock(list(keys), [0] * len(keys))._ratios(list(names), _masks(list(names))[0], own, title)
+    out[~usual] = [SequenceMatcher(None, x, y).ratio() for x, y in zip(a[~usual], b[~usual], strict=True)]
+    return pd.Series(out)
 
 
 # ---- the others in a grid
@@ -195,9 +229,9 @@ class TitleBlock:
         top[own[more]], at[own[more]] = ratio[more], title[more]
 
     def _ratios(self, names: list[str], at: np.ndarray, own: np.ndarray, title: np.ndarray) -> np.ndarray:
-        """SequenceMatcher's ratio of every two; it leaves out frequent signs of keys of 200, so these are its own."""
+        """SequenceMatcher's ratio of every two; keys of _JUNK characters or more are its own."""
         out = np.empty(len(own))
-        junk = self.length[title] >= 200
+        junk = self.length[title] >= _JUNK
         for k in np.flatnonzero(junk).tolist():
             out[k] = SequenceMatcher(None, names[own[k]], self.keys[title[k]]).ratio()
         rest = np.flatnonzero(~junk)
@@ -349,7 +383,8 @@ def most_similar_titles(targets: DataFrame, titles: DataFrame, block: int = 1000
     found = materialise(titles.groupBy(_key(F.col("title")).alias("title_key")).agg(F.min(place).alias("first")).select("title_key", "first.ord", "first.title"), "titles")
     names = materialise(wanted.where("name_key is not null").select("name_key").distinct(), "names")
     keys = found.select("title_key", "ord")
-    near = near_pairs(names.where(F.length("name_key") >= SHORTEST), keys).withColumn("ratio", F.pandas_udf(_ratio, "double")("name_key", "title_key")).where(F.col("ratio") >= NEAR)
+    most = max(_FEW, keys.count() // _SHARE)
+    near = near_pairs(names.where(F.length("name_key") >= SHORTEST), keys, most).withColumn("ratio", F.pandas_udf(_ratio, "double")("name_key", "title_key")).where(F.col("ratio") >= NEAR)
     rank = F.struct("ratio", -F.col("ord"))
     near = materialise(near.join(keys, "title_key").groupBy("name_key").agg(F.max_by(F.struct("title_key", "ratio"), rank).alias("best")), "near")
     rest = materialise(names.join(near, "name_key", "left_anti"), "rest")

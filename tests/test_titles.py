@@ -92,6 +92,32 @@ def test_near_titles_are_found_by_their_bigrams(spark, monkeypatch, split):
     assert len(want) > 100 and want <= got
 
 
+def test_names_whose_bigrams_many_titles_have_go_to_the_grid(spark, monkeypatch):
+    """Numbers at the end of names met most numbered titles before, so 60,000 titles and 1.2 million names did not end."""
+    near_pairs, met = T.near_pairs, []
+
+    def counted(*args):
+        met.append(near_pairs(*args).count())
+        return near_pairs(*args)
+
+    monkeypatch.setattr(T, "near_pairs", counted)
+    titles = [f"supplier{k:09d}" for k in range(4000)]
+    names = [f"hotgear{k}" for k in range(1100000, 1200000, 500)] + ["supplier00000012x"]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title string, ord int")
+    found = {r.name: (r.title, r.ratio) for r in T.most_similar_titles(spark.createDataFrame([(x,) for x in names], "name string"), rows).collect()}
+    assert met[0] <= 16 * len(names) and len(found) == len(names)
+    for name in [*names[::40], names[-1]]:
+        top, place = max((ratio(name, t), -i) for i, t in enumerate(titles))
+        assert found[name] == (titles[-place], top)
+
+
+def test_ratios_of_near_pairs_are_those_of_the_library():
+    rng = random.Random(9)
+    rows = [("".join(rng.choices("ab01", k=rng.choice([0, 5, 20, 63, 64, 90]))), "".join(rng.choices("ab01", k=rng.choice([0, 7, 30, 199, 200, 250])))) for _ in range(400)]
+    a, b = (T.pd.Series(x) for x in zip(*rows, strict=True))
+    assert T._ratio(a, b).tolist() == [ratio(*x) for x in rows]
+
+
 def test_equal_to_all_pairs(spark):
     rng = random.Random(5)
     titles = strings(rng, 80) + ["Plan World: Money!", "plan-world money", "x" * 400, "", "ab" * 50]
