@@ -7,8 +7,8 @@ The similarity is 2M / (|a| + |b|), where M counts the characters of the matchin
   is as similar as `NEAR` by its rarest bigrams (a prefix filter) among titles of fitting length. If many titles have these, as
   those of two digits where titles end in numbers, the grid is cheaper: such names go there.
 * The blocks are a common subsequence, so M is at most the longest one, which bit operations find. Names without a near title
-  meet the titles in a grid of parts. There the titles stand in a trie: a prefix's common subsequence and the lengths of the titles
-  below it bound them all, so names go down only where the best so far can be reached; pairs at the ends are compared.
+  meet the titles in a grid of parts. There the titles stand in a trie: a prefix's common subsequence, the characters of the name
+  that the signs left below it can still meet, and the lengths of the titles below it bound them all, so names go down only where the best so far can be reached; pairs at the ends are compared.
 """
 
 from __future__ import annotations
@@ -327,10 +327,12 @@ class Trie:
             node = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(len(own))
             met = open_ & at[own, sign[node]]
             open_ = ((open_ + met) | (open_ - met)) & full[own]
-            a = size[own]
+            a, last = size[own], longest[node]
             common = a - np.bitwise_count(open_).astype(np.int64)
-            length = np.clip(a - common + depth, shortest[node], longest[node])  # at which the bound is largest
-            bound = 2.0 * np.minimum(a, common + length - depth) / (a + length)
+            early = (np.uint64(1) << np.maximum(a + depth - last, 0).astype(np.uint64)) - np.uint64(1)
+            most = a - np.bitwise_count(open_ & early).astype(np.int64)  # the signs that are left can meet as many late characters of the name
+            length = np.clip(most - common + depth, shortest[node], last)  # at which the bound is largest
+            bound = 2.0 * np.minimum(most, common + length - depth) / (a + length)
             keep = np.flatnonzero((bound > top[own]) | ((bound == top[own]) & (least[node] < place[own])))
             if beam is not None and len(keep):
                 keep = keep[np.lexsort((~open_[keep], -bound[keep], own[keep]))]  # then those whose characters come early in the name
