@@ -8,7 +8,8 @@ The similarity is 2M / (|a| + |b|), where M counts the characters of the matchin
   those of two digits where titles end in numbers, the grid is cheaper: such names go there.
 * The blocks are a common subsequence, so M is at most the longest one, which bit operations find. Names without a near title
   meet the titles in a grid of parts. There the titles stand in a trie: a prefix's common subsequence, the characters of the name
-  that the signs left below it can still meet, and the lengths of the titles below it bound them all, so names go down only where the best so far can be reached; pairs at the ends are compared.
+  that the signs left below it can still meet, and the lengths of the titles below it bound them all, so names go down only where
+  the best so far can be reached; pairs at the ends are compared.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _BITS, _LONG = 63, 256  # names and titles beyond these are bounded by the chara
 #: Names that go down the trie at a time, nodes that give a name its floor, and pairs of name and node that are held at once.
 _LOT, _BEAM, _WIDE = 512, 6, 1 << 18
 #: A cell of the grid has so many times `block` names at most, and so many characters of titles for each of `block`.
-_MORE, _CHARS = 64, 1280
+_MORE, _CHARS = 64, 6400
 #: Titles that one task takes of one bigram; bigrams there are, and their repeats in a key that are told apart by how many titles have them.
 _SPLIT, _PAIRS, _REPEATS = 4096, len(_SIGNS) ** 2, 64
 #: Titles that a name meets by its bigrams: so many at most, or one of so many of all; else it meets them in the grid.
@@ -306,7 +307,10 @@ class Trie:
             children = np.searchsorted(of[start], np.arange(nodes + 1))
             least = np.minimum.reduceat(ords[rows[long]], first)
             shortest, longest = np.minimum.reduceat(length[long], first), np.maximum.reduceat(length[long], first)
-            self.levels.append((children[:-1], np.diff(children), signs[rows[start], depth - 1], shortest, longest, least, np.where(length[start] == depth, rows[start], -1)))
+            ends = np.where(length[start] == depth, rows[start], -1)
+            few = (children[:-1], np.diff(children), shortest, longest, ends)  # half as wide, as keys may share few nodes
+            first_child, many, shortest, longest, ends = (x.astype(np.int32) for x in few)
+            self.levels.append((first_child, many, signs[rows[start], depth - 1], shortest, longest, least, ends))
             of[long], nodes = np.cumsum(np.isin(np.arange(len(long)), first)) - 1, len(first)
 
     def titles(self, at, size, full, top, place, beam: int | None):
@@ -351,7 +355,7 @@ class Trie:
 def _best_in_cells(batches):
     for frame in batches:
         for cell in frame.itertuples(index=False):
-            block = TitleBlock([t["title_key"] for t in cell.titles], [t["ord"] for t in cell.titles])
+            block = TitleBlock(list(cell.keys), cell.ords)
             found = [(name, *best) for name, best in zip(cell.names, block.best_of_all(list(cell.names)), strict=True)]
             out = pd.DataFrame(found, columns=["name_key", "ratio", "at", "compared"])
             yield out.assign(title_key=[block.keys[j] for j in out["at"]], ord=block.ords[out["at"].to_numpy(np.int64)])[["name_key", "title_key", "ratio", "ord", "compared"]]
@@ -369,7 +373,8 @@ def _best_in_grid(names: DataFrame, titles: DataFrame, block: int) -> DataFrame:
     right = titles.groupBy(place("title_key", columns).alias("j")).agg(F.collect_list(F.struct("title_key", "ord")).alias("titles"))
     left = left.select("i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), "names")
     right = right.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), "j", "titles")
-    cells = left.hint("shuffle_hash").join(right, ["i", "j"]).repartition(rows * columns, "i", "j").select("names", "titles")
+    cells = left.hint("shuffle_hash").join(right, ["i", "j"]).repartitionById(rows * columns, F.col("i") * columns + F.col("j"))
+    cells = cells.select("names", F.col("titles.title_key").alias("keys"), F.col("titles.ord").alias("ords"))
     return cells.mapInPandas(_best_in_cells, "name_key string, title_key string, ratio double, ord long, compared long")
 
 

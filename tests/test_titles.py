@@ -98,6 +98,21 @@ def test_grid_of_several_parts(spark, monkeypatch, chars):
     assert best == {x: max((ratio(x, t), -i) for i, t in enumerate(titles)) for x in names}
 
 
+def test_each_cell_of_the_grid_is_a_task(spark, monkeypatch):
+    """Cells were dealt by a hash, so some tasks had several and others none; and 360,000 titles were five parts."""
+    rng = random.Random(6)
+    titles, names = sorted(set(strings(rng, 150))), sorted(set(strings(rng, 90)))
+    names = spark.createDataFrame([(x,) for x in names], "name_key string").localCheckpoint()
+    many = spark.range(360000).selectExpr("concat('supplier', lpad(id, 9, '0')) AS title_key", "id AS ord")
+    assert T._best_in_grid(names, many, 1000).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(T, "_CHARS", 20)
+    best = T._best_in_grid(names, spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title_key string, ord long"), 7)
+    rows, cells = -(-names.count() // 7), best.rdd.getNumPartitions()
+    cell = [T.F.pmod(T.F.xxhash64(key), T.F.lit(n)).alias(key) for key, n in (("name_key", rows), ("title_key", cells // rows))]
+    found = {tuple(r) for r in best.select(T.F.spark_partition_id(), *cell).collect()}
+    assert cells % rows == 0 and len(found) > cells / 2 and len({p for p, _, _ in found}) == len(found)
+
+
 @pytest.mark.parametrize("split", [4096, 3])
 def test_near_titles_are_found_by_their_bigrams(spark, monkeypatch, split):
     """Every pair at the threshold, short and long, with repeated bigrams; and bigrams of many titles in parts."""
